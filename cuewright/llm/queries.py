@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm import chat, decontaminate, exact_dedup, mixing, simhash_vp, warc
+from cuewright.llm import chat, decontaminate, exact_dedup, mixing, quality, simhash_vp, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ SELECT conv_id::BIGINT AS conv_id, n_turns, sha256(t) AS turns_sha256, length(l)
 """
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -76,5 +80,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op3_exact_dedup": op3_exact_dedup, "op4_warc": op4_warc, "op7_simhash_vp": op7_simhash_vp, "op8_decontaminate": op8_decontaminate, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op1_chat_format": op1_chat_format, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_warc": op4_warc, "op7_simhash_vp": op7_simhash_vp, "op8_decontaminate": op8_decontaminate, "op10_mix_sources": op10_mix_sources}
 ORACLES = {"op1_chat_format": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_warc": OP4_SQL}
