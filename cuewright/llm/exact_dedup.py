@@ -62,7 +62,7 @@ def run_stream(records: DataFrame, name: str = "dedup") -> DataFrame:
         batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/batch={number}")
 
     state = keyed_state(records)
-    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB):
+    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB), _setting(spark, "spark.sql.streaming.stateStore.unloadOnCommit", "true"):
         query = (
             state.writeStream.outputMode("update")
             .option("checkpointLocation", new_path(spark, f"{name}-log"))
