@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm import chat, decontaminate, exact_dedup, html_blocks, mixing, quality, simhash_vp, warc
+from cuewright.llm import chat, decontaminate, exact_dedup, html_blocks, mixing, quality, simhash_vp, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(_table(spark, sf_dir, "pages"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vp.simhash_report(_table(spark, sf_dir, "documents"))
 
@@ -84,5 +88,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_warc": op4_warc, "op5_html_text": op5_html_text, "op7_simhash_vp": op7_simhash_vp, "op8_decontaminate": op8_decontaminate, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op1_chat_format": op1_chat_format, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_warc": op4_warc, "op5_html_text": op5_html_text, "op6_suffix_dedup": op6_suffix_dedup, "op7_simhash_vp": op7_simhash_vp, "op8_decontaminate": op8_decontaminate, "op10_mix_sources": op10_mix_sources}
 ORACLES = {"op1_chat_format": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_warc": OP4_SQL}
