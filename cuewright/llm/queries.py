@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm import chat, decontaminate, exact_dedup, html_blocks, mixing, quality, simhash_vp, suffix_dedup, warc
+from cuewright.llm import chat, decontaminate, exact_dedup, html_blocks, lm_score, mixing, quality, simhash_vp, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,9 +84,13 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_warc": op4_warc, "op5_html_text": op5_html_text, "op6_suffix_dedup": op6_suffix_dedup, "op7_simhash_vp": op7_simhash_vp, "op8_decontaminate": op8_decontaminate, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op1_chat_format": op1_chat_format, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_warc": op4_warc, "op5_html_text": op5_html_text, "op6_suffix_dedup": op6_suffix_dedup, "op7_simhash_vp": op7_simhash_vp, "op8_decontaminate": op8_decontaminate, "op9_lm_score": op9_lm_score, "op10_mix_sources": op10_mix_sources}
 ORACLES = {"op1_chat_format": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_warc": OP4_SQL}
