@@ -24,6 +24,8 @@ from cuewright.llm import tokens
 from cuewright.llm.common import materialise
 
 LENGTH, GRAM = 100, 32
+#: Every window holds either the bytes from ``_LEFT`` before its anchor up to its end, or the anchor and ``_RIGHT`` bytes in all.
+_LEFT, _RIGHT = 34, 66
 _SPAN = LENGTH - GRAM + 1
 #: Bytes hashed at a time, and bytes of one suffix array (a larger anchor's contexts make one of their own).
 CHUNK, JOINED = 2 << 20, 1 << 15
@@ -41,7 +43,7 @@ def suffix_array(text: list[int]) -> list[int]:
         return list(range(n))
     s = [*text, min(text) - 1]  # a last sign below all others
     n += 1
-    order = sorted(range(n), key=s.__getitem__)
+    order = np.argsort(np.array(s), kind="stable").tolist()
     place, group, end = [0] * n, [0] * n, [0] * n  # group: first slot; end: last slot, by first slot
     start = 0
     for k, i in enumerate(order):
@@ -119,8 +121,16 @@ def equal_windows(contexts: list[bytes], length: int = LENGTH) -> np.ndarray:
     order = order[offset[order] + length <= lengths[context[order]]]
     if len(order) < 2:
         return np.empty((0, 2), np.int64)
-    rows = np.lib.stride_tricks.sliding_window_view(data, length)
-    same = np.concatenate(([False], *[(rows[order[k + 1 : k + 4097]] == rows[order[k : k + 4096][: len(order) - 1 - k]]).all(1) for k in range(0, len(order) - 1, 4096)]))
+    if length < 8:
+        eights, steps = data, range(length)
+    else:  # eight bytes at every position, read in place
+        eights = np.ndarray((len(data) - 7,), "<u8", joined, strides=(1,))
+        steps = [*range(0, length - 8, 8), length - 8]
+    pairs = np.arange(1, len(order))
+    for step in steps:  # neighbours in suffix order that are still equal
+        pairs = pairs[eights[order[pairs] + step] == eights[order[pairs - 1] + step]]
+    same = np.zeros(len(order), bool)
+    same[pairs] = True
     run = np.cumsum(~same)
     first = np.full(run[-1] + 1, len(data))
     np.minimum.at(first, run, order)
@@ -147,11 +157,15 @@ class Hashes:
 
 
 def contexts_of(data: np.ndarray, offsets: np.ndarray):
-    """(text, first window, last window, anchor hash, context hash) arrays; window positions count inside their text."""
+    """(text, first window, last window, anchor hash, context hash, left hash, right hash, middle) arrays.
+
+    Window positions count inside their text. Windows from the middle on hold the right stretch, those up to it the left one; a
+    context without such windows has its own hash instead.
+    """
     n = len(data)
     lengths = np.diff(offsets)
     if n < LENGTH or not (lengths >= LENGTH).any():
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.uint64, np.int64))
     hashes = Hashes(data)
     at = np.arange(n - GRAM + 1)
     grams = _mix(hashes.of(at, at + GRAM), 0xD6E8FEB86659FD93)
@@ -168,8 +182,11 @@ def contexts_of(data: np.ndarray, offsets: np.ndarray):
     first, last, anchor = window[cut], window[np.concatenate((cut[1:] - 1, [len(window) - 1]))], anchor[cut]
     key = grams[anchor]
     body = _mix(hashes.of(first, last + LENGTH) + (anchor - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 0xA24BAED4963EE407)
-    own = text[first]
-    return own, first - offsets[own], last - offsets[own], key, body + (last - first).astype(np.uint64)
+    body += (last - first).astype(np.uint64)
+    own, middle = text[first], anchor - _LEFT
+    left = np.where(first <= middle, _mix(hashes.of(np.maximum(middle, 0), anchor + GRAM), 0x9FB21C651E98DF25), body)
+    right = np.where(last >= middle, _mix(hashes.of(anchor, np.minimum(anchor + _RIGHT, n)), 0x9FB21C651E98DF25), body)
+    return own, first - offsets[own], last - offsets[own], key, body, left, right, middle - offsets[own]
 
 
 def _later(keys: tuple, order: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -179,16 +196,16 @@ def _later(keys: tuple, order: tuple) -> tuple[np.ndarray, np.ndarray]:
     return by, again
 
 
-_OCC = "anchor long, body long, doc long, rid long, first int, last int"
+_OCC = "anchor long, body long, left long, right long, doc long, rid long, first int, last int, middle int"
 
 
-def _batch(anchor, body, doc, rid, first, last) -> pa.RecordBatch:
-    null = anchor is None
+def _batch(doc, rid, first, last, middle=None, **hashes) -> pa.RecordBatch:
+    """Rows of ``_OCC``; hashes that aren't given are null."""
     n = len(rid)
-    arrays = [pa.nulls(n, pa.int64()) if null else pa.array(anchor.view(np.int64)), pa.nulls(n, pa.int64()) if body is None else pa.array(body.view(np.int64))]
-    return pa.RecordBatch.from_arrays(
-        arrays + [pa.array(doc), pa.array(rid), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["anchor", "body", "doc", "rid", "first", "last"]
-    )
+    arrays = [pa.array(hashes[k].view(np.int64)) if k in hashes else pa.nulls(n, pa.int64()) for k in ("anchor", "body", "left", "right")]
+    arrays += [pa.array(doc), pa.array(rid), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))]
+    arrays.append(pa.nulls(n, pa.int32()) if middle is None else pa.array(middle.astype(np.int32)))
+    return pa.RecordBatch.from_arrays(arrays, names=["anchor", "body", "left", "right", "doc", "rid", "first", "last", "middle"])
 
 
 def _merged(rid: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray):
@@ -211,19 +228,19 @@ def _find(batches):
         docs, rids = batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("rid").to_numpy()
         held: list[tuple] = []
         for at, part in tokens.batches_of(batch.column("text"), CHUNK):
-            text, first, last, key, body = contexts_of(*tokens.column_bytes(part))
-            held.append((key, body, docs[at + text], rids[at + text], first, last))
-        key, body, doc, rid, first, last = (np.concatenate(x) for x in zip(*held, strict=True))
+            text, first, last, key, body, left, right, middle = contexts_of(*tokens.column_bytes(part))
+            held.append((key, body, left, right, middle, docs[at + text], rids[at + text], first, last))
+        key, body, left, right, middle, doc, rid, first, last = (np.concatenate(x) for x in zip(*held, strict=True))
         by, again = _later((key, body), (doc, rid, first))
         gone, kept = by[again], by[~again]
-        yield _batch(key[kept], body[kept], doc[kept], rid[kept], first[kept], last[kept])
+        yield _batch(doc[kept], rid[kept], first[kept], last[kept], middle[kept], anchor=key[kept], body=body[kept], left=left[kept], right=right[kept])
         r, d, lo, hi = _merged(rid[gone], doc[gone], first[gone], last[gone] + LENGTH)
-        yield _batch(None, None, d, r, lo, hi)
+        yield _batch(d, r, lo, hi)
 
 
 def _settle(batches):
-    """All rows of the partition's anchors. Equal contexts but the first become bytes to remove (no anchor); contexts
-    of anchors with several stay, for their bytes to be compared; of anchors with very many, ``body`` is set."""
+    """All rows of the partition's anchors. Equal contexts but the first become bytes to remove (no anchor); contexts that
+    share a stretch with another stay, cut to it, for their bytes to be compared; of anchors with very many, ``body`` is set."""
     tables = [b for b in batches if b.num_rows]
     if not tables:
         return
@@ -232,16 +249,33 @@ def _settle(batches):
     for b in ready.combine_chunks().to_batches():
         yield b
     t = t.filter(pa.compute.is_valid(t["anchor"]))
-    key, body = (t[c].to_numpy().view(np.uint64) for c in ("anchor", "body"))
-    doc, rid, first, last = (t[c].to_numpy().astype(np.int64) for c in ("doc", "rid", "first", "last"))
+    key, body, left, right = (t[c].to_numpy().view(np.uint64) for c in ("anchor", "body", "left", "right"))
+    doc, rid, first, last, middle = (t[c].to_numpy().astype(np.int64) for c in ("doc", "rid", "first", "last", "middle"))
     by, again = _later((key, body), (doc, rid, first))
     gone, kept = by[again], by[~again]
     r, d, lo, hi = _merged(rid[gone], doc[gone], first[gone], last[gone] + LENGTH)
-    yield _batch(None, None, d, r, lo, hi)
-    _, group, many = np.unique(key[kept], return_inverse=True, return_counts=True)
-    many = many[group] if len(kept) else np.empty(0, np.int64)
-    for own, flag in ((kept[(many > 1) & (many <= MOST_CONTEXTS)], False), (kept[many > MOST_CONTEXTS], True)):
-        yield _batch(key[own], body[own] if flag else None, doc[own], rid[own], first[own], last[own])
+    yield _batch(d, r, lo, hi)
+    key, body, doc, rid, first, last, middle = (x[kept] for x in (key, body, doc, rid, first, last, middle))
+    lefts, rights = _shared(key, left[kept]), _shared(key, right[kept])
+    own = lefts | rights  # contexts that share neither stretch with another have no window in common with it
+    first, last = np.where(lefts, first, np.maximum(first, middle)), np.where(rights, last, np.minimum(last, middle))
+    _, group, many = np.unique(key[own], return_inverse=True, return_counts=True)
+    crowded = np.zeros(len(key), bool)
+    crowded[own] = many[group] > MOST_CONTEXTS if own.any() else False
+    k = np.nonzero(own & ~crowded)[0]
+    yield _batch(doc[k], rid[k], first[k], last[k], anchor=key[k])
+    k = np.nonzero(crowded)[0]
+    yield _batch(doc[k], rid[k], first[k], last[k], anchor=key[k], body=body[k])
+
+
+def _shared(key: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+    """Whether another row has the same key and stretch."""
+    by = np.lexsort((stretch, key))
+    same = (key[by][1:] == key[by][:-1]) & (stretch[by][1:] == stretch[by][:-1]) if len(by) else np.empty(0, bool)
+    out = np.zeros(len(key), bool)
+    out[by[1:]] |= same
+    out[by[:-1]] |= same
+    return out
 
 
 def _contexts(batches):

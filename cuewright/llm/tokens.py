@@ -32,10 +32,16 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+_held: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, _INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    if len(_held[0]) <= n:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            power = np.full(n + 1, base, np.uint64)
+            power[0] = 1
+            _held[k] = np.multiply.accumulate(power)
+    return _held[0][: n + 1], _held[1][: n + 1]
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
