@@ -92,5 +92,23 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS u FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER] AS w, 2 * source_size AS cap, sum(source_size) OVER () * 1.5 AS total FROM s),
+o AS (SELECT *, row_number() OVER r AS k, coalesce(sum(cap) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped, sum(w) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free
+  FROM w WINDOW r AS (ORDER BY cap / w, source NULLS LAST)),
+l AS (SELECT (total - capped) / free AS rate FROM o WHERE (total - capped) / free <= cap / w ORDER BY k LIMIT 1),
+t AS (SELECT source, source_size, least(cap, w * coalesce((SELECT rate FROM l), 2 * total))::DOUBLE AS target FROM o),
+p AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN round_even(target, 0)::BIGINT // source_size ELSE 0 END AS passes, CASE WHEN source_size > 0 THEN round_even(target, 0)::BIGINT % source_size ELSE 0 END AS rest
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM p),
+f AS (SELECT *, rest > 0 AND upto <= rest AS inside, rest - coalesce(max(upto) FILTER (upto <= rest) OVER (PARTITION BY source), 0) AS gap FROM c),
+m AS (SELECT source, arg_min(doc_id, (abs(gap - size), u, doc_id)) AS doc_id FROM f WHERE NOT inside AND rest > 0 AND abs(gap - size) < gap GROUP BY source)
+SELECT f.doc_id, size, source_size, target, (size * (passes + (inside OR m.doc_id IS NOT NULL)::INTEGER))::BIGINT AS taken
+FROM f LEFT JOIN m ON m.doc_id = f.doc_id AND m.source IS NOT DISTINCT FROM f.source
+"""
+
+
 QUERIES = {"op1_chat_format": op1_chat_format, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_warc": op4_warc, "op5_html_text": op5_html_text, "op6_suffix_dedup": op6_suffix_dedup, "op7_simhash_vp": op7_simhash_vp, "op8_decontaminate": op8_decontaminate, "op9_lm_score": op9_lm_score, "op10_mix_sources": op10_mix_sources}
-ORACLES = {"op1_chat_format": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_warc": OP4_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op10_mix_sources": OP10_SQL}
