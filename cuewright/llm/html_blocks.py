@@ -131,7 +131,7 @@ def vectors(blocks: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
     n = np.maximum(np.bincount(block, minlength=len(blocks)), 1)
     sign = np.where(h >> np.uint64(63), 1.0, -1.0)
     words = np.bincount(block * WORDS + (h % np.uint64(WORDS)).astype(np.int64), sign, len(blocks) * WORDS).reshape(-1, WORDS)
-    x[:, PATH : PATH + WORDS] = words / np.sqrt(n)[:, None]
+    x[:, PATH : PATH + WORDS] = np.clip(words / np.sqrt(n)[:, None], -2, 2)
     dots = np.add.reduceat(np.isin(data, (33, 44, 46, 63)), offsets[:-1]) if len(data) else np.zeros(len(blocks))
     for k, column in enumerate((np.log1p(n) / 3, [b[2] for b in blocks], dots / n, np.minimum([len(b[0]) for b in blocks], 12) / 6, n < 4, n > 25)):
         x[:, PATH + WORDS + k] = column
@@ -260,6 +260,8 @@ def sample_page(r: random.Random) -> tuple[str, set[int]]:
 
     def words(n: int, main: bool) -> str:
         out = [("q" if main else "") + "".join(r.choice("abcdefghijklmnoprstuvwxyzäéñ") for _ in range(r.randrange(2, 9))) for _ in range(n)]
+        if r.random() < 0.08:
+            out = out[:1] * n if r.random() < 0.5 else [w.upper() + r.choice(["!!", "***", "$$"]) for w in out]
         dots = r.choice([0.05, 0.15, 0.4])
         text = " ".join(w + (r.choice([".", ",", "."]) if r.random() < dots else "") for w in out).capitalize() + r.choice([".", ""])
         return text if main or r.random() < 0.7 else r.choice(["© ", "", "© 2024 "]) + ".".join(out[:1] * 3) + r.choice([" · ", " | ", " "]) + text
@@ -289,7 +291,7 @@ def sample_page(r: random.Random) -> tuple[str, set[int]]:
 
 
 @lru_cache(1)
-def trained(pages: int = 1500, rounds: int = 9, seed: int = 3) -> BiLstm:
+def trained(pages: int = 2000, rounds: int = 10, seed: int = 3) -> BiLstm:
     """The model after ``rounds`` over ``pages`` invented pages: some seconds on the driver, once a process."""
     r = random.Random(seed)
     xs, ys = [], []
