@@ -29,9 +29,11 @@ GROUPS, MEMBERS, BINS = 32, 32, 32
 CLASSES = GROUPS * MEMBERS
 #: Width, inner width, window and the part of it that is only context.
 D, INNER, WINDOW, CONTEXT = 24, 48, 32, 8
-#: One in so many training documents is trained on, in so many rounds; a task goes over its share so often in a round, but takes
-#: no more than so many steps (tasks grow with the input, and so does what is trained on).
-FRACTION, ROUNDS, BATCH, EPOCHS, MOST_STEPS = 8, 2, 32, 2, 200
+#: One in so many training documents is trained on, in so many rounds; a task goes over every window of its share so often in a
+#: round, so steps grow with the rows.
+FRACTION, ROUNDS, BATCH, EPOCHS = 8, 2, 32, 2
+#: Only for tests that don't need a trained model: a bound on a task's steps. None: no bound.
+MOST_STEPS: int | None = None
 #: Counts sent to every task; a text's other words are looked up by a join.
 COMMON_WORDS = 262_144
 _BLOCK = 4096
@@ -349,22 +351,41 @@ def _count(path: str):
     return run
 
 
+class _Built:
+    """An array of windows of which only the rows asked for are built."""
+
+    def __init__(self, n: int, build):
+        self.n, self.build = n, build
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, own: np.ndarray) -> np.ndarray:
+        return self.build(own)
+
+
 def _train(path: str, classes, flat, seed: int):
     def run(batches):
         subwords, c = Subwords(path), classes.value
-        held: list[tuple] = []
+        held: list[tuple] = []  # two bytes a subword, nine a window; the windows themselves are built step by step
+        total = 0
         for batch in batches:
             for _, part in tokens.batches_of(batch.column("text"), _CHUNK):
                 ids, offsets = sequences(*words_of(*tokens.column_bytes(part)), subwords)
                 _, start, filled, _ = windows(offsets)
-                index = np.minimum(start[:, None] + np.arange(WINDOW), len(ids) - 1)
-                held.append((c.cls[np.concatenate(([subwords.end], ids[:-1]))][index], c.cls[ids][index], np.arange(WINDOW) < filled[:, None]))
+                held.append((c.cls[ids], start + total, filled.astype(np.int8)))
+                total += len(ids)
         if not held:
             return
-        rows, cls, valid = (np.concatenate(x) for x in zip(*held, strict=True))
+        cls, start, filled = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        place, n = np.arange(WINDOW), len(start)
+        at = lambda own: np.minimum(start[own][:, None] + place, total - 1)
+        rows = _Built(n, lambda own: cls[at(own) - 1])  # the last subword, an end, stands before the first
         model = Attention.of(flat.value)
-        model.train(rows, cls, valid, min(MOST_STEPS, -(-len(rows) * EPOCHS // BATCH)), seed=seed)
-        new, weight = model.flat(), float(valid.sum())
+        steps = -(-n * EPOCHS // BATCH)
+        model.train(rows, _Built(n, lambda own: cls[at(own)]), _Built(n, lambda own: place < filled[own][:, None]), steps if MOST_STEPS is None else min(MOST_STEPS, steps), seed=seed)
+        new, weight = model.flat(), float(filled.sum(dtype=np.int64))
         blocks = range(0, len(new), _BLOCK)
         yield pa.RecordBatch.from_arrays(
             [pa.array([b // _BLOCK for b in blocks], pa.int32()), pa.array([weight] * len(blocks)), pa.array([new[b : b + _BLOCK].tobytes() for b in blocks], pa.binary())], names=["block", "weight", "part"]

@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -112,3 +113,20 @@ def test_distribution_and_learning():
     model.train(classes.cls[np.concatenate(([subwords.end], ids[:-1]))][index], classes.cls[ids][index], np.ones(index.shape, bool), 60)
     after = L.score_sequences(ids, offsets, model, classes, subwords.end)
     assert (after > 0.6 * before).all() and np.allclose(after, after[0], rtol=1e-4)
+
+
+def test_steps_grow_with_the_rows(monkeypatch):
+    subwords = L.Subwords(L.TOKENIZER)
+    texts = [f"the cat sat on the mat and the dog sat on the log {k} " * 60 for k in range(200)]
+    ids, offsets = L.sequences(*L.words_of(*tokens.column_bytes(pa.array(texts))), subwords)
+    classes = L.Classes(np.bincount(ids, minlength=subwords.size), subwords.end, subwords.starts)
+    prev, n, trained = np.concatenate(([subwords.end], ids[:-1])), len(L.windows(offsets)[0]), []
+    monkeypatch.setattr(L.Attention, "train", lambda self, *a, **k: trained.append(a))
+    batches = [pa.RecordBatch.from_arrays([pa.array(part)], names=["text"]) for part in (texts[:50], texts[50:])]
+    out = list(L._train(L.TOKENIZER, SimpleNamespace(value=classes), SimpleNamespace(value=L.Attention.fresh(classes.bias).flat()), 0)(iter(batches)))
+    (rows, targets, valid, steps), every = trained[0], np.arange(n)
+    assert n > 200 * L.BATCH and len(rows) == n and steps == -(-n * L.EPOCHS // L.BATCH)
+    _, start, filled, _ = L.windows(offsets)
+    index, ok = np.minimum(start[:, None] + np.arange(L.WINDOW), len(ids) - 1), np.arange(L.WINDOW) < filled[:, None]
+    assert (valid[every] == ok).all() and (rows[every] == classes.cls[prev][index])[ok].all() and (targets[every] == classes.cls[ids][index])[ok].all()
+    assert out[0].column("weight")[0].as_py() == ok.sum()
