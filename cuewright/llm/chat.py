@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Strings that must not stand unescaped inside a text: this template's and those of other common templates.
 _BODY = r"(\|(?:turn|text|end)\|>|/?s>|/?INST\])"
+#: Spark parses no variant over 128 MiB nor any with a string over 20 000 000 characters: records of more bytes than ``LONG`` don't
+#: go through a variant whole.
+LONG, LARGEST_VARIANT = 8 << 20, 128 << 20
+_JSON = {"maxStringLen": str((1 << 31) - 1)}
 _FIND, _FIND_ESCAPED = r"([<\[])(\\*)" + _BODY, r"([<\[])\\(\\*)" + _BODY
 
 
@@ -44,10 +48,19 @@ class Layout:
         ]
 
     def turns(self, record: Column, present: tuple[tuple[str, str, bool], ...]) -> Column:
+        """From a record as a variant."""
         if not self.each:
             return F.array(*[_turn(F.lit(role), F.try_variant_get(record, f"$.{field}", "string")) for role, field, _ in present])
-        items = F.try_variant_get(record, f"$.{self.each}", f"array<struct<{self.role}:string,{self.text}:string>>")
+        return self._items(F.try_variant_get(record, f"$.{self.each}", f"array<struct<{self.role}:string,{self.text}:string>>"))
 
+    def long_turns(self, record: Column, present: tuple[tuple[str, str, bool], ...]) -> Column:
+        """From a record as text; null if it isn't JSON."""
+        fields = f"{self.each} array<struct<{self.role}:string,{self.text}:string>>" if self.each else ", ".join(f"{field} string" for _, field, _ in present)
+        parsed = F.from_json(record, f"{fields}, _corrupt_record string", _JSON)
+        turns = self._items(parsed[self.each]) if self.each else F.array(*[_turn(F.lit(role), parsed[field]) for role, field, _ in present])
+        return F.when(parsed["_corrupt_record"].isNull(), turns)
+
+    def _items(self, items: Column) -> Column:
         def one(item: Column) -> Column:
             role = item[self.role]
             for old, new in self.renames:
@@ -75,6 +88,20 @@ def field_paths(record: Column) -> Column:
     return F.regexp_replace(F.schema_of_variant(record), r"(: |<)(?:STRING|VOID|BOOLEAN|BIGINT|DOUBLE|DECIMAL\(\d+, ?\d+\)|VARIANT)(?=[,>])|<>", "")
 
 
+def skeleton(record: Column) -> Column:
+    """The record with empty strings as values: it has the same field paths. Keys with escapes are altered."""
+    plain = F.regexp_replace(record, r"(?s)\\.", "?")
+    return F.regexp_replace(plain, r'("[^"]*+"\s*+:)|(")[^"]*+(")', "$1$2$3")
+
+
+def _variant(record: Column) -> Column:
+    """The record, or the skeleton of a long one, as a variant; null if it isn't JSON. An error if even the skeleton is too large."""
+    short = skeleton(record)
+    large = F.raise_error(F.concat(F.lit("A chat record's field paths don't fit a variant; its bytes: "), F.octet_length(record).cast("string"))).cast("variant")
+    long = F.when(F.octet_length(short) > LARGEST_VARIANT, F.coalesce(F.try_parse_json(short), large)).otherwise(F.try_parse_json(short))
+    return F.when(F.octet_length(record) > LONG, long).otherwise(F.try_parse_json(record))
+
+
 def fingerprint(paths: str) -> str:
     return hashlib.sha256(paths.encode()).hexdigest()[:16]
 
@@ -92,17 +119,19 @@ def canonical_turns(records: DataFrame, record_col: str = "record", layouts: tup
     """Add ``fingerprint``, ``layout`` and ``turns`` (array of role and text).
 
     Records that aren't JSON or whose fingerprint no layout has keep their row, with null layout and null turns.
-    Columns of these names in the input are replaced.
+    Columns of these names in the input are replaced. Records of over ``LONG`` bytes give their field paths by a skeleton and their
+    turns by ``from_json``: their texts have no limit but that of a row.
     """
-    variant = F.try_parse_json(F.col(record_col))
-    out = records.withColumn("__variant", variant).withColumn("fingerprint", F.substring(F.sha2(field_paths(F.col("__variant")), 256), 1, 16))
+    long = F.octet_length("__record") > LONG
+    out = records.withColumn("__record", F.col(record_col)).withColumn("__variant", _variant(F.col("__record"))).withColumn("fingerprint", F.substring(F.sha2(field_paths(F.col("__variant")), 256), 1, 16))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for layout in layouts:
         for paths, present in layout.variants():
             hit = F.col("fingerprint") == fingerprint(paths)
             name = F.when(hit, F.lit(layout.name)).otherwise(name)
-            turns = F.when(hit, layout.turns(F.col("__variant"), present)).otherwise(turns)
-    return out.withColumn("layout", name).withColumn("turns", turns).drop("__variant")
+            turns = F.when(hit & long, layout.long_turns(F.col("__record"), present)).when(hit, layout.turns(F.col("__variant"), present)).otherwise(turns)
+    out = out.withColumn("turns", turns)
+    return out.withColumn("layout", F.when(~long | F.col("turns").isNotNull(), name)).drop("__variant", "__record")
 
 
 def format_chat(records: DataFrame, record_col: str = "record", layouts: tuple[Layout, ...] = LAYOUTS, trained_role: str = "assistant") -> DataFrame:

@@ -47,3 +47,18 @@ def test_query_with_nulls_ties_and_long_texts(spark, tmp_path):
     assert got[-7].loss_sha256 == sha("</s>[INST] ok [/INST]") and got[-7].loss_chars == 21
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/e/conversations.parquet")
     assert [r.conv_id for r in queries.op1_chat_format(spark, f"{tmp_path}/e").collect()] == [-7]
+
+
+def test_long_records(spark, monkeypatch):
+    n = 21_000_000  # a variant's string has 20 000 000 characters at most
+    long = spark.range(1).select(F.concat(F.lit('{"prompt":"q\\\\","response":"'), F.repeat(F.lit("x"), n), F.lit('\\n"}')).alias("record"))
+    row = C.canonical_turns(long).select("layout", F.size("turns").alias("n"), F.col("turns")[0]["text"].alias("first"), F.length(F.col("turns")[1]["text"]).alias("chars")).head()
+    assert tuple(row) == ("prompt", 2, "q\\", n + 1)
+    records = [
+        '{"messages":[{"role":"user","content":"a: \\"b\\" {x}"},{"content":null,"role":"assis\\u0074ant"}]}', '{"messages":[]}', '{"conversations":[{"from":"human","value":"q\\\\"},{"from":"gpt","value":"é"}]}',
+        '{"system":"s:","prompt":"\\"","response":"r"}', '{"prompt" : "p", "completion":"{}"}', '{"instruction":"i","input":"","output":"o"}', '{"other":{"a":["x",1]}}', "not json", '{"prompt":"a","response":"b"', None, "",
+    ]
+    docs = spark.createDataFrame([(i, r) for i, r in enumerate(records)], "id int, record string")
+    want = C.canonical_turns(docs).orderBy("id").collect()
+    monkeypatch.setattr(C, "LONG", 0)
+    assert C.canonical_turns(docs).orderBy("id").collect() == want and sum(r.turns is not None for r in want) == 6
