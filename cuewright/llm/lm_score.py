@@ -3,9 +3,9 @@
 Words are counted over all training documents; the commonest counts go to every task, the others meet the documents'
 rare words in a join. The model reads subword ids of a public tokenizer. By masked self-attention it predicts the next subword's
 group, then its class in that group (the commonest subwords are classes of their own); counts give the subword in its class. It starts
-as the unigram of classes and is trained in rounds: every task takes Adam steps on its share of a hashed fraction of the training documents, and the
-tasks' parameters are averaged, so what is learnt from grows with the input. Texts are scored in windows that overlap: each
-subword once, in the window where it has more context.
+from the counts of neighbouring classes in all training documents, and attention learns what these leave. Every training window
+is learnt from once: in each round every task takes Adam steps on its share of the round's windows, and the tasks'
+parameters are averaged. Texts are scored in windows that overlap: each subword once, in the window where it has more context.
 """
 
 from __future__ import annotations
@@ -27,13 +27,13 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Groups of classes, classes in a group, and classes that hold many rare subwords instead of one.
 GROUPS, MEMBERS, BINS = 32, 32, 32
 CLASSES = GROUPS * MEMBERS
-#: Width, inner width, window and the part of it that is only context.
-D, INNER, WINDOW, CONTEXT = 24, 48, 32, 8
-#: One in so many training documents is trained on, in so many rounds; a task goes over every window of its share so often in a
-#: round, so steps grow with the rows.
-FRACTION, ROUNDS, BATCH, EPOCHS = 8, 2, 32, 2
-#: Only for tests that don't need a trained model: a bound on a task's steps. None: no bound.
-MOST_STEPS: int | None = None
+#: Width of a class, of queries and keys, and of states; window and the part of it that is only context.
+D, KEY, STATE, WINDOW, CONTEXT = 16, 8, 16, 32, 8
+#: Each window is trained on in one of so many rounds. A task takes at least ``STEPS`` steps of ``FEW`` windows in a round, if need be by
+#: going over a small share again; larger shares take batches of up to ``BATCH`` windows, then more steps.
+ROUNDS, BATCH, FEW, STEPS = 2, 128, 32, 2500
+#: Occurrences of a class that the next one's own frequency weighs as much as.
+SMOOTH = 30.0
 #: Counts sent to every task; a text's other words are looked up by a join.
 COMMON_WORDS = 262_144
 _BLOCK = 4096
@@ -112,169 +112,184 @@ def sequences(low, starts, ends, hashes, cuts, subwords: Subwords) -> tuple[np.n
     return np.insert(ids, at[1:], subwords.end), at + np.arange(len(at))
 
 
-def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(offsets: np.ndarray, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, filled, first position scored) of the windows over sequences at ``offsets``."""
     lengths = np.diff(offsets)
-    step = WINDOW - CONTEXT
+    step = WINDOW - context
     n = 1 + np.maximum(0, -(-(lengths - WINDOW) // step))
     text = np.repeat(np.arange(len(lengths)), n)
     k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    return text, offsets[text] + k * step, np.minimum(WINDOW, lengths[text] - k * step), np.where(k == 0, 0, CONTEXT)
+    return text, offsets[text] + k * step, np.minimum(WINDOW, lengths[text] - k * step), np.where(k == 0, 0, context)
 
 
-def _norm(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    r = 1 / np.sqrt(np.einsum("...i,...i->...", x, x)[..., None] / D + 1e-5)
-    return x * r, r
+class Before:
+    """Log probabilities of the next group, and of the next class in its group, by the class before: from counts."""
 
+    def __init__(self, pairs: np.ndarray, bias: np.ndarray):
+        """``pairs`` [class, next class]; ``bias``: log frequencies of the classes."""
+        alone = np.exp(bias).reshape(GROUPS, MEMBERS)
+        group = alone.sum(1)
+        pairs = pairs.reshape(CLASSES, GROUPS, MEMBERS).astype(np.float64)
+        groups = pairs.sum(2)
+        self.groups = np.log((groups + SMOOTH * group / group.sum()) / (groups.sum(1, keepdims=True) + SMOOTH)).astype(np.float32)
+        members = (pairs + SMOOTH * alone / group[:, None]) / (groups[..., None] + SMOOTH)
+        self.members = np.log(members).astype(np.float32).reshape(CLASSES * GROUPS, MEMBERS)
+        self.seen, self.seen_groups = (groups.sum(1) + SMOOTH).astype(np.float32), (groups + SMOOTH).astype(np.float32).ravel()
 
-def _norm_back(dy: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
-    return r * (dy - y * (np.einsum("...i,...i->...", dy, y)[..., None] / D))
+    def without(self, last: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What taking one occurrence of each pair out of the counts adds to the target's two log probabilities, but for a shift that
+        all share."""
+        place = last * GROUPS + targets // MEMBERS
+        counts = np.exp(self.groups.ravel().take(place)) * self.seen.take(last), np.exp(self.members.ravel().take(last * CLASSES + targets)) * self.seen_groups.take(place)
+        return tuple(np.log(np.maximum(1 - 1 / c, 1e-4)) for c in counts)
 
 
 _ONES = np.ones(WINDOW, np.float32)
-_SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
-_SHAPES = {"e": (CLASSES, D), "p": (WINDOW, D), "q": (D, D), "k": (D, D), "v": (D, D), "o": (D, D), "a": (D, INNER), "b": (INNER, D), "w": (D, GROUPS), "c": (GROUPS,), "u": (GROUPS, D, MEMBERS), "d": (GROUPS, MEMBERS)}
+_LAG = np.arange(WINDOW)[:, None] - np.arange(WINDOW)
+_SEEN = _LAG >= 0
+_CUTS = np.cumsum([KEY, KEY, STATE])
+#: e: vectors of classes; t: to queries, keys, values and own states; r: by distance; w, u: to groups and members.
+_SHAPES = {"e": (CLASSES, D), "t": (D, 2 * KEY + 2 * STATE), "r": (WINDOW,), "w": (STATE, GROUPS), "u": (GROUPS, STATE, MEMBERS)}
 
 
 class Attention:
-    """One block of causal self-attention and a feed-forward layer over classes, giving the next one in two steps."""
+    """Causal self-attention over classes that gives the next one in two steps, on top of ``before``.
 
-    def __init__(self, params: dict[str, np.ndarray]):
-        self.p = params
+    The query, key, value and own state of a position depend on its class alone, and on distances by ``r``, so
+    they are rows of tables that are worked out once for all windows.
+    """
+
+    def __init__(self, params: dict[str, np.ndarray], before: Before):
+        self.p, self.before = params, before
 
     @classmethod
-    def fresh(cls, bias: np.ndarray, seed: int = 5) -> Attention:
+    def fresh(cls, before: Before, seed: int = 5) -> Attention:
         r = np.random.default_rng(seed)
-        p = {k: r.normal(0, 0.3 if k in "ep" else 0.02 if k in "wu" else shape[0] ** -0.5, shape).astype(np.float32) for k, shape in _SHAPES.items()}
-        p["o"] *= 0.3
-        p["b"] *= 0.3
-        mass = np.exp(bias).reshape(GROUPS, MEMBERS)
-        p["c"], p["d"] = np.log(mass.sum(1)).astype(np.float32), np.log(mass / mass.sum(1, keepdims=True)).astype(np.float32)
-        return cls(p)
+        scale = {"e": 1.0, "t": D**-0.5, "r": 0.0, "w": 0.02, "u": 0.02}
+        return cls({k: (r.normal(0, 1, shape) * scale[k]).astype(np.float32) for k, shape in _SHAPES.items()}, before)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in _SHAPES])
 
     @classmethod
-    def of(cls, flat: np.ndarray) -> Attention:
+    def of(cls, flat: np.ndarray, before: Before) -> Attention:
         p, at = {}, 0
         for k, shape in _SHAPES.items():
             n = int(np.prod(shape))
             p[k] = flat[at : at + n].reshape(shape).astype(np.float32)
             at += n
-        return cls(p)
-
-    def states(self, rows: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """[window, position, width] for input rows [window, position]; no position sees a later one."""
-        p = self.p
-        x = p["e"][rows] + p["p"]
-        h, r1 = _norm(x)
-        q, k, v = h @ p["q"], h @ p["k"], h @ p["v"]
-        s = (q * np.float32(D**-0.5)) @ k.transpose(0, 2, 1)
+        return cls(p, before)
+
+    def table(self) -> np.ndarray:
+        return self.p["e"] @ self.p["t"]
+
+    def states(self, rows: np.ndarray, table: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """[window, position, state] for input rows [window, position]; no position sees a later one."""
+        x = table.take(rows.ravel(), axis=0).reshape(*rows.shape, -1)
+        q, k, v, own = (x[..., a:b] for a, b in zip((0, *_CUTS), (*_CUTS, None), strict=True))
+        s = q @ k.transpose(0, 2, 1)
+        s *= np.float32(KEY**-0.5)
+        s += np.where(_SEEN, self.p["r"][np.maximum(_LAG, 0)], -1e9).astype(s.dtype)
         np.minimum(s, 60, out=s)
         np.exp(s, out=s)
-        s *= _SEEN
-        total = (s @ _ONES)[..., None]
+        total = (s @ _ONES.astype(s.dtype))[..., None]
         if keep is None:
-            m = (s @ v) / total
+            m = s @ v
+            m /= total
         else:
             s /= total
             m = s @ v
-        x2 = x + m @ p["o"]
-        g, r2 = _norm(x2)
-        u = np.maximum(g @ p["a"], 0)
-        x3 = x2 + u @ p["b"]
-        z, r3 = _norm(x3)
+            keep.update(q=q, k=k, v=v, s=s, m=m)
+        h = own + m
+        np.maximum(h, 0, out=h)
         if keep is not None:
-            keep.update(h=h, r1=r1, q=q, k=k, v=v, s=s, m=m, g=g, r2=r2, u=u, z=z, r3=r3, rows=rows)
-        return z
-
-    def log_probs(self, z: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> np.ndarray:
-        """Natural log probability of each target class from its state. With ``grads``: the sums of the gradients of their mean's
-        negative are put there, that of the states as ``z``."""
-        p, n = self.p, len(z)
-        group, member = targets // MEMBERS, targets % MEMBERS
+            keep["h"] = h
+        return h
+
+    def log_probs(self, h: np.ndarray, last: np.ndarray, targets: np.ndarray, grads: dict | None = None, counted: bool = False) -> np.ndarray:
+        """Natural log probability of each target class after the class ``last``, from its state. With ``grads``: the gradients of
+        their mean's negative are put there, that of the states as ``h``. ``counted``: the counts hold these very pairs, so each is
+        judged without itself."""
+        p, n = self.p, len(h)
+        order = np.argsort((targets // MEMBERS).astype(np.uint8), kind="stable")  # by group from here on
+        h, last, targets = h.take(order, axis=0), last.take(order), targets.take(order)
+        group = targets // MEMBERS
+        cuts = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+        spans = [(g, lo, hi) for g, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if lo < hi]
+        y = h @ p["w"]
+        y += self.before.groups.take(last, axis=0)
+        x = np.empty((n, MEMBERS), h.dtype)
+        for g, lo, hi in spans:
+            np.matmul(h[lo:hi], p["u"][g], out=x[lo:hi])
+        x += self.before.members.take(last * GROUPS + group, axis=0)
         every = np.arange(n)
-        y = z @ p["w"] + p["c"]
-        np.minimum(y, 80, out=y)
-        out = y[every, group].copy()
+        at_y, at_x = every * GROUPS + group, every * MEMBERS + (targets - group * MEMBERS)
+        if counted:
+            for z, at, less in zip((y, x), (at_y, at_x), self.before.without(last, targets), strict=True):
+                z.ravel()[at] += less
+        for z in (y, x):
+            if n and (z.max() > 80 or z.min() < -80):
+                z -= z.max(1, keepdims=True)
+        found = y.ravel().take(at_y) + x.ravel().take(at_x)
         np.exp(y, out=y)
-        total = y.sum(1) if grads is not None else y @ np.ones(GROUPS, y.dtype)
-        out -= np.log(total)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
-        zs, ms, inner = z[order], member[order], np.empty(n, z.dtype)
-        if grads is not None:
-            y /= total[:, None]
-            y[every, group] -= 1
-            y /= n
-            grads |= {"w": z.T @ y, "c": y.sum(0), "u": np.zeros_like(p["u"]), "d": np.zeros_like(p["d"])}
-            back = np.empty_like(z)
-        ones = np.ones(MEMBERS, z.dtype)
-        for g in range(GROUPS):
-            lo, hi = cuts[g], cuts[g + 1]
-            if lo == hi:
-                continue
-            x = zs[lo:hi] @ p["u"][g] + p["d"][g]
-            np.minimum(x, 80, out=x)
-            own = x[every[: hi - lo], ms[lo:hi]].copy()
-            np.exp(x, out=x)
-            total = x @ ones
-            inner[lo:hi] = own - np.log(total)
-            if grads is not None:
-                x /= total[:, None]
-                x[every[: hi - lo], ms[lo:hi]] -= 1
-                x /= n
-                grads["u"][g], grads["d"][g] = zs[lo:hi].T @ x, x.sum(0)
-                back[lo:hi] = x @ p["u"][g].T
-        out[order] += inner
+        np.exp(x, out=x)
+        groups, members = y @ np.ones(GROUPS, y.dtype), x @ np.ones(MEMBERS, x.dtype)
+        found -= np.log(groups * members)
+        out = np.empty_like(found)
+        out[order] = found
         if grads is not None:
-            grads["z"] = y @ p["w"].T
-            grads["z"][order] += back
+            y *= (1 / (groups * n))[:, None]
+            x *= (1 / (members * n))[:, None]
+            y.ravel()[at_y] -= 1 / n
+            x.ravel()[at_x] -= 1 / n
+            grads |= {"w": h.T @ y, "u": np.zeros_like(p["u"])}
+            back = y @ p["w"].T
+            for g, lo, hi in spans:
+                np.matmul(h[lo:hi].T, x[lo:hi], out=grads["u"][g])
+                back[lo:hi] += x[lo:hi] @ p["u"][g].T
+            grads["h"] = np.empty_like(back)
+            grads["h"][order] = back
         return out
 
-    def grads(self, keep: dict, dz: np.ndarray) -> dict[str, np.ndarray]:
+    def grads(self, rows: np.ndarray, keep: dict, dh: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the parameters below the states, from those of the states."""
-        p, f, out = self.p, lambda a: a.reshape(-1, a.shape[-1]), {}
-        dx = _norm_back(dz, keep["z"], keep["r3"])
-        out["b"] = f(keep["u"]).T @ f(dx)
-        du = (dx @ p["b"].T) * (keep["u"] > 0)
-        out["a"] = f(keep["g"]).T @ f(du)
-        dx = dx + _norm_back(du @ p["a"].T, keep["g"], keep["r2"])
-        out["o"] = f(keep["m"]).T @ f(dx)
-        dm = dx @ p["o"].T
-        dv = keep["s"].transpose(0, 2, 1) @ dm
-        ds = dm @ keep["v"].transpose(0, 2, 1)
-        ds = keep["s"] * (ds - (ds * keep["s"]).sum(-1, keepdims=True)) * np.float32(D**-0.5)
-        dq, dk = ds @ keep["k"], ds.transpose(0, 2, 1) @ keep["q"]
-        dh = np.zeros_like(keep["h"])
-        for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            out[name] = f(keep["h"]).T @ f(d)
-            dh += d @ p[name].T
-        dx = dx + _norm_back(dh, keep["h"], keep["r1"])
-        out["p"] = dx.sum(0)
-        place = keep["rows"].ravel()[:, None].astype(np.int64) * D + np.arange(D)
-        out["e"] = np.bincount(place.ravel(), f(dx).ravel(), CLASSES * D).reshape(CLASSES, D).astype(dx.dtype)
-        return out
-
-    def train(self, rows: np.ndarray, targets: np.ndarray, valid: np.ndarray, steps: int, rate: float = 0.016, seed: int = 1) -> None:
-        """Adam steps on windows of classes and the classes that follow them."""
-        r = np.random.default_rng(seed)
+        dx = dh * (keep["h"] > 0)
+        s = keep["s"]
+        ds = dx @ keep["v"].transpose(0, 2, 1)
+        ds -= np.einsum("...i,...i->...", dx, keep["m"])[..., None]
+        ds *= s
+        dr = np.bincount(_LAG[_SEEN], ds.sum(0)[_SEEN], WINDOW)
+        ds *= np.float32(KEY**-0.5)
+        d = np.empty((*rows.shape, 2 * KEY + 2 * STATE), dh.dtype)
+        q, k, v, own = (d[..., a:b] for a, b in zip((0, *_CUTS), (*_CUTS, None), strict=True))
+        np.matmul(ds, keep["k"], out=q)
+        np.matmul(ds.transpose(0, 2, 1), keep["q"], out=k)
+        np.matmul(s.transpose(0, 2, 1), dx, out=v)
+        own[...] = dx
+        d, row = d.reshape(-1, d.shape[-1]), rows.ravel()
+        place = (row[:, None] * D + np.arange(D)).ravel()
+        de = np.bincount(place, (d @ self.p["t"].T).ravel(), CLASSES * D).reshape(CLASSES, D)
+        return {"e": de.astype(d.dtype), "t": self.p["e"].take(row, axis=0).T @ d, "r": dr.astype(d.dtype)}
+
+    def train(self, n: int, windows_of, rate: float = 0.01, seed: int = 1) -> None:
+        """Adam steps, in batches, over ``n`` windows: ``windows_of`` numbers gives their classes, the classes that follow
+        (both [window, position]) and the flat places that count."""
+        r, batch = np.random.default_rng(seed), max(FEW, min(BATCH, n // STEPS))
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        order = np.empty(0, np.int64)
+        order = np.concatenate([r.permutation(n) for _ in range(max(1, -(-STEPS * batch // n)))])
+        steps = -(-len(order) // batch)
         for t in range(1, steps + 1):
-            if len(order) < BATCH:
-                order = np.concatenate((order, r.permutation(len(rows))))
-            own, order = order[:BATCH], order[BATCH:]
-            keep, grads, ok = {}, {}, valid[own]
-            z = self.states(rows[own], keep)
-            self.log_probs(z[ok], targets[own][ok].astype(np.int64), grads)
-            dz = np.zeros_like(z)
-            dz[ok] = grads.pop("z")
-            for k, g in (grads | self.grads(keep, dz)).items():
+            keep, grads = {}, {}
+            x, targets, ok = windows_of(order[(t - 1) * batch : t * batch])
+            h = self.states(x, self.table(), keep).reshape(-1, STATE)
+            self.log_probs(h.take(ok, axis=0), x.ravel().take(ok), targets.ravel().take(ok), grads, counted=True)
+            dh = np.zeros_like(h)
+            dh[ok] = grads.pop("h")
+            now = np.float32(rate * (1 - 0.9 * t / steps) / (1 - 0.9**t))
+            for k, g in (grads | self.grads(x, keep, dh.reshape(*x.shape, STATE))).items():
                 m[k] += 0.1 * (g - m[k])
                 v[k] += 0.01 * (g * g - v[k])
-                self.p[k] = self.p[k] - np.float32(rate * (1 - 0.9 * t / steps) / (1 - 0.9**t)) * m[k] / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7)
+                self.p[k] = self.p[k] - now * m[k] / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7)
 
 
 class Classes:
@@ -297,21 +312,26 @@ class Classes:
         self.bias = np.log(np.maximum(mass, 1e-9) / mass.sum())
 
 
-def score_sequences(ids: np.ndarray, offsets: np.ndarray, model: Attention, classes: Classes, end: int, many: int = 192) -> np.ndarray:
-    """log10 probability of each text's sequence."""
-    cls = classes.cls[ids]
-    rows = np.concatenate((classes.cls[[end]], cls[:-1]))  # the end of the text before starts the next
-    out = np.add.reduceat(classes.inside[ids], offsets[:-1])
+def score_classes(cls: np.ndarray, offsets: np.ndarray, model: Attention, many: int = 256) -> np.ndarray:
+    """log10 probability of each text's sequence of classes; its last one is an end."""
+    cls = cls.astype(np.int64)
+    rows = np.concatenate((cls[-1:], cls[:-1]))  # the end of the text before starts the next
+    out = np.zeros(len(offsets) - 1)
     text, start, filled, first = windows(offsets)
-    place = np.arange(WINDOW)
+    place, table = np.arange(WINDOW), model.table()
     for skip in (0, CONTEXT):  # later windows only score what the ones before haven't
         order = np.nonzero(first == skip)[0]
+        order = order[np.argsort(filled[order] < WINDOW, kind="stable")]
         for at in range(0, len(order), many):
             own = order[at : at + many]
-            index = np.minimum(start[own][:, None] + place, len(ids) - 1)
-            ok = place[skip:] < filled[own][:, None]
-            logp = model.log_probs(model.states(rows[index])[:, skip:][ok], cls[index[:, skip:][ok]].astype(np.int64))
-            out += np.bincount(np.repeat(text[own], ok.sum(1)), logp, len(out)) / np.log(10)
+            index = np.minimum(start[own][:, None] + place, len(cls) - 1)
+            x = rows.take(index)
+            h, last, targets = model.states(x, table)[:, skip:].reshape(-1, STATE), x[:, skip:].ravel(), cls.take(index[:, skip:].ravel())
+            number = np.repeat(text[own], WINDOW - skip)
+            if filled[own[-1]] < WINDOW:
+                ok = np.nonzero((place[skip:] < filled[own][:, None]).ravel())[0]
+                h, last, targets, number = h.take(ok, axis=0), last.take(ok), targets.take(ok), number.take(ok)
+            out += np.bincount(number, model.log_probs(h, last, targets), len(out)) / np.log(10)
     return out
 
 
@@ -351,40 +371,93 @@ def _count(path: str):
     return run
 
 
-class _Built:
-    """An array of windows of which only the rows asked for are built."""
+def _code(path: str, classes, common):
+    """Per text its classes, the log10 probability of its subwords in their classes, and what the base needs."""
+    names = ["id", "rid", "held", "n_tokens", "known", "logs", "inside", "rare", "classes"]
+    rare_type = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int32())]))
+
+    def run(batches):
+        subwords, (keys, logs), c = Subwords(path), common.value, classes.value
+        for batch in batches:
+            for at, part in tokens.batches_of(batch.column("text"), _CHUNK):
+                low, starts, ends, hashes, cuts = words_of(*tokens.column_bytes(part))
+                ids, offsets = sequences(low, starts, ends, hashes, cuts, subwords)
+                inside = np.add.reduceat(c.inside[ids], offsets[:-1])
+                text = np.repeat(np.arange(len(part)), np.diff(cuts))
+                slot = np.minimum(np.searchsorted(keys, hashes), max(0, len(keys) - 1))
+                hit = keys[slot] == hashes if len(keys) else np.zeros(len(hashes), bool)
+                known = np.bincount(text[hit], minlength=len(part))
+                sums = np.bincount(text[hit], logs[slot[hit]] if len(keys) else None, len(part)).astype(float)
+                by = np.lexsort((hashes[~hit], text[~hit]))
+                t, h = text[~hit][by], hashes[~hit][by]
+                new = np.nonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (h[1:] != h[:-1]))))[0] if len(t) else np.empty(0, np.int64)
+                n = np.diff(np.concatenate((new, [len(t)]))).astype(np.int32)
+                rare = pa.StructArray.from_arrays([pa.array(h[new].view(np.int64)), pa.array(n)], fields=list(rare_type.value_type))
+                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(t[new], np.arange(len(part) + 1)).astype(np.int32)), rare).cast(rare_type)
+                coded = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((offsets * 2).astype(np.int32).tobytes()), pa.py_buffer(c.cls[ids].tobytes())])
+                kept = [batch.column(k).slice(at, len(part)) for k in ("id", "rid", "held")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(cuts) + 1), pa.array(known), pa.array(sums), pa.array(inside), rare, coded], names=names)
+
+    return run
+
+
+_CODED = "id long, rid long, held boolean, n_tokens long, known long, logs double, inside double, rare array<struct<key:long,n:int>>, classes binary"
+
+
+def _classes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = tokens.column_bytes(column)
+    return data.view(np.int16), offsets // 2
+
+
+def _pairs(batches):
+    """Counts of neighbouring classes, by blocks of classes before."""
+    total = np.zeros(CLASSES * CLASSES, np.int64)
+    for batch in batches:
+        for _, part in tokens.batches_of(batch.column("classes"), _CHUNK):
+            cls, offsets = _classes(part)
+            cls = cls.astype(np.int32)
+            total += np.bincount(np.concatenate((cls[-1:], cls[:-1])) * CLASSES + cls, minlength=len(total))
+    blocks = total.astype(np.int32 if total.max() < 1 << 31 else np.int64).reshape(CLASSES * CLASSES // (4 * _BLOCK), -1)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "part"])
+
 
-    def __init__(self, n: int, build):
-        self.n, self.build = n, build
+def _add(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(p, np.int32 if len(p) == 16 * _BLOCK else np.int64).astype(np.int64) for p in pdf["part"])
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": [total.tobytes()]})
 
-    def __len__(self) -> int:
-        return self.n
 
-    def __getitem__(self, own: np.ndarray) -> np.ndarray:
-        return self.build(own)
+def _joined(blocks: DataFrame, dtype) -> np.ndarray | None:
+    """The array that blocks of fixed number make up."""
+    found = sorted(blocks.collect(), key=lambda r: r["block"])
+    return np.concatenate([np.frombuffer(r["part"], dtype) for r in found]) if found else None
 
 
-def _train(path: str, classes, flat, seed: int):
+def _train(flat, before, turn: int):
     def run(batches):
-        subwords, c = Subwords(path), classes.value
         held: list[tuple] = []  # two bytes a subword, nine a window; the windows themselves are built step by step
         total = 0
         for batch in batches:
-            for _, part in tokens.batches_of(batch.column("text"), _CHUNK):
-                ids, offsets = sequences(*words_of(*tokens.column_bytes(part)), subwords)
-                _, start, filled, _ = windows(offsets)
-                held.append((c.cls[ids], start + total, filled.astype(np.int8)))
-                total += len(ids)
+            for _, part in tokens.batches_of(batch.column("classes"), _CHUNK):
+                cls, offsets = _classes(part)
+                _, start, filled, _ = windows(offsets, 0)
+                held.append((cls, start + total, filled.astype(np.int8)))
+                total += len(cls)
         if not held:
             return
         cls, start, filled = (np.concatenate(x) for x in zip(*held, strict=True))
         del held
+        start, filled = start[turn::ROUNDS], filled[turn::ROUNDS]
+        if not len(start):
+            return
         place, n = np.arange(WINDOW), len(start)
-        at = lambda own: np.minimum(start[own][:, None] + place, total - 1)
-        rows = _Built(n, lambda own: cls[at(own) - 1])  # the last subword, an end, stands before the first
-        model = Attention.of(flat.value)
-        steps = -(-n * EPOCHS // BATCH)
-        model.train(rows, _Built(n, lambda own: cls[at(own)]), _Built(n, lambda own: place < filled[own][:, None]), steps if MOST_STEPS is None else min(MOST_STEPS, steps), seed=seed)
+
+        def windows_of(own: np.ndarray):
+            index = np.minimum(start[own][:, None] + place, total - 1)
+            # the last subword, an end, stands before the first
+            return cls.take(index - 1, mode="wrap").astype(np.int64), cls.take(index).astype(np.int64), np.nonzero((place < filled[own][:, None]).ravel())[0]
+
+        model = Attention.of(flat.value, before.value)
+        model.train(n, windows_of, seed=turn)
         new, weight = model.flat(), float(filled.sum(dtype=np.int64))
         blocks = range(0, len(new), _BLOCK)
         yield pa.RecordBatch.from_arrays(
@@ -399,47 +472,30 @@ def _average(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": [(total / pdf["weight"].sum()).astype(np.float32).tobytes()]})
 
 
-def fit(train: DataFrame, classes: Classes, path: str) -> Attention:
-    """Train on one in ``FRACTION`` of the rows (id, text), chosen by hash: rounds of local steps and averages."""
-    spark = train.sparkSession
-    sample = train.where(F.pmod(F.xxhash64("id", "text"), F.lit(FRACTION)) == 0).select("text")
-    shared, model = spark.sparkContext.broadcast(classes), Attention.fresh(classes.bias)
+def fit(coded: DataFrame, classes: Classes) -> Attention:
+    """Count neighbours in, and train on, every row (classes): rounds of local steps and averages."""
+    spark = coded.sparkSession
+    pairs = _joined(coded.mapInArrow(_pairs, "block int, part binary").groupBy("block").applyInPandas(_add, "block int, part binary"), np.int64)
+    before = Before(np.zeros(CLASSES * CLASSES, np.int64) if pairs is None else pairs, classes.bias)
+    shared, model = spark.sparkContext.broadcast(before), Attention.fresh(before)
     for turn in range(ROUNDS):
         flat = spark.sparkContext.broadcast(model.flat())
-        parts = sample.mapInArrow(_train(path, shared, flat, turn), "block int, weight double, part binary")
-        found = parts.groupBy("block").applyInPandas(_average, "block int, part binary").collect()  # the parameters, whatever the input
-        if not found:
-            break
-        model = Attention.of(np.concatenate([np.frombuffer(r["part"], np.float32) for r in sorted(found, key=lambda r: r["block"])]))
+        parts = coded.mapInArrow(_train(flat, shared, turn), "block int, weight double, part binary")
+        new = _joined(parts.groupBy("block").applyInPandas(_average, "block int, part binary"), np.float32)  # the parameters, whatever the input
+        if new is not None:
+            model = Attention.of(new, before)
     return model
 
 
-def _score(path: str, classes, model, common):
-    names = ["id", "rid", "n_tokens", "known", "logs", "score", "rare"]
-    rare_type = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int32())]))
+def _score(model):
+    names = ["id", "rid", "held", "n_tokens", "known", "logs", "score"]
 
     def run(batches):
-        subwords, (keys, logs) = Subwords(path), common.value
-        net = Attention.of(model.value)
         for batch in batches:
-            for at, part in tokens.batches_of(batch.column("text"), _CHUNK):
-                low, starts, ends, hashes, cuts = words_of(*tokens.column_bytes(part))
-                ids, offsets = sequences(low, starts, ends, hashes, cuts, subwords)
-                scores = score_sequences(ids, offsets, net, classes.value, subwords.end)
-                text = np.repeat(np.arange(len(part)), np.diff(cuts))
-                slot = np.minimum(np.searchsorted(keys, hashes), max(0, len(keys) - 1))
-                hit = keys[slot] == hashes if len(keys) else np.zeros(len(hashes), bool)
-                known = np.bincount(text[hit], minlength=len(part))
-                sums = np.bincount(text[hit], logs[slot[hit]] if len(keys) else None, len(part)).astype(float)
-                by = np.lexsort((hashes[~hit], text[~hit]))
-                t, h = text[~hit][by], hashes[~hit][by]
-                new = np.nonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (h[1:] != h[:-1]))))[0] if len(t) else np.empty(0, np.int64)
-                n = np.diff(np.concatenate((new, [len(t)]))).astype(np.int32)
-                rare = pa.StructArray.from_arrays([pa.array(h[new].view(np.int64)), pa.array(n)], fields=list(rare_type.value_type))
-                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(t[new], np.arange(len(part) + 1)).astype(np.int32)), rare).cast(rare_type)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(at, len(part)), batch.column("rid").slice(at, len(part)), pa.array(np.diff(cuts) + 1), pa.array(known), pa.array(sums), pa.array(scores), rare], names=names
-                )
+            for at, part in tokens.batches_of(batch.column("classes"), _CHUNK):
+                scores = score_classes(*_classes(part), model.value)
+                own = batch.slice(at, len(part))
+                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in names[:-1]), pa.array(scores + own.column("inside").to_numpy())], names=names)
 
     return run
 
@@ -466,9 +522,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     held = F.coalesce(crc_mod("id", 7) == 2, F.lit(False))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"))
-    train = rows.where(~held)
-    counts = materialise(train.select("text").mapInArrow(_count(tokenizer), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text")).withColumn("held", held)
+    counts = materialise(rows.where("not held").select("text").mapInArrow(_count(tokenizer), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
     ids = counts.where("kind = 1").select("key", "n").toPandas()  # one row per subword id at most
     words = counts.where("kind = 0")
     total = counts.agg(F.sum(F.when(F.col("kind") != 1, F.col("n"))).alias("n"), F.count_if(F.col("kind") == 0).alias("v"), F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("ends")).head()
@@ -480,20 +535,20 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_id = np.zeros(end + 1, np.int64)
     by_id[ids["key"].to_numpy(np.int64)] = ids["n"].to_numpy(np.int64)
     classes = Classes(by_id, end, subwords.starts)
-    model = fit(train.select("id", "text"), classes, tokenizer)
     top = _commonest(words, COMMON_WORDS).select("key", "n").toPandas()
     keys = top["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     share = spark.sparkContext.broadcast
     common = share((keys[order], np.log10(top["n"].to_numpy(np.float64)[order] + 1)))
-    schema = "id long, rid long, n_tokens long, known long, logs double, score double, rare array<struct<key:long,n:int>>"
-    scored = materialise(rows.mapInArrow(_score(tokenizer, share(classes), share(model.flat()), common), schema), "lm-scored")
-    rare = scored.select("rid", F.explode("rare").alias("r")).select("rid", F.col("r.key").alias("key"), F.col("r.n").alias("tf"))
+    coded = materialise(rows.mapInArrow(_code(tokenizer, share(classes), common), _CODED), "lm-coded")
+    model = fit(coded.where("not held").select("classes"), classes)
+    scored = coded.drop("rare").mapInArrow(_score(share(model)), "id long, rid long, held boolean, n_tokens long, known long, logs double, score double")
+    rare = coded.select("rid", F.explode("rare").alias("r")).select("rid", F.col("r.key").alias("key"), F.col("r.n").alias("tf"))
     tail = rare.join(words.select("key", "n"), "key").groupBy("rid").agg(F.sum("tf").alias("tail_known"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("tail_logs"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return (
-        scored.drop("rare").join(tail, "rid", "left").select(
-            F.col("id").alias(id_col), held.alias("held_out"), "n_tokens", (F.col("known") + zero("tail_known") + int(ends > 0)).cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
+        scored.join(tail, "rid", "left").select(
+            F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("known") + zero("tail_known") + int(ends > 0)).cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
             (F.col("logs") + zero("tail_logs") + float(np.log10(ends + 1)) - F.col("n_tokens") * floor).alias("base_score"), "score",
         )
     )
