@@ -1,23 +1,42 @@
-"""What the corpus operators share: the cluster's shared folder and tables written there to cut lineage."""
+"""What the corpus operators share: the cluster's shared folder, tables written there to cut lineage, joins with hot keys."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+import warnings
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space as the contracts define it: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"\x20\x09-\x0D"
+#: A key is hot if it has over one in so many rows: there can't be more hot keys than that, so they may go to every task.
+HOT_SHARE = 1_000
+
+
+class _Open(threading.local):
+    """Tables written inside each open ``scratch`` block of this thread, innermost last."""
+
+    def __init__(self):
+        self.blocks: list[list[str]] = []
+
+
+_open = _Open()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share; a local one only where it is unset."""
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share. Where it is unset a local one, on one machine
+    only: a cluster without the setting is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    warnings.warn("spark.checkpoint.dir is unset; tables go to a local folder", stacklevel=2)
     return os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
@@ -25,14 +44,62 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cuewright/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: later stages survive lost executors."""
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: later stages survive lost executors.
+
+    Inside a ``scratch`` block the table goes when the block ends; with ``keep`` it lasts as long as the block around that one."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    note(path, keep)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def note(path: str, keep: bool = False) -> None:
+    """Have ``path`` removed when the block ends, or with ``keep`` the one around it."""
+    if len(_open.blocks) > keep:
+        _open.blocks[-1 - keep].append(path)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, place = _place(spark, path)
+    files.delete(place, True)
+
+
+def bytes_of(spark: SparkSession, path: str) -> int:
+    """Bytes of the files in the folder ``path``."""
+    files, place = _place(spark, path)
+    return files.getContentSummary(place).getLength()
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``materialise`` writes in this block, but for those it is told to keep, are removed at its end. Nothing lazy that
+    reads them may leave the block."""
+    _open.blocks.append([])
+    try:
+        yield
+    finally:
+        for path in _open.blocks.pop():
+            remove(spark, path)
+
+
+@contextmanager
+def noted():
+    """A list of the tables that are left when the block ends, for the caller to remove."""
+    _open.blocks.append([])
+    paths: list[str] = []
+    try:
+        yield paths
+    finally:
+        paths += _open.blocks.pop()
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
@@ -40,3 +107,13 @@ def text_or_empty(column: str | Column) -> Column:
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the identifier's text modulo ``modulus``: the fold of a row; null identifiers fall in fold null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined to the one row of ``keyed`` with their ``key``, where ``count`` says how many of ``total`` rows have it.
+
+    Rows of hot keys stay where they are: the hot keys, ``HOT_SHARE`` at most, go to every task. Only the others are shuffled."""
+    hot = F.col(count) * HOT_SHARE > total
+    known = F.broadcast(keyed.where(hot).drop(count))
+    rest = rows.join(F.broadcast(keyed.where(hot).select(key)), key, "left_anti").join(keyed.where(~hot).drop(count), key)
+    return rows.join(known, key).unionByName(rest)
