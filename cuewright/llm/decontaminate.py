@@ -1,15 +1,17 @@
 """Benchmark decontamination.
 
-Item-sized windows of a document are SimHashed over their word shingles. A multi-index over blocks of the fingerprint finds
-every benchmark item within the radius (some block of two such fingerprints differs by at most radius // blocks bits), and exact
-weighted-shingle similarity decides. Windows that share no shingle with an item have similarity 0 and are never built.
-Documents are only scanned, never shuffled; the benchmark goes to the tasks in parts of bounded size, one scan for each.
+Item-sized windows of a document are SimHashed over their word shingles. A multi-index looks them up: the fingerprint's bits
+make ``BLOCKS`` blocks, every item is filed under all values within ``NEAR`` bits of its own in each block, and of two fingerprints
+within the radius some block lies that near (pigeonhole). Exact weighted-shingle similarity decides about the items found. Windows
+of which too few shingles occur anywhere in the benchmark to reach the similarity with any item aren't fingerprinted.
+Documents are only scanned, never shuffled; a benchmark over ``PART_BYTES`` goes to the tasks in parts, one after the other.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -18,12 +20,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuewright.llm.common import materialise
+
 WORDS, SIMILARITY = 5, 0.8
-#: Texts this similar differ in about 10 of 64 bits; 24 is five standard deviations above.
-RADIUS, BLOCKS = 24, 8
+#: Blocks of the 64 bits and the bits by which a block may differ. Fingerprints that differ in up to ``RADIUS`` bits share such a
+#: block. Texts of similarity 0.8 differ in about 10 bits; the radius is three standard deviations above.
+BLOCKS, NEAR = 5, 3
+RADIUS = BLOCKS * (NEAR + 1) - 1
 #: Bytes of benchmark text in one part, that is in one broadcast.
-PART_BYTES = 16 << 20
+PART_BYTES = 1 << 20
+#: Windows looked up at a time.
+_PIECE = 4_096
 _WORD = re.compile(r"\w+")
+_CUTS = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -59,30 +68,44 @@ def window_prints(shingles: list[str], size: int) -> np.ndarray:
     return _pack((total[size:] - total[:-size]) * 2 > size)
 
 
+def _block(prints: np.ndarray, k: int) -> np.ndarray:
+    """Block ``k`` of fingerprints (rows of 8 bytes)."""
+    lo, hi = _CUTS[k], _CUTS[k + 1]
+    return ((np.ascontiguousarray(prints).view(np.uint64).ravel() >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64)
+
+
 class Index:
-    """Benchmark items by shingle and by fingerprint block."""
+    """Benchmark items by blocks of their fingerprints."""
 
-    def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS, least: float = SIMILARITY):
-        self.radius, self.least, self.vocabulary = radius, least, {}
-        self.items, grams = [], defaultdict(lambda: defaultdict(set))
+    def __init__(self, items: list[tuple[int, str]], least: float = SIMILARITY):
+        self.least, self.vocabulary = least, {}
+        self.items: list[tuple[int, int, list[str]]] = []  # identifier, words in a shingle, shingles
+        known: dict[int, set] = {}
         prints = []
         for item_id, text in items:
             words = words_of(text)
             if not words:
                 continue
-            shingles = shingles_of(words)
+            shingles, k = shingles_of(words), min(WORDS, len(words))
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
-            k = min(WORDS, len(words))
-            for i in range(len(shingles)):
-                grams[k][tuple(ids[i : i + k])].add(len(self.items))
-            self.items.append((item_id, len(words), shingles))
+            known.setdefault(k, set()).update(tuple(ids[i : i + k]) for i in range(len(shingles)))
+            self.items.append((item_id, k, shingles))
             prints.append(window_prints(shingles, len(shingles))[0])
         self.prints = np.array(prints, np.uint8).reshape(-1, 8)
-        self.grams = {k: dict(g) for k, g in grams.items()}
-        self.hashed = {k: np.sort(self._mix(np.array(list(g), np.int64))) for k, g in self.grams.items()}
-        # multi-index: for each block and each value, which items have a block near it
-        values = np.arange(256, dtype=np.uint8)
-        self.near = np.bitwise_count(values[None, :, None] ^ self.prints.T[:, None, :]) <= radius // BLOCKS
+        #: by words in a shingle, the hashes of all shingles there are
+        self.known = {k: np.sort(self._mix(np.array(sorted(g), np.int64))) for k, g in known.items()}
+        #: (words in a shingle, shingles of an item) that occur, and those of each item
+        self.sizes = sorted({(k, len(s)) for _, k, s in self.items})
+        self.size_of = np.array([self.sizes.index((k, len(s))) for _, k, s in self.items], np.int64)
+        self.files = [self._file(k) for k in range(BLOCKS)]
+
+    def _file(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start of each block value's items, items): an item stands under every value that its own is near."""
+        width = _CUTS[k + 1] - _CUTS[k]
+        flips = np.array([sum(1 << b for b in c) for n in range(NEAR + 1) for c in combinations(range(width), n)], np.int64)
+        values = (_block(self.prints, k)[:, None] ^ flips).ravel()
+        order = np.argsort(values, kind="stable")
+        return np.searchsorted(values[order], np.arange((1 << width) + 1)).astype(np.int32), (order // len(flips)).astype(np.int32)
 
     @staticmethod
     def _mix(ids: np.ndarray) -> np.ndarray:
@@ -92,11 +115,27 @@ class Index:
             out ^= out >> np.uint64(29)
         return out
 
-    def shared(self, ids: np.ndarray) -> dict[int, list[int]]:
-        """{item: positions of shingles that it shares with the document}."""
-        found: dict[int, list[int]] = defaultdict(list)
-        for k, table in self.hashed.items():
-            n = len(ids) - k + 1
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all items within the radius of each fingerprint, by looking its blocks up."""
+        windows, items = [], []
+        for k, (starts, filed) in enumerate(self.files):
+            value = _block(prints, k)
+            n = starts[value + 1] - starts[value]
+            window = np.repeat(np.arange(len(prints)), n)
+            item = filed[np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[value], n)]
+            close = np.bitwise_count(prints[window] ^ self.prints[item]).sum(1) <= RADIUS
+            windows.append(window[close]), items.append(item[close])
+        both = np.unique(np.concatenate(windows) * len(self.items) + np.concatenate(items))
+        return both // len(self.items), both % len(self.items)
+
+    def hits(self, text: str | None) -> list[tuple[int, float, int]]:
+        """(item_id, similarity, first word) of each item's most similar window, the earliest of equals."""
+        words = words_of(text)
+        get = self.vocabulary.get
+        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        best: dict[int, tuple[float, int]] = {}
+        for k, table in self.known.items():
+            n = len(words) - k + 1
             if n <= 0:
                 continue
             known = np.convolve(ids >= 0, np.ones(k, int), "valid") == k
@@ -104,61 +143,55 @@ class Index:
             if not len(at):
                 continue
             h = self._mix(ids[at[:, None] + np.arange(k)])
-            slot = np.minimum(np.searchsorted(table, h), len(table) - 1)
-            for p in at[table[slot] == h].tolist():
-                for item in self.grams[k].get(tuple(ids[p : p + k].tolist()), ()):
-                    found[item].append(p)
-        return found
-
-    def hits(self, text: str | None) -> list[tuple[int, float, int]]:
-        """(item_id, similarity, first word) of each item's most similar window, the earliest of equals."""
-        words = words_of(text)
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        out = []
-        for item, places in sorted(self.shared(ids).items()):
-            item_id, length, shingles = self.items[item]
-            k = min(WORDS, length)
-            size = min(len(shingles), len(words) - k + 1)
-            best = (0.0, 0)
-            for lo, hi in _ranges(places, size, len(words) - k + 1):  # shingle positions that such windows use
-                own = [" ".join(words[i : i + k]) for i in range(lo, hi)]
-                prints = window_prints(own, size)
-                near = self.near[np.arange(8)[None, :], prints, item].any(axis=1)
-                near &= np.bitwise_count(prints ^ self.prints[item]).sum(1) <= self.radius
-                for w in np.nonzero(near)[0].tolist():
-                    s = similarity(own[w : w + size], shingles)
-                    if s > best[0]:
-                        best = (s, lo + w)
-            if best[0] >= self.least:
-                out.append((item_id, *best))
-        return out
-
-
-def _ranges(places: list[int], size: int, n: int) -> list[tuple[int, int]]:
-    """Merged spans of shingle positions that the windows of ``size`` shingles over ``places`` use."""
-    out: list[list[int]] = []
-    for p in sorted(places):
-        lo, hi = max(0, p - size + 1), min(n, p + size)
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [(a, b) for a, b in out]
-
-
-def _parts(benchmark: DataFrame, id_col: str, text_col: str, radius: int, least: float):
-    """Broadcast indexes over the benchmark, each of at most about ``PART_BYTES`` of text."""
-    spark = benchmark.sparkSession
+            known[at] = table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h
+            counts = np.concatenate(([0], np.cumsum(known)))
+            if not counts[-1]:
+                continue
+            own = None
+            for number, (words_in, size) in enumerate(self.sizes):
+                if words_in != k:
+                    continue
+                window = min(size, n)
+                # similarity s of n and m shingles shares s (n + m) / (1 + s) of them
+                shared = self.least * (window + size) / (1 + self.least)
+                could = np.nonzero(counts[window:] - counts[:-window] >= shared - 1e-9)[0]
+                if not len(could):
+                    continue
+                if own is None:
+                    own = shingles_of(words, k)
+                self._look(number, own, could, window, best)
+        return [(self.items[i][0], *best[i]) for i in sorted(best) if best[i][0] >= self.least]
+
+    def _look(self, number: int, own: list[str], could: np.ndarray, window: int, best: dict[int, tuple[float, int]]) -> None:
+        """Look up the windows that start at ``could`` among the items of one size."""
+        cuts = np.nonzero(np.diff(could) > window)[0] + 1  # stretches of overlapping windows, and pieces of long ones
+        for part in np.split(could, np.union1d(cuts, np.arange(_PIECE, len(could), _PIECE))):
+            lo = int(part[0])
+            prints = window_prints(own[lo : int(part[-1]) + window], window)[part - lo]
+            at, items = self.near(prints)
+            right = self.size_of[items] == number
+            for w, item in zip(part[at[right]].tolist(), items[right].tolist(), strict=True):
+                s = similarity(own[w : w + window], self.items[item][2])
+                old = best.get(item, (0.0, 0))
+                if s > old[0] or (s == old[0] and w < old[1]):
+                    best[item] = (s, w)
+
+
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(id, text) of the items, and how many parts they make."""
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).head()["n"]
-    parts = max(1, -(-total // PART_BYTES))
-    for k in range(parts):
-        own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k) if parts > 1 else items
-        yield spark.sparkContext.broadcast(Index(sorted(((r["id"], r["text"]) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])), radius, least))
+    return items, max(1, -(-total // PART_BYTES))
+
+
+def _index(items: DataFrame, part: int, parts: int, least: float):
+    """The broadcast index over one part of the items."""
+    own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part) if parts > 1 else items
+    rows = sorted(((r["id"], r["text"]) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    return items.sparkSession.sparkContext.broadcast(Index(rows, least))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row per document and benchmark item that it holds: ``doc_id``, ``item_id``, ``similarity`` of the best item-sized
     window and its ``first_word`` (from 0).
 
@@ -166,27 +199,39 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     whole; items without words match nothing. Null and empty texts hold nothing. Repeated rows are reported
     each. Other columns aren't read. Empty tables give no rows.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = f"`{id_col}` long, `{item_col}` long, similarity double, first_word long"
-    out = spark.createDataFrame([], schema)
-    for index in _parts(benchmark, item_col, item_text_col, radius, least):
+    names = [id_col, item_col, "similarity", "first_word"]
+    items, parts = _items(benchmark, item_col, item_text_col)
+    found = []
+    for part in range(parts):
+        index = _index(items, part, parts, least)
 
         def scan(batches, index=index):
-            names = [id_col, item_col, "similarity", "first_word"]
             for batch in batches:
-                found = [(i, *h) for i, t in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True) for h in index.value.hits(t.as_py())]
-                columns = list(zip(*found, strict=True)) or [[]] * 4
+                held = [(i, *h) for i, t in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True) for h in index.value.hits(t.as_py())]
+                columns = list(zip(*held, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=names)
 
-        out = out.unionByName(rows.mapInArrow(scan, schema))
+        found.append(rows.mapInArrow(scan, schema))
+        if parts > 1:  # a part's index leaves the driver and the tasks before the next one comes
+            found[-1] = materialise(found[-1], "leaks-part")
+            index.destroy()
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The documents that hold no benchmark item, with the input's own columns."""
-    for index in _parts(benchmark, item_col, item_text_col, radius, least):
+    items, parts = _items(benchmark, item_col, item_text_col)
+    for part in range(parts):
+        index = _index(items, part, parts, least)
         docs = docs.where(_clean(index)(F.col(text_col)))
+        if parts > 1:
+            docs = materialise(docs, "leaks-clean")
+            index.destroy()
     return docs
 
 
