@@ -2,9 +2,9 @@
 
 Every window of ``LENGTH`` bytes has an anchor: the ``GRAM``-byte string of smallest hash in it, the leftmost of equals. Equal windows have
 equal anchors at equal offsets, so windows can only repeat inside the rows of one anchor. A run of windows that share an anchor is
-one context. Contexts that are equal as a whole are settled by their hashes (first in each task, then across tasks, so a passage that
-a third of all documents share costs a row per task). Contexts that share an anchor but differ are brought together
-as bytes, and a suffix array of them shows which windows are equal.
+one context. Hashes only say which contexts may have a window in common and so must meet; bytes decide. Contexts that are equal as
+a whole are one entry with several places (found first in each batch, so a passage that a third of all documents share costs a row per
+batch), and a suffix array of an anchor's different entries shows which of their windows are equal.
 
 The suffix array is built by linear grouping construction: suffixes are kept in groups by their Lyndon prefix; groups are processed
 from the highest to the lowest, the previous-smaller pointers of a group's members splitting the groups below it; then the
@@ -17,11 +17,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.llm import tokens
-from cuewright.llm.common import materialise
+from cuewright.llm.common import materialise, scratch
 
 LENGTH, GRAM = 100, 32
 #: Every window holds either the bytes from ``_LEFT`` before its anchor up to its end, or the anchor and ``_RIGHT`` bytes in all.
@@ -29,10 +29,10 @@ _LEFT, _RIGHT = 34, 66
 _SPAN = LENGTH - GRAM + 1
 #: Bytes hashed at a time, and bytes of one suffix array (a larger anchor's contexts make one of their own).
 CHUNK, JOINED = 2 << 20, 1 << 15
-#: An anchor with more different contexts in one task's rows is settled by the hashes of its windows instead.
+#: An anchor with more different contexts than one task should hold is settled window by window, by the windows' bytes.
 MOST_CONTEXTS = 4_096
-#: Rows that say where passages are, sent to all tasks up to this many; beyond it, texts are shuffled to them.
-BROADCAST_ROWS = 3_000_000
+#: Rows that say where passages are, sent to all tasks up to this many bytes; beyond it, texts are shuffled to them.
+BROADCAST_BYTES, _ROW_BYTES = 96 << 20, 32
 _LAST = np.iinfo(np.int64).max
 
 
@@ -157,10 +157,10 @@ class Hashes:
 
 
 def contexts_of(data: np.ndarray, offsets: np.ndarray):
-    """(text, first window, last window, anchor hash, context hash, left hash, right hash, middle) arrays.
+    """(text, first window, last window, anchor hash, hash of the context, hash of either stretch, middle) arrays.
 
     Window positions count inside their text. Windows from the middle on hold the right stretch, those up to it the left one; a
-    context without such windows has its own hash instead.
+    context without such windows has its own hash instead. The hash of the context and those of its stretches have 32 bits.
     """
     n = len(data)
     lengths = np.diff(offsets)
@@ -186,23 +186,36 @@ def contexts_of(data: np.ndarray, offsets: np.ndarray):
     own, middle = text[first], anchor - _LEFT
     left = np.where(first <= middle, _mix(hashes.of(np.maximum(middle, 0), anchor + GRAM), 0x9FB21C651E98DF25), body)
     right = np.where(last >= middle, _mix(hashes.of(anchor, np.minimum(anchor + _RIGHT, n)), 0x9FB21C651E98DF25), body)
+    body, left, right = (x >> np.uint64(32) for x in (body, left, right))
     return own, first - offsets[own], last - offsets[own], key, body, left, right, middle - offsets[own]
 
 
-def _later(keys: tuple, order: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """(sorting, whether each sorted row isn't the first of its key)."""
+def _equal_to_first(data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: tuple, order: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, whether each is byte for byte the first row of its keys, and not that row itself)."""
     by = np.lexsort((*order[::-1], *keys[::-1]))
-    again = np.concatenate(([False], np.logical_and.reduce([k[by][1:] == k[by][:-1] for k in keys]))) if len(by) else np.empty(0, bool)
+    if not len(by):
+        return by, np.empty(0, bool)
+    again = np.concatenate(([False], np.logical_and.reduce([k[by][1:] == k[by][:-1] for k in keys])))
+    first = by[np.maximum.accumulate(np.where(again, 0, np.arange(len(by))))]
+    at = np.nonzero(again)[0]
+    a, b, n = start[by[at]], start[first[at]], (end - start)[by[at]]
+    same = n == (end - start)[first[at]]
+    eights = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))  # eight bytes at every position, read in place
+    for step in range(0, int(n.max(initial=0)), 8):
+        k = np.minimum(step, n - 8)
+        same[same] = eights[(a + k)[same]] == eights[(b + k)[same]]
+    again[at] = same
     return by, again
 
 
-_OCC = "anchor long, body long, left long, right long, doc long, rid long, first int, last int, middle int"
+_OCC = "anchor long, body int, left int, right int, doc long, rid long, first int, last int, middle int"
 
 
 def _batch(doc, rid, first, last, middle=None, **hashes) -> pa.RecordBatch:
     """Rows of ``_OCC``; hashes that aren't given are null."""
     n = len(rid)
-    arrays = [pa.array(hashes[k].view(np.int64)) if k in hashes else pa.nulls(n, pa.int64()) for k in ("anchor", "body", "left", "right")]
+    arrays = [pa.array(hashes["anchor"].view(np.int64)) if "anchor" in hashes else pa.nulls(n, pa.int64())]
+    arrays += [pa.array(hashes[k].astype(np.uint32).view(np.int32)) if k in hashes else pa.nulls(n, pa.int32()) for k in ("body", "left", "right")]
     arrays += [pa.array(doc), pa.array(rid), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))]
     arrays.append(pa.nulls(n, pa.int32()) if middle is None else pa.array(middle.astype(np.int32)))
     return pa.RecordBatch.from_arrays(arrays, names=["anchor", "body", "left", "right", "doc", "rid", "first", "last", "middle"])
@@ -223,15 +236,17 @@ def _merged(rid: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray):
 
 
 def _find(batches):
-    """Contexts of all texts. Rows without anchor are bytes to remove: contexts that this task saw before."""
+    """Contexts of all texts. Rows without anchor are bytes to remove: contexts that the batch holds earlier, byte for byte."""
     for batch in batches:
         docs, rids = batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("rid").to_numpy()
+        data, offsets = tokens.column_bytes(batch.column("text"))
         held: list[tuple] = []
         for at, part in tokens.batches_of(batch.column("text"), CHUNK):
             text, first, last, key, body, left, right, middle = contexts_of(*tokens.column_bytes(part))
-            held.append((key, body, left, right, middle, docs[at + text], rids[at + text], first, last))
-        key, body, left, right, middle, doc, rid, first, last = (np.concatenate(x) for x in zip(*held, strict=True))
-        by, again = _later((key, body), (doc, rid, first))
+            held.append((key, body, left, right, middle, at + text, first, last))
+        key, body, left, right, middle, text, first, last = (np.concatenate(x) for x in zip(*held, strict=True))
+        doc, rid, start = docs[text], rids[text], offsets[text]
+        by, again = _equal_to_first(data, start + first, start + last + LENGTH, (key, body), (doc, rid, first))
         gone, kept = by[again], by[~again]
         yield _batch(doc[kept], rid[kept], first[kept], last[kept], middle[kept], anchor=key[kept], body=body[kept], left=left[kept], right=right[kept])
         r, d, lo, hi = _merged(rid[gone], doc[gone], first[gone], last[gone] + LENGTH)
@@ -239,8 +254,8 @@ def _find(batches):
 
 
 def _settle(batches):
-    """All rows of the partition's anchors. Equal contexts but the first become bytes to remove (no anchor); contexts that
-    share a stretch with another stay, cut to it, for their bytes to be compared; of anchors with very many, ``body`` is set."""
+    """All rows of the partition's anchors: those that may share a window with another row stay, cut to the windows in question. Of
+    anchors with very many different ones, ``body`` is set. Bytes to remove (no anchor) pass."""
     tables = [b for b in batches if b.num_rows]
     if not tables:
         return
@@ -249,19 +264,16 @@ def _settle(batches):
     for b in ready.combine_chunks().to_batches():
         yield b
     t = t.filter(pa.compute.is_valid(t["anchor"]))
-    key, body, left, right = (t[c].to_numpy().view(np.uint64) for c in ("anchor", "body", "left", "right"))
-    doc, rid, first, last, middle = (t[c].to_numpy().astype(np.int64) for c in ("doc", "rid", "first", "last", "middle"))
-    by, again = _later((key, body), (doc, rid, first))
-    gone, kept = by[again], by[~again]
-    r, d, lo, hi = _merged(rid[gone], doc[gone], first[gone], last[gone] + LENGTH)
-    yield _batch(d, r, lo, hi)
-    key, body, doc, rid, first, last, middle = (x[kept] for x in (key, body, doc, rid, first, last, middle))
-    lefts, rights = _shared(key, left[kept]), _shared(key, right[kept])
-    own = lefts | rights  # contexts that share neither stretch with another have no window in common with it
-    first, last = np.where(lefts, first, np.maximum(first, middle)), np.where(rights, last, np.minimum(last, middle))
-    _, group, many = np.unique(key[own], return_inverse=True, return_counts=True)
+    key = t["anchor"].to_numpy().view(np.uint64)
+    body, left, right, doc, rid, first, last, middle = (t[c].to_numpy().astype(np.int64) for c in ("body", "left", "right", "doc", "rid", "first", "last", "middle"))
+    equal, lefts, rights = _shared(key, body), _shared(key, left), _shared(key, right)
+    own = equal | lefts | rights  # others have no window in common with another context
+    first, last = np.where(lefts | equal, first, np.maximum(first, middle)), np.where(rights | equal, last, np.minimum(last, middle))
     crowded = np.zeros(len(key), bool)
-    crowded[own] = many[group] > MOST_CONTEXTS if own.any() else False
+    if own.any():
+        kinds = np.unique(np.stack((key[own].view(np.int64), body[own]), axis=1), axis=0)[:, 0]
+        anchors, many = np.unique(kinds, return_counts=True)
+        crowded[own] = np.isin(key[own].view(np.int64), anchors[many > MOST_CONTEXTS])
     k = np.nonzero(own & ~crowded)[0]
     yield _batch(doc[k], rid[k], first[k], last[k], anchor=key[k])
     k = np.nonzero(crowded)[0]
@@ -291,16 +303,25 @@ def _contexts(batches):
 
 
 def _compare(batches):
-    """Contexts sorted by anchor and then document: bytes to remove, from suffix arrays over whole anchors."""
+    """Contexts sorted by anchor and then document: bytes to remove. Equal contexts are one entry, at the first one's place; the suffix
+    array is over the entries of whole anchors."""
 
     def solve(rows):
-        if len(rows) < 2:
-            return
-        hits = equal_windows([r[4] for r in rows])
-        if len(hits):
-            rid, doc, first = (np.array([r[k] for r in rows], np.int64) for k in (2, 1, 3))
-            lo = first[hits[:, 0]] + hits[:, 1]
-            r, d, lo, hi = _merged(rid[hits[:, 0]], doc[hits[:, 0]], lo, lo + LENGTH)
+        entries: dict[bytes, tuple] = {}
+        rid, doc, lo, hi = [], [], [], []
+        for row in rows:
+            if entries.setdefault(row[4], row) is not row:
+                rid.append(row[2]), doc.append(row[1]), lo.append(row[3]), hi.append(row[3] + len(row[4]))
+        kinds: dict[int, int] = {}
+        for row in entries.values():
+            kinds[row[0]] = kinds.get(row[0], 0) + 1
+        own = [row for row in entries.values() if kinds[row[0]] > 1]  # an entry alone repeats no window
+        hits = equal_windows([row[4] for row in own]) if own else np.empty((0, 2), np.int64)
+        r, d, first = (np.array([row[k] for row in own], np.int64) for k in (2, 1, 3))
+        more = first[hits[:, 0]] + hits[:, 1]
+        all_of = lambda found, own: np.concatenate((np.array(found, np.int64), own))
+        r, d, lo, hi = _merged(all_of(rid, r[hits[:, 0]]), all_of(doc, d[hits[:, 0]]), all_of(lo, more), all_of(hi, more + LENGTH))
+        if len(r):
             yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(lo), pa.array(hi)], names=["rid", "lo", "hi"])
 
     held: list[tuple] = []
@@ -312,29 +333,37 @@ def _compare(batches):
                 held, size = [], 0
             held.append(row)
             size += len(row[4])
-    yield from solve(held)
+    if held:
+        yield from solve(held)
 
 
 def _windows(batches):
-    """Two hashes of every window of the listed contexts."""
+    """The windows of the listed contexts with their bytes; without bytes, those that the batch holds earlier."""
     for batch in batches:
-        for doc, rid, spots, text in zip(*(batch.column(c) for c in ("doc", "rid", "spots", "text")), strict=True):
-            data = np.frombuffer(text.as_py(), np.uint8)
-            hashes = Hashes(data)
-            at = np.unique(np.concatenate([np.arange(s["first"], s["last"] + 1) for s in spots.as_py()]))
-            h = hashes.of(at, at + LENGTH)
-            n = len(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_mix(h, 0xD6E8FEB86659FD93).view(np.int64)), pa.array([hashlib.blake2b(data[p : p + LENGTH].tobytes(), digest_size=8).digest() for p in at.tolist()], pa.binary()),
-                 pa.array(np.full(n, doc.as_py())), pa.array(np.full(n, rid.as_py())), pa.array(at.astype(np.int32))], names=["h", "g", "doc", "rid", "at"],
-            )
+        found = set()
+        for doc, rid, spots in zip(*(batch.column(c).to_pylist() for c in ("doc", "rid", "spots")), strict=True):
+            found.update((doc, rid, at) for s in spots for at in range(s["first"], s["last"] + 1))
+        texts = dict(zip(batch.column("rid").to_pylist(), batch.column("text"), strict=True))
+        rows, seen, held, data = [], set(), None, b""
+        for doc, rid, at in sorted(found):
+            if rid != held:
+                held, data = rid, texts[rid].as_py()
+            window = data[at : at + LENGTH]
+            rows.append((None if window in seen else window, doc, rid, at))
+            seen.add(window)
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["bytes", "doc", "rid", "lo"])
+
+
+def _beside(rows: DataFrame, count: int, texts: DataFrame, how: str = "inner") -> DataFrame:
+    """``texts`` joined by rid to ``rows`` that hold ``count`` places."""
+    return texts.join(F.broadcast(rows) if count * _ROW_BYTES <= BROADCAST_BYTES else rows, "rid", how)
 
 
 def _with_text(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """``rows`` (anchor, doc, rid, first, last) gathered per text, with the text's bytes."""
     spots = rows.groupBy("rid").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("spots"))
-    side = F.broadcast(spots) if rows.count() <= BROADCAST_ROWS else spots
-    return texts.join(side, "rid").select("doc", "rid", "spots", "text")
+    return _beside(spots, rows.count(), texts).select("doc", "rid", "spots", "text")
 
 
 def repeated_bytes(texts: DataFrame) -> DataFrame:
@@ -347,10 +376,9 @@ def repeated_bytes(texts: DataFrame) -> DataFrame:
     out = done.unionByName(compared)
     crowded = settled.where("anchor is not null and body is not null")
     if not crowded.isEmpty():
-        windows = materialise(_with_text(crowded, texts).mapInArrow(_windows, "h long, g binary, doc long, rid long, at int"), "suffix-windows")
-        firsts = windows.groupBy("h", "g").agg(F.min(F.struct("doc", "rid", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        later = windows.join(firsts, ["h", "g"]).where(F.struct("doc", "rid", "at") != F.col("first"))
-        out = out.unionByName(later.select("rid", F.col("at").cast("long").alias("lo"), (F.col("at") + LENGTH).cast("long").alias("hi")))
+        windows = materialise(_with_text(crowded, texts).mapInArrow(_windows, "bytes binary, doc long, rid long, lo long"), "suffix-windows")
+        later = windows.where("bytes is not null").withColumn("nth", F.row_number().over(Window.partitionBy("bytes").orderBy("doc", "rid", "lo"))).where("nth > 1")
+        out = out.unionByName(later.select("rid", "lo", (F.col("lo") + LENGTH).alias("hi"))).unionByName(windows.where("bytes is null").select("rid", "lo", (F.col("lo") + LENGTH).alias("hi")))
     return out
 
 
@@ -375,15 +403,15 @@ def _report(batches):
         )
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(landed id, doc, rid, text; spans per rid)."""
-    landed = materialise(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST))).alias("doc"), F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")),
-        "suffix-texts",
-    )
-    intervals = materialise(repeated_bytes(landed.select("doc", "rid", "text")), "suffix-intervals")
-    spans = intervals.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return landed, F.broadcast(spans) if intervals.count() <= BROADCAST_ROWS else spans
+def _prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """(landed id, doc, rid, text; spans per rid; how many spans)."""
+    with scratch(docs.sparkSession):
+        landed = materialise(
+            docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST))).alias("doc"), F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")),
+            "suffix-texts", keep=True,
+        )
+        intervals = materialise(repeated_bytes(landed.select("doc", "rid", "text")), "suffix-intervals", keep=True)
+    return landed, intervals.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), intervals.count()
 
 
 def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -393,6 +421,6 @@ def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     identifiers last; rows that repeat one in the order of the table) or further left in the same text. Null texts are empty;
     shorter texts keep everything. Other columns aren't read. An empty table gives no rows.
     """
-    landed, spans = _prepared(docs, id_col, text_col)
-    rows = landed.join(spans, "rid", "left").select("id", "text", "spans")
+    landed, spans, count = _prepared(docs, id_col, text_col)
+    rows = _beside(spans, count, landed, "left").select("id", "text", "spans")
     return rows.mapInArrow(_report, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)

@@ -48,7 +48,7 @@ def _rows(r):
 @pytest.mark.parametrize(("seed", "most", "spread"), [(1, 4096, 3), (2, 1, 2), (3, 4096, 0)])
 def test_report_equals_brute_force(spark, monkeypatch, seed, most, spread):
     monkeypatch.setattr(S, "MOST_CONTEXTS", most)
-    monkeypatch.setattr(S, "BROADCAST_ROWS", 10**6 if spread else 0)
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 10**8 if spread else 0)
     rows = _rows(random.Random(seed))
     docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, rid int")
     docs = docs.coalesce(1) if not spread else docs  # the order of repeated identifiers is the table's
