@@ -2,27 +2,34 @@
 
 Every capture becomes three records: the request, the response (or a revisit of an equal payload) and metadata. Request
 and metadata name the response in ``WARC-Concurrent-To``. Spark's text writer writes the archives, the two line ends
-that close every WARC record being its line separator, so archives go to any file system that Spark knows.
-Readers split by ``Content-Length`` alone, so payloads may hold anything, record headers included.
+that close every WARC record being its line separator, so archives go to any file system that Spark knows. Captures of
+like size share archives, so that no archive holds much over ``FILE_BYTES`` unless one capture does.
+Readers split by ``Content-Length`` alone, so payloads may hold anything, record headers included; they take gzip files of one
+member or of one a record, and plain ones, and hold the compressed file and one record at a time.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
-import zlib
+import io
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import materialise, new_path
+from cuewright.llm.common import HOT_SHARE, materialise, new_path, note, scratch
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: Payloads below this many bytes are always written whole.
 REVISIT_BYTES = 1000
-#: Captures in one archive at most: bounds what a reading task holds.
-CAPTURES_PER_FILE = 10_000
+#: Bytes of payload in one archive, about, and the sizes by which captures go to different archives; larger ones have one each.
+FILE_BYTES, SIZES = 64 << 20, (16 << 10, 256 << 10, 4 << 20)
+#: Digests of repeated payloads that are sent to all tasks (some hundred bytes each); beyond it, only those of very many pages.
+BROADCAST_DIGESTS = 100_000
+#: Bytes of records that a reading task passes on at a time.
+READ_BYTES = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -38,17 +45,38 @@ def _clean(value: Column) -> Column:
     return F.regexp_replace(F.coalesce(value, F.lit("")), r"[\x00-\x20\x7F]", "%20")
 
 
-def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+def page_sizes(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
+    """(id, sha, bytes) of every page's payload, without the payloads."""
+    payload = F.coalesce(F.col(payload_col), F.lit(""))
+    return materialise(pages.select(F.col(id_col).cast("long").alias("id"), F.sha2(payload.cast("binary"), 256).alias("sha"), F.octet_length(payload).alias("bytes")), "warc-sizes")
+
+
+def _with_first(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Add ``first``, the largest identifier of a repeated payload's pages. Pages of a payload that very many have aren't shuffled."""
+    firsts = sizes.where(F.col("bytes") >= REVISIT_BYTES).groupBy("sha").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = materialise(firsts, "warc-firsts")
+    if firsts.count() <= BROADCAST_DIGESTS:
+        return rows.join(F.broadcast(firsts.drop("n")), "sha", "left")
+    hot = F.col("n") * HOT_SHARE > sizes.count()  # HOT_SHARE digests at most
+    rows = rows.join(F.broadcast(firsts.where(hot).select("sha", F.col("first").alias("hot_first"))), "sha", "left")
+    # rows that have theirs, and those without identifiers, are spread
+    key = F.when(F.col("hot_first").isNull(), F.col("sha")).otherwise(F.concat(F.lit("#"), F.coalesce(F.col("id").cast("string"), F.col("url"))))
+    rows = rows.withColumn("key", key).join(firsts.where(~hot).select(F.col("sha").alias("key"), F.col("first").alias("own_first")), "key", "left")
+    return rows.withColumn("first", F.coalesce("hot_first", "own_first")).drop("key", "hot_first", "own_first")
+
+
+def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", sizes: DataFrame | None = None, limits: tuple[int, int] | None = None) -> DataFrame:
     """Column ``record``: per page a string array of its request, response or revisit, and metadata record.
 
     Null payloads are empty, null URLs empty. Of payloads of at least ``REVISIT_BYTES`` bytes that are equal, the page with the
-    largest identifier is the response (null identifiers smallest; rows that repeat it are all responses).
+    largest identifier is the response (null identifiers smallest; rows that repeat it are all responses). ``sizes``: what
+    ``page_sizes`` gives. ``limits``: only pages of more than the one and up to the other number of bytes.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), _clean(F.col(url_col)).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     rows = rows.withColumns({"bytes": F.octet_length("payload"), "sha": F.sha2(F.col("payload").cast("binary"), 256)})
-    keyed = materialise(rows.select("id", "sha", "bytes"), "warc-keys")
-    firsts = keyed.where(F.col("bytes") >= REVISIT_BYTES).groupBy("sha").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = rows.join(firsts, "sha", "left")
+    rows = _with_first(rows, sizes if sizes is not None else page_sizes(pages, id_col, payload_col))
+    if limits is not None:
+        rows = rows.where((F.col("bytes") > limits[0]) & (F.col("bytes") <= limits[1]))
     revisit = F.col("first").isNotNull() & (F.coalesce("id", F.lit(-(1 << 63))) < F.col("first"))
     digest = F.concat(F.lit("sha1:"), F.sha1(F.col("payload").cast("binary")))
     salt = F.uuid()
@@ -77,50 +105,82 @@ def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     """Write the archives, gzipped, to the folder ``path``. An empty table gives a folder without records."""
-    # the three records of a capture stand in one array, so a file's cut never depends on how they are spread
-    lines = to_records(pages, id_col, url_col, payload_col).select(F.array_join("records", CRLF + CRLF).alias("value"))
-    lines.write.option("compression", "gzip").option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", CAPTURES_PER_FILE).text(path)
+    with scratch(pages.sparkSession):
+        sizes = page_sizes(pages, id_col, payload_col)
+        group = F.lit(len(SIZES))
+        for k in range(len(SIZES) - 1, -1, -1):
+            group = F.when(F.col("bytes") <= SIZES[k], F.lit(k)).otherwise(group)
+        there = sorted(r["k"] for r in sizes.select(group.alias("k")).distinct().collect()) or [0]
+        for k in there:
+            limits = (SIZES[k - 1] if k else -1, SIZES[k] if k < len(SIZES) else 1 << 31)
+            # the three records of a capture stand in one array, so a file's cut never depends on how they are spread
+            lines = to_records(pages, id_col, url_col, payload_col, sizes, limits).select(F.array_join("records", CRLF + CRLF).alias("value"))
+            lines.write.option("compression", "gzip").option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", max(1, FILE_BYTES // limits[1])).text(f"{path}/size-{k}")
 
 
 RECORDS = "record_id string, record_type string, concurrent_to string, uri string, digest string, block binary, payload_bytes long, payload_sha1 string"
 
 
-def parse_records(data: bytes):
-    """(headers, block) of each record of an archive's bytes."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = dict(line.split(": ", 1) for line in data[at:end].decode().split(CRLF)[1:])
-        size = int(headers["Content-Length"])
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+def parse_records(archive):
+    """(headers, block) of each record of an archive, given as bytes or as an open binary file. Header names are lower-cased;
+    lines that start with a blank continue the one before."""
+    file = io.BytesIO(archive) if isinstance(archive, bytes) else archive
+    while line := file.readline():
+        if not line.strip():
+            continue  # the line ends that close a record
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record starts with {line[:40]!r}")
+        headers: dict[str, str] = {}
+        name = ""
+        while (line := file.readline()).strip(b"\r\n"):
+            text = line.decode("utf-8", "replace").rstrip("\r\n")
+            if text[0] in " \t" and name:
+                headers[name] += " " + text.strip()
+            else:
+                name, _, value = text.partition(":")
+                name = name.strip().lower()
+                headers[name] = value.strip()
+        size = int(headers["content-length"])
+        block = file.read(size)
+        if len(block) < size:
+            raise ValueError("the archive ends inside a record")
+        yield headers, block
+
+
+def _opened(content: bytes):
+    plain = io.BytesIO(content)
+    return io.BufferedReader(gzip.GzipFile(fileobj=plain), 1 << 20) if content[:2] == b"\x1f\x8b" else plain
 
 
 def read_warc(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
-    """The records of the archives in ``path``: headers, block (null unless ``blocks``), size and SHA-1 of the payload."""
+    """The records of the archives in the folder ``path`` and below: headers, block (null unless ``blocks``), size and SHA-1 of the
+    payload. A damaged archive is an error."""
+    types = [pa.string()] * 5 + [pa.binary(), pa.int64(), pa.string()]
+
+    def passed(out: list[list]):
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=["record_id", "record_type", "concurrent_to", "uri", "digest", "block", "payload_bytes", "payload_sha1"])
 
     def read(batches):
+        out, held = [[] for _ in types], 0
         for batch in batches:
             for content in batch.column("content"):
-                out = [[] for _ in range(8)]
-                for h, block in parse_records(zlib.decompress(content.as_py(), 31)):
-                    http = h.get("Content-Type", "").endswith("msgtype=response")
-                    payload = block[block.find(b"\r\n\r\n") + 4 :] if http else b""
+                for h, block in parse_records(_opened(content.as_py())):
+                    http = h["warc-type"] in ("response", "revisit") and h.get("content-type", "").startswith("application/http")
+                    payload = memoryview(block)[block.find(b"\r\n\r\n") + 4 :] if http else b""
                     row = (
-                        h["WARC-Record-ID"], h["WARC-Type"], h.get("WARC-Concurrent-To"), h.get("WARC-Target-URI"), h.get("WARC-Payload-Digest"),
+                        h["warc-record-id"], h["warc-type"], h.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-payload-digest"),
                         block if blocks or not http else None, len(payload), hashlib.sha1(payload).hexdigest() if http else None,
                     )
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, t) for v, t in zip(out, [pa.string()] * 5 + [pa.binary(), pa.int64(), pa.string()], strict=True)],
-                    names=["record_id", "record_type", "concurrent_to", "uri", "digest", "block", "payload_bytes", "payload_sha1"],
-                )
+                    held += 200 + len(row[5] or b"")
+                    if held > READ_BYTES:
+                        yield passed(out)
+                        out, held = [[] for _ in types], 0
+        yield passed(out)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).where("length > 0").select("content")
-    return files.mapInArrow(read, RECORDS)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").option("recursiveFileLookup", "true").load(path)
+    return files.where("length > 0").select("content").mapInArrow(read, RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -145,7 +205,14 @@ def roundtrip(pages: DataFrame, path: str | None = None, id_col: str = "page_id"
     Per page: ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``.
     """
     spark = pages.sparkSession
-    path = path or new_path(spark, "warc")
+    with scratch(spark):
+        if path is None:
+            path = new_path(spark, "warc")
+            note(path)
+        return _read_back(spark, pages, path, id_col, url_col, payload_col)
+
+
+def _read_back(spark: SparkSession, pages: DataFrame, path: str, id_col: str, url_col: str, payload_col: str) -> DataFrame:
     write_warc(pages, path, id_col, url_col, payload_col)
     captures = assemble(read_warc(spark, path, blocks=False))
     field = lambda name: F.nullif(F.regexp_extract(F.col("metadata.block").cast("string"), rf"(?m)^{name}: (-?\d*)", 1), F.lit("")).cast("long")
@@ -154,7 +221,7 @@ def roundtrip(pages: DataFrame, path: str | None = None, id_col: str = "page_id"
             field("pageId").alias("page_id"), field("refersToPageId").alias("refers_to"), F.col("response.record_type").alias("record_type"),
             F.col("response.payload_bytes").alias("n"), F.col("response.payload_sha1").alias("sha1"), F.regexp_replace("response.digest", "^sha1:", "").alias("digest"),
         ),
-        "warc-captures",
+        "warc-captures", keep=True,
     )
     whole = rows.where("record_type = 'response'").groupBy(F.col("sha1").alias("digest")).agg(F.max("n").alias("whole"))
     revisits = rows.where("record_type = 'revisit'").join(whole, "digest", "left")

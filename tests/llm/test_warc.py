@@ -31,7 +31,7 @@ def test_round_trip(spark, tmp_path):
         assert c.request.concurrent_to == c.metadata.concurrent_to == c.response.record_id == c.capture_id
         assert c.request.block.startswith(b"GET /") or c.request.block.startswith(b"GET  ") or c.request.block.startswith(b"GET")
         assert c.response.record_type == "revisit" or hashlib.sha1(c.response.block.split(b"\r\n\r\n", 1)[1]).hexdigest() == c.response.payload_sha1
-    data = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz"))
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").rglob("*.gz"))
     assert sum(1 for _ in W.parse_records(data)) == 3 * len(rows)
 
 
@@ -44,3 +44,34 @@ def test_assembly_without_some_records(spark):
 
 def test_empty_table(spark, tmp_path):
     assert W.roundtrip(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/w").count() == 0
+
+
+def _foreign(n, size):
+    for k in range(n):
+        block = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + bytes([65 + k % 26]) * size
+        yield (f"WARC/1.0\r\nwarc-type: response\r\nWARC-RECORD-ID: <urn:{k}>\r\nWARC-Target-URI: http://a.b/\r\n  {k}\r\ncontent-type: application/http; msgtype=response\r\ncontent-length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_foreign_archives(spark, tmp_path):
+    records = list(_foreign(40, 1000))
+    (tmp_path / "each.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "whole.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    got = W.read_warc(spark, str(tmp_path)).collect()
+    assert len(got) == 120 and {(r.record_id, r.uri, r.payload_bytes) for r in got} == {(f"<urn:{k}>", f"http://a.b/ {k}", 1000) for k in range(40)}
+    assert {r.payload_sha1 for r in got if r.record_id == "<urn:3>"} == {hashlib.sha1(b"D" * 1000).hexdigest()}
+
+
+def test_large_archive_is_read_in_pieces(spark, tmp_path, monkeypatch):
+    (tmp_path / "large.warc.gz").write_bytes(b"".join(map(gzip.compress, _foreign(60, 2 << 20))))
+    got = W.read_warc(spark, str(tmp_path), blocks=False)
+    assert got.agg({"payload_bytes": "sum"}).head()[0] == 60 * (2 << 20)
+
+
+def test_shuffled_digests(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "BROADCAST_DIGESTS", 0)
+    rows = [(k, "x" * 1500 if k % 2 else str(k % 40) * 1200) for k in range(200)] + [(None, "x" * 1500), (300, "y" * 300_000), (301, "y" * 300_000)]
+    for share in (1000, 3):
+        monkeypatch.setattr(W, "HOT_SHARE", share)
+        pages = spark.createDataFrame([(i, "http://a.b/", h) for i, h in rows], "page_id long, url string, html string")
+        assert sorted(map(tuple, W.roundtrip(pages, f"{tmp_path}/w{share}").collect()), key=str) == brute(rows)
