@@ -11,6 +11,7 @@ import html
 import random
 import re
 import zlib
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -21,12 +22,11 @@ from pyspark.sql import functions as F
 from cuewright.llm import tokens
 
 #: Elements whose content is never text of the page.
-_SKIPPED = "script|style|noscript|template|textarea|select|svg|iframe|object|title|head"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{_SKIPPED.replace('|head', '')})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|<[/!?][^>]*>",
-    re.S | re.I,
-)
+_SKIPPED = frozenset("script style noscript template textarea select svg iframe object title".split())
+_OPEN = re.compile(r"<(?:(?P<comment>!--)|(?P<cdata>!\[CDATA\[)|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]{0,63})|(?P<other>[/!?]))")
+#: The rest of a tag that has neither < nor > in its attributes.
+_PLAIN = re.compile(r"[^'\"<>]*+(?:(?:\"[^\"<>]*+\"|'[^'<>]*+')[^'\"<>]*+)*+>")
+_MARK = re.compile(r"[\"'>]")
 #: Elements that break the text into blocks.
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -37,14 +37,99 @@ _CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"},
 _VOID = {"hr"}
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
-PATH, WORDS, COUNTS = 48, 12, 6
+PATH, WORDS, COUNTS = 48, 32, 6
 INPUT, HIDDEN = PATH + WORDS + COUNTS, 16
+_NOWHERE = np.zeros(PATH, np.float32)
+#: Steps whose inputs are multiplied at once.
+_STEPS = 4_096
+
+
+class _Ends:
+    """Where tags of a page end: at the first > outside quotes. A place from which no end was found is remembered, so that all searches
+    together take time in proportion to the page."""
+
+    def __init__(self, page: str):
+        self.page, self.marks, self.dead = page, None, set()
+
+    def of(self, at: int) -> int:
+        """The place after the tag whose attributes start at ``at``; -1 if it never ends."""
+        if m := _PLAIN.match(self.page, at):
+            return m.end()
+        if self.marks is None:
+            self.marks = [m.start() for m in _MARK.finditer(self.page)]
+            self.next, last = [-1] * len(self.marks), {}
+            for k in range(len(self.marks) - 1, -1, -1):
+                sign = self.page[self.marks[k]]
+                self.next[k] = last.get(sign, -1)
+                last[sign] = k
+        k, seen = bisect_left(self.marks, at), []
+        while 0 <= k < len(self.marks) and k not in self.dead:
+            if self.page[self.marks[k]] == ">":
+                return self.marks[k] + 1
+            seen.append(k)
+            k = self.next[k] + 1 or -1
+        self.dead.update(seen)
+        return -1
+
+
+def tokens_of(page: str):
+    """(place, end, tag or None, whether it closes, attributes) of each piece of markup. An unfinished tag is text."""
+    ends, at, last = _Ends(page), 0, page.rfind(">")
+    while m := _OPEN.search(page, at):
+        start, tag = m.start(), m["tag"]
+        if m["comment"] or m["cdata"]:
+            close = "-->" if m["comment"] else "]]>"
+            at = page.find(close, m.end())
+            at = len(page) if at < 0 else at + 3
+            yield start, at, None, False, ""
+            continue
+        if start > last:  # no tag ends any more
+            at = m.end()
+            continue
+        end = ends.of(m.end()) if tag else -1
+        if end < 0 and (m["other"] or m["end"]):
+            end = page.find(">", m.end()) + 1 or -1
+            tag = None
+        if end < 0:
+            at = start + 1
+            continue
+        at = end
+        if tag and not m["end"] and tag.lower() in _SKIPPED:
+            found = _closing(tag.lower()).search(page, end)
+            at = found.end() if found else len(page)
+            tag = None
+        yield start, at, tag, bool(m["end"]), page[m.end() : end - 1]
+
+
+@lru_cache(32)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>", re.I)
+
 
+class Node:
+    """An open element: its label, its parent and what the path down to it adds up to."""
 
-def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
-    """(tag path, text, share of link text) of each block with text, in page order. Null and empty pages have none."""
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, str]] = []
+    __slots__ = ("tag", "label", "parent", "depth", "vector", "below")
+
+    def __init__(self, tag: str, label: str, parent: Node | None):
+        self.tag, self.label, self.parent = tag, label, parent
+        self.depth = parent.depth + 1 if parent else 1
+        above, near = (parent.below, parent.vector) if parent else (_NOWHERE, _NOWHERE)
+        if label in ("html", "body"):
+            self.vector, self.below = near, above
+        else:
+            own = _label_vector(label)
+            self.vector, self.below = above + own, above + np.float32(0.7) * own
+
+    def path(self) -> tuple[str, ...]:
+        return (*(self.parent.path() if self.parent else ()), self.label)
+
+
+def leaf_blocks(page: str | None) -> list[tuple[Node | None, str, float]]:
+    """(innermost open element, text, share of link text) of each block with text, in page order. Null and empty pages have none."""
+    out: list[tuple[Node | None, str, float]] = []
+    stack: list[Node] = []
+    open_tags: dict[str, int] = {}
     parts: list[str] = []
     linked: list[str] = []
     in_link, at, hidden = False, 0, 0
@@ -55,42 +140,45 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text and not hidden:
                 share = len("".join(linked)) / max(1, len("".join(parts)))
-                out.append((tuple(s[1] for s in stack), text, min(1.0, share)))
+                out.append((stack[-1] if stack else None, text, min(1.0, share)))
             parts.clear()
             linked.clear()
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+    def pop() -> Node:
+        open_tags[stack[-1].tag] -= 1
+        return stack.pop()
+
+    for start, end, tag, closes, attrs in tokens_of(page):
+        if start > at:
+            parts.append(page[at:start])
             if in_link:
                 linked.append(parts[-1])
-        at = m.end()
-        tag = m["tag"]
+        at = end
         if tag is None:
             continue
         tag = tag.lower()
         if tag == "a":
-            in_link = not m["end"]
+            in_link = not closes
         elif tag == "br":
             parts.append(" ")
         elif tag == "head":
             flush()
-            hidden = 0 if m["end"] else 1
+            hidden = 0 if closes else 1
         elif tag in _BLOCK:
             flush()
             if tag == "body":
                 hidden = 0
-            if m["end"]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+            if closes:
+                if open_tags.get(tag):
+                    while pop().tag != tag:
+                        pass
             else:
-                closes = _CLOSES.get(tag, {"p"})
-                while stack and stack[-1][0] in closes:
-                    stack.pop()
+                above = _CLOSES.get(tag, {"p"})
+                while stack and stack[-1].tag in above:
+                    pop()
                 if tag not in _VOID:
-                    stack.append((tag, _label(tag, m["attrs"])))
+                    stack.append(Node(tag, _label(tag, attrs), stack[-1] if stack else None))
+                    open_tags[tag] = open_tags.get(tag, 0) + 1
     if at < len(page):
         parts.append(page[at:])
     flush()
@@ -105,25 +193,23 @@ def _label(tag: str, attrs: str) -> str:
     return " ".join(names)
 
 
-@lru_cache(1 << 16)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
+@lru_cache(1 << 14)
+def _label_vector(label: str) -> np.ndarray:
     v = np.zeros(PATH, np.float32)
-    for depth, label in enumerate(reversed([p for p in path if p not in ("html", "body")])):
-        for k, name in enumerate(label.split(" ")):
-            name = name.partition(":")[2] if k else name  # a tag nav and a class nav say the same
-            h = zlib.crc32(name.encode("utf-8", "surrogatepass"))
-            weight = 1.0 if depth == 0 else 0.7
-            for shift in (0, 8, 16):
-                v[(h >> shift) % PATH] += weight * (1 if h >> (24 + shift // 8) & 1 else -1)
+    for k, name in enumerate(label.split(" ")):
+        name = name.partition(":")[2] if k else name  # a tag nav and a class nav say the same
+        h = zlib.crc32(name.encode("utf-8", "surrogatepass"))
+        for shift in (0, 8, 16):
+            v[(h >> shift) % PATH] += 1 if h >> (24 + shift // 8) & 1 else -1
     return v
 
 
-def vectors(blocks: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
+def vectors(blocks: list[tuple[Node | None, str, float]]) -> np.ndarray:
     """Input vectors of blocks (of any number of pages, one after the other)."""
     x = np.zeros((len(blocks), INPUT), np.float32)
     if not blocks:
         return x
-    x[:, :PATH] = np.stack([_path_vector(b[0]) for b in blocks])
+    x[:, :PATH] = np.stack([b[0].vector if b[0] else _NOWHERE for b in blocks])
     data, offsets = tokens.column_bytes(pa.array([b[1] for b in blocks], pa.large_string()))
     starts, ends = tokens.space_tokens(data, offsets)
     h = tokens.run_hashes(tokens.lower(data), starts, ends)
@@ -133,7 +219,7 @@ def vectors(blocks: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
     words = np.bincount(block * WORDS + (h % np.uint64(WORDS)).astype(np.int64), sign, len(blocks) * WORDS).reshape(-1, WORDS)
     x[:, PATH : PATH + WORDS] = np.clip(words / np.sqrt(n)[:, None], -2, 2)
     dots = np.add.reduceat(np.isin(data, (33, 44, 46, 63)), offsets[:-1]) if len(data) else np.zeros(len(blocks))
-    for k, column in enumerate((np.log1p(n) / 3, [b[2] for b in blocks], dots / n, np.minimum([len(b[0]) for b in blocks], 12) / 6, n < 4, n > 25)):
+    for k, column in enumerate((np.log1p(n) / 3, [b[2] for b in blocks], dots / n, np.minimum([b[0].depth if b[0] else 0 for b in blocks], 12) / 6, n < 4, n > 25)):
         x[:, PATH + WORDS + k] = column
     return x
 
@@ -154,12 +240,12 @@ class BiLstm:
 
     def _run(self, x: np.ndarray, d: str, keep: list | None) -> np.ndarray:
         steps, many, _ = x.shape
-        gates = x.reshape(-1, INPUT) @ self.p["x" + d] + self.p["c" + d]
-        gates = gates.reshape(steps, many, 4 * HIDDEN)
         h = c = np.zeros((many, HIDDEN), np.float32)
         out = np.empty((steps, many, HIDDEN), np.float32)
         for t in range(steps):
-            a = gates[t] + h @ self.p["h" + d]
+            if t % _STEPS == 0:
+                gates = x[t : t + _STEPS] @ self.p["x" + d] + self.p["c" + d]
+            a = gates[t % _STEPS] + h @ self.p["h" + d]
             s = 1 / (1 + np.exp(-np.clip(a[:, : 3 * HIDDEN], -30, 30)))
             i, f, o = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :]
             g = np.tanh(a[:, 3 * HIDDEN :])
