@@ -1,25 +1,27 @@
 """Exact deduplication as a stateful stream.
 
-A stream of landed rows feeds an aggregation keyed by content digest. Its state lives in RocksDB, on disk, has
-no watermark and so never expires; for each digest it holds the row that stays (stable identifier and
-content locator) and the number of rows seen. Rows that hit a digest seen before are compared with the kept
-row's full bytes, so that a digest collision never merges different texts.
+A stream of landed rows, in several micro-batches, feeds an aggregation keyed by content digest. Its state lives in RocksDB, on disk,
+has no watermark and so never expires; for each digest it holds the row that stays (stable identifier and content locator) and the
+number of rows seen. Rows that hit a digest seen before are compared with the kept row's full bytes, so that a digest collision
+never merges different texts.
 """
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import materialise, new_path, text_or_empty
+from cuewright.llm.common import bytes_of, join_hot, materialise, new_path, note, scratch, text_or_empty
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Runs of white space other than one blank: replacing these alone gives the same text as replacing all runs.
 RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
-#: Row locators of hits are sent to all tasks up to this many (8 bytes each); beyond it the texts are shuffled.
-BROADCAST_HITS = 2_000_000
+#: Micro-batches that the landed rows make up, about.
+BATCHES = 4
+#: Row locators of hits are sent to all tasks up to this many (two longs each); beyond it the texts are shuffled.
+BROADCAST_HITS = 1_000_000
+#: Rows that are compared with one copy of a kept row's bytes.
+COMPARED = 256
 
 
 def normalised(text: str | Column) -> Column:
@@ -31,16 +33,6 @@ def sha256_digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
 def keyed_state(records: DataFrame) -> DataFrame:
     """The stateful operator on a stream (or batch) of (digest, id, rid, locator) rows.
 
@@ -53,24 +45,23 @@ def keyed_state(records: DataFrame) -> DataFrame:
     )
 
 
-def run_stream(records: DataFrame, name: str = "dedup") -> DataFrame:
-    """Run the stream over all that is there now and return the last state of each digest."""
-    spark = records.sparkSession
-    out = new_path(spark, f"{name}-state")
+def run_stream(spark: SparkSession, landed: str, schema, records, batches: int = BATCHES, name: str = "dedup") -> DataFrame:
+    """Run the stream over the table at ``landed``, made into records by ``records``, and return the last state of each digest."""
+    out, log = new_path(spark, f"{name}-state"), new_path(spark, f"{name}-log")
+    note(out), note(log)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/batch={number}")
 
-    state = keyed_state(records)
-    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB), _setting(spark, "spark.sql.streaming.stateStore.unloadOnCommit", "true"):
-        query = (
-            state.writeStream.outputMode("update")
-            .option("checkpointLocation", new_path(spark, f"{name}-log"))
-            .trigger(availableNow=True)
-            .foreachBatch(keep)
-            .start()
-        )
-        query.awaitTermination()
+    own = spark.newSession()  # the state store's settings hold for this stream alone
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    own.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
+    share = max(1, -(-bytes_of(spark, landed) // batches))
+    state = keyed_state(records(own.readStream.schema(schema).option("maxBytesPerTrigger", share).parquet(landed)))
+    query = state.writeStream.outputMode("update").option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(keep).start()
+    query.awaitTermination()
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema.fields)
     if not query.lastProgress:  # no rows at all
         return spark.createDataFrame([], kinds)
@@ -78,7 +69,7 @@ def run_stream(records: DataFrame, name: str = "dedup") -> DataFrame:
     return found.groupBy("digest").agg(F.max_by(F.struct("first", "group_size"), "batch").alias("last")).select("digest", "last.*")
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_digest, carry: bool = False, max_files: int | None = None) -> DataFrame:
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_digest, carry: bool = False, batches: int = BATCHES) -> DataFrame:
     """One row per document: ``row`` (the input's columns, all with ``carry``, else identifier and text),
     ``rid``, ``digest``, ``keep_id``, ``group_size`` and ``kept``.
 
@@ -86,42 +77,33 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     repeat an identifier the first landed). Null text counts as empty. An empty table gives no rows. The
     input's columns stay inside ``row``, so their names can't clash.
     """
+    with scratch(docs.sparkSession):
+        return _assign(docs, id_col, text_col, digest, carry, batches)
+
+
+def _assign(docs: DataFrame, id_col: str, text_col: str, digest, carry: bool, batches: int) -> DataFrame:
     spark = docs.sparkSession
     columns = docs.columns if carry else list(dict.fromkeys([id_col, text_col]))
-    landed = materialise(
-        docs.select(
-            F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
-            digest(normalised(text_col)).alias("digest"),
-            F.monotonically_increasing_id().alias("rid"),
-        ),
-        "dedup-landed",
-    )
-    path = landed.inputFiles()[0].rsplit("/", 1)[0] if landed.inputFiles() else None
-    if path is None:
-        raise RuntimeError("the landed table has no files")
-    stream = spark.readStream.schema(landed.schema)
-    if max_files:
-        stream = stream.option("maxFilesPerTrigger", max_files)
-    records = stream.parquet(path).select(
-        "digest", F.col(f"row.`{id_col}`").alias("id"), "rid", F.struct(F.octet_length(text_or_empty(F.col(f"row.`{text_col}`"))).alias("n_bytes"), "rid").alias("locator")
-    )
-    state = run_stream(records)
-    narrow = landed.select("rid", "digest")
-    keyed = materialise(
-        narrow.join(state, "digest").select("rid", "digest", F.col("first.id").alias("keep_id"), F.col("first.rid").alias("keep_rid"), "group_size"), "dedup-keyed"
-    )
-    hits = keyed.where("group_size > 1").select("rid", "keep_rid", "digest")
+    path = new_path(spark, "dedup-landed")
+    note(path, keep=True)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), digest(normalised(text_col)).alias("digest"), F.monotonically_increasing_id().alias("rid"))
+    rows.write.option("compression", "zstd").parquet(path)
+    landed = spark.read.schema(rows.schema).parquet(path)
+    own_id, own_text = F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")
+    state = run_stream(spark, path, rows.schema, lambda r: r.select("digest", own_id.alias("id"), "rid", F.struct(F.octet_length(text_or_empty(own_text)).alias("n_bytes"), "rid").alias("locator")), batches)
+    state = materialise(state.select("digest", F.col("first.id").alias("keep_id"), F.col("first.rid").alias("keep_rid"), "group_size", F.col("group_size").alias("times")), "dedup-last")
+    keyed = materialise(join_hot(landed.select("rid", "digest"), state, "digest", "times", landed.count()), "dedup-keyed", keep=True)
+    hits = keyed.where("group_size > 1").select("rid", "keep_rid", "group_size")
     side = F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits
-    texts = landed.select("rid", normalised(F.col(f"row.`{text_col}`")).alias("content")).join(side, "rid")
-    kept = texts.where("rid = keep_rid").select("keep_rid", F.col("content").alias("kept_content"))
-    differ = materialise(
-        texts.where("rid <> keep_rid").join(kept, "keep_rid").where("content <> kept_content").select("rid", "digest", "keep_rid", "content"), "dedup-collisions"
-    )
+    # a large group's kept bytes meet its hits in several tasks
+    parts = F.ceil(F.col("group_size") / COMPARED)
+    texts = landed.select("rid", normalised(own_text).alias("content")).join(side, "rid").withColumn("parts", parts)
+    kept = texts.where("rid = keep_rid").select("keep_rid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("content").alias("kept_content"))
+    asked = texts.where("rid <> keep_rid").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")))
+    differ = materialise(asked.join(kept, ["keep_rid", "part"]).where("content <> kept_content").select("rid", "keep_rid", "content").join(keyed.select("rid", "digest"), "rid"), "dedup-collisions")
     if not differ.isEmpty():
-        keyed = _split_collisions(keyed, differ, landed.select("rid", F.col(f"row.`{id_col}`").alias("id")))
-    return landed.select("row", "rid").join(keyed, "rid").withColumn("kept", F.col("rid") == F.col("keep_rid")) if carry else (
-        landed.select(F.col(f"row.`{id_col}`").alias("id"), "rid").join(keyed, "rid").withColumn("kept", F.col("rid") == F.col("keep_rid"))
-    )
+        keyed = materialise(_split_collisions(keyed, differ, landed.select("rid", own_id.alias("id"))), "dedup-split", keep=True)
+    return landed.select(*(["row"] if carry else [own_id.alias("id")]), "rid").join(keyed, "rid").withColumn("kept", F.col("rid") == F.col("keep_rid"))
 
 
 def _split_collisions(keyed: DataFrame, differ: DataFrame, ids: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def test_report_equals_brute_force(spark, weak):
     docs = spark.createDataFrame([(*x, "k") for x in rows], "doc_id long, text string, kept string").coalesce(2)
     digest = (lambda t: F.crc32(t.cast("binary")) % 3) if weak else X.sha256_digest
     kwargs = {} if not weak else {"digest": lambda t: digest(t).cast("string")}
-    got = X.assign(docs, max_files=1, **kwargs).collect()
+    got = X.assign(docs, batches=3, **kwargs).collect()
     groups = {}
     for i, t in rows:
         groups.setdefault(norm(t), []).append(i)
@@ -46,3 +46,16 @@ def test_shuffled_hits_and_empty_table(spark, monkeypatch):
     docs = spark.createDataFrame([(2, "a b"), (1, "a  b"), (3, "c")], "doc_id long, text string")
     assert sorted((r.doc_id, r.keep_id, r.kept) for r in X.exact_duplicates(docs).collect()) == [(1, 1, True), (2, 1, False), (3, 3, True)]
     assert X.exact_duplicates(docs.limit(0)).count() == 0
+
+
+def test_hot_groups_and_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(X, "COMPARED", 2)
+    rows = [(k, "same  text" if k % 3 else f"own {k % 50}") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in X.exact_duplicates(docs).collect()}
+    first = {}
+    for i, t in rows:
+        first.setdefault(t, []).append(i)
+    assert got == {i: (first[t][0], len(first[t])) for i, t in rows}
+    few = docs.where("doc_id < 20")
+    assert X.assign(few, batches=20, digest=lambda t: F.lit("one")).where("kept").count() == len({t for _, t in rows[:20]})
