@@ -16,12 +16,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import materialise
+from cuewright.llm.common import join_hot, materialise, scratch
 
 RADIUS, WORDS, SEED = 3, 3, 42
 #: Distinct fingerprints on the driver at most, to choose vantage points.
 SAMPLE = 20_000
-#: Fingerprints that a shard should hold, and visits that one task of a shard should take.
+#: Fingerprints that a shard should hold, and visits that one task of a shard should take. The sample makes no more than ``MAX_SHARDS``
+#: shards; beyond that, a shard's fingerprints are dealt out to several tasks as well.
 SHARD_ROWS, VISITS = 16_384, 100_000
 MAX_SHARDS = 4_096
 LEAF = 256
@@ -191,17 +192,19 @@ def shard_links(data: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node reachable, for every node of ``links`` (a, b). Labels spread through tables until none changes."""
+    """(node, label): the smallest node reachable, for every node of ``links`` (a, b). Labels spread through tables until none changes.
+    Nodes with very many links are joined without a shuffle."""
     both = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "cc-links")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")), "cc-labels")
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"), F.count(F.lit(1)).alias("links")).select("node", F.least("node", "label").alias("label"), "links"), "cc-labels")
+    total, nodes = both.count(), labels.count()
     while True:
-        heard = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        next_labels = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("mid"))
-        up = labels.select(F.col("node").alias("mid"), F.col("label").alias("up"))
-        labels = materialise(next_labels.join(up, "mid").select("node", F.least("mid", "up").alias("label"), "old"), "cc-labels")
+        heard = join_hot(both.select("a", F.col("b").alias("node")), labels, "node", "links", total).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
+        heard = materialise(labels.join(heard, "node").select("node", "links", F.col("label").alias("old"), F.least("label", "heard").alias("mid")), "cc-heard")
+        up = labels.select(F.col("node").alias("mid"), F.col("label").alias("up")).join(heard.groupBy("mid").agg(F.count(F.lit(1)).alias("times")), "mid")
+        labels = materialise(join_hot(heard, up, "mid", "times", nodes).select("node", F.least("mid", "up").alias("label"), "old", "links"), "cc-labels")
         if labels.where("label <> old").isEmpty():
             return labels.select("node", "label")
-        labels = labels.select("node", "label")
+        labels = labels.drop("old")
 
 
 def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -220,17 +223,20 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fps[rows].view(np.int64)), pa.array(home)], names=["shard", "fp", "home"])
 
     visits = materialise(distinct.select("fp").mapInArrow(routed, "shard int, fp long, home boolean"), "vp-visits")
-    salts = visits.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / VISITS).cast("int").alias("salts"))  # MAX_SHARDS rows at most
-    salted = visits.join(F.broadcast(salts), "shard")
-    asks = salted.select("shard", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int").alias("salt"), "fp", F.lit(False).alias("data"))
-    data = salted.where("home").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "fp", F.lit(True).alias("data"))
+    # a shard's visits, and its fingerprints where there are too many, are dealt out: each part of the ones meets each part of the others
+    parts = visits.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / VISITS).cast("int").alias("asks"), F.greatest(F.lit(1), F.ceil(F.count_if("home") / (2 * SHARD_ROWS))).cast("int").alias("holds"))
+    dealt = visits.join(F.broadcast(parts), "shard")  # MAX_SHARDS rows at most
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n, seed: F.pmod(F.xxhash64("fp", F.lit(seed)), F.col(n)).cast("int")
+    asks = dealt.select("shard", part("asks", 1).alias("ask"), upto("holds").alias("hold"), "fp", F.lit(False).alias("data"))
+    data = dealt.where("home").select("shard", upto("asks").alias("ask"), part("holds", 2).alias("hold"), "fp", F.lit(True).alias("data"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         fps, own = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["data"].to_numpy(bool)
         a, b = shard_links(np.sort(fps[own]), np.sort(fps[~own]), radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return materialise(asks.unionByName(data).groupBy("shard", "salt").applyInPandas(search, "a long, b long"), "vp-links")
+    return materialise(asks.unionByName(data).groupBy("shard", "ask", "hold").applyInPandas(search, "a long, b long"), "vp-links")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, rid_col: str | None = None) -> DataFrame:
@@ -240,15 +246,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``keep_rid`` its row, the first where rows repeat it. Null and empty texts have fingerprint 0 and link
     like any other. An empty table gives no rows; other columns of the input aren't read.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col, words, rid_col), "simhash")
-    first = lambda: F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid"))
-    distinct = materialise(prints.groupBy("fp").agg(first().alias("first")), "simhash-distinct")
-    groups = materialise(components(near_links(distinct, radius)), "simhash-groups")
-    roots = distinct.join(groups, distinct["fp"] == groups["node"]).select("fp", "label", "first")
-    best = roots.groupBy("label").agg(F.min("first").alias("best"))
-    moved = roots.select("fp", "label").join(best, "label").select("fp", "best")
-    by_print = distinct.join(moved, "fp", "left").select("fp", F.coalesce("best", "first").alias("best"))
-    return prints.join(by_print, "fp").select("id", "rid", "fp", F.col("best.id").alias("component_id"), F.col("best.rid").alias("keep_rid"))
+    with scratch(docs.sparkSession):
+        prints = materialise(fingerprints(docs, id_col, text_col, words, rid_col), "simhash", keep=True)
+        first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid"))
+        distinct = materialise(prints.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("rows")), "simhash-distinct")
+        groups = components(near_links(distinct, radius))
+        roots = distinct.join(groups, distinct["fp"] == groups["node"]).select("fp", "label", "first")
+        best = roots.groupBy("label").agg(F.min("first").alias("best"))
+        moved = roots.select("fp", "label").join(best, "label").select("fp", "best")
+        by_print = materialise(distinct.join(moved, "fp", "left").select("fp", F.coalesce("best", "first").alias("best"), "rows"), "simhash-best", keep=True)
+    return join_hot(prints, by_print, "fp", "rows", prints.count()).select("id", "rid", "fp", F.col("best.id").alias("component_id"), F.col("best.rid").alias("keep_rid"))
 
 
 def simhash_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
