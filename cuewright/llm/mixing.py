@@ -13,10 +13,11 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import SPACE, materialise, text_or_empty
+from cuewright.llm.common import SPACE, materialise, scratch, text_or_empty
 
-#: Seeded order: documents fall into this many buckets by hash; only the bucket at the border is sorted.
-BUCKETS = 16_384
+#: Seeded order: documents go by hash, then text and row, cut into levels of so many bits. A level finds the bucket in which a
+#: pattern's border lies; the next only looks into that bucket, until it holds so few rows that one task may sort them.
+BITS, SORTED = 14, 10_000
 
 
 def word_count(text: str | Column) -> Column:
@@ -95,9 +96,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first source, ``taken``: words the mix takes, a multiple of ``size`` and at most ``most`` times it.
 
     ``sources`` is a column of strings or of string arrays; a null source is a source of its own (the last). Empty
-    texts have size 0 and are never taken; ties go by hash, identifier and row. The input's other columns aren't
-    read, so their names can't clash. An empty table gives no rows. The same input and seed give the same mix.
+    texts have size 0 and are never taken; ties go by hash, then by text. The input's other columns aren't
+    read, so their names can't clash. An empty table gives no rows. The same input and seed give the same mix (rows that
+    share identifier and text may change places).
     """
+    with scratch(docs.sparkSession):
+        return _mix(docs, id_col, text_col, sources, weights, share, most, seed)
+
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, sources: str | Column, weights, share: Fraction, most: int, seed: int) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.select(F.col(sources) if isinstance(sources, str) else sources).schema[0].dataType.typeName()
     source = F.col(sources) if isinstance(sources, str) else sources
@@ -106,9 +113,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = materialise(
         docs.select(
             F.col(id_col).alias("id"), members.alias("members"), word_count(text_col).alias("size"),
-            F.conv(F.substring(key, 1, 12), 16, 10).cast("long").alias("u"), F.monotonically_increasing_id().alias("rid"),
+            F.conv(F.substring(key, 1, 12), 16, 10).cast("long").alias("u"), F.xxhash64(text_col).alias("t"), F.monotonically_increasing_id().alias("rid"),
         ),
-        "mix-sizes",
+        "mix-sizes", keep=True,
     )
     patterns = {tuple(r["members"]): r["n"] for r in base.groupBy("members").agg(F.sum("size").alias("n")).collect()}
     sizes: dict = {}
@@ -130,26 +137,46 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def _levels() -> list[Column]:
+    """The seeded order as numbers of ``BITS`` bits, the most telling first: 48 bits of hash, 64 of text, 64 of row."""
+    out = []
+    for column, bits in (("u", 48), ("t", 64), ("rid", 64)):
+        for shift in range(bits - BITS, -BITS, -BITS):
+            value = F.shiftrightunsigned(column, shift) if shift > 0 else F.col(column)
+            out.append(value.bitwiseAND(F.lit((1 << (BITS if shift > 0 else BITS + shift)) - 1)))
+    return out
+
+
 def _select(planned: DataFrame) -> DataFrame:
     """Add ``extra``: 1 for the documents, in seeded order, whose sizes make up ``rest`` of their pattern."""
-    span = (1 << 48) // BUCKETS
-    rows = planned.withColumn("bucket", F.floor(F.col("u") / span))
-    sums = rows.groupBy("pattern", "bucket", "rest").agg(F.sum("size").alias("n"))
-    upto = sums.withColumn("end", F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket")))
-    border = upto.where("end - n <= rest and end > rest").groupBy("pattern").agg(F.min(F.struct("bucket", (F.col("end") - F.col("n")).alias("start"))).alias("b"))
-    border = materialise(border.select("pattern", F.col("b.bucket").alias("border"), (F.col("b.start")).alias("start")), "mix-border")
-    edge = rows.join(F.broadcast(border), "pattern").where("bucket = border")
-    edge = edge.withColumn("upto", F.col("start") + F.sum("size").over(Window.partitionBy("pattern").orderBy("u", "id", "rid").rowsBetween(Window.unboundedPreceding, 0)))
-    edge = materialise(edge.where("upto <= rest").select("pattern", "rid", "upto"), "mix-edge")
-    full = border.join(edge.groupBy("pattern").agg(F.max("upto").alias("upto")), "pattern", "left").select("pattern", "border", F.coalesce("upto", "start").alias("filled"))
-    inside = rows.join(F.broadcast(full), "pattern", "left").join(F.broadcast(edge.select("rid", F.lit(1).alias("at_edge"))), "rid", "left")
-    inside = inside.withColumn("in_prefix", (F.col("rest") > 0) & (F.col("border").isNull() | (F.col("bucket") < F.col("border")) | F.col("at_edge").isNotNull()))
+    levels = _levels()
+    rows = planned.withColumn("place", F.array(*levels))
+    inside, border, depth = rows.where("rest > 0"), None, 0
+    while depth < len(levels):  # nearly always one or two levels
+        own = inside if border is None else inside.join(F.broadcast(border), "pattern").where(F.slice("place", 1, depth) == F.col("upto_here"))
+        own = own.withColumn("start", F.lit(0).cast("long") if border is None else F.col("start"))
+        sums = own.groupBy("pattern", "rest", "start", F.get("place", F.lit(depth)).alias("bucket")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"), F.first(F.slice("place", 1, depth + 1)).alias("upto_here"))
+        ends = sums.withColumn("end", F.col("start") + F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket")))  # 2 ** BITS rows a pattern at most
+        at = ends.where("end > rest").groupBy("pattern").agg(F.min_by(F.struct("upto_here", (F.col("end") - F.col("n")).alias("start"), "rows"), "bucket").alias("b"))
+        border = materialise(at.select("pattern", "b.*"), "mix-border")  # a row a pattern
+        depth += 1
+        if border.where(F.col("rows") > SORTED).isEmpty():
+            break
+    border = materialise(border.drop("rows"), "mix-at", keep=True)
+    edge = rows.join(F.broadcast(border), "pattern").where(F.slice("place", 1, depth) == F.col("upto_here"))
+    edge = edge.withColumn("upto", F.col("start") + F.sum("size").over(Window.partitionBy("pattern").orderBy("u", "t", "rid").rowsBetween(Window.unboundedPreceding, 0)))
+    edge = materialise(edge.where("upto <= rest").select("pattern", "rid", "upto"), "mix-edge", keep=True)
+    full = border.join(edge.groupBy("pattern").agg(F.max("upto").alias("upto")), "pattern", "left").select("pattern", "upto_here", F.coalesce("upto", "start").alias("filled"))
+    at_edge = F.broadcast(edge.select("rid", F.lit(1).alias("at_edge")))  # SORTED rows a pattern at most
+    inside = rows.join(F.broadcast(full), "pattern", "left").join(at_edge, "rid", "left")
+    # every row that isn't past the border's bucket: arrays go by their first numbers
+    inside = inside.withColumn("in_prefix", (F.col("rest") > 0) & (F.col("upto_here").isNull() | (F.slice("place", 1, depth) < F.col("upto_here")) | F.col("at_edge").isNotNull()))
     gap = F.col("rest") - F.col("filled")
     # one more document closes the gap that whole documents leave: the one whose size is nearest to it
     last = (
         inside.where(~F.col("in_prefix") & (F.col("rest") > 0) & (F.abs(gap - F.col("size")) < gap))
         .groupBy("pattern")
-        .agg(F.min(F.struct(F.abs(gap - F.col("size")), "u", "id", "rid")).alias("m"))
+        .agg(F.min(F.struct(F.abs(gap - F.col("size")), "u", "t", "rid")).alias("m"))
         .select(F.col("m.rid").alias("rid"), F.lit(1).alias("fits"))
     )
-    return inside.join(F.broadcast(materialise(last, "mix-last")), "rid", "left").withColumn("extra", (F.col("in_prefix") | F.col("fits").isNotNull()).cast("long"))
+    return inside.join(F.broadcast(materialise(last, "mix-last", keep=True)), "rid", "left").withColumn("extra", (F.col("in_prefix") | F.col("fits").isNotNull()).cast("long"))
