@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.llm import tokens
-from cuewright.llm.common import crc_mod, materialise
+from cuewright.llm.common import crc_mod, materialise, scratch
 
 #: Token buckets, vector length, non-zero entries of an index vector, neighbours on each side.
 BUCKETS, SIZE, NONZERO, REACH = 8_192, 32, 2, 2
 BLOCK = 64
-#: Labelled documents learnt from at most, chosen by hash.
+#: Labelled documents learnt from, about, where there are more: chosen by hash.
 MAX_LABELLED = 20_000
 FEATURES = 2 * SIZE + 4
 _R = np.random.default_rng(20240101)
@@ -157,7 +157,7 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 24, steps: int = 1500, see
     return net
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rid_col: str | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rid_col: str | None = None, label_id_col: str | None = None) -> DataFrame:
     """(id, rid, held_out, score) per row of ``docs``.
 
     Labels of rows whose crc32(id as text) mod 3 is 1 are never learnt from; null labels aren't either, and of a document
@@ -174,7 +174,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("rid"), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "rid", "x"])
 
     features = materialise(rows.select(F.col("id").cast("long").alias("id"), "rid", "text").mapInArrow(pool, "id long, rid long, x binary"), "quality-features")
-    net = _fit(spark, features, labels, id_col, label_col)
+    net = _fit(spark, features, labels, label_id_col or id_col, label_col)
 
     def score(x: pd.Series) -> pd.Series:
         if not len(x):
@@ -186,9 +186,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def _fit(spark: SparkSession, features: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Network:
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
-    known = known.where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1).groupBy("id").agg(F.min("y").alias("y"))
-    sample = features.join(known, "id").groupBy("id").agg(F.min("x").alias("x"), F.first("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED).collect()
+    known = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id is not null and y is not null")
+    known = known.where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1)
+    known = known.groupBy("id").agg(F.min("y").alias("y"))
+    total = known.count()
+    if total > MAX_LABELLED:  # an even share by hash, so that no task sends more than its part
+        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < (MAX_LABELLED << 40) // total)
+    sample = features.join(known, "id").groupBy("id").agg(F.min("x").alias("x"), F.first("y").alias("y")).collect()
+    sample.sort(key=lambda r: r["id"])
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in sample), np.float16).reshape(len(sample), FEATURES)
     return train(x, np.array([min(1, max(0, r["y"])) for r in sample], np.int64))
 
@@ -199,7 +204,9 @@ def score_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The documents with a score of ``least`` or more, with the input's own columns."""
-    landed = materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid")), "quality-landed")
-    flat = landed.select(F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{text_col}`").alias("text"), "rid")
-    keep = score_documents(flat, labels.withColumnRenamed(id_col, "id"), "id", "text", rid_col="rid").where(F.col("score") >= least).select("rid")
+    with scratch(docs.sparkSession):
+        landed = materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid")), "quality-landed", keep=True)
+        flat = landed.select(F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{text_col}`").alias("text"), "rid")
+        scored = score_documents(flat, labels, "id", "text", rid_col="rid", label_id_col=id_col)
+        keep = materialise(scored.where(F.col("score") >= least).select("rid"), "quality-keep", keep=True)
     return landed.join(keep, "rid", "left_semi").select("row.*")
