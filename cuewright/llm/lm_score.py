@@ -166,7 +166,9 @@ class Attention:
     def fresh(cls, before: Before, seed: int = 5) -> Attention:
         r = np.random.default_rng(seed)
         scale = {"e": 1.0, "t": D**-0.5, "r": 0.0, "w": 0.02, "u": 0.02}
-        return cls({k: (r.normal(0, 1, shape) * scale[k]).astype(np.float32) for k, shape in _SHAPES.items()}, before)
+        p = {k: (r.normal(0, 1, shape) * scale[k]).astype(np.float32) for k, shape in _SHAPES.items()}
+        p["t"][:, :KEY] *= np.float32(KEY**-0.5)
+        return cls(p, before)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in _SHAPES])
@@ -188,16 +190,16 @@ class Attention:
         x = table.take(rows.ravel(), axis=0).reshape(*rows.shape, -1)
         q, k, v, own = (x[..., a:b] for a, b in zip((0, *_CUTS), (*_CUTS, None), strict=True))
         s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(KEY**-0.5)
         s += np.where(_SEEN, self.p["r"][np.maximum(_LAG, 0)], -1e9).astype(s.dtype)
-        np.minimum(s, 60, out=s)
+        if s.max(initial=0) > 60:
+            np.minimum(s, 60, out=s)
         np.exp(s, out=s)
-        total = (s @ _ONES.astype(s.dtype))[..., None]
+        whole = 1 / (s @ _ONES.astype(s.dtype))[..., None]
         if keep is None:
             m = s @ v
-            m /= total
+            m *= whole
         else:
-            s /= total
+            s *= whole
             m = s @ v
             keep.update(q=q, k=k, v=v, s=s, m=m)
         h = own + m
@@ -259,7 +261,6 @@ class Attention:
         ds -= np.einsum("...i,...i->...", dx, keep["m"])[..., None]
         ds *= s
         dr = np.bincount(_LAG[_SEEN], ds.sum(0)[_SEEN], WINDOW)
-        ds *= np.float32(KEY**-0.5)
         d = np.empty((*rows.shape, 2 * KEY + 2 * STATE), dh.dtype)
         q, k, v, own = (d[..., a:b] for a, b in zip((0, *_CUTS), (*_CUTS, None), strict=True))
         np.matmul(ds, keep["k"], out=q)
@@ -312,7 +313,7 @@ class Classes:
         self.bias = np.log(np.maximum(mass, 1e-9) / mass.sum())
 
 
-def score_classes(cls: np.ndarray, offsets: np.ndarray, model: Attention, many: int = 256) -> np.ndarray:
+def score_classes(cls: np.ndarray, offsets: np.ndarray, model: Attention, many: int = 64) -> np.ndarray:
     """log10 probability of each text's sequence of classes; its last one is an end."""
     cls = cls.astype(np.int64)
     rows = np.concatenate((cls[-1:], cls[:-1]))  # the end of the text before starts the next

@@ -1,23 +1,40 @@
 """Ordered folds per recording (inventory H2, H6, H10, J3): each step depends on what was kept before.
 
-They run as grouped maps with loops of a few lines; a group is one recording's entries, tens to thousands of rows.
+They run as grouped maps with loops of a few lines. A group is a stretch of a recording between gaps across which rows can't affect
+each other, so a long recording is many groups.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _per_group(df: DataFrame, key: str, pick) -> DataFrame:
+#: Rows of a recording in one group, unless a longer stretch hangs together.
+ROWS = 10_000
+
+
+def _per_group(df: DataFrame, keys: list[str], pick) -> DataFrame:
     """Keep the rows that ``pick(pdf) -> positions`` chooses in each group."""
-    return df.groupBy(key).applyInPandas(lambda pdf: pdf.iloc[pick(pdf)], df.schema)
+    return df.groupBy(*keys).applyInPandas(lambda pdf: pdf.iloc[pick(pdf)], df.schema)
+
+
+def stretches(df: DataFrame, key: str, start: str, apart: Callable[[Column], Column], name: str = "stretch") -> DataFrame:
+    """Add a number that the rows of a stretch share: a new one may only start where ``apart`` holds for the time since the row before.
+    Short stretches in a row share a number, ``ROWS`` rows or little more."""
+    w = Window.partitionBy(key).orderBy(start)
+    fresh = F.coalesce(apart(F.col(start) - F.lag(start).over(w)), F.lit(True))
+    begun = F.max(F.when(F.col("__fresh"), F.col("__n"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumns({"__fresh": fresh, "__n": F.row_number().over(w)}).withColumn(name, F.floor(begun / ROWS)).drop("__fresh", "__n")
 
 
 def anchor_fold(df: DataFrame, key: str, window: float, start: str = "start_sec", priority: str = "priority", order: str = "ord") -> DataFrame:
     """Windowed priority dedup (H2, H6): by start, then priority, then order. A row less than ``window`` after the last kept
-    row goes, or takes its place, and moves the anchor, if its priority is strictly higher.
+    row goes, or takes its place, and moves the anchor, if its priority is strictly higher. A row ``window`` or more after the row before
+    it always stays, so stretches between such rows are folded apart.
 
     Rows with null starts must be left out before. Empty input gives no rows.
     """
@@ -36,7 +53,7 @@ def anchor_fold(df: DataFrame, key: str, window: float, start: str = "start_sec"
             last_start, last_priority = s, p
         return kept
 
-    return _per_group(df, key, pick)
+    return _per_group(stretches(df, key, start, lambda gap: gap >= window, "__stretch"), [key, "__stretch"], pick).drop("__stretch")
 
 
 def spaced_top(df: DataFrame, key: str, k: int, gap: int, index: str = "idx", score: str = "score") -> DataFrame:
@@ -52,7 +69,7 @@ def spaced_top(df: DataFrame, key: str, k: int, gap: int, index: str = "idx", sc
                 places.append(p)
         return kept
 
-    return _per_group(df, key, pick)
+    return _per_group(df, [key], pick)
 
 
 def overlay_names(tracks: DataFrame, scraped: DataFrame, key: str, window: float = 30.0, placeholder: float = 60.0) -> DataFrame:
@@ -80,6 +97,11 @@ def overlay_names(tracks: DataFrame, scraped: DataFrame, key: str, window: float
         return pd.DataFrame(own, columns=columns)
 
     # new columns: both sides may come from one table, and a cogroup confuses shared ones
+    own = tracks.select(*[F.col(c).alias(c) for c in (*columns, "ord")])
     listed = scraped.where("start_sec is not null").select(*[F.col(c).alias(c) for c in (key, "ord", "start_sec", "artist", "title", "source", "priority")])
-    out = tracks.groupBy(key).cogroup(listed.groupBy(key)).applyInPandas(merge, schema)
+    # an entry only names a track within the window, so nothing reaches across a longer gap in which neither starts
+    starts = own.select(key, "start_sec").unionByName(listed.select(key, "start_sec")).distinct()
+    part = stretches(starts, key, "start_sec", lambda gap: gap > window)
+    own, listed = (side.join(part, [key, "start_sec"]).select(*[F.col(c).alias(c) for c in (*side.columns, "stretch")]) for side in (own, listed))
+    out = own.groupBy(key, "stretch").cogroup(listed.groupBy(key, "stretch")).applyInPandas(merge, schema)
     return out.select(*[F.col(c) for c in columns])

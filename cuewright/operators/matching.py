@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewright.functions.text import fold_key, same_key, word_set
+from cuewright.functions.text import fold_key, same_key
 
 
 def cascade(matches: DataFrame, key: list[str], floor: float = 0.85, stage: str = "stage", rank: str = "pick_rank") -> DataFrame:
@@ -55,30 +53,6 @@ def upper_median_gate(scores: DataFrame, key: list[str], most: float = 0.80, mid
     return rows.where((F.col("best") >= most) & (F.col("median") >= middle))
 
 
-def sliding_similarity(query: Column, library: Column, early: float = 0.97) -> Column:
-    """struct(score, offset): best share of equal bits of 32-bit hash arrays over all alignments (H4); the first
-    alignment over ``early``, else the first best. Longer or empty queries give (0, 0)."""
-    q, n = F.size(query), F.size(library)
-    bits = lambda o: F.aggregate(F.zip_with(query, F.slice(library, o + 1, q), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
-    scores = F.transform(F.sequence(F.lit(0), n - q), lambda o: F.struct((1 - bits(o) / (q * 32)).alias("score"), (-o).alias("at")))
-    best = F.coalesce(F.get(F.filter(scores, lambda s: s["score"] > early), F.lit(0)), F.array_max(scores))
-    zero = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("at"))
-    out = F.when((q == 0) | (n == 0) | (q > n), zero).otherwise(best)
-    return F.struct(out["score"].alias("score"), (-out["at"]).alias("offset"))
-
-
-def token_overlap(queries: DataFrame, items: DataFrame, query_id: str, query_text: str, item_id: str, item_text: str, k: int) -> DataFrame:
-    """The ``k`` items that share most of a query's words (J12, M4, I5): shared words over the query's, ties by item."""
-    q = queries.select(query_id, word_set(query_text).alias("w")).withColumn("n", F.size("w"))
-    q = q.select(query_id, "n", F.explode("w").alias("word"))
-    d = items.select(item_id, F.explode(word_set(item_text)).alias("word"))
-    # words of the queries alone, so the items' other words are never shuffled; a query's items are counted before they are ranked
-    hits = d.join(q, "word").groupBy(query_id, item_id, "n").agg(F.count(F.lit(1)).alias("shared"))
-    scored = hits.withColumn("score", F.col("shared") / F.greatest(F.col("n"), F.lit(1)))
-    w = Window.partitionBy(query_id).orderBy(F.desc("score"), item_id)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, "rank", item_id, "score")
-
-
 def duration_factor(score: Column, duration: Column, least: float = 300.0) -> Column:
     """Short candidates count for less (M4)."""
     return score * F.when(duration < least, 0.6).otherwise(1.0)
@@ -153,12 +127,3 @@ def queue_state(jobs: DataFrame, group: str) -> DataFrame:
 def usage_stats(runs: DataFrame) -> DataFrame:
     """Number of runs, seconds and tracks (G1)."""
     return runs.agg(F.count(F.lit(1)).alias("total_runs"), F.coalesce(F.sum("duration"), F.lit(0.0)).alias("total_duration"), F.coalesce(F.sum("identified"), F.lit(0)).alias("total_tracks"))
-
-
-def union_all(*frames: DataFrame, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Bag union in a fixed order (L1): rows carry ``src_rank``, the number of their frame."""
-    ranked = [f.withColumn("src_rank", F.lit(i)) for i, f in enumerate(frames)]
-    out = ranked[0]
-    for f in ranked[1:]:
-        out = out.unionByName(f)
-    return first(out) if first else out

@@ -1,19 +1,21 @@
-"""Fingerprint search: sliding Hamming similarity of query hashes against a whole library (inventory H4, H5, J9, I2)."""
+"""Searches of small query sets against a whole library: sliding Hamming similarity of hashes (inventory H4, H5, J9, I2) and shared
+words (J12). Queries go to all tasks in blocks of bounded size."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Queries in one broadcast; more go in further passes over the library.
-BLOCK = 4_096
+from cuewright.functions.text import word_set
 
-
-def _matrix(column: pa.ListArray) -> list[np.ndarray]:
-    values, offsets = column.values.to_numpy(zero_copy_only=False).astype(np.uint32), column.offsets.to_numpy()
-    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+#: Hashes of queries in one broadcast (4 bytes each); more go in further passes over the library.
+BLOCK = 4 << 20
+#: Hashes of tracks that are compared at once.
+_CELLS = 1 << 18
 
 
 def best_alignment(query: np.ndarray, library: np.ndarray, early: float = 0.97) -> tuple[float, int]:
@@ -28,6 +30,39 @@ def best_alignment(query: np.ndarray, library: np.ndarray, early: float = 0.97)
     return float(scores[at]), at
 
 
+def padded(column: pa.ListArray):
+    """(rows, [row, place] hashes, lengths) of pieces of the column, rows of like length together."""
+    values, offsets = column.values.to_numpy(zero_copy_only=False).astype(np.uint32), column.offsets.to_numpy()
+    lengths = np.diff(offsets)
+    order = np.argsort(lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        own = order[at : at + max(1, _CELLS // max(1, int(lengths[order[min(len(order) - 1, at + 4096)]])))]
+        n = lengths[own]
+        out = np.zeros((len(own), int(n.max())), np.uint32)
+        inside = np.arange(out.shape[1]) < n[:, None]
+        out[inside] = values[(offsets[own][:, None] + np.arange(out.shape[1]))[inside]]
+        yield own, out, n
+        at += len(own)
+
+
+def alignments(query: np.ndarray, tracks: np.ndarray, lengths: np.ndarray, early: float = 0.97) -> tuple[np.ndarray, np.ndarray]:
+    """``best_alignment`` of one query with each row of ``tracks``: all rows and offsets at once, a query hash at a time."""
+    q, offsets = len(query), tracks.shape[1] - len(query) + 1
+    score, at = np.zeros(len(tracks)), np.zeros(len(tracks), np.int64)
+    if not q or offsets < 1:
+        return score, at
+    differ = np.zeros((len(tracks), offsets), np.int32)
+    for j, value in enumerate(query):
+        differ += np.bitwise_count(tracks[:, j : j + offsets] ^ value)
+    scores = 1 - differ / (32 * q)
+    scores[np.arange(offsets) > (lengths - q)[:, None]] = -1
+    over = scores > early
+    at = np.where(over.any(1), over.argmax(1), scores.argmax(1))
+    fits = lengths >= q
+    return np.where(fits, scores[np.arange(len(tracks)), at], 0.0), np.where(fits, at, 0)
+
+
 def top_matches(queries: DataFrame, library: DataFrame, k: int, floor: float) -> DataFrame:
     """(query_id, rank, track_id, score, offset): each query's ``k`` most similar tracks at ``floor`` or more.
 
@@ -39,31 +74,86 @@ def top_matches(queries: DataFrame, library: DataFrame, k: int, floor: float) ->
     schema = "query_id long, track_id long, score double, offset int"
     empty = F.array().cast("array<long>")
     asks = queries.select("query_id", "pitch_ord", F.coalesce("hashes", empty).alias("hashes"))
-    blocks = max(1, -(-asks.count() // BLOCK))
+    total = asks.agg(F.coalesce(F.sum(F.size("hashes") + 8), F.lit(0)).alias("n")).head()["n"]
+    blocks = max(1, -(-total // BLOCK))
     found = spark.createDataFrame([], schema)
     rows = library.select("track_id", F.coalesce("hashes", empty).alias("hashes"))
     for b in range(blocks):
         own = asks.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id", "pitch_ord").collect()
-        shared = spark.sparkContext.broadcast([(r["query_id"], np.array(r["hashes"], np.int64).astype(np.uint32)) for r in own])
+        variants: dict[int, list[np.ndarray]] = {}
+        for r in own:
+            variants.setdefault(r["query_id"], []).append(np.array(r["hashes"], np.int64).astype(np.uint32))
+        shared = spark.sparkContext.broadcast(variants)
 
         def search(batches, shared=shared):
             top: dict[int, list[tuple[float, int, int]]] = {}
             for batch in batches:
-                for track, hashes in zip(batch.column("track_id").to_pylist(), _matrix(batch.column("hashes")), strict=True):
-                    best: dict[int, tuple[float, int]] = {}
-                    for query, wanted in shared.value:
-                        got = best_alignment(wanted, hashes)
-                        if got[0] > best.get(query, (-1.0, 0))[0]:
-                            best[query] = got
-                    for query, (score, at) in best.items():
-                        if score >= floor:
-                            top.setdefault(query, []).append((-score, track, at))
-                            if len(top[query]) > 4 * k:
-                                top[query] = sorted(top[query])[:k]
-            out = [(query, track, -score, at) for query, own in top.items() for score, track, at in sorted(own)[:k]]
+                ids = batch.column("track_id").to_numpy(zero_copy_only=False)
+                for which, tracks, lengths in padded(batch.column("hashes")):
+                    for query, wanted in shared.value.items():
+                        best, at = np.full(len(which), -1.0), np.zeros(len(which), np.int64)
+                        for hashes in wanted:
+                            score, place = alignments(hashes, tracks, lengths)
+                            better = score > best
+                            best, at = np.where(better, score, best), np.where(better, place, at)
+                        hit = np.nonzero(best >= floor)[0]
+                        if len(hit):
+                            hit = hit[np.lexsort((ids[which[hit]], -best[hit]))[:k]]
+                            both = top.get(query, []) + list(zip((-best[hit]).tolist(), ids[which[hit]].tolist(), at[hit].tolist(), strict=True))
+                            top[query] = sorted(both)[:k]
+            out = [(query, track, -score, at) for query, own in top.items() for score, track, at in own]
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)], names=["query_id", "track_id", "score", "offset"])
 
         found = found.unionByName(rows.mapInArrow(search, schema))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "track_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "track_id", "score", "offset")
+
+
+def token_overlap(queries: DataFrame, items: DataFrame, query_id: str, query_text: str, item_id: str, item_text: str, k: int) -> DataFrame:
+    """The ``k`` items that share most of a query's words (J12, M4, I5): shared words over the query's, ties by item. Items that share
+    none have no row. The items are scanned, never shuffled; a task passes on ``k`` rows a query."""
+    spark = queries.sparkSession
+    id_type, item_type = (f.schema[c].dataType.simpleString() for f, c in ((queries, query_id), (items, item_id)))
+    schema = f"`{query_id}` {id_type}, `{item_id}` {item_type}, score double"
+    asks = queries.select(F.col(query_id).alias("id"), word_set(query_text).alias("w")).where(F.size("w") > 0)
+    total = asks.agg(F.coalesce(F.sum(F.size("w") + 1), F.lit(0)).alias("n")).head()["n"]
+    blocks = max(1, -(-total // (BLOCK // 8)))
+    rows = items.select(F.col(item_id).alias("id"), word_set(item_text).alias("w"))
+    found = spark.createDataFrame([], schema)
+    for b in range(blocks):
+        own = asks.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
+        words = sorted({w for r in own for w in r["w"]})
+        number = {w: i for i, w in enumerate(words)}
+        pairs = np.array(sorted((number[w], q) for q, r in enumerate(own) for w in r["w"]), np.int64).reshape(-1, 2)
+        # the queries that hold each word, one word after the other
+        shared = spark.sparkContext.broadcast((words, np.searchsorted(pairs[:, 0], np.arange(len(words) + 1)), pairs[:, 1], np.array([len(r["w"]) for r in own]), [r["id"] for r in own]))
+
+        def search(batches, shared=shared):
+            words, starts, holders, sizes, ids = shared.value
+            vocabulary, top = pa.array(words, pa.string()), {}
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    lists = part.column("w")
+                    item = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                    word = pa.compute.fill_null(pa.compute.index_in(lists.flatten(), vocabulary), -1).to_numpy()
+                    item, word = item[word >= 0], word[word >= 0]
+                    n = starts[word + 1] - starts[word]
+                    query = holders[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[word], n)]
+                    keys, counts = np.unique(query * 512 + np.repeat(item, n), return_counts=True)
+                    score = counts / sizes[keys // 512]
+                    names = part.column("id").to_pylist()
+                    cuts = np.searchsorted(keys // 512, np.arange(len(ids) + 1)).tolist()
+                    for q in np.unique(keys // 512).tolist():
+                        own = slice(cuts[q], cuts[q + 1])
+                        new = [(-s, names[i]) for s, i in zip(score[own].tolist(), (keys[own] % 512).tolist(), strict=True)]
+                        top[q] = sorted(top.get(q, []) + new)[:k]
+            out = [(ids[q], i, -s) for q, own in top.items() for s, i in own]
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[query_id, item_id, "score"])
+
+        types = [to_arrow_type(f.dataType) for f in found.schema.fields]
+        found = found.unionByName(rows.mapInArrow(search, schema))
+    w = Window.partitionBy(query_id).orderBy(F.desc("score"), item_id)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, "rank", item_id, "score")

@@ -31,20 +31,22 @@ def neighbours(results: DataFrame, unknowns: DataFrame, key: str, slack: float =
     """``unknowns`` (key, ord, start_sec, end_sec) with structs ``before`` and ``after``.
 
     ``before`` is the latest-ending row (first of equals) among the leading rows that all end by the unknown's start plus
-    ``slack``; ``after`` the first row that starts at its end minus ``slack`` or later. One sort for each side, no range join.
+    ``slack``; ``after`` the first row that starts at its end minus ``slack`` or later. ``results`` are read once; no range join.
     """
-    w = Window.partitionBy(key).orderBy("start_sec", "ord").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(key).orderBy("start_sec", "ord")
     payload = F.struct("start_sec", "end_sec", "artist", "title", "score", "source")
-    ranked = results.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("start_sec", "ord")))
-    leading = ranked.select(key, F.max("end_sec").over(w).alias("t"), F.lit(0).alias("kind"), F.max(F.struct("end_sec", -F.col("rank"), payload.alias("row"))).over(w)["row"].alias("row"), "rank")
-    empty = F.lit(None).cast(leading.schema["row"].dataType)
-    ask = lambda t, kind: unknowns.select(key, t.alias("t"), F.lit(kind).alias("kind"), empty.alias("row"), F.col("ord").alias("rank"))
-    back = Window.partitionBy(key).orderBy("t", "kind", "rank").rowsBetween(Window.unboundedPreceding, 0)
-    before = leading.unionByName(ask(F.col("start_sec") + slack, 1)).withColumn("before", F.last("row", ignorenulls=True).over(back)).where("kind = 1").select(key, F.col("rank").alias("ord"), "before")
-    later = ranked.select(key, F.col("start_sec").alias("t"), F.lit(1).alias("kind"), payload.alias("row"), "rank")
-    ahead = Window.partitionBy(key).orderBy("t", "kind", "rank").rowsBetween(0, Window.unboundedFollowing)
-    after = later.unionByName(ask(F.col("end_sec") - slack, 0)).withColumn("after", F.first("row", ignorenulls=True).over(ahead)).where("kind = 0").select(key, F.col("rank").alias("ord"), "after")
-    return unknowns.join(before, [key, "ord"], "left").join(after, [key, "ord"], "left")
+    ranked = results.withColumn("rank", F.row_number().over(w))
+    leading = ranked.withColumn("reach", F.max("end_sec").over(w)).withColumn("latest", F.max(F.struct("end_sec", -F.col("rank"), payload.alias("row"))).over(w)["row"])
+    kind = leading.schema["latest"].dataType
+    none, empty = F.lit(None).cast("double"), F.lit(None).cast(kind)
+    # each row marks two places: where all rows up to it have ended, and where it starts; each unknown asks at two
+    marks = leading.select(key, F.explode(F.array(F.struct(F.col("reach").alias("t"), F.lit(1).alias("kind"), F.col("latest").alias("ended"), empty.alias("starts")), F.struct(F.col("start_sec").alias("t"), F.lit(1).alias("kind"), empty.alias("ended"), payload.alias("starts")))).alias("m"), "rank", none.alias("start_sec"), none.alias("end_sec"))
+    asks = unknowns.select(key, F.explode(F.array(*[F.struct(t.alias("t"), F.lit(n).alias("kind"), empty.alias("ended"), empty.alias("starts")) for t, n in ((F.col("start_sec") + slack, 2), (F.col("end_sec") - slack, 0))])).alias("m"), F.col("ord").alias("rank"), "start_sec", "end_sec")
+    both = marks.unionByName(asks).select(key, "m.*", "rank", "start_sec", "end_sec")
+    order = Window.partitionBy(key).orderBy("t", "kind", "rank")
+    both = both.withColumn("before", F.last("ended", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after", F.first("starts", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    found = both.where("kind <> 1").groupBy(key, F.col("rank").alias("ord")).agg(F.first("start_sec").alias("start_sec"), F.first("end_sec").alias("end_sec"), F.max(F.when(F.col("kind") == 2, F.col("before"))).alias("before"), F.max(F.when(F.col("kind") == 0, F.col("after"))).alias("after"))
+    return found
 
 
 def smooth_gaps(results: DataFrame, unknowns: DataFrame, key: str, most: float = 90.0) -> tuple[DataFrame, DataFrame]:
@@ -90,10 +92,13 @@ def phrase_grid(beats: DataFrame, key: str, every: int = 64) -> DataFrame:
 
 
 def framed_rms(samples: DataFrame, key: str, size: int, hop: int) -> DataFrame:
-    """Root mean square of frames of ``size`` samples every ``hop`` (H11, Q5): (key, frame, rms); short tails have none."""
-    w = Window.partitionBy(key).orderBy("i").rowsBetween(0, size - 1)
-    rows = samples.withColumn("s2", F.sum(F.col("x") * F.col("x")).over(w)).withColumn("n", F.count(F.lit(1)).over(w))
-    return rows.where((F.col("n") == size) & (F.col("i") % hop == 0)).select(key, F.floor(F.col("i") / hop).alias("frame"), F.sqrt(F.col("s2") / size).alias("rms"))
+    """Root mean square of frames of ``size`` samples every ``hop`` (H11, Q5): (key, frame, rms); short tails have none. Frames are
+    differences of running sums, so a sample is added once whatever the frame's size."""
+    w = Window.partitionBy(key).orderBy("i")
+    square = F.col("x") * F.col("x")
+    rows = samples.withColumn("s2", square).withColumn("upto", F.sum("s2").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("end", F.lead("upto", size - 1).over(w))
+    whole = rows.where(F.col("end").isNotNull() & (F.col("i") % hop == 0))
+    return whole.select(key, F.floor(F.col("i") / hop).alias("frame"), F.sqrt(F.greatest(F.lit(0.0), F.col("end") - F.col("upto") + F.col("s2")) / size).alias("rms"))
 
 
 def z_scores(rows: DataFrame, key: str, column: str, out: str) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.functions import extract
-from cuewright.operators import catalogue, folds, matching, timeline
+from cuewright.operators import catalogue, matching, overlay, timeline
 from cuewright.plans.text_queries import _LI_SQL, _t, entries
-from cuewright.plans.timeline_queries import _DAY_SQL, _known_unknown, day_results, durations
+from cuewright.plans.timeline_queries import _DAY_SQL, _OVERLAY_SQL, _known_unknown, day_results, durations
 
 
 def title_artist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ TITLE_SQL = """WITH t AS (SELECT page_id, 'Song ' || page_id AS title, CASE page
 
 def search_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered search answers of three kinds, read back."""
-    rows = entries(spark, sf_dir).where("ord <= 3")
+    rows = entries(spark, sf_dir)
     url = F.concat(F.lit("http://x/"), "ord")
     grouped = lambda value: rows.groupBy("mix_id").agg(F.array_sort(F.collect_list(F.struct("ord", value.alias("v")))).alias("x"))
     values = F.transform("x", lambda e: e["v"])
@@ -39,7 +39,7 @@ def search_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).unionByName(c)
 
 
-SEARCH_SQL = f"""WITH {_LI_SQL}, f AS (SELECT mix_id, (ord - 1)::INTEGER AS pos, title, ord FROM n WHERE ord <= 3)
+SEARCH_SQL = f"""WITH {_LI_SQL}, f AS (SELECT mix_id, (ord - 1)::INTEGER AS pos, title, ord FROM n)
 SELECT mix_id, pos, 'itunes' AS kind, title, 'http://x/' || ord AS url FROM f WHERE ord <> 2 UNION ALL SELECT mix_id, pos, 'youtube', title, 'https://www.youtube.com/watch?v=v' || ord FROM f WHERE ord <> 2
 UNION ALL SELECT mix_id, pos, 'mixesdb', title, 'http://x/' || ord FROM f"""
 
@@ -81,12 +81,14 @@ REQUEST_SQL = f"WITH {_LI_SQL} SELECT mix_id, ord, ((row_number() OVER (PARTITIO
 
 
 def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = entries(spark, sf_dir).select("mix_id", "ord", "title")
-    return catalogue.union_sources([rows.where("mix_id % 4 = 0 and ord = 1"), rows.where("mix_id % 4 = 1 and ord = 2")], [rows.where("ord = 3")], [rows.where("ord = 4")], "mix_id")
+    """Entries are listed by two timed, an untimed and a late source, by their quantity; few recordings have no timed one."""
+    rows = entries(spark, sf_dir).select("mix_id", "ord", "title", "quantity")
+    part = lambda *k: rows.where((F.col("quantity") % 8).isin(*k)).drop("quantity")
+    return catalogue.union_sources([part(0), part(1)], [part(2, 3, 4, 5)], [part(6, 7)], "mix_id")
 
 
-UNION_SQL = f"""WITH {_LI_SQL}, h AS (SELECT mix_id, ord, title, 0 AS src_rank FROM n WHERE mix_id % 4 = 0 AND ord = 1 UNION ALL SELECT mix_id, ord, title, 1 FROM n WHERE mix_id % 4 = 1 AND ord = 2)
-SELECT * FROM h UNION ALL SELECT mix_id, ord, title, 2 FROM n WHERE ord = 3 AND mix_id NOT IN (SELECT mix_id FROM h) UNION ALL SELECT mix_id, ord, title, 3 FROM n WHERE ord = 4"""
+UNION_SQL = f"""WITH {_LI_SQL}, k AS (SELECT mix_id, ord, title, [0, 1, 2, 2, 2, 2, 3, 3][quantity % 8 + 1] AS src_rank FROM n)
+SELECT * FROM k WHERE src_rank <> 2 OR mix_id NOT IN (SELECT mix_id FROM k WHERE src_rank < 2)"""
 
 
 def stem_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,21 +125,25 @@ POOL_SQL = f"WITH {_LI_SQL} SELECT mix_id, ord, CASE WHEN ord = 2 THEN '' ELSE a
 
 
 def overlay_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All five overlay rules: names, inserts, ends, then untimed entries that no track has, at the tail."""
+    """All five overlay rules: names, inserts, ends, unknowns that listed entries explain, untimed entries that no track has."""
     rows = day_results(spark, sf_dir)
-    ends = durations(rows)
-    tracks = rows.where("source = 'view'").withColumn("n_merged", F.lit(1).cast("long"))
-    merged = folds.overlay_names(tracks, rows.where("source in ('purchase', 'signup')"), "mix_id").withColumn("ord", F.lit(0))
-    merged = timeline.refine_ends(merged, ends, "mix_id", ("purchase", "signup")).drop("ord")
-    untimed = rows.where("source in ('click', 'view')").select("mix_id", "ord", "artist", "title", "source")
-    tail = catalogue.untimed_tail(matching.drop_known_names(untimed, merged, "mix_id"), ends, "mix_id")
-    return merged.unionByName(tail)
+    return overlay.overlay(rows.where("source = 'view'").withColumn("n_merged", F.lit(1).cast("long")), rows.where("source in ('purchase', 'signup')"), rows.where("source in ('click', 'view')"), rows.where("source = 'error'"), durations(rows), "mix_id", 1800.0)
+
+
+_TAIL_SQL = """
+t AS (SELECT mix_id, ord, artist, title, source, row_number() OVER (PARTITION BY mix_id, lower(artist), lower(title) ORDER BY ord) AS k FROM r WHERE source IN ('click', 'view')),
+f AS (SELECT * FROM t WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM ends m WHERE m.mix_id = t.mix_id AND m.artist = t.artist AND m.title = t.title)),
+u AS (SELECT mix_id, ord, start_sec, end_sec, (start_sec + end_sec) / 2 AS m FROM r WHERE source = 'error'),
+b AS (SELECT u.mix_id, u.ord, max(s.start_sec) FILTER (s.start_sec <= m) AS lo, min(s.start_sec) FILTER (s.start_sec >= m) AS hi FROM u JOIN r s ON s.mix_id = u.mix_id AND s.source IN ('purchase', 'signup') GROUP BY 1, 2)"""
+WHOLE_SQL = f"""WITH {_DAY_SQL}, {_OVERLAY_SQL}, {_TAIL_SQL}
+SELECT * FROM ends UNION ALL SELECT mix_id, 86399.0, 86400.0, artist, title, 1.0, source, 1 FROM f
+UNION ALL SELECT u.mix_id, u.start_sec, u.end_sec, NULL, NULL, NULL, 'unknown', 0 FROM u LEFT JOIN b USING (mix_id, ord) WHERE NOT coalesce(hi - lo <= 1800, false)"""
 
 
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
         (title_artist, TITLE_SQL), (search_answers, SEARCH_SQL), (next_data, NEXT_SQL), (ranked_mirrors, MIRROR_SQL), (render_prompts, PROMPT_SQL), (playlist_requests, REQUEST_SQL), (union_sources, UNION_SQL),
-        (stem_retry, RETRY_SQL), (job_stats, JOB_SQL), (candidate_pools, POOL_SQL), (overlay_whole, None),
+        (stem_retry, RETRY_SQL), (job_stats, JOB_SQL), (candidate_pools, POOL_SQL), (overlay_whole, WHOLE_SQL),
     )
 }

@@ -135,7 +135,7 @@ SELECT conv_id, turn, phrase, len(string_split(phrase, ' ')) >= 5 AND len(list_d
 
 
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = matching.token_overlap(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")), "item_id", "text", "doc_id", "body", 5)
+    out = similarity.token_overlap(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")), "item_id", "text", "doc_id", "body", 5)
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -251,11 +251,14 @@ SELECT mix_id, ord, title FROM f WHERE r = 1"""
 
 
 def library_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _t(spark, sf_dir, "part").select(F.concat(F.lit("/m/"), F.col("p_partkey") % 1500).alias("filepath"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
-    return matching.library_upsert(part.where("id % 2 = 0 and id < 1000"), part, "filepath", "id")
+    """Parts of one kind are the library, all parts the batch; every seventh pair of parts shares a path."""
+    part = _t(spark, sf_dir, "part").select(F.concat(F.lit("/m/"), F.floor(F.col("p_partkey") / 7), F.lit("/"), F.least(F.col("p_partkey") % 7, F.lit(5))).alias("filepath"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), "p_size")
+    own = part.where("p_size <= 25").groupBy("filepath").agg(F.min("id").alias("id"), F.min_by("title", "id").alias("title"))
+    return matching.library_upsert(own, part.drop("p_size"), "filepath", "id")
 
 
-UPSERT_SQL = """WITH p AS (SELECT '/m/' || (p_partkey % 1500) AS filepath, p_partkey AS id, p_name AS title FROM part), l AS (SELECT * FROM p WHERE id % 2 = 0 AND id < 1000)
+UPSERT_SQL = """WITH p AS (SELECT '/m/' || (p_partkey // 7) || '/' || least(p_partkey % 7, 5) AS filepath, p_partkey AS id, p_name AS title, p_size FROM part),
+l AS (SELECT filepath, min(id) AS id, arg_min(title, id) AS title FROM p WHERE p_size <= 25 GROUP BY 1)
 SELECT * FROM l UNION ALL SELECT filepath, max(id), arg_max(title, id) FROM p WHERE filepath NOT IN (SELECT filepath FROM l) GROUP BY filepath"""
 
 
@@ -332,6 +335,13 @@ def hmac_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "pages").select("page_id", text.hmac_sha1("url", "secret").alias("signature"))
 
 
+#: HMAC by its definition: the key filled up to 64 bytes, xored with 0x36 and with 0x5c.
+HMAC_SQL = (
+    "WITH h AS (SELECT page_id, sha1(unhex('" + bytes(b ^ 0x36 for b in b"secret".ljust(64, b"\0")).hex() + "') || encode(url)) AS inner_ FROM pages) "
+    "SELECT page_id, base64(unhex(sha1(unhex('" + bytes(b ^ 0x5C for b in b"secret".ljust(64, b"\0")).hex() + "') || unhex(inner_)))) AS signature FROM h"
+)
+
+
 def render_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = entries(spark, sf_dir)
     unknown = rows.where("ord % 4 = 0").select("mix_id", "ord", "start_sec")
@@ -358,12 +368,18 @@ def render_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.json_result(rows.where("ord % 4 <> 0"), rows.where("ord % 4 = 0").select("mix_id", "ord", "start_sec", "end_sec"), "mix_id")
 
 
+JSON_SQL = f"""WITH {_LI_SQL}, o AS (SELECT mix_id, ord, start_sec, start_sec + 200 AS e, artist, title, round(score, 3) AS score FROM n),
+t AS (SELECT mix_id, string_agg('{{"start_sec":' || start_sec || ',"end_sec":' || e || ',"artist":"' || artist || '","title":"' || title || '","score":' || score || ',"source":"library","n_segments_merged":1}}', ',' ORDER BY start_sec, ord) FILTER (ord % 4 <> 0) AS t,
+  string_agg('{{"start_sec":' || start_sec || ',"end_sec":' || e || '}}', ',' ORDER BY start_sec, ord) FILTER (ord % 4 = 0) AS u FROM o GROUP BY mix_id)
+SELECT mix_id, '{{"source_input":"' || mix_id || '","tracks":[' || coalesce(t, '') || '],"unknown_segments":[' || coalesce(u, '') || ']}}' AS json FROM t"""
+
+
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
         (parse_timed, TIMED_SQL), (parse_untimed, UNTIMED_SQL), (parse_chapters, CHAPTERS_SQL), (parse_wikitext, WIKI_SQL), (tracklist_html, HTML_SQL), (page_links, LINKS_SQL), (og_tags, OG_SQL), (url_functions, URL_SQL),
         (clean_phrases, PHRASE_SQL), (token_overlap, OVERLAP_SQL), (library_topk, TOPK_SQL), (cascade, CASCADE_SQL), (greedy_pick, GREEDY_SQL), (apply_picks, PICKS_SQL), (expanding_pitch, PITCH_SQL), (upper_median_gate, MEDIAN_SQL),
         (tier2_merge, TIER2_SQL), (dedup_untimed, UNTIMED_DEDUP_SQL), (library_upsert, UPSERT_SQL), (library_lookup, LOOKUP_SQL), (ttl_cache, TTL_SQL), (artist_topn, TOPN_SQL), (paged_scan, PAGED_SQL), (usage_stats, USAGE_SQL),
-        (queue_state, QUEUE_SQL), (parse_matcher_json, MATCHER_SQL), (hmac_sign, None), (render_txt, TXT_SQL), (render_m3u, M3U_SQL), (render_json, None),
+        (queue_state, QUEUE_SQL), (parse_matcher_json, MATCHER_SQL), (hmac_sign, HMAC_SQL), (render_txt, TXT_SQL), (render_m3u, M3U_SQL), (render_json, JSON_SQL),
     )
 }

@@ -210,6 +210,21 @@ def overlay_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.refine_ends(merged, durations(rows), "mix_id", ("purchase", "signup")).drop("ord")
 
 
+#: The greedy match as a fold over the listed entries; the state is the list of tracks (i: place, c: claimed).
+_OVERLAY_SQL = """
+tr AS (SELECT mix_id, list(struct_pack(i := k, st := start_sec, en := end_sec, a := artist, t := title, sc := score, so := source, c := false) ORDER BY k) AS own
+  FROM (SELECT *, row_number() OVER (PARTITION BY mix_id ORDER BY ord) AS k FROM r WHERE source = 'view') GROUP BY mix_id),
+ls AS (SELECT mix_id, list(struct_pack(st := start_sec, a := artist, t := title, so := source, p := priority) ORDER BY start_sec, ord) AS xs FROM e WHERE source IN ('purchase', 'signup') GROUP BY mix_id),
+ov AS (SELECT coalesce(tr.mix_id, ls.mix_id) AS mix_id, list_reduce(list_transform(coalesce(xs, []), lambda x: [struct_pack(i := -1, st := x.st, en := x.p::DOUBLE, a := x.a, t := x.t, sc := 1.0::DOUBLE, so := x.so, c := true)]), lambda k, x:
+  list_transform([list_sort(list_transform(list_filter(k, lambda y: NOT y.c), lambda y: struct_pack(d := abs(y.st - x[1].st), i := y.i)))[1]], lambda near:
+    CASE WHEN near.d <= 30 AND x[1].en > 0 THEN list_transform(k, lambda y: CASE WHEN y.i = near.i THEN struct_pack(i := y.i, st := y.st, en := y.en, a := x[1].a, t := x[1].t, sc := 1.0::DOUBLE, so := x[1].so, c := true) ELSE y END)
+    ELSE list_append(k, struct_pack(i := len(k) + 1, st := x[1].st, en := x[1].st + 60, a := x[1].a, t := x[1].t, sc := 1.0::DOUBLE, so := x[1].so, c := false)) END)[1], coalesce(own, [])) AS k FROM tr FULL JOIN ls USING (mix_id)),
+mg AS (SELECT mix_id, unnest(k) AS x FROM ov),
+nx AS (SELECT mix_id, x, coalesce(lead(x.st) OVER (PARTITION BY mix_id ORDER BY x.st, x.i), 86400) AS n FROM mg),
+ends AS (SELECT mix_id, x.st AS start_sec, CASE WHEN x.so IN ('purchase', 'signup') AND n > x.st THEN n ELSE x.en END AS end_sec, x.a AS artist, x.t AS title, x.sc AS score, x.so AS source, 1::BIGINT AS n_merged FROM nx)"""
+OVERLAY_SQL = f"WITH {_DAY_SQL}, {_OVERLAY_SQL} SELECT * FROM ends"
+
+
 def resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole resolution of a day: gaps smoothed, then runs collapsed."""
     known, unknown = _known_unknown(spark, sf_dir)
@@ -227,6 +242,6 @@ QUERIES = {
     for f, sql in (
         (collapse_runs, COLLAPSE_SQL), (smooth_gaps, SMOOTH_SQL), (priority_dedup, DEDUP_SQL), (boundary_fusion, FUSION_SQL), (gap_cap, CAP_SQL), (segments_from_boundaries, SEGMENTS_SQL), (phrase_grid, GRID_SQL),
         (topk_non_overlapping, TOPK_SQL), (framed_rms, RMS_SQL), (promote_scrape, PROMOTE_SQL), (short_circuit_gate, GATE_SQL), (deep_scan_gate, DEEP_SQL), (retry_cap, RETRY_SQL), (bracket_unknowns, BRACKET_SQL),
-        (overlay_scrape, None), (resolve, RESOLVE_SQL),
+        (overlay_scrape, OVERLAY_SQL), (resolve, RESOLVE_SQL),
     )
 }

@@ -97,7 +97,7 @@ def slow_score(m, own, end):
         start = max(0, -(-(i + 1 - L.WINDOW) // step) * step)
         t = [p["e"][c].astype(float) @ p["t"] for c in rows[start : i + 1]]
         q = t[-1][: L.KEY]
-        s = np.array([math.exp(q @ x[L.KEY : 2 * L.KEY] / L.KEY**0.5 + p["r"][len(t) - 1 - k]) for k, x in enumerate(t)])
+        s = np.array([math.exp(q @ x[L.KEY : 2 * L.KEY] + p["r"][len(t) - 1 - k]) for k, x in enumerate(t)])
         h = np.maximum(0, t[-1][-L.STATE :] + (s / s.sum()) @ np.array([x[2 * L.KEY : 2 * L.KEY + L.STATE] for x in t]))
         g, k = divmod(int(target), L.MEMBERS)
         for logits, at in ((h @ p["w"] + m.before.groups[rows[i]], g), (h @ p["u"][g] + m.before.members[rows[i] * L.GROUPS + g], k)):

@@ -3,6 +3,7 @@ import hashlib
 import hmac
 
 import numpy as np
+import pyarrow as pa
 from cuewright.functions import extract, signal, text
 from cuewright.operators import matching, similarity
 from cuewright.sources import audio
@@ -56,8 +57,11 @@ def test_similarity_takes_first_over_early(spark):
     near[0] ^= 1
     lib = np.concatenate((near, q, q))
     assert similarity.best_alignment(q.astype(np.uint32), lib.astype(np.uint32)) == (1 - 1 / 1280, 0)
-    df = spark.createDataFrame([(q.tolist(), lib.tolist()), ([], [1]), ([1, 2], [1])], "q array<long>, l array<long>").select(matching.sliding_similarity(F.col("q"), F.col("l")).alias("s"))
-    assert [(round(x.s.score, 9), x.s.offset) for x in df.collect()] == [(round(1 - 1 / 1280, 9), 0), (0, 0), (0, 0)]
+    for queries in (q, q[:7], r.integers(0, 1 << 32, 9)):
+        tracks = [lib, q, q[:3], r.integers(0, 1 << 32, 200), np.empty(0, np.int64)]
+        for own, cells, n in similarity.padded(pa.array([t.tolist() for t in tracks], pa.list_(pa.int64()))):
+            score, at = similarity.alignments(queries.astype(np.uint32), cells, n)
+            assert [(s, a) for s, a in zip(score, at)] == [similarity.best_alignment(queries.astype(np.uint32), tracks[i].astype(np.uint32)) for i in own]
     found = similarity.top_matches(spark.createDataFrame([(1, 0, q.tolist()), (2, 0, None)], "query_id long, pitch_ord int, hashes array<long>"), spark.createDataFrame([(7, lib.tolist()), (8, None)], "track_id long, hashes array<long>"), 2, 0.9)
     assert [tuple(x)[:3] for x in found.collect()] == [(1, 1, 7)]
 
