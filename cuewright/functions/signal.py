@@ -109,6 +109,29 @@ def normalise_loudness(samples: Column | str, rate: int, target: float = -16.0)
     return _mapped(samples, lambda x: normalised_array(x, rate, target))
 
 
+def prepare(samples: Column | str, rate: int) -> Column:
+    """High-pass, then loudness (Q3); samples are read at ``rate`` and mono (A1)."""
+    return _mapped(samples, lambda x: normalised_array(highpass_array(x, rate), rate))
+
+
+def centroid_variance(samples: Column | str, rate: int, size: int = 2048, hop: int = 512) -> Column:
+    """Variance of the spectral centroid, in Hz squared, over frames of ``size`` samples (Q5); null without a whole frame."""
+
+    def one(x: np.ndarray) -> float | None:
+        if len(x) < size:
+            return None
+        frames = np.lib.stride_tricks.sliding_window_view(x, size)[::hop] * np.hanning(size)
+        power = np.abs(np.fft.rfft(frames, axis=1))
+        centroid = power @ np.fft.rfftfreq(size, 1 / rate) / np.maximum(power.sum(1), 1e-12)
+        return float(centroid.var())
+
+    @F.pandas_udf("double")
+    def run(xs: pd.Series) -> pd.Series:
+        return xs.map(lambda x: None if x is None else one(np.asarray(x, np.float64))).astype(float)
+
+    return run(samples)
+
+
 def wav_bytes(samples: np.ndarray, rate: int) -> bytes:
     """16-bit mono WAV."""
     out = io.BytesIO()

@@ -1,4 +1,4 @@
-"""Search answers, mirrors, prompts, playlists and jobs as tables (inventory A, B9, C1, C13, D-10, D-19, D-20, E11, E12, L1, M3, M5-M7)."""
+"""Search answers, mirrors, prompts, playlists and jobs as tables (inventory A, B9, C1, C13, D-10, D-19, D-20, E12, L1, M3, M4)."""
 
 from __future__ import annotations
 

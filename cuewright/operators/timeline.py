@@ -73,13 +73,14 @@ def gap_cap(bounds: DataFrame, durations: DataFrame, key: str, most: float = 90.
     return points.where("not is_end").select(key, "t", F.lit("orig").alias("kind")).unionByName(inner)
 
 
-def segments(bounds: DataFrame, durations: DataFrame, key: str, least: float = 5.0) -> DataFrame:
+def segments(bounds: DataFrame, durations: DataFrame, key: str, least: float = 5.0, longer: bool = False) -> DataFrame:
     """Segments between consecutive boundaries (key, t, kind), 0 and the duration being boundaries too (H8); those under
-    ``least`` seconds go; a tail follows if the last segment ends over a second early."""
+    ``least`` seconds go, with ``longer`` (H13) those of just as many too; a tail follows if the last segment ends over a second early."""
     marks = durations.select(key, F.lit(0.0).alias("t"), F.lit("start").alias("kind")).unionByName(bounds.select(key, "t", "kind"))
     w = Window.partitionBy(key).orderBy("t", "kind")
     rows = marks.join(durations, key).withColumn("end_sec", F.coalesce(F.lead("t").over(w), F.col("duration")))
-    kept = rows.where(F.col("end_sec") - F.col("t") >= least).select(key, F.col("t").alias("start_sec"), "end_sec", F.col("kind").alias("boundary"))
+    length = F.col("end_sec") - F.col("t")
+    kept = rows.where(length > least if longer else length >= least).select(key, F.col("t").alias("start_sec"), "end_sec", F.col("kind").alias("boundary"))
     last = durations.join(kept.groupBy(key).agg(F.max("end_sec").alias("last")), key, "left").withColumn("last", F.coalesce("last", F.lit(0.0)))
     tail = last.where(F.col("last") < F.col("duration") - 1).select(key, F.col("last").alias("start_sec"), F.col("duration").alias("end_sec"), F.lit("end").alias("boundary"))
     return kept.unionByName(tail)
@@ -101,6 +102,11 @@ def framed_rms(samples: DataFrame, key: str, size: int, hop: int) -> DataFrame:
     return whole.select(key, F.floor(F.col("i") / hop).alias("frame"), F.sqrt(F.greatest(F.lit(0.0), F.col("end") - F.col("upto") + F.col("s2")) / size).alias("rms"))
 
 
+def loudest_window(frames: DataFrame, key: str) -> DataFrame:
+    """The frame of the highest rms in each group, the first of equals."""
+    return frames.groupBy(key).agg(F.max_by(F.struct("frame", "rms"), F.struct("rms", -F.col("frame"))).alias("b")).select(key, "b.*")
+
+
 def z_scores(rows: DataFrame, key: str, column: str, out: str) -> DataFrame:
     """Score against the group's mean and population deviation."""
     w = Window.partitionBy(key)

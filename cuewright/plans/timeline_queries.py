@@ -226,7 +226,7 @@ OVERLAY_SQL = f"WITH {_DAY_SQL}, {_OVERLAY_SQL} SELECT * FROM ends"
 
 
 def resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole resolution of a day: gaps smoothed, then runs collapsed."""
+    """Gaps of a day smoothed, then runs collapsed; ``resolve_whole`` has all steps."""
     known, unknown = _known_unknown(spark, sf_dir)
     filled, _ = timeline.smooth_gaps(known, unknown, "mix_id", most=900.0)
     rows = known.select(filled.columns).unionByName(filled)

@@ -1,4 +1,4 @@
-"""Audio files and catalogues as tables (inventory A1-A4)."""
+"""Audio files and catalogues as tables (inventory A1-A3)."""
 
 from __future__ import annotations
 

@@ -1,8 +1,8 @@
-"""Results as texts (inventory B1-B4): JSON, extended M3U and plain lists, one row per recording, ready for a text sink."""
+"""Results as texts (inventory B1-B5, B7, A26): JSON, extended M3U and plain lists, one row per recording, and their files."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.functions.text import clock
@@ -36,3 +36,28 @@ def json_result(tracks: DataFrame, unknowns: DataFrame, key: str) -> DataFrame:
     out_t = F.transform("t", lambda x: x.withField("start_sec", F.round(x["start_sec"], 2)).dropFields("ord"))
     out_u = F.transform("u", lambda x: x.withField("start_sec", F.round(x["start_sec"], 2)).dropFields("ord"))
     return both.select(key, F.to_json(F.struct(F.col(key).cast("string").alias("source_input"), F.coalesce(out_t, F.array()).alias("tracks"), F.coalesce(out_u, F.array()).alias("unknown_segments"))).alias("json"))
+
+
+#: Columns of a result file.
+RESULT = "source_input string, tracks array<struct<start_sec:double,end_sec:double,artist:string,title:string,score:double,source:string,n_segments_merged:long>>, unknown_segments array<struct<start_sec:double,end_sec:double>>"
+
+
+def write_results(tracks: DataFrame, unknowns: DataFrame, key: str, path: str) -> None:
+    """The three forms (B5) as text files below ``path``: a line a recording of JSON, else blocks between blank lines. ``tracks`` have
+    a ``filepath``."""
+    json_result(tracks, unknowns, key).select("json").write.text(f"{path}/json")
+    for name, rows in (("m3u", playlist(tracks, key)), ("txt", text_list(tracks, unknowns, key))):
+        rows.select("text").write.option("lineSep", "\n\n").text(f"{path}/{name}")
+
+
+def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(tracks, unknowns) in result files (A26): source_input, ord and the fields. Files may hold one object over several lines."""
+    rows = spark.read.schema(RESULT).option("multiLine", True).json(path)
+    t = rows.select("source_input", F.posexplode("tracks").alias("ord", "t")).select("source_input", "ord", "t.*").withColumnRenamed("n_segments_merged", "n_merged")
+    u = rows.select("source_input", F.posexplode("unknown_segments").alias("ord", "u")).select("source_input", "ord", "u.*")
+    return t, u
+
+
+def write_merged(tracks: DataFrame, unknowns: DataFrame, key: str, path: str) -> None:
+    """The merged result (B7) at a new path: what is being read can't be overwritten."""
+    json_result(tracks, unknowns, key).select("json").write.text(path)
