@@ -61,3 +61,14 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert Q.score_report(none, labels).count() == 0
     assert [x.score for x in Q.score_report(docs, labels).collect()] == [0.5]
+
+
+def test_labels_with_columns_of_any_name_and_a_bounded_sample(spark, monkeypatch):
+    rows, labels = _docs()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string, rid double")
+    known = spark.createDataFrame([(i, q, 5, 7) for i, q in labels], "doc_id long, quality int, id int, rid int")
+    assert Q.keep_quality(docs, known).columns == docs.columns
+    monkeypatch.setattr(Q, "MAX_LABELLED", 60)
+    seen = []
+    monkeypatch.setattr(Q, "train", lambda x, y, real=Q.train: seen.append(len(y)) or real(x, y))
+    assert Q.score_report(docs, known).count() == len(rows) and 30 <= seen[0] <= 90
