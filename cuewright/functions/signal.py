@@ -141,14 +141,25 @@ def wav_bytes(samples: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
-def read_wav(data: bytes, rate: int) -> np.ndarray:
-    """Mono samples of a 16-bit WAV at ``rate``, linearly resampled (A1)."""
+def wav_pieces(data: bytes, rate: int, step: int, lead: int = 0):
+    """(first sample, samples before it, samples) of pieces of ``step`` mono samples of a 16-bit WAV at ``rate``, linearly resampled (A1).
+
+    Only a piece's own frames are read and decoded; ``lead`` samples of the piece before go in front, so that filters have no seams."""
     with wave.open(io.BytesIO(data)) as f:
         if f.getsampwidth() != 2:
             raise ValueError("only 16-bit WAV can be read")
-        x = np.frombuffer(f.readframes(f.getnframes()), "<i2").reshape(-1, f.getnchannels()).mean(1) / 32768
-        own = f.getframerate()
-    if own == rate or not len(x):
-        return x
-    n = int(round(len(x) * rate / own))
-    return np.interp(np.arange(n) * own / rate, np.arange(len(x)), x)
+        own, frames, channels = f.getframerate(), f.getnframes(), f.getnchannels()
+        total = frames if own == rate else int(round(frames * rate / own))
+        for start in range(0, max(1, total), step):
+            begin = max(0, start - lead)
+            places = np.arange(begin, min(total, start + step)) * own / rate
+            lo = int(places[0]) if len(places) else 0
+            hi = min(frames, int(places[-1]) + 2) if len(places) else 0
+            f.setpos(lo)
+            x = np.frombuffer(f.readframes(hi - lo), "<i2").reshape(-1, channels).mean(1) / 32768 if hi > lo else np.empty(0)
+            yield start, start - begin, x[: len(places)] if own == rate else np.interp(places - lo, np.arange(len(x)), x) if len(x) else x
+
+
+def read_wav(data: bytes, rate: int) -> np.ndarray:
+    """All mono samples of a 16-bit WAV at ``rate``."""
+    return np.concatenate([x for _, _, x in wav_pieces(data, rate, 1 << 22)])

@@ -18,18 +18,18 @@ def audio_files(spark: SparkSession, root: str) -> DataFrame:
     return files.where(F.lower(F.regexp_extract("path", r"(\.[^./\\]+)$", 1)).isin(*SUFFIXES))
 
 
-def wav_chunks(files: DataFrame, rate: int = 22_050, seconds: int = 60) -> DataFrame:
-    """(path, chunk_no, samples): mono WAV samples in chunks of ``seconds`` (A1), never one row a file."""
+def wav_chunks(files: DataFrame, rate: int = 22_050, seconds: int = 60, overlap: float = 0.0) -> DataFrame:
+    """(path, chunk_no, samples, lead): mono WAV samples in chunks of ``seconds`` (A1), never one row a file. The first ``lead`` samples
+    are the last ``overlap`` seconds of the chunk before: drop them after filtering."""
 
     def read(batches):
+        step = rate * seconds
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                x = signal.read_wav(content, rate)
-                step = rate * seconds
-                for k in range(0, max(1, len(x)), step):
-                    yield pd.DataFrame({"path": [path], "chunk_no": [k // step], "samples": [x[k : k + step]]})
+                for start, lead, x in signal.wav_pieces(content, rate, step, int(overlap * rate)):
+                    yield pd.DataFrame({"path": [path], "chunk_no": [start // step], "samples": [x], "lead": [lead]})
 
-    return files.select("path", "content").mapInPandas(read, "path string, chunk_no int, samples array<double>")
+    return files.select("path", "content").mapInPandas(read, "path string, chunk_no int, samples array<double>, lead int")
 
 
 def catalogue(tracks: DataFrame, path: str = "filepath") -> DataFrame:
