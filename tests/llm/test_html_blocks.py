@@ -121,3 +121,26 @@ def test_foreign_layouts(model):
         hit, found, wanted = hit + len(set(got) & set(want)), found + len(got), wanted + len(want)
     print("block F1 on foreign layouts", 2 * hit / (found + wanted))
     assert 2 * hit / (found + wanted) > 0.8
+
+
+def slow_logits(model, x):
+    """The two LSTMs one step and one page at a time, from their formulas."""
+    sigmoid = lambda a: 1 / (1 + np.exp(-a))
+    n, states = H.HIDDEN, {}
+    for d, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+        h = c = np.zeros(n)
+        for t in order:
+            a = x[t].astype(float) @ model.p["x" + d] + model.p["c" + d] + h @ model.p["h" + d]
+            c = sigmoid(a[n : 2 * n]) * c + sigmoid(a[:n]) * np.tanh(a[3 * n :])
+            h = sigmoid(a[2 * n : 3 * n]) * np.tanh(c)
+            states[d, t] = h
+    return np.array([states["f", t] @ model.p["o"][:n] + states["b", t] @ model.p["o"][n:] + model.p["z"][0] for t in range(len(x))])
+
+
+def test_labels_equal_brute_force(model, monkeypatch):
+    monkeypatch.setattr(H, "_STEPS", 7)
+    r = random.Random(5)
+    pages = [H.vectors(H.leaf_blocks(H.sample_page(r)[0])) for _ in range(25)] + [H.vectors([])]
+    for got, x in zip(model.label(pages), pages, strict=True):
+        slow = slow_logits(model, x)
+        assert (got == (slow > 0))[np.abs(slow) > 1e-3].all()

@@ -72,3 +72,26 @@ def test_labels_with_columns_of_any_name_and_a_bounded_sample(spark, monkeypatch
     seen = []
     monkeypatch.setattr(Q, "train", lambda x, y, real=Q.train: seen.append(len(y)) or real(x, y))
     assert Q.score_report(docs, known).count() == len(rows) and 30 <= seen[0] <= 90
+
+
+def test_vectors_and_pooling_equal_brute_force(spark):
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["sea", "Sea", "SEA", "wide!!", "and", "cold,"]) for _ in range(r.randrange(0, 25))) for _ in range(60)] + ["", None, "one"]
+    per_text = [Q.buckets_of(*tokens.column_bytes(pa.array([t], pa.string())))[0].tolist() for t in texts]
+    sums = np.zeros((Q.BUCKETS, Q.SIZE))
+    for own in per_text:
+        for i, b in enumerate(own):
+            for j in range(max(0, i - Q.REACH), min(len(own), i + Q.REACH + 1)):
+                if j != i:
+                    for k in range(Q.NONZERO):
+                        sums[b, Q._DIMS[own[j], k]] += Q._SIGNS[own[j], k]
+    want = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    vectors = Q.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert np.allclose(vectors, want, atol=1e-5)
+    for own, got in zip(per_text, Q.pooled(pa.array(texts, pa.string()), vectors), strict=True):
+        v = want[own]
+        near = [float(a @ b) for a, b in zip(v, v[1:])]
+        same = [a == b for a, b in zip(own, own[1:])]
+        mean = lambda x: sum(x) / max(1, len(own) - 1)
+        slow = [*(v.mean(0) if own else np.zeros(Q.SIZE)), *(v.std(0) if own else np.zeros(Q.SIZE)), mean(near), mean(same), np.log1p(len(own)) / 5, not own]
+        assert np.allclose(got, slow, atol=1e-3)
