@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import threading
@@ -77,6 +78,13 @@ def bytes_of(spark: SparkSession, path: str) -> int:
     return files.getContentSummary(place).getLength()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files that no live plan needs now, not when the driver's memory happens to fill up. Python's plans go
+    first: they hold the others."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Tables that ``materialise`` writes in this block, but for those it is told to keep, are removed at its end. Nothing lazy that
@@ -87,6 +95,7 @@ def scratch(spark: SparkSession):
     finally:
         for path in _open.blocks.pop():
             remove(spark, path)
+        tidy(spark)
 
 
 @contextmanager
