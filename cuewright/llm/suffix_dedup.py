@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.llm import tokens
-from cuewright.llm.common import materialise, scratch
+from cuewright.llm.common import materialise, scratch, tidy
 
 LENGTH, GRAM = 100, 32
 #: Every window holds either the bytes from ``_LEFT`` before its anchor up to its end, or the anchor and ``_RIGHT`` bytes in all.
@@ -32,7 +32,7 @@ CHUNK, JOINED = 2 << 20, 1 << 15
 #: An anchor with more different contexts than one task should hold is settled window by window, by the windows' bytes.
 MOST_CONTEXTS = 4_096
 #: Rows that say where passages are, sent to all tasks up to this many bytes; beyond it, texts are shuffled to them.
-BROADCAST_BYTES, _ROW_BYTES = 96 << 20, 32
+BROADCAST_BYTES, _ROW_BYTES = 16 << 20, 32
 _LAST = np.iinfo(np.int64).max
 
 
@@ -370,6 +370,8 @@ def repeated_bytes(texts: DataFrame) -> DataFrame:
     """(rid, lo, hi) byte intervals to remove from ``texts`` (doc long never null, rid long unique, text binary)."""
     found = texts.mapInArrow(_find, _OCC).repartition(F.coalesce("anchor", "rid"))
     settled = materialise(found.mapInArrow(_settle, _OCC), "suffix-settled")
+    del found
+    tidy(texts.sparkSession)
     done = settled.where("anchor is null").select("rid", F.col("first").cast("long").alias("lo"), F.col("last").cast("long").alias("hi"))
     bytes_ = _with_text(settled.where("anchor is not null and body is null"), texts).mapInArrow(_contexts, "anchor long, doc long, rid long, first int, bytes binary")
     compared = bytes_.repartition("anchor").sortWithinPartitions("anchor", "doc", "rid", "first").mapInArrow(_compare, "rid long, lo long, hi long")
