@@ -57,19 +57,27 @@ def anchor_fold(df: DataFrame, key: str, window: float, start: str = "start_sec"
 
 
 def spaced_top(df: DataFrame, key: str, k: int, gap: int, index: str = "idx", score: str = "score") -> DataFrame:
-    """The ``k`` best-scored rows of a group whose positions are more than ``gap`` apart (H10); ties go to the lower position."""
+    """The ``k`` best-scored rows of a group whose positions are more than ``gap`` apart (H10); ties go to the lower position.
+
+    A pick rules out ``2 * gap + 1`` positions, so only that many times ``k`` of a group's best rows, one a position, can matter: the others
+    are cut by partial top rows before the shuffle, and the greedy pick holds few rows whatever the group's size."""
 
     def pick(pdf: pd.DataFrame) -> list[int]:
         by = pdf.reset_index(drop=True).sort_values([score, index], ascending=[False, True], kind="stable")
         kept: list[int] = []
         places: list[int] = []
         for i, p in zip(by.index, by[index], strict=True):
-            if len(kept) < k and all(abs(p - q) > gap for q in places):
+            if all(abs(p - q) > gap for q in places):
                 kept.append(i)
                 places.append(p)
+            if len(kept) == k:
+                break
         return kept
 
-    return _per_group(df, [key], pick)
+    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), index))
+    one = df.withColumn("__n", best(key, index)).where("__n = 1").drop("__n")
+    most = one.withColumn("__n", best(key)).where(F.col("__n") <= k * (2 * gap + 1)).drop("__n")
+    return _per_group(most, [key], pick)
 
 
 def overlay_names(tracks: DataFrame, scraped: DataFrame, key: str, window: float = 30.0, placeholder: float = 60.0) -> DataFrame:
@@ -77,9 +85,10 @@ def overlay_names(tracks: DataFrame, scraped: DataFrame, key: str, window: float
     entry has claimed, within ``window`` seconds inclusive, if its priority is above 0; else it becomes a track of its own.
 
     ``tracks``: key, ord, start_sec, end_sec, artist, title, score, source, n_merged; ``scraped``: key, ord, start_sec, artist,
-    title, source, priority. Tracks that entries became can still be named by a later entry.
+    title, source, priority. Tracks that entries became can still be named by a later entry. Tracks that an entry named or became
+    have ``listed``.
     """
-    schema = tracks.select(key, "start_sec", "end_sec", "artist", "title", "score", "source", "n_merged").schema
+    schema = tracks.select(key, "start_sec", "end_sec", "artist", "title", "score", "source", "n_merged", F.lit(False).alias("listed")).schema
     columns = schema.names
 
     def merge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -88,7 +97,7 @@ def overlay_names(tracks: DataFrame, scraped: DataFrame, key: str, window: float
         for s in right.sort_values(["start_sec", "ord"], kind="stable").to_dict("records") if len(right) else []:
             near = [(abs(t["start_sec"] - s["start_sec"]), i) for i, t in enumerate(own) if i not in claimed]
             distance, i = min(near, default=(window + 1, -1))
-            named = {"artist": s["artist"], "title": s["title"], "score": 1.0, "source": s["source"]}
+            named = {"artist": s["artist"], "title": s["title"], "score": 1.0, "source": s["source"], "listed": True}
             if distance <= window and s["priority"] > 0:
                 own[i] |= named
                 claimed.add(i)
@@ -97,7 +106,7 @@ def overlay_names(tracks: DataFrame, scraped: DataFrame, key: str, window: float
         return pd.DataFrame(own, columns=columns)
 
     # new columns: both sides may come from one table, and a cogroup confuses shared ones
-    own = tracks.select(*[F.col(c).alias(c) for c in (*columns, "ord")])
+    own = tracks.select(*[F.col(c).alias(c) for c in (*columns[:-1], "ord")], F.lit(False).alias("listed"))
     listed = scraped.where("start_sec is not null").select(*[F.col(c).alias(c) for c in (key, "ord", "start_sec", "artist", "title", "source", "priority")])
     # an entry only names a track within the window, so nothing reaches across a longer gap in which neither starts
     starts = own.select(key, "start_sec").unionByName(listed.select(key, "start_sec")).distinct()

@@ -95,10 +95,11 @@ def reactive(candidates: DataFrame, key: str) -> DataFrame:
 
 def by_lyrics(transcripts: DataFrame, hits: DataFrame, key: str, text: str) -> DataFrame:
     """Lyrics identification over given hits (M7): a transcript's phrase of ten characters or more (C10) takes its first hit, at a fixed
-    score."""
+    score. A first hit without artist and title is none (E9)."""
     phrases = transcripts.select(key, clean_phrase(text).alias("phrase")).where(F.length("phrase") >= LEAST_PHRASE)
-    first = hits.groupBy(key).agg(F.min_by(F.struct("artist", "title"), "pos").alias("h"))
-    return phrases.join(first, key).select(key, "phrase", "h.artist", "h.title", F.lit(LYRICS_SCORE).alias("score"), F.lit("genius").alias("source"))
+    name = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    first = hits.groupBy(key).agg(F.min_by(F.struct(name("artist"), name("title")), "pos").alias("h")).where("h.artist <> '' or h.title <> ''")
+    return phrases.join(first, key).select(key, "phrase", "h.artist", "h.title", F.lit(LYRICS_SCORE).alias("score"), F.lit("lyrics:genius").alias("source"))
 
 
 def mirrors_of(queries: DataFrame, platforms: list[DataFrame], key: str, n: int) -> DataFrame:

@@ -6,15 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions.text import fold_key, same_key
+from cuewright.operators.timeline import touching
 
 
-def cascade(matches: DataFrame, key: list[str], floor: float = 0.85, stage: str = "stage", rank: str = "pick_rank") -> DataFrame:
-    """Candidates of staged matchers (C5, C6): a stage runs only while no earlier stage that ran scored ``floor`` or more; within a
-    stage the first hit (lowest ``rank``) counts. All stages' matches are given; the rule picks those that would have run."""
-    first = matches.groupBy(*key, stage).agg(F.min_by(F.struct("artist", "title", "score", "source"), rank).alias("m"))
-    w = Window.partitionBy(*key).orderBy(stage).rowsBetween(Window.unboundedPreceding, -1)
-    best = F.max("m.score").over(w)
-    return first.withColumn("best", best).where(F.col("best").isNull() | (F.col("best") < floor)).select(*key, stage, "m.*")
+def cascade(matches: DataFrame, key: list[str], floor: float = 0.85, stage: str = "stage", rank: str = "pick_rank", keep: dict[int, int] | None = None) -> DataFrame:
+    """Candidates of staged matchers (C5, C6): a stage runs only while no earlier stage that ran scored ``floor`` or more. A sampled
+    matcher's first hit (lowest ``rank``) counts; stages in ``keep`` pass on that many of their best ranks. All stages' matches are
+    given; the rule picks those that would have run, ``candidate_index`` being their place."""
+    most = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for pair in (keep or {}).items() for v in pair]), F.col(stage).cast("int")), F.lit(1)) if keep else F.lit(1)
+    place = F.row_number().over(Window.partitionBy(*key, stage).orderBy(rank))
+    kept = matches.withColumn("__place", place).where(F.col("__place") <= most)
+    w = Window.partitionBy(*key).orderBy(stage)
+    ran = kept.withColumn("__best", F.max("score").over(w.rangeBetween(Window.unboundedPreceding, -1))).where(F.col("__best").isNull() | (F.col("__best") < floor))
+    index = F.row_number().over(Window.partitionBy(*key).orderBy(stage, "__place")) - 1
+    return ran.select(*key, stage, index.alias("candidate_index"), "artist", "title", "score", "source")
 
 
 def greedy_pick(candidates: DataFrame, key: list[str], floor: float = 0.5, order: str = "candidate_index") -> DataFrame:
@@ -58,20 +63,12 @@ def duration_factor(score: Column, duration: Column, least: float = 300.0) -> Co
     return score * F.when(duration < least, 0.6).otherwise(1.0)
 
 
-def overlaps(a_start: str, a_end: str, b_start: str, b_end: str) -> Column:
-    return (F.col(a_start) < F.col(b_end)) & (F.col(b_start) < F.col(a_end))
-
-
 def tier2_merge(tracks: DataFrame, unknowns: DataFrame, matches: DataFrame, key: str, floor: float = 0.85) -> tuple[DataFrame, DataFrame]:
     """(tracks with second-tier matches added, unknowns left) (N2, J4, J5): matches at ``floor`` or more that overlap an unknown
     are added, and every unknown that an added track overlaps goes."""
-    u = unknowns.select(key, F.col("start_sec").alias("us"), F.col("end_sec").alias("ue"))
-    good = matches.where(F.col("score") >= floor)
-    hit = overlaps("start_sec", "end_sec", "us", "ue")
-    added = good.join(u, (good[key] == u[key]) & hit, "left_semi")
-    added = added.select(key, "ord", "start_sec", "end_sec", "artist", "title", "score", F.concat(F.lit("tier2:acoustid_vocals(pitch="), F.format_string("%+d", "pitch"), F.lit("%)")).alias("source"))
-    a = added.select(key, F.col("start_sec").alias("us"), F.col("end_sec").alias("ue"))
-    left = unknowns.join(a, (unknowns[key] == a[key]) & hit, "left_anti")
+    good = touching(matches.where(F.col("score") >= floor), unknowns, key).where("touches")
+    added = good.select(key, "ord", "start_sec", "end_sec", "artist", "title", "score", F.concat(F.lit("tier2:acoustid_vocals(pitch="), F.format_string("%+d", "pitch"), F.lit("%)")).alias("source"))
+    left = touching(unknowns, added, key).where("not touches").drop("touches")
     return tracks.select(key, "ord", "start_sec", "end_sec", "artist", "title", "score", "source").unionByName(added), left
 
 

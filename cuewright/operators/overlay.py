@@ -1,48 +1,31 @@
-"""The overlay of listed entries on recognised tracks as a whole (inventory N1), and the resolution of a recording end to end."""
+"""The overlay of listed entries on recognised tracks as a whole (inventory N1)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.operators import catalogue, folds, library, matching, timeline
+from cuewright.operators import catalogue, folds, matching, timeline
 
 COLUMNS = ("start_sec", "end_sec", "artist", "title", "score", "source", "n_merged")
 
 
-def overlay(tracks: DataFrame, listed: DataFrame, untimed: DataFrame, unknowns: DataFrame, durations: DataFrame, key: str, most: float = 180.0) -> DataFrame:
+def overlay(
+    tracks: DataFrame, listed: DataFrame, untimed: DataFrame, unknowns: DataFrame, durations: DataFrame, key: str, most: float = 180.0, hold: Callable[[DataFrame, str], DataFrame] = lambda df, name: df
+) -> DataFrame:
     """Rows (key, start, end, artist, title, score, source, n_merged) of all recordings after the five rules, in their order.
 
-    Listed entries name the nearest tracks or become tracks of their own; tracks with a listed source end where the next track
+    Listed entries name the nearest tracks or become tracks of their own; tracks that they name end where the next track
     starts; unknowns between two listed starts at most ``most`` apart go, the others have source ``unknown`` and null names; untimed
     entries that no track has come at the end. The inputs are those of the single rules. Recordings without tracks keep their listed
-    entries and unknowns.
+    entries and unknowns. ``hold`` may write what is read twice to a table.
     """
-    sources = tuple(r[0] for r in listed.select("source").distinct().collect())  # kinds of lists, not entries
     named = folds.overlay_names(tracks, listed, key).withColumn("ord", F.lit(0))
-    named = timeline.refine_ends(named, durations, key, sources).select(key, *COLUMNS)
+    named = hold(timeline.refine_ends(named, durations, key).select(key, *COLUMNS), "named")
     tail = catalogue.untimed_tail(matching.drop_known_names(untimed, named, key), durations, key).select(key, *COLUMNS)
     left = timeline.bracketed(unknowns, listed, key, most)
     no = F.lit(None)
     rest = left.select(key, "start_sec", "end_sec", no.cast("string").alias("artist"), no.cast("string").alias("title"), no.cast("double").alias("score"), F.lit("unknown").alias("source"), F.lit(0).cast("long").alias("n_merged"))
     return named.unionByName(tail).unionByName(rest)
-
-
-def resolve(listed: DataFrame, segments: DataFrame, candidates: DataFrame, durations: DataFrame, key: str, longest_gap: float = 90.0, bracket: float = 180.0) -> DataFrame:
-    """Every recording from its segments, staged candidates and listed entries to its rows.
-
-    Where listed entries suffice, they are the result (C3, C2). Elsewhere matchers run in stages (C5), the best candidate of a
-    segment counts from 0.5 (G3), segments without one are unknown (C7), gaps between equal tracks are filled (H3), runs collapse (H1)
-    and the listed entries are overlaid (N1). ``segments``: key, ord, start_sec, end_sec; ``candidates``: key, ord, stage, pick_rank, artist,
-    title, score, source; ``listed`` as in ``overlay``.
-    """
-    sure = timeline.coverage_gate(listed, durations, key).where("short_circuit").select(key)
-    promoted = timeline.promote_entries(listed.join(sure, key, "left_semi"), key).select(key, *COLUMNS)
-    open_ = lambda rows: rows.join(sure.select(F.col(key).alias(key)), key, "left_anti")
-    ran = matching.cascade(open_(candidates), [key, "ord"], library.FLOORS["library"])
-    picks = matching.greedy_pick(ran, [key, "ord"], library.FLOORS["greedy"], "stage")
-    known, unknown = library.route_unknowns(open_(segments), picks, [key, "ord"])
-    filled, left = timeline.smooth_gaps(known, unknown, key, longest_gap)
-    runs = timeline.collapse_runs(known.select(filled.columns).unionByName(filled), key)
-    none = listed.select(key, "ord", "artist", "title", "source").limit(0)
-    return promoted.unionByName(overlay(runs, open_(listed), none, left, open_(durations), key, bracket))

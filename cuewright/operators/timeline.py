@@ -37,28 +37,36 @@ def neighbours(results: DataFrame, unknowns: DataFrame, key: str, slack: float =
     payload = F.struct("start_sec", "end_sec", "artist", "title", "score", "source")
     ranked = results.withColumn("rank", F.row_number().over(w))
     leading = ranked.withColumn("reach", F.max("end_sec").over(w)).withColumn("latest", F.max(F.struct("end_sec", -F.col("rank"), payload.alias("row"))).over(w)["row"])
-    kind = leading.schema["latest"].dataType
-    none, empty = F.lit(None).cast("double"), F.lit(None).cast(kind)
-    # each row marks two places: where all rows up to it have ended, and where it starts; each unknown asks at two
-    marks = leading.select(key, F.explode(F.array(F.struct(F.col("reach").alias("t"), F.lit(1).alias("kind"), F.col("latest").alias("ended"), empty.alias("starts")), F.struct(F.col("start_sec").alias("t"), F.lit(1).alias("kind"), empty.alias("ended"), payload.alias("starts")))).alias("m"), "rank", none.alias("start_sec"), none.alias("end_sec"))
-    asks = unknowns.select(key, F.explode(F.array(*[F.struct(t.alias("t"), F.lit(n).alias("kind"), empty.alias("ended"), empty.alias("starts")) for t, n in ((F.col("start_sec") + slack, 2), (F.col("end_sec") - slack, 0))])).alias("m"), F.col("ord").alias("rank"), "start_sec", "end_sec")
+    none, empty = F.lit(None).cast("double"), F.lit(None).cast(leading.schema["latest"].dataType)
+    # each row marks two places: where all rows up to it have ended (1), and where it starts (2); each unknown asks at two (3, 0)
+    mark = lambda t, kind, row: F.struct(t.alias("t"), F.lit(kind).alias("kind"), row.alias("row"))
+    marks = leading.select(key, F.explode(F.array(mark(F.col("reach"), 1, F.col("latest")), mark(F.col("start_sec"), 2, payload))).alias("m"), "rank", none.alias("start_sec"), none.alias("end_sec"))
+    asks = unknowns.select(key, F.explode(F.array(mark(F.col("start_sec") + slack, 3, empty), mark(F.col("end_sec") - slack, 0, empty))).alias("m"), F.col("ord").alias("rank"), "start_sec", "end_sec")
     both = marks.unionByName(asks).select(key, "m.*", "rank", "start_sec", "end_sec")
-    order = Window.partitionBy(key).orderBy("t", "kind", "rank")
-    both = both.withColumn("before", F.last("ended", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after", F.first("starts", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
-    found = both.where("kind <> 1").groupBy(key, F.col("rank").alias("ord")).agg(F.first("start_sec").alias("start_sec"), F.first("end_sec").alias("end_sec"), F.max(F.when(F.col("kind") == 2, F.col("before"))).alias("before"), F.max(F.when(F.col("kind") == 0, F.col("after"))).alias("after"))
+    # both frames run from their order's start: what follows is what went before in the opposite order
+    upto = lambda *order: Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda kind: F.last(F.when(F.col("kind") == kind, F.col("row")), ignorenulls=True)
+    before = both.where("kind <> 2").withColumn("found", last(1).over(upto("t", "kind", "rank"))).where("kind = 3")
+    after = both.where("kind in (0, 2)").withColumn("found", last(2).over(upto(F.desc("t"), F.desc("kind"), F.desc("rank")))).where("kind = 0")
+    found = before.unionByName(after).groupBy(key, F.col("rank").alias("ord")).agg(F.first("start_sec").alias("start_sec"), F.first("end_sec").alias("end_sec"), F.max(F.when(F.col("kind") == 3, F.col("found"))).alias("before"), F.max(F.when(F.col("kind") == 0, F.col("found"))).alias("after"))
     return found
 
 
-def smooth_gaps(results: DataFrame, unknowns: DataFrame, key: str, most: float = 90.0) -> tuple[DataFrame, DataFrame]:
-    """(filled rows, unknowns left) (H3): an unknown of at most ``most`` seconds between two rows of one track becomes
-    that track, copied from the row before, with the lower score and ``smoothed:`` before the source."""
+def gap_fills(results: DataFrame, unknowns: DataFrame, key: str, most: float = 90.0) -> DataFrame:
+    """``unknowns`` with ``fills``, whether they lie between two rows of one track and last at most ``most`` seconds, and the names,
+    score and source that they take then: those of the row before, the lower score, ``smoothed:`` before the source."""
     around = neighbours(results, unknowns, key)
     same = (same_key("before.artist") == same_key("after.artist")) & (same_key("before.title") == same_key("after.title"))
     around = around.withColumn("fills", F.coalesce((F.col("end_sec") - F.col("start_sec") <= most) & same, F.lit(False)))
-    filled = around.where("fills").select(
-        key, "ord", "start_sec", "end_sec", "before.artist", "before.title", F.least("before.score", "after.score").alias("score"), F.concat(F.lit("smoothed:"), "before.source").alias("source")
+    return around.select(
+        key, "ord", "start_sec", "end_sec", "fills", "before.artist", "before.title", F.least("before.score", "after.score").alias("score"), F.concat(F.lit("smoothed:"), "before.source").alias("source")
     )
-    return filled, around.where("not fills").select(key, "ord", "start_sec", "end_sec")
+
+
+def smooth_gaps(results: DataFrame, unknowns: DataFrame, key: str, most: float = 90.0) -> tuple[DataFrame, DataFrame]:
+    """(filled rows, unknowns left) (H3) of ``gap_fills``."""
+    rows = gap_fills(results, unknowns, key, most)
+    return rows.where("fills").drop("fills"), rows.where("not fills").select(key, "ord", "start_sec", "end_sec")
 
 
 def gap_cap(bounds: DataFrame, durations: DataFrame, key: str, most: float = 90.0) -> DataFrame:
@@ -137,24 +145,39 @@ def bracketed(unknowns: DataFrame, scraped: DataFrame, key: str, most: float = 1
     starts = scraped.where("start_sec is not null").select(key, F.col("start_sec").alias("t")).distinct()
     points = starts.select(key, "t", F.lit(None).cast("long").alias("ord"), F.col("t").alias("s"))
     asks = unknowns.select(key, ((F.col("start_sec") + F.col("end_sec")) / 2).alias("t"), "ord", F.lit(None).cast("double").alias("s"))
-    w = Window.partitionBy(key).orderBy("t")
-    both = points.unionByName(asks)
-    both = both.withColumn("before", F.last("s", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("after", F.first("s", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    # a listed start comes before the middles at its place in both orders, so it counts on both sides
+    nearest = lambda order: F.last("s", ignorenulls=True).over(Window.partitionBy(key).orderBy(order, F.col("ord").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    both = points.unionByName(asks).withColumn("before", nearest(F.col("t"))).withColumn("after", nearest(F.desc("t")))
     explained = both.where("ord is not null").where(F.col("after") - F.col("before") <= most).select(key, "ord")
     return unknowns.join(explained, [key, "ord"], "left_anti")
 
 
-def refine_ends(tracks: DataFrame, durations: DataFrame, key: str, sources: tuple[str, ...]) -> DataFrame:
-    """Tracks named by a list end where the next track starts, or the recording does, if that is later than their start."""
+def touching(rows: DataFrame, others: DataFrame, key: str, out: str = "touches") -> DataFrame:
+    """``rows`` with whether any of ``others`` overlaps them in time (J4, J5): both start before the other ends.
+
+    Of the others that start before a row ends, the latest end decides, so one sort and a running maximum do; no pairs are made.
+    Null keys and times touch nothing."""
+    names = rows.columns
+    asks = rows.select(key, F.col("end_sec").alias("t"), F.lit(0).alias("kind"), F.struct(*[F.col(c) for c in names]).alias("row"), F.lit(None).cast("double").alias("end"))
+    marks = others.where(F.col("start_sec").isNotNull() & F.col(key).isNotNull()).select(key, F.col("start_sec").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast(asks.schema["row"].dataType).alias("row"), F.col("end_sec").cast("double").alias("end"))
+    reach = F.max("end").over(Window.partitionBy(key).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    swept = asks.unionByName(marks).withColumn("reach", reach).where("kind = 0")
+    return swept.select("row.*", F.coalesce(F.col("t").isNotNull() & (F.col("reach") > F.col("row.start_sec")), F.lit(False)).alias(out))
+
+
+def refine_ends(tracks: DataFrame, durations: DataFrame, key: str, sources: tuple[str, ...] | None = None) -> DataFrame:
+    """Tracks named by a list (of one of ``sources``, else by column ``listed``) end where the next track starts, or the recording
+    does, if that is later than their start (H12)."""
     w = Window.partitionBy(key).orderBy("start_sec", "ord")
     rows = tracks.join(durations, key).withColumn("next", F.coalesce(F.lead("start_sec").over(w), F.col("duration")))
-    end = F.when(F.col("source").isin(*sources) & (F.col("next") > F.col("start_sec")), F.col("next")).otherwise(F.col("end_sec"))
+    named = F.col("listed") if sources is None else F.col("source").isin(*sources)
+    end = F.when(named & (F.col("next") > F.col("start_sec")), F.col("next")).otherwise(F.col("end_sec"))
     return rows.withColumn("end_sec", end).drop("next", "duration")
 
 
-def longest_unknowns(unknowns: DataFrame, key: str, most: int = 20) -> DataFrame:
-    """Add ``retry``: whether the unknown is among the ``most`` longest of its recording, first of equals."""
-    w = Window.partitionBy(key).orderBy((F.col("start_sec") - F.col("end_sec")), "ord")
+def longest_unknowns(unknowns: DataFrame, key: str, most: int = 20, *order: str) -> DataFrame:
+    """Add ``retry``: whether the unknown is among the ``most`` longest of its recording, first of equals (I3) by ``order``, else ``ord``."""
+    w = Window.partitionBy(key).orderBy((F.col("start_sec") - F.col("end_sec")), *(order or ("ord",)))
     return unknowns.withColumn("retry", F.row_number().over(w) <= most)
 
 

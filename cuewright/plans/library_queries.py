@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.functions import extract, text
-from cuewright.operators import catalogue, library, matching, overlay, timeline
+from cuewright.operators import catalogue, library, matching, resolution, timeline
 from cuewright.plans.text_queries import _LI_SQL, _t, entries
 from cuewright.plans.timeline_queries import _DAY_SQL, _OVERLAY_SQL, _RUNS_SQL, _SMOOTH_CTE, day_entries, day_results, durations
+from cuewright.sources import render
 
 
 def chart_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,16 +94,17 @@ SELECT mix_id, unnest(b) FROM b"""
 
 
 def by_lyrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations' turns as transcripts; each has two hits."""
-    c = _t(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("k"), "text", "role")
-    hits = c.select("k", F.explode(F.array(F.lit(1), F.lit(0))).alias("pos"), F.col("role").alias("artist")).withColumn("title", F.concat(F.lit("hit "), "pos"))
+    """Conversations' turns as transcripts; each has two hits, the first without names where the turn is even and the user's."""
+    c = _t(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("k"), "text", "role", "turn")
+    named = (F.col("pos") == 1) | (F.col("turn") % 2 == 1) | (F.col("role") != "user")
+    hits = c.select("k", F.explode(F.array(F.lit(1), F.lit(0))).alias("pos"), "role", "turn").select("k", "pos", F.when(named, F.col("role")).alias("artist"), F.when(named, F.concat(F.lit("hit "), "pos")).otherwise("").alias("title"))
     return library.by_lyrics(c, hits, "k", "text")
 
 
-LYRICS_SQL = r"""WITH c AS (SELECT conv_id || '-' || turn AS k, role, trim(regexp_replace(regexp_replace(text, '[\[\]()]', ' ', 'g'), '\s+', ' ', 'g')) AS flat FROM conversations),
+LYRICS_SQL = r"""WITH c AS (SELECT conv_id || '-' || turn AS k, role, turn, trim(regexp_replace(regexp_replace(text, '[\[\]()]', ' ', 'g'), '\s+', ' ', 'g')) AS flat FROM conversations),
 p AS (SELECT *, list_filter(list_transform(string_split_regex(flat, '[.,!?;]'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM c),
-b AS (SELECT k, role, coalesce(left(list_sort(list_transform(parts, lambda x, i: struct_pack(n := -length(x), i := i, p := x)))[1].p, 120), flat) AS phrase FROM p)
-SELECT k, phrase, role AS artist, 'hit 0' AS title, 0.55::DOUBLE AS score, 'genius' AS source FROM b WHERE length(phrase) >= 10"""
+b AS (SELECT k, role, turn, coalesce(left(list_sort(list_transform(parts, lambda x, i: struct_pack(n := -length(x), i := i, p := x)))[1].p, 120), flat) AS phrase FROM p)
+SELECT k, phrase, role AS artist, 'hit 0' AS title, 0.55::DOUBLE AS score, 'lyrics:genius' AS source FROM b WHERE length(phrase) >= 10 AND (turn % 2 = 1 OR role <> 'user')"""
 
 
 def mirrors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,43 +174,74 @@ SELECT mix_id, arg_max(frame, (rms, -frame)) AS frame, max(rms) AS rms FROM fr G
 
 
 def resolve_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days end to end: views, clicks and errors are segments with up to two staged candidates, purchases and sign-ups listed entries."""
+    """Days end to end: views, clicks and errors are segments; purchases and sign-ups listed entries, some of these without place. Up to four
+    library candidates, two of a sampled matcher and a lyrics hit, picks for some segments and stem matches for some unknowns."""
     rows = day_results(spark, sf_dir)
+    events = day_entries(spark, sf_dir).select("mix_id", "ord", "artist", "score")
+    late = F.col("source").eqNullSafe("signup") & (F.col("ord") % 4 == 0)
+    listed = day_entries(spark, sf_dir).where("source in ('purchase', 'signup')").withColumns({"title": F.when(late & (F.col("ord") % 16 > 0), F.concat(F.lit("extra "), F.col("ord") % 8)).otherwise(F.col("title")), "start_sec": F.when(~late, F.col("start_sec"))})
+
+    def offers(source: str, *hits: tuple[str, str, str]) -> resolution.Stage:
+        """Hits (condition, addition to the artist's name, score), in their order."""
+        made = F.array(*[F.struct(F.lit(i).alias("pick_rank"), F.expr(there).alias("there"), F.concat("artist", F.lit(more)).alias("artist"), F.expr(score).cast("double").alias("score")) for i, (there, more, score) in enumerate(hits)])
+        known = events.select("mix_id", "ord", F.explode(made).alias("h")).where("h.there").select("mix_id", "ord", "h.*")
+        return resolution.Stage(source, lambda open_: open_.join(known, ["mix_id", "ord"]).select("mix_id", "ord", "pick_rank", "artist", F.concat(F.lit("on "), "artist").alias("title"), "score", F.lit(source).alias("source")), 3 if source == "library" else 1)
+
+    stages = [
+        offers("library", ("ord % 3 > 0", "", "score"), ("ord % 3 > 0", " ii", "score * 0.9"), ("ord % 6 = 2", " iii", "score * 0.8"), ("ord % 6 = 2", " iv", "1")),
+        offers("shazam", ("ord % 2 = 0", "", "least(1D, score + 0.1)"), ("ord % 2 = 0", " live", "1")),
+        offers("lyrics:genius", ("ord % 5 = 0", " words", "0.55")),
+    ]
+    picks = lambda pools: pools.select("mix_id", "ord").distinct().where("ord % 7 = 0 or ord % 11 = 0 or ord % 13 = 0").withColumn("candidate_index", F.expr("CASE WHEN ord % 7 = 0 THEN 1 WHEN ord % 13 = 0 THEN -1 END"))
+    stems = lambda asked: asked.join(events, ["mix_id", "ord"]).where("ord % 4 = 0").select("mix_id", "ord", F.lit(0).alias("stem"), "artist", F.concat(F.lit("on "), "artist").alias("title"), F.when(F.col("ord") % 8 == 0, 0.4).otherwise(0.7).alias("score"))
     segments = rows.where("source in ('view', 'click', 'error')")
-    offers = F.array(
-        F.struct(F.lit(0).alias("stage"), F.col("score").alias("score"), F.lit("library").alias("source"), (F.col("ord") % 3 > 0).alias("there")),
-        F.struct(F.lit(1).alias("stage"), F.least(F.lit(1.0), F.col("score") + 0.1).alias("score"), F.lit("acoustid").alias("source"), (F.col("ord") % 2 == 0).alias("there")),
-    )
-    found = segments.select("mix_id", "ord", "artist", "title", F.explode(offers).alias("o")).where("o.there").select("mix_id", "ord", "artist", "title", "o.stage", "o.score", "o.source", F.lit(0).alias("pick_rank"))
-    return overlay.resolve(rows.where("source in ('purchase', 'signup')"), segments.select("mix_id", "ord", "start_sec", "end_sec"), found, durations(rows), "mix_id", 900.0, 1800.0)
+    return resolution.resolve(listed, segments, stages, durations(rows), "mix_id", picks=picks, stems=stems, longest_gap=900.0, bracket=1800.0)
 
 
-RESOLVE_SQL = f"""WITH {_DAY_SQL},
-d AS (SELECT DISTINCT mix_id FROM e), li AS (SELECT *, start_sec - lag(start_sec, 1, 0.0) OVER (PARTITION BY mix_id ORDER BY start_sec, ord) AS gap FROM e WHERE source IN ('purchase', 'signup')),
+_RUN_PARTS_SQL = f"""{_DAY_SQL},
+d AS (SELECT DISTINCT mix_id FROM e),
+li0 AS (SELECT * REPLACE (CASE WHEN late AND ord % 16 > 0 THEN 'extra ' || ord % 8 ELSE title END AS title, CASE WHEN NOT late THEN start_sec END AS start_sec) FROM (SELECT *, source = 'signup' AND ord % 4 = 0 AS late FROM e WHERE source IN ('purchase', 'signup'))),
+li AS (SELECT *, start_sec - lag(start_sec, 1, 0.0) OVER (PARTITION BY mix_id ORDER BY start_sec, ord) AS gap FROM li0 WHERE NOT late),
 sure AS (SELECT mix_id FROM li GROUP BY 1 HAVING max(start_sec) / 86400 >= 0.8 AND count(*) / 1440 >= 1.0 / 3 AND greatest(max(gap), 86400 - max(start_sec)) <= 300),
-promoted AS (SELECT mix_id, start_sec, coalesce(lead(start_sec) OVER (PARTITION BY mix_id ORDER BY ord), start_sec + 60) AS end_sec, artist, title, 1.0::DOUBLE AS score, source, 1::BIGINT AS n_merged FROM li WHERE mix_id IN (SELECT mix_id FROM sure)),
-c AS (SELECT mix_id, ord, start_sec, end_sec, artist, title, CASE WHEN ord % 3 > 0 THEN score END AS a, CASE WHEN ord % 2 = 0 AND (ord % 3 = 0 OR score < 0.85) THEN least(1.0, score + 0.1) END AS b FROM r WHERE source IN ('view', 'click', 'error') AND mix_id NOT IN (SELECT mix_id FROM sure)),
-p AS (SELECT *, CASE WHEN a IS NOT NULL AND (b IS NULL OR a >= b) THEN a ELSE b END AS score, CASE WHEN a IS NOT NULL AND (b IS NULL OR a >= b) THEN 'library' ELSE 'acoustid' END AS src FROM c),
-q AS (SELECT mix_id, ord, start_sec, end_sec, artist, title, score, CASE WHEN score >= 0.5 THEN src ELSE 'error' END AS source FROM p),
+promoted AS (SELECT mix_id, coalesce(start_sec, 0) AS start_sec, coalesce(lead(start_sec) OVER (PARTITION BY mix_id ORDER BY ord), coalesce(start_sec, 0) + 60) AS end_sec, artist, title, 1.0::DOUBLE AS score, source, 1::BIGINT AS n_merged FROM li0 WHERE mix_id IN (SELECT mix_id FROM sure)),
+sg AS MATERIALIZED (SELECT mix_id, ord, start_sec, end_sec, artist, score AS s, ord % 3 > 0 AS a, ord % 2 = 0 AND (ord % 3 = 0 OR score < 0.85) AS b,
+  ord % 5 = 0 AND greatest(CASE WHEN ord % 3 > 0 THEN score ELSE 0 END, CASE WHEN ord % 2 = 0 AND (ord % 3 = 0 OR score < 0.85) THEN least(1.0, score + 0.1) ELSE 0 END) < 0.85 AS c
+  FROM r WHERE source IN ('view', 'click', 'error') AND mix_id NOT IN (SELECT mix_id FROM sure)),
+ca AS (SELECT mix_id, ord, unnest([struct_pack(p := a, k := 0, n := artist, s := s, c := 'library'), struct_pack(p := a, k := 1, n := artist || ' ii', s := s * 0.9::DOUBLE, c := 'library'), struct_pack(p := ord % 6 = 2, k := 2, n := artist || ' iii', s := s * 0.8::DOUBLE, c := 'library'),
+  struct_pack(p := b, k := 3, n := artist, s := least(1.0, s + 0.1), c := 'shazam'), struct_pack(p := c, k := 4, n := artist || ' words', s := 0.55::DOUBLE, c := 'lyrics:genius')]) AS x FROM sg),
+po AS MATERIALIZED (SELECT mix_id, ord, x.n AS artist, x.s AS score, x.c AS source, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY mix_id, ord) AS n FROM ca WHERE x.p WINDOW w AS (PARTITION BY mix_id, ord ORDER BY x.k)),
+pk AS (SELECT *, ord % 7 = 0 OR ord % 11 = 0 OR ord % 13 = 0 AS picked, CASE WHEN ord % 7 = 0 THEN 1 WHEN ord % 13 = 0 THEN n - 1 END AS want FROM (SELECT *, max(n) OVER (PARTITION BY mix_id) > 1 AS many FROM po)),
+ch AS (SELECT mix_id, ord, artist, score, source FROM pk WHERE many AND picked AND i = want
+  UNION ALL SELECT mix_id, ord, arg_max(artist, (score, -i)), max(score), arg_max(source, (score, -i)) FROM pk WHERE NOT (many AND picked) GROUP BY 1, 2 HAVING max(score) >= 0.5),
+fa AS MATERIALIZED (SELECT sg.mix_id, sg.ord, start_sec, end_sec, sg.artist AS own, ch.artist, ch.score, ch.source, po.ord IS NOT NULL AS late FROM sg LEFT JOIN ch USING (mix_id, ord) LEFT JOIN (SELECT DISTINCT mix_id, ord FROM po) po USING (mix_id, ord)),
+dp AS (SELECT mix_id FROM fa GROUP BY 1 HAVING count(*) FILTER (source IS NULL) / (count(*) FILTER (late) + count(*) FILTER (source IS NULL)) > 0.5 OR count(*) FILTER (source IS NULL) >= 3),
+tr_ AS (SELECT *, mix_id IN (SELECT mix_id FROM dp) AND row_number() OVER (PARTITION BY mix_id ORDER BY start_sec - end_sec, late, ord) <= 20 AND end_sec - start_sec >= 8 AND ord % 4 = 0 AS ok FROM fa WHERE source IS NULL),
+q AS MATERIALIZED (SELECT mix_id, ord, start_sec, end_sec, artist, 'on ' || artist AS title, score, source FROM fa WHERE source IS NOT NULL
+  UNION ALL SELECT mix_id, ord, start_sec, end_sec, own, 'on ' || own, 0.7::DOUBLE, 'shazam+demucs' FROM tr_ WHERE ok AND ord % 8 > 0
+  UNION ALL SELECT mix_id, ord, start_sec, end_sec, NULL, NULL, NULL, 'error' FROM tr_ WHERE NOT ok),
 {_SMOOTH_CTE.format(most=900).replace('FROM r ', 'FROM q ')},
 both_ AS (SELECT mix_id, ord, start_sec, end_sec, artist, title, score, source FROM q WHERE source <> 'error' UNION ALL SELECT mix_id, uord, us, ue, bef.a, 'on ' || bef.a, least(bef.s, aft.s), 'smoothed:' || bef.c FROM s WHERE fills), {_RUNS_SQL.format(rows='both_')},
 {_OVERLAY_SQL.replace("(SELECT *, row_number() OVER (PARTITION BY mix_id ORDER BY ord) AS k FROM r WHERE source = 'view')", '(SELECT *, run AS k FROM runs)')
-    .replace("FROM e WHERE source IN ('purchase', 'signup')", "FROM e WHERE source IN ('purchase', 'signup') AND mix_id NOT IN (SELECT mix_id FROM sure)").replace('false) ORDER BY k)', 'false, n := n_merged) ORDER BY k)')
+    .replace("FROM e WHERE source IN ('purchase', 'signup')", "FROM li WHERE mix_id NOT IN (SELECT mix_id FROM sure)").replace('false) ORDER BY k)', 'false, n := n_merged) ORDER BY k)')
     .replace('c := true)])', 'c := true, n := 1::BIGINT)])').replace('c := true) ELSE y', 'c := true, n := y.n) ELSE y').replace('c := false)) END', 'c := false, n := 1::BIGINT)) END').replace('1::BIGINT AS n_merged FROM nx', 'x.n AS n_merged FROM nx')},
+tl AS (SELECT DISTINCT mix_id, artist, title, source FROM li0 WHERE late AND mix_id NOT IN (SELECT mix_id FROM sure) AND NOT EXISTS (SELECT 1 FROM ends WHERE ends.mix_id = li0.mix_id AND ends.artist = li0.artist AND ends.title = li0.title)),
 un AS (SELECT mix_id, uord AS ord, us, ue, (us + ue) / 2 AS m FROM s WHERE NOT fills),
-br AS (SELECT un.mix_id, un.ord, max(l.start_sec) FILTER (l.start_sec <= m) AS lo, min(l.start_sec) FILTER (l.start_sec >= m) AS hi FROM un JOIN li l ON l.mix_id = un.mix_id GROUP BY 1, 2)
-SELECT * FROM promoted UNION ALL SELECT * FROM ends UNION ALL SELECT un.mix_id, us, ue, NULL, NULL, NULL, 'unknown', 0 FROM un LEFT JOIN br USING (mix_id, ord) WHERE NOT coalesce(hi - lo <= 1800, false)"""
+br AS (SELECT un.mix_id, un.ord, max(l.start_sec) FILTER (l.start_sec <= m) AS lo, min(l.start_sec) FILTER (l.start_sec >= m) AS hi FROM un JOIN li l ON l.mix_id = un.mix_id GROUP BY 1, 2),
+al AS (SELECT * FROM promoted UNION ALL SELECT * FROM ends UNION ALL SELECT mix_id, 86399, 86400, artist, title, 1, source, 1 FROM tl
+  UNION ALL SELECT un.mix_id, us, ue, NULL, NULL, NULL, 'unknown', 0 FROM un LEFT JOIN br USING (mix_id, ord) WHERE NOT coalesce(hi - lo <= 1800, false)),
+fin AS (SELECT mix_id, row_number() OVER (PARTITION BY mix_id ORDER BY start_sec, end_sec, source, artist NULLS FIRST, title NULLS FIRST, score NULLS FIRST)::INTEGER AS ord, start_sec, end_sec, artist, title, score, source, n_merged FROM al)"""
+RESOLVE_SQL = f"WITH {_RUN_PARTS_SQL} SELECT * FROM fin"
 
 
 def resolve_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The resolution's rows as a plain list a day."""
-    from cuewright.sources import render
-
-    rows = resolve_whole(spark, sf_dir).withColumn("ord", F.xxhash64("end_sec", "artist", "source", "score"))
-    return render.text_list(rows.where("source <> 'unknown'").withColumn("score", F.lit(1.0)), rows.where("source = 'unknown'"), "mix_id").select("mix_id", F.size(F.split("text", "\n")).cast("long").alias("lines"))
+    rows = resolve_whole(spark, sf_dir)
+    return render.text_list(rows.where("source <> 'unknown'"), rows.where("source = 'unknown'"), "mix_id")
 
 
-TEXT_SQL = f"SELECT mix_id, count(*) AS lines FROM ({RESOLVE_SQL}) GROUP BY mix_id"
+TEXT_SQL = f"""WITH {_RUN_PARTS_SQL}, lns AS (SELECT mix_id, start_sec, ord, source = 'unknown' AS kind, floor(start_sec)::BIGINT AS t,
+  CASE WHEN source = 'unknown' THEN '[unidentified]' ELSE artist || ' - ' || title || printf(' (%.2f)', round(score, 2)) END AS body FROM fin)
+SELECT mix_id, string_agg(CASE WHEN t >= 3600 THEN printf('%02d:%02d:%02d', t // 3600, t % 3600 // 60, t % 60) ELSE printf('%02d:%02d', t // 60, t % 60) END || '  ' || body, chr(10) ORDER BY start_sec, kind, ord) AS text FROM lns GROUP BY mix_id"""
 
 QUERIES = {
     f.__name__: (f, sql)

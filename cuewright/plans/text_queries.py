@@ -164,14 +164,15 @@ SELECT * FROM r WHERE rank <= 3"""
 
 
 def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = entries(spark, sf_dir).withColumns({"segment": F.floor((F.col("ord") - 1) / 3).cast("int"), "stage": F.col("quantity") % 5, "source": F.concat(F.lit("m"), (F.col("quantity") % 5).cast("string"))})
-    return matching.cascade(rows, ["mix_id", "segment"], rank="ord")
+    """Stage 0 passes on its three best, the others their first hit."""
+    rows = entries(spark, sf_dir).withColumns({"segment": F.floor((F.col("ord") - 1) / 5).cast("int"), "stage": F.col("quantity") % 4, "source": F.concat(F.lit("m"), (F.col("quantity") % 4).cast("string"))})
+    return matching.cascade(rows, ["mix_id", "segment"], rank="ord", keep={0: 3})
 
 
-CASCADE_SQL = f"""WITH {_LI_SQL}, m AS (SELECT mix_id, ((ord - 1) // 3)::INTEGER AS segment, quantity % 5 AS stage, ord, artist, title, score FROM n),
-f AS (SELECT mix_id, segment, stage, arg_min(artist, ord) AS artist, arg_min(title, ord) AS title, arg_min(score, ord) AS score FROM m GROUP BY 1, 2, 3),
-w AS (SELECT *, max(score) OVER (PARTITION BY mix_id, segment ORDER BY stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM f)
-SELECT mix_id, segment, stage, artist, title, score, 'm' || stage AS source FROM w WHERE best IS NULL OR best < 0.85"""
+CASCADE_SQL = f"""WITH {_LI_SQL}, m AS (SELECT mix_id, ((ord - 1) // 5)::INTEGER AS segment, quantity % 4 AS stage, ord, artist, title, score FROM n),
+f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY mix_id, segment, stage ORDER BY ord) <= CASE WHEN stage = 0 THEN 3 ELSE 1 END),
+w AS (SELECT f.*, (SELECT max(score) FROM f e WHERE e.mix_id = f.mix_id AND e.segment = f.segment AND e.stage < f.stage) AS best FROM f)
+SELECT mix_id, segment, stage, (row_number() OVER (PARTITION BY mix_id, segment ORDER BY stage, ord) - 1)::INTEGER AS candidate_index, artist, title, score, 'm' || stage AS source FROM w WHERE best IS NULL OR best < 0.85"""
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

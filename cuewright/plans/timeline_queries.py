@@ -207,7 +207,7 @@ def overlay_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = day_results(spark, sf_dir)
     tracks = rows.where("source = 'view'").withColumn("n_merged", F.lit(1).cast("long"))
     merged = folds.overlay_names(tracks, rows.where("source in ('purchase', 'signup')"), "mix_id").withColumn("ord", F.lit(0))
-    return timeline.refine_ends(merged, durations(rows), "mix_id", ("purchase", "signup")).drop("ord")
+    return timeline.refine_ends(merged, durations(rows), "mix_id", ("purchase", "signup")).drop("ord", "listed")
 
 
 #: The greedy match as a fold over the listed entries; the state is the list of tracks (i: place, c: claimed).
