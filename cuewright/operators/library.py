@@ -11,8 +11,6 @@ from cuewright.operators.catalogue import ranked_mirrors
 from cuewright.operators.matching import upper_median_gate
 from cuewright.sources.audio import audio_files
 
-#: Columns of a library table (K1, K6).
-LIBRARY = "id long, filepath string, duration_secs double, fingerprint_raw binary, n_hashes int, title string, artist string, album string, indexed_at string"
 # Scores from which a match of each kind counts.
 FLOORS = {"library": 0.85, "acoustid": 0.80, "greedy": 0.5, "tier2": 0.85}
 LYRICS_SCORE, LEAST_PHRASE = 0.55, 10
@@ -45,18 +43,6 @@ def library_source(spark: SparkSession, folder: str, table: str | None = None, s
     return spark.read.parquet(table) if kind == "table" else audio_files(spark, folder)
 
 
-def as_library(rows: DataFrame) -> DataFrame:
-    """Rows with a library table's columns and types (K1, K6); columns that they lack are null."""
-    fields = [f.strip().split(" ") for f in LIBRARY.split(",")]
-    return rows.select(*[(F.col(name) if name in rows.columns else F.lit(None)).cast(kind).alias(name) for name, kind in fields])
-
-
-def write_library(rows: DataFrame, path: str, rebuild: bool = False) -> int:
-    """Append to the library at ``path``, or with ``rebuild`` start it anew (K2); the number of tracks there are then."""
-    as_library(rows).write.mode("overwrite" if rebuild else "append").parquet(path)
-    return rows.sparkSession.read.schema(LIBRARY).parquet(path).count()
-
-
 def library_size(library: DataFrame) -> DataFrame:
     """(tracks) in a library."""
     return library.agg(F.count(F.lit(1)).alias("tracks"))

@@ -9,7 +9,8 @@ from cuewright.functions import extract, text
 from cuewright.operators import catalogue, library, matching, resolution, timeline
 from cuewright.plans.text_queries import _LI_SQL, _t, entries
 from cuewright.plans.timeline_queries import _DAY_SQL, _OVERLAY_SQL, _RUNS_SQL, _SMOOTH_CTE, day_entries, day_results, durations
-from cuewright.sources import render
+from cuewright.sources import library_table, render
+from cuewright.sources.tables import Tables
 
 
 def chart_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ SELECT s_nationkey, artist, rank, title FROM supplier JOIN k ON s_name = artist
 
 def typed_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("/m/"), "p_partkey").alias("filepath"), F.col("p_size").alias("n_hashes"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), "p_type")
-    return library.as_library(part).select("id", "filepath", "title", "artist", "n_hashes", "album").where("title is not null")
+    return library_table.as_library(part).select("id", "filepath", "title", "artist", "n_hashes", "album").where("title is not null")
 
 
 TYPED_SQL = "SELECT p_partkey AS id, '/m/' || p_partkey AS filepath, p_name AS title, p_brand AS artist, p_size AS n_hashes, NULL::VARCHAR AS album FROM part"
@@ -49,6 +50,20 @@ def library_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 SIZE_SQL = "SELECT count(*) AS tracks FROM part"
 
 
+def library_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A library of parts, then a batch of line items' parts, whose paths are known but for every seventh, which come several times."""
+    path = Tables(spark, "library").folder
+    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("/m/"), "p_partkey").alias("filepath"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.col("p_size").alias("n_hashes"))
+    later = _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), F.when(F.col("l_partkey") % 7 == 0, F.concat(F.lit("/new/"), "l_partkey")).otherwise(F.concat(F.lit("/m/"), "l_partkey")).alias("filepath"), F.lit("later").alias("title"), F.lit("x").alias("artist"), F.lit(1).alias("n_hashes"))
+    library_table.upsert_library(part, path)
+    library_table.upsert_library(later, path)
+    return library_table.read_library(spark, path).select("id", "filepath", "title", "artist", "n_hashes")
+
+
+BUILD_SQL = """SELECT p_partkey AS id, '/m/' || p_partkey AS filepath, p_name AS title, p_brand AS artist, p_size AS n_hashes FROM part
+UNION ALL SELECT max(l_orderkey * 100 + l_linenumber), '/new/' || l_partkey, 'later', 'x', 1 FROM lineitem WHERE l_partkey % 7 = 0 GROUP BY l_partkey"""
+
+
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs by order status; what isn't a known source counts as the command line; then statistics by source."""
     runs = _t(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", "file").when(F.col("o_orderstatus") == "O", "url").otherwise(F.col("o_orderpriority")).alias("source"), F.col("o_custkey").alias("identified"))
@@ -246,7 +261,7 @@ SELECT mix_id, string_agg(CASE WHEN t >= 3600 THEN printf('%02d:%02d:%02d', t //
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
-        (chart_tracks, CHART_SQL), (artist_union, UNION_SQL), (typed_library, TYPED_SQL), (library_size, SIZE_SQL), (run_log, LOG_SQL), (accepted, ACCEPT_SQL), (best_of_lists, LISTS_SQL), (reactive, REACTIVE_SQL), (by_lyrics, LYRICS_SQL),
+        (chart_tracks, CHART_SQL), (artist_union, UNION_SQL), (typed_library, TYPED_SQL), (library_build, BUILD_SQL), (library_size, SIZE_SQL), (run_log, LOG_SQL), (accepted, ACCEPT_SQL), (best_of_lists, LISTS_SQL), (reactive, REACTIVE_SQL), (by_lyrics, LYRICS_SQL),
         (mirrors_of, MIRRORS_SQL), (playlist_matches, PLAYLIST_SQL), (unit_functions, UNIT_SQL), (long_segments, LONG_SQL), (loudest_window, LOUD_SQL), (resolve_whole, RESOLVE_SQL), (resolve_text, TEXT_SQL),
     )
 }

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import extract, text
-from cuewright.operators import matching, similarity
+from cuewright.operators import hash_index, matching, similarity
 from cuewright.sources import render
+from cuewright.sources.tables import Tables
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -147,10 +148,22 @@ r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DES
 
 def library_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of every twentieth vector, as 32-bit hashes in two variants, against all vectors."""
+    return similarity.top_matches(*_stretches(spark, sf_dir), 3, 0.5).withColumn("score", F.round("score", 9))
+
+
+def library_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same stretches against a stored index of all vectors, at a floor of 0.9."""
+    asks, lib = _stretches(spark, sf_dir)
+    path = Tables(spark, "index").folder
+    hash_index.build_index(lib, path)
+    return hash_index.indexed_matches(asks, spark, path, 3, 0.9).withColumn("score", F.round("score", 9))
+
+
+def _stretches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     bits = lambda v: F.pmod(F.floor(v.cast("double") * 65536), F.lit(4294967296)).cast("long")
     lib = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("track_id"), F.transform("embedding", bits).alias("hashes"))
     asks = lib.where("track_id % 20 = 0").select(F.col("track_id").alias("query_id"), F.explode(F.array(F.struct(F.lit(0).alias("o"), F.slice("hashes", 9, 24).alias("h")), F.struct(F.lit(1).alias("o"), F.slice("hashes", 20, 24).alias("h")))).alias("v"))
-    return similarity.top_matches(asks.select("query_id", F.col("v.o").alias("pitch_ord"), F.col("v.h").alias("hashes")), lib, 3, 0.5).withColumn("score", F.round("score", 9))
+    return asks.select("query_id", F.col("v.o").alias("pitch_ord"), F.col("v.h").alias("hashes")), lib
 
 
 TOPK_SQL = """WITH lib AS (SELECT vec_id AS track_id, list_transform(embedding, lambda v: ((floor(v::DOUBLE * 65536)::BIGINT % 4294967296) + 4294967296) % 4294967296) AS h FROM embeddings),
@@ -161,6 +174,7 @@ b AS (SELECT query_id, o, track_id, coalesce(arg_min(struct_pack(s := score, f :
 p AS (SELECT query_id, track_id, arg_max(b, (b.s, -o)) AS b FROM b GROUP BY 1, 2),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY b.s DESC, track_id) AS rank, track_id, round(b.s, 9) AS score, b.f::INTEGER AS "offset" FROM p WHERE b.s >= 0.5)
 SELECT * FROM r WHERE rank <= 3"""
+INDEX_SQL = TOPK_SQL.replace("b.s >= 0.5", "b.s >= 0.9")
 
 
 def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,7 +393,7 @@ QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
         (parse_timed, TIMED_SQL), (parse_untimed, UNTIMED_SQL), (parse_chapters, CHAPTERS_SQL), (parse_wikitext, WIKI_SQL), (tracklist_html, HTML_SQL), (page_links, LINKS_SQL), (og_tags, OG_SQL), (url_functions, URL_SQL),
-        (clean_phrases, PHRASE_SQL), (token_overlap, OVERLAP_SQL), (library_topk, TOPK_SQL), (cascade, CASCADE_SQL), (greedy_pick, GREEDY_SQL), (apply_picks, PICKS_SQL), (expanding_pitch, PITCH_SQL), (upper_median_gate, MEDIAN_SQL),
+        (clean_phrases, PHRASE_SQL), (token_overlap, OVERLAP_SQL), (library_topk, TOPK_SQL), (library_index, INDEX_SQL), (cascade, CASCADE_SQL), (greedy_pick, GREEDY_SQL), (apply_picks, PICKS_SQL), (expanding_pitch, PITCH_SQL), (upper_median_gate, MEDIAN_SQL),
         (tier2_merge, TIER2_SQL), (dedup_untimed, UNTIMED_DEDUP_SQL), (library_upsert, UPSERT_SQL), (library_lookup, LOOKUP_SQL), (ttl_cache, TTL_SQL), (artist_topn, TOPN_SQL), (paged_scan, PAGED_SQL), (usage_stats, USAGE_SQL),
         (queue_state, QUEUE_SQL), (parse_matcher_json, MATCHER_SQL), (hmac_sign, HMAC_SQL), (render_txt, TXT_SQL), (render_m3u, M3U_SQL), (render_json, JSON_SQL),
     )

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from cuewright.functions import signal
 from cuewright.operators import folds, library, overlay, timeline
-from cuewright.sources import audio, render
+from cuewright.sources import audio, library_table, render
 from pyspark.sql import functions as F
 
 
@@ -49,7 +49,7 @@ def test_prepare_and_centroid(spark):
 def test_library_table(spark, tmp_path):
     rows = spark.createDataFrame([("1", "/m/a.mp3", "A")], "id string, filepath string, artist string")
     path = f"{tmp_path}/library"
-    assert [library.write_library(rows, path), library.write_library(rows, path), library.write_library(rows, path, rebuild=True)] == [1, 2, 1]
+    assert [library_table.upsert_library(rows, path)[1], library_table.upsert_library(rows, path)[1], library_table.upsert_library(rows, path, rebuild=True)[1]] == [1, 1, 1]
     got = library.library_source(spark, "/none", path)
     assert got.columns[:2] == ["id", "filepath"] and got.head().id == 1 and library.library_size(got).head().tracks == 1
     with pytest.raises(ValueError):
