@@ -6,6 +6,7 @@ each other, so a long recording is many groups.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable
 
 import pandas as pd
@@ -93,15 +94,16 @@ def overlay_names(tracks: DataFrame, scraped: DataFrame, key: str, window: float
 
     def merge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         own = left.sort_values("ord", kind="stable")[columns].to_dict("records") if len(left) else []
-        claimed: set[int] = set()
+        free = sorted((t["start_sec"], i) for i, t in enumerate(own))  # those that no entry has claimed
         for s in right.sort_values(["start_sec", "ord"], kind="stable").to_dict("records") if len(right) else []:
-            near = [(abs(t["start_sec"] - s["start_sec"]), i) for i, t in enumerate(own) if i not in claimed]
-            distance, i = min(near, default=(window + 1, -1))
+            near = free[bisect_left(free, (s["start_sec"] - window,)) : bisect_right(free, (s["start_sec"] + window, len(own)))]
             named = {"artist": s["artist"], "title": s["title"], "score": 1.0, "source": s["source"], "listed": True}
-            if distance <= window and s["priority"] > 0:
+            if near and s["priority"] > 0:
+                start, i = min(near, key=lambda t: (abs(t[0] - s["start_sec"]), t[1]))
                 own[i] |= named
-                claimed.add(i)
+                del free[bisect_left(free, (start, i))]
             else:
+                insort(free, (s["start_sec"], len(own)))
                 own.append({key: s[key], "start_sec": s["start_sec"], "end_sec": s["start_sec"] + placeholder, "n_merged": 1} | named)
         return pd.DataFrame(own, columns=columns)
 

@@ -19,8 +19,8 @@ from cuewright.operators.similarity import top_matches
 from cuewright.sources.tables import Tables
 
 WORD, BANDS, BITS = 3, 4, 24
-#: Files' key ranges and tracks' buckets.
-BUCKETS = 256
+#: Key ranges and buckets of tracks, a file each, of a new index.
+BUCKETS = 64
 #: Bits within which bands are looked up at most, and looked-up values that go to every task; queries beyond the first are scanned for,
 #: and more values than the second are shuffled.
 MOST_BITS, BROADCAST = 2, 2_000_000
@@ -42,8 +42,9 @@ def _near(bits: int) -> np.ndarray:
     return np.array([sum(1 << i for i in chosen) for n in range(bits + 1) for chosen in combinations(range(BITS), n)], np.int64)
 
 
-def build_index(library: DataFrame, path: str) -> None:
-    """Write the index of ``library`` (track_id, hashes: 32-bit numbers) at ``path``: ``bands`` by key range and ``tracks`` by bucket.
+def build_index(library: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Write the index of ``library`` (track_id, hashes: 32-bit numbers) at ``path``: ``bands`` by key range, ``tracks`` by bucket, and
+    the number of these.
 
     Null hashes count as empty. Four rows a hash, which a task makes track by track."""
 
@@ -55,10 +56,11 @@ def build_index(library: DataFrame, path: str) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int32)), pa.array(np.full(keys.size, track, np.int64)), pa.array(place)], names=["key", "track_id", "place"])
 
     rows = library.select("track_id", "hashes")
-    span = (BANDS << BITS) // BUCKETS
+    span = (BANDS << BITS) // buckets
     bands = rows.mapInArrow(run, "key int, track_id long, place int").withColumn("bucket", F.floor(F.col("key") / span).cast("int"))
     bands.repartition("bucket").sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"{path}/bands")
-    rows.withColumn("bucket", F.pmod("track_id", F.lit(BUCKETS)).cast("int")).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/tracks")
+    rows.withColumn("bucket", F.pmod("track_id", F.lit(buckets)).cast("int")).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/tracks")
+    library.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/layout")
 
 
 def _lookups(asks: DataFrame, floor: float) -> DataFrame:
@@ -94,13 +96,14 @@ def indexed_matches(queries: DataFrame, spark: SparkSession, path: str, k: int,
     rows = tables.write(rows.join(short.withColumn("scanned", F.lit(True)), "query_id", "left").where(F.size("hashes") > 0), "queries")
     asks = rows.where("scanned is null").drop("scanned")
     lookups = tables.write(_lookups(asks, floor), "lookups")
-    span = (BANDS << BITS) // BUCKETS
-    touched = [r[0] for r in lookups.select(F.floor(F.col("key") / span).cast("int")).distinct().collect()]  # BUCKETS at most
+    buckets = spark.read.parquet(f"{path}/layout").first()["buckets"]
+    span = (BANDS << BITS) // buckets
+    touched = [r[0] for r in lookups.select(F.floor(F.col("key") / span).cast("int")).distinct().collect()]  # as many as the index has
     index = spark.read.parquet(f"{path}/bands").where(F.col("bucket").isin(touched)).drop("bucket")
     side = F.broadcast(lookups) if lookups.count() <= BROADCAST else lookups
     votes = index.join(side, "key").groupBy("query_id", "pitch_ord", "track_id", (F.col("place") - F.col("word")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"), F.first("needed").alias("needed"))
     found = tables.write(votes.where("votes >= needed and offset >= 0").select("query_id", "pitch_ord", "track_id", "offset"), "found")
-    held = [r[0] for r in found.select(F.pmod("track_id", F.lit(BUCKETS)).cast("int")).distinct().collect()]
+    held = [r[0] for r in found.select(F.pmod("track_id", F.lit(buckets)).cast("int")).distinct().collect()]
     tracks = spark.read.parquet(f"{path}/tracks")
     pairs = found.join(tracks.where(F.col("bucket").isin(held)).drop("bucket").withColumnRenamed("hashes", "own"), "track_id").join(asks, ["query_id", "pitch_ord"])
     size = F.size("hashes")

@@ -151,16 +151,8 @@ def library_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.top_matches(*_stretches(spark, sf_dir), 3, 0.5).withColumn("score", F.round("score", 9))
 
 
-def library_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same stretches against a stored index of all vectors, at a floor of 0.9."""
-    asks, lib = _stretches(spark, sf_dir)
-    path = Tables(spark, "index").folder
-    hash_index.build_index(lib, path)
-    return hash_index.indexed_matches(asks, spark, path, 3, 0.9).withColumn("score", F.round("score", 9))
-
-
-def _stretches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    bits = lambda v: F.pmod(F.floor(v.cast("double") * 65536), F.lit(4294967296)).cast("long")
+def _stretches(spark: SparkSession, sf_dir: str, factor: int = 1) -> tuple[DataFrame, DataFrame]:
+    bits = lambda v: F.pmod(F.floor(v.cast("double") * 65536) * factor, F.lit(4294967296)).cast("long")
     lib = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("track_id"), F.transform("embedding", bits).alias("hashes"))
     asks = lib.where("track_id % 20 = 0").select(F.col("track_id").alias("query_id"), F.explode(F.array(F.struct(F.lit(0).alias("o"), F.slice("hashes", 9, 24).alias("h")), F.struct(F.lit(1).alias("o"), F.slice("hashes", 20, 24).alias("h")))).alias("v"))
     return asks.select("query_id", F.col("v.o").alias("pitch_ord"), F.col("v.h").alias("hashes")), lib
@@ -174,7 +166,18 @@ b AS (SELECT query_id, o, track_id, coalesce(arg_min(struct_pack(s := score, f :
 p AS (SELECT query_id, track_id, arg_max(b, (b.s, -o)) AS b FROM b GROUP BY 1, 2),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY b.s DESC, track_id) AS rank, track_id, round(b.s, 9) AS score, b.f::INTEGER AS "offset" FROM p WHERE b.s >= 0.5)
 SELECT * FROM r WHERE rank <= 3"""
-INDEX_SQL = TOPK_SQL.replace("b.s >= 0.5", "b.s >= 0.9")
+
+
+def library_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of every twentieth vector against a stored index of all vectors, at a floor of 0.9; the hashes' bits are mixed, as a
+    fingerprint's are."""
+    asks, lib = _stretches(spark, sf_dir, 2654435761)
+    path = Tables(spark, "index").folder
+    hash_index.build_index(lib, path)
+    return hash_index.indexed_matches(asks, spark, path, 3, 0.9).withColumn("score", F.round("score", 9))
+
+
+INDEX_SQL = TOPK_SQL.replace("b.s >= 0.5", "b.s >= 0.9").replace("floor(v::DOUBLE * 65536)::BIGINT %", "floor(v::DOUBLE * 65536)::BIGINT * 2654435761 %")
 
 
 def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,9 +84,9 @@ def test_index_reads_what_may_match(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(1)
     path, seen = f"{tmp_path}/index", []
     tracks = [rng.integers(0, 1 << 32, 60, dtype=np.uint32) for _ in range(400)]
-    hash_index.build_index(spark.createDataFrame([(i, t.astype(np.int64).tolist()) for i, t in enumerate(tracks)], "track_id long, hashes array<long>"), path)
+    hash_index.build_index(spark.createDataFrame([(i, t.astype(np.int64).tolist()) for i, t in enumerate(tracks)], "track_id long, hashes array<long>"), path, 256)
     keys = hash_index._band_keys(tracks[3][:24])[:: hash_index.WORD].ravel()
-    touched = {int(k) // ((hash_index.BANDS << hash_index.BITS) // hash_index.BUCKETS) for k in keys}
+    touched = {int(k) // ((hash_index.BANDS << hash_index.BITS) // 256) for k in keys}
     bands = spark.read.parquet(f"{path}/bands")
     read = bands.where(F.col("bucket").isin(sorted(touched))).where(F.col("key").isin([int(k) for k in keys]))
     assert len(touched) <= 32 and "PartitionFilters: [bucket" in read._jdf.queryExecution().toString() and read.count() < bands.count() / 50
