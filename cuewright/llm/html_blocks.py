@@ -12,6 +12,7 @@ import random
 import re
 import zlib
 from bisect import bisect_left
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -21,8 +22,12 @@ from pyspark.sql import functions as F
 
 from cuewright.llm import tokens
 
-#: Elements whose content is never text of the page.
-_SKIPPED = frozenset("script style noscript template textarea select svg iframe object title".split())
+#: Elements that hold raw text, never markup or text of the page. Without an end, the first two take the rest, the others nothing.
+_RAW = ("script", "style", "textarea", "iframe", "title")
+#: Elements whose content, markup as well, isn't text of the page. They end with their parent at the latest.
+_HIDING = frozenset("noscript template select svg".split())
+#: What may stand in a head; anything else, text too, ends it.
+_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 _OPEN = re.compile(r"<(?:(?P<comment>!--)|(?P<cdata>!\[CDATA\[)|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]{0,63})|(?P<other>[/!?]))")
 #: The rest of a tag that has neither < nor > in its attributes.
 _PLAIN = re.compile(r"[^'\"<>]*+(?:(?:\"[^\"<>]*+\"|'[^'<>]*+')[^'\"<>]*+)*+>")
@@ -73,8 +78,10 @@ class _Ends:
 
 
 def tokens_of(page: str):
-    """(place, end, tag or None, whether it closes, attributes) of each piece of markup. An unfinished tag is text."""
+    """(place, end, tag, whether it closes, attributes) of each piece of markup: None for one without a tag, empty for a whole raw
+    element. An unfinished tag is text."""
     ends, at, last = _Ends(page), 0, page.rfind(">")
+    endless: set[str] = set()  # raw elements that nothing closes any more
     while m := _OPEN.search(page, at):
         start, tag = m.start(), m["tag"]
         if m["comment"] or m["cdata"]:
@@ -94,10 +101,16 @@ def tokens_of(page: str):
             at = start + 1
             continue
         at = end
-        if tag and not m["end"] and tag.lower() in _SKIPPED:
-            found = _closing(tag.lower()).search(page, end)
-            at = found.end() if found else len(page)
-            tag = None
+        raw = tag.lower() if tag and not m["end"] else ""
+        if raw in _RAW:
+            found = None if raw in endless else _closing(raw).search(page, end)
+            if found:
+                at = found.end()
+            elif raw in _RAW[:2]:
+                at = len(page)
+            endless |= set() if found else {raw}
+            yield start, at, "", False, ""
+            continue
         yield start, at, tag, bool(m["end"]), page[m.end() : end - 1]
 
 
@@ -132,13 +145,14 @@ def leaf_blocks(page: str | None) -> list[tuple[Node | None, str, float]]:
     open_tags: dict[str, int] = {}
     parts: list[str] = []
     linked: list[str] = []
-    in_link, at, hidden = False, 0, 0
+    in_link, at, in_head = False, 0, False
+    hiding, inside = "", Counter()  # the element that hides what follows, and what is open in it
     page = page or ""
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text and not hidden:
+            if text:
                 share = len("".join(linked)) / max(1, len("".join(parts)))
                 out.append((stack[-1] if stack else None, text, min(1.0, share)))
             parts.clear()
@@ -148,26 +162,47 @@ def leaf_blocks(page: str | None) -> list[tuple[Node | None, str, float]]:
         open_tags[stack[-1].tag] -= 1
         return stack.pop()
 
+    def add(text: str) -> None:
+        parts.append(text)
+        if in_link:
+            linked.append(text)
+
     for start, end, tag, closes, attrs in tokens_of(page):
-        if start > at:
-            parts.append(page[at:start])
-            if in_link:
-                linked.append(parts[-1])
+        if start > at and not hiding:
+            text = page[at:start]
+            in_head = in_head and text.isspace()
+            if not in_head:
+                add(text)
         at = end
-        if tag is None:
+        if not tag:
             continue
         tag = tag.lower()
+        if hiding:
+            if closes and inside[tag]:
+                inside[tag] -= 1
+                hiding = hiding if inside[hiding] else ""
+                continue
+            # the end of what isn't open inside is its parent's; a list or drawing can't hold blocks
+            if not (closes or (tag in _BLOCK and hiding in ("select", "svg") and tag not in ("option", "hr"))):
+                inside[tag] += 1
+                continue
+            if closes and tag in _BLOCK and not open_tags.get(tag):
+                continue
+            hiding = ""
+        if tag in _HIDING:
+            if not closes and not attrs.endswith("/"):
+                hiding, inside = tag, Counter((tag,))
+            continue
+        in_head = in_head and tag in _HEAD
         if tag == "a":
             in_link = not closes
         elif tag == "br":
             parts.append(" ")
         elif tag == "head":
             flush()
-            hidden = 0 if closes else 1
+            in_head = not closes
         elif tag in _BLOCK:
             flush()
-            if tag == "body":
-                hidden = 0
             if closes:
                 if open_tags.get(tag):
                     while pop().tag != tag:
@@ -179,8 +214,8 @@ def leaf_blocks(page: str | None) -> list[tuple[Node | None, str, float]]:
                 if tag not in _VOID:
                     stack.append(Node(tag, _label(tag, attrs), stack[-1] if stack else None))
                     open_tags[tag] = open_tags.get(tag, 0) + 1
-    if at < len(page):
-        parts.append(page[at:])
+    if at < len(page) and not hiding:
+        add(page[at:])
     flush()
     return out
 

@@ -66,7 +66,7 @@ def test_extract(spark, model):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-@pytest.mark.parametrize("page, blocks", [("<a " * 350_000, 1), ("<a<b" * 250_000 + '">', 1), ("<p>one</p>" + '<a "' * 300_000 + ">", None), ("</section>" * 100_000 + "x", 1), ("<script" * 150_000, 1), ("<!-- " * 200_000, 0)])
+@pytest.mark.parametrize("page, blocks", [("<a " * 350_000, 1), ("<a<b" * 250_000 + '">', 1), ("<p>one</p>" + '<a "' * 300_000 + ">", None), ("</section>" * 100_000 + "x", 1), ("<script" * 150_000, 1), ("<!-- " * 200_000, 0), ("<textarea>x" * 100_000, 1), ("<svg>" * 200_000 + "<p>x", 1), ("<div><select>" * 50_000 + "</div>x" * 50_000, None)])
 def test_long_broken_pages_take_linear_time(page, blocks):
     began = time.time()
     got = H.leaf_blocks(page)
@@ -81,6 +81,36 @@ def test_deep_pages(model):
     assert len(H.main_text([page], model)) == 1 and time.time() - began < 60
 
 
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        ("<html><head><title>t</title><meta charset=utf-8><p>one</p><p>two</p>", ["one", "two"]),
+        ("<head><title>t</title><link rel=x>bare text<p>one", ["bare text", "one"]),
+        ("<head><noscript><img src=x><style>p{}</style></noscript><meta name=a><script>1</script></head>x<p>one", ["x", "one"]),
+        ("<head>\n<!-- c -->\n<base href=x></head>\n<body><p>one", ["one"]),
+        ("<p>a <svg class='i'/> b</p><p>c</p>", ["a b", "c"]),
+        ("<p>a <svg class='i'><path d='M'/><title>no</title><text>no</text></svg> b</p>", ["a b"]),
+        ("<div><a href=x><svg><path></a> shown</div><p>c</p>", ["shown", "c"]),
+        ("<div><svg><g><path></div><p>c</p>", ["c"]),
+        ("<div><svg><text>no<p>c</p></div><p>d", ["c", "d"]),
+        ("<div>Pick <select><option>no<option>no</select> one</div>", ["Pick one"]),
+        ("<div><select><option>no</div><p>c", ["c"]),
+        ("<select><option>no<p>c</p><p>d</p>", ["c", "d"]),
+        ("<div><object data=x><param name=y>kept<p>c</p></div><p>d", ["kept", "c", "d"]),
+        ("<section><template><p>no</p><div>no</div></section><p>c", ["c"]),
+        ("<section><noscript><p>no</p></noscript><p>c</section>", ["c"]),
+        ("<p>one</p><textarea>two<p>three", ["one", "two", "three"]),
+        ("<p>one</p><iframe src=x><p>three", ["one", "three"]),
+        ("<p>one</p><iframe src=x>no</iframe><textarea>no</textarea><p>three", ["one", "three"]),
+        ("<p>one</p><script>no<p>no", ["one"]),
+        ("<svg><svg></svg>no</svg>yes", ["yes"]),
+        ("</select></svg></template>yes<select>", ["yes"]),
+    ],
+)
+def test_nothing_but_hidden_content_is_dropped(page, blocks):
+    assert [b[1] for b in H.leaf_blocks(page)] == blocks
+
+
 def test_unfinished_tags_are_text():
     assert [b[1] for b in H.leaf_blocks("<p>a <b c='d>e</p>")] == ["a <b c='d>e"]
     assert [b[1] for b in H.leaf_blocks("<p title='a>b' lang=\"<\">one</p></p 'x>two")] == ["one", "two"]
@@ -111,6 +141,23 @@ _FOREIGN = [
         <section id="comments"><h3>Comments</h3><p>About time they did this!</p></section></main><footer><p>Contact us. Terms of use.</p></footer></body></html>""",
         ["Council votes to reopen the harbour", "The council voted last night, by a narrow margin, to reopen the old harbour to fishing boats.", "Work on the quay begins in spring and is expected to take two years, the mayor said."],
     ),
+    (
+        """<!doctype html><head><meta charset=utf-8><title>Bread</title><ul class=nav><li><a href=/>Home</a><li><a href=/r>Recipes</a></ul><h1>Rye bread in two days</h1><p>Stir the starter into warm water the evening before, cover it and leave it by the stove.
+        <p>In the morning add the flour and the salt, and knead until the dough comes away from the bowl.<ol><li>Shape a loaf and let it rise for an hour<li>Bake it hot, then less hot</ol><div class=newsletter><p>Sign up for our newsletter!</p></div><div class=foot>Imprint</div>""",
+        ["Rye bread in two days", "Stir the starter into warm water the evening before, cover it and leave it by the stove.", "In the morning add the flour and the salt, and knead until the dough comes away from the bowl.", "Shape a loaf and let it rise for an hour", "Bake it hot, then less hot"],
+    ),
+    (
+        """<body><div role="navigation"><a href="/1">One</a> | <a href="/2">Two</a></div><div role="main"><h2>Why owls fly silently</h2><p>The leading edge of an owl's wing carries a comb of stiff hairs that breaks the air into small streams.</p>
+        <figure><img src="x.jpg"><figcaption>A barn owl over a field at dusk</figcaption></figure><p>The soft fringe behind it lets those streams join again without the rush that other birds make.</p></div>
+        <div role="complementary"><h3>Popular</h3><ul><li><a href="/3">Ten facts about bats</a></li></ul></div><div role="contentinfo">Site map. Privacy.</div></body>""",
+        ["Why owls fly silently", "The leading edge of an owl's wing carries a comb of stiff hairs that breaks the air into small streams.", "A barn owl over a field at dusk", "The soft fringe behind it lets those streams join again without the rush that other birds make."],
+    ),
+    (
+        """<div class="wrapper"><div class="breadcrumbs"><a href="/">Home</a> &gt; <a href="/h">History</a></div><div class="post"><h1 class="post-title">The lighthouse keepers</h1><div class="post-meta"><svg><path d="M0"/></svg></div><div class="post-content"><p>Four families lived on the rock, and each kept the lamp for six hours of the night.</p>
+        <pre>oil: 3 casks
+wicks: 40</pre><p>Supplies came twice a month when the sea allowed it, and in winter often not at all.</p></div></div><div class="share-buttons"><a href="#">Share</a><a href="#">Tweet</a></div><div class="comment-list"><div class="comment"><p>My grandfather was one of them.</p></div></div></div>""",
+        ["The lighthouse keepers", "Four families lived on the rock, and each kept the lamp for six hours of the night.", "oil: 3 casks wicks: 40", "Supplies came twice a month when the sea allowed it, and in winter often not at all."],
+    ),
 ]
 
 
