@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.llm.common import HOT_SHARE, materialise, new_path, note, scratch
+from cuewright.llm.simhash_vp import components
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -65,18 +66,16 @@ def _with_first(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.withColumn("first", F.coalesce("hot_first", "own_first")).drop("key", "hot_first", "own_first")
 
 
-def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", sizes: DataFrame | None = None, limits: tuple[int, int] | None = None) -> DataFrame:
-    """Column ``record``: per page a string array of its request, response or revisit, and metadata record.
+def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", sizes: DataFrame | None = None) -> DataFrame:
+    """(records, bytes): per page a string array of its request, response or revisit, and metadata record, and its payload's size.
 
     Null payloads are empty, null URLs empty. Of payloads of at least ``REVISIT_BYTES`` bytes that are equal, the page with the
     largest identifier is the response (null identifiers smallest; rows that repeat it are all responses). ``sizes``: what
-    ``page_sizes`` gives. ``limits``: only pages of more than the one and up to the other number of bytes.
+    ``page_sizes`` gives.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), _clean(F.col(url_col)).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     rows = rows.withColumns({"bytes": F.octet_length("payload"), "sha": F.sha2(F.col("payload").cast("binary"), 256)})
     rows = _with_first(rows, sizes if sizes is not None else page_sizes(pages, id_col, payload_col))
-    if limits is not None:
-        rows = rows.where((F.col("bytes") > limits[0]) & (F.col("bytes") <= limits[1]))
     revisit = F.col("first").isNotNull() & (F.coalesce("id", F.lit(-(1 << 63))) < F.col("first"))
     digest = F.concat(F.lit("sha1:"), F.sha1(F.col("payload").cast("binary")))
     salt = F.uuid()
@@ -100,30 +99,28 @@ def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     )
     fields = F.concat(F.lit("pageId: "), F.coalesce(page, F.lit("")), F.lit(CRLF + "refersToPageId: "), F.coalesce(F.when(F.col("revisit"), F.col("first")).cast("string"), F.lit("")), F.lit(CRLF))
     metadata = _record("metadata", [("WARC-Record-ID", own("metadata")), ("WARC-Concurrent-To", F.col("rid")), date, target, ("Content-Type", F.lit("application/warc-fields"))], fields)
-    return named.select(F.array(request, response, metadata).alias("records"))
+    return named.select(F.array(request, response, metadata).alias("records"), "bytes")
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     """Write the archives, gzipped, to the folder ``path``. An empty table gives a folder without records."""
     with scratch(pages.sparkSession):
-        sizes = page_sizes(pages, id_col, payload_col)
-        group = F.lit(len(SIZES))
+        # the three records of a capture stand in one line of text, so a file's cut never depends on how they are spread
+        rows = to_records(pages, id_col, url_col, payload_col, page_sizes(pages, id_col, payload_col)).select(F.array_join("records", CRLF + CRLF).alias("value"), "bytes")
+        size, most = F.lit(len(SIZES)), F.lit(1)
         for k in range(len(SIZES) - 1, -1, -1):
-            group = F.when(F.col("bytes") <= SIZES[k], F.lit(k)).otherwise(group)
-        there = sorted(r["k"] for r in sizes.select(group.alias("k")).distinct().collect()) or [0]
-        for k in there:
-            limits = (SIZES[k - 1] if k else -1, SIZES[k] if k < len(SIZES) else 1 << 31)
-            # the three records of a capture stand in one array, so a file's cut never depends on how they are spread
-            lines = to_records(pages, id_col, url_col, payload_col, sizes, limits).select(F.array_join("records", CRLF + CRLF).alias("value"))
-            lines.write.option("compression", "gzip").option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", max(1, FILE_BYTES // limits[1])).text(f"{path}/size-{k}")
+            size, most = F.when(F.col("bytes") <= SIZES[k], F.lit(k)).otherwise(size), F.when(F.col("bytes") <= SIZES[k], F.lit(max(1, FILE_BYTES // SIZES[k]))).otherwise(most)
+        number = F.monotonically_increasing_id() % (1 << 33)  # of the row in its task
+        lines = rows.select("value", size.alias("size"), F.floor(number / most).alias("file"))
+        lines.write.partitionBy("size", "file").option("compression", "gzip").option("lineSep", CRLF + CRLF).text(path)
 
 
-RECORDS = "record_id string, record_type string, concurrent_to string, uri string, digest string, block binary, payload_bytes long, payload_sha1 string"
+RECORDS = "record_id string, record_type string, concurrent_to array<string>, uri string, digest string, block binary, payload_bytes long, payload_sha1 string"
 
 
 def parse_records(archive):
     """(headers, block) of each record of an archive, given as bytes or as an open binary file. Header names are lower-cased;
-    lines that start with a blank continue the one before."""
+    lines that start with a blank continue the one before; values of a header that is repeated are joined by blanks."""
     file = io.BytesIO(archive) if isinstance(archive, bytes) else archive
     while line := file.readline():
         if not line.strip():
@@ -139,7 +136,7 @@ def parse_records(archive):
             else:
                 name, _, value = text.partition(":")
                 name = name.strip().lower()
-                headers[name] = value.strip()
+                headers[name] = f"{headers[name]} {value.strip()}" if name in headers else value.strip()
         size = int(headers["content-length"])
         block = file.read(size)
         if len(block) < size:
@@ -155,7 +152,7 @@ def _opened(content: bytes):
 def read_warc(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
     """The records of the archives in the folder ``path`` and below: headers, block (null unless ``blocks``), size and SHA-1 of the
     payload. A damaged archive is an error."""
-    types = [pa.string()] * 5 + [pa.binary(), pa.int64(), pa.string()]
+    types = [pa.string()] * 2 + [pa.list_(pa.string())] + [pa.string()] * 2 + [pa.binary(), pa.int64(), pa.string()]
 
     def passed(out: list[list]):
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=["record_id", "record_type", "concurrent_to", "uri", "digest", "block", "payload_bytes", "payload_sha1"])
@@ -168,7 +165,7 @@ def read_warc(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
                     http = h["warc-type"] in ("response", "revisit") and h.get("content-type", "").startswith("application/http")
                     payload = memoryview(block)[block.find(b"\r\n\r\n") + 4 :] if http else b""
                     row = (
-                        h["warc-record-id"], h["warc-type"], h.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-payload-digest"),
+                        h["warc-record-id"], h["warc-type"], h.get("warc-concurrent-to", "").split(), h.get("warc-target-uri"), h.get("warc-payload-digest"),
                         block if blocks or not http else None, len(payload), hashlib.sha1(payload).hexdigest() if http else None,
                     )
                     for column, value in zip(out, row, strict=True):
@@ -183,20 +180,38 @@ def read_warc(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
     return files.where("length > 0").select("content").mapInArrow(read, RECORDS)
 
 
+def transactions(records: DataFrame) -> DataFrame:
+    """``records`` with ``capture_id``, which those share that concurrent-to identifiers connect, over any number of steps.
+
+    Where all identifiers named belong to records that name none themselves, or aren't there, one step says it all: the identifier named. Only
+    archives with longer ways are labelled by joins; identifiers alone are shuffled for that.
+    """
+    named = F.coalesce("concurrent_to", F.array().cast("array<string>"))
+    links = materialise(records.select(F.col("record_id").alias("a"), F.explode(named).alias("b")), "warc-links")
+    longer = links.join(links.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+    if longer.isEmpty() and links.groupBy("a").count().where("count > 1").isEmpty():
+        return records.withColumn("capture_id", F.coalesce(F.get("concurrent_to", F.lit(0)), F.col("record_id")))
+    labels = components(links).withColumnRenamed("node", "record_id")
+    return records.join(labels, "record_id", "left").withColumn("capture_id", F.coalesce("label", "record_id")).drop("label")
+
+
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: ``request``, ``response`` (or revisit) and ``metadata`` structs.
+    """One nested row per capture: capture_id, ``request`` and ``response`` (or revisit) structs, ``metadata`` and ``others`` arrays of structs.
 
-    Request and metadata records are joined to the response that they are concurrent to; a missing one is null, of repeated
-    ones the smallest record id stays.
+    Records are joined over concurrent-to identifiers, whichever of them names which. Of several requests or responses the
+    smallest record id stands in front and the rest are in ``others``, as are records of other kinds; all metadata records are kept, by
+    record id. What is missing is null or empty. A capture is one row, so all its records must fit one. Inside ``scratch`` the
+    tables that this reads must last (they are written there).
     """
-    # all records of a capture share one key, so one exchange brings them together
-    body = F.struct(*[c for c in records.columns])
-    of = lambda *kinds: F.min(F.when(F.col("record_type").isin(*kinds), body))
-    return (
-        records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id"))
-        .agg(of("request").alias("request"), of("response", "revisit").alias("response"), of("metadata").alias("metadata"))
-        .where("response is not null")
+    columns = records.columns
+    rows = transactions(records).withColumn("r", F.struct(*columns))
+    all_ = lambda flag: F.array_sort(F.collect_list(F.when(flag, F.col("r"))))
+    kind = F.col("record_type")
+    grouped = rows.groupBy("capture_id").agg(
+        all_(kind == "request").alias("q"), all_(kind.isin("response", "revisit")).alias("a"), all_(kind == "metadata").alias("metadata"), all_(~kind.isin("request", "response", "revisit", "metadata")).alias("o")
     )
+    rest = lambda c: F.slice(c, 2, F.greatest(F.size(c), F.lit(1)))
+    return grouped.select("capture_id", F.get("q", F.lit(0)).alias("request"), F.get("a", F.lit(0)).alias("response"), "metadata", F.concat(rest("q"), rest("a"), "o").alias("others"))
 
 
 def roundtrip(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -214,8 +229,8 @@ def roundtrip(pages: DataFrame, path: str | None = None, id_col: str = "page_id"
 
 def _read_back(spark: SparkSession, pages: DataFrame, path: str, id_col: str, url_col: str, payload_col: str) -> DataFrame:
     write_warc(pages, path, id_col, url_col, payload_col)
-    captures = assemble(read_warc(spark, path, blocks=False))
-    field = lambda name: F.nullif(F.regexp_extract(F.col("metadata.block").cast("string"), rf"(?m)^{name}: (-?\d*)", 1), F.lit("")).cast("long")
+    captures = assemble(read_warc(spark, path, blocks=False)).where("response is not null")
+    field = lambda name: F.nullif(F.regexp_extract(F.get("metadata", F.lit(0))["block"].cast("string"), rf"(?m)^{name}: (-?\d*)", 1), F.lit("")).cast("long")
     rows = materialise(
         captures.select(
             field("pageId").alias("page_id"), field("refersToPageId").alias("refers_to"), F.col("response.record_type").alias("record_type"),

@@ -28,18 +28,45 @@ def test_round_trip(spark, tmp_path):
     captures = W.assemble(W.read_warc(spark, f"{tmp_path}/w")).collect()
     assert len(captures) == len(rows)
     for c in captures:
-        assert c.request.concurrent_to == c.metadata.concurrent_to == c.response.record_id == c.capture_id
+        assert c.request.concurrent_to == c.metadata[0].concurrent_to == [c.response.record_id] == [c.capture_id] and len(c.metadata) == 1 and not c.others
         assert c.request.block.startswith(b"GET /") or c.request.block.startswith(b"GET  ") or c.request.block.startswith(b"GET")
         assert c.response.record_type == "revisit" or hashlib.sha1(c.response.block.split(b"\r\n\r\n", 1)[1]).hexdigest() == c.response.payload_sha1
     data = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").rglob("*.gz"))
     assert sum(1 for _ in W.parse_records(data)) == 3 * len(rows)
 
 
+def _records(spark, *rows):
+    return spark.createDataFrame([(i, kind, to, "u", None, b"", 0, None) for i, kind, to in rows], W.RECORDS)
+
+
 def test_assembly_without_some_records(spark):
-    kind = W.RECORDS
-    rows = [("r1", "response", None, "u", None, b"", 0, None), ("q1", "request", "r1", "u", None, b"", 0, None), ("q0", "request", "r1", "u", None, b"", 0, None), ("q2", "request", "gone", "u", None, b"", 0, None), ("r2", "revisit", None, None, None, None, 0, None)]
-    got = {c.capture_id: c for c in W.assemble(spark.createDataFrame(rows, kind)).collect()}
-    assert set(got) == {"r1", "r2"} and got["r1"].request.record_id == "q0" and got["r1"].metadata is None and got["r2"].request is None
+    got = {c.capture_id: c for c in W.assemble(_records(spark, ("r1", "response", None), ("q1", "request", ["r1"]), ("q0", "request", ["r1"]), ("q2", "request", ["gone"]), ("r2", "revisit", []), ("w", "warcinfo", []))).collect()}
+    assert set(got) == {"r1", "r2", "gone", "w"} and got["r1"].request.record_id == "q0" and got["r1"].metadata == [] and got["r2"].request is None
+    assert [o.record_id for o in got["r1"].others] == ["q1"] and got["gone"].response is None and [o.record_type for o in got["w"].others] == ["warcinfo"]
+
+
+def test_assembly_over_several_steps_and_ids(spark):
+    rows = [
+        ("r1", "response", ["q1"]), ("q1", "request", []), ("m1", "metadata", ["r1"]), ("m0", "metadata", ["r1"]),  # a response names its request
+        ("q2", "request", ["r2", "m2"]), ("r2", "response", []), ("m2", "metadata", []), ("m3", "metadata", ["m2"]),  # several names, a chain of metadata
+        ("r4", "response", ["m4"]), ("m4", "metadata", ["q4"]), ("q4", "request", ["r4"]), ("r5", "response", None),
+    ]
+    got = {c.response.record_id: c for c in W.assemble(_records(spark, *rows)).collect()}
+    assert {r: (c.request and c.request.record_id, [m.record_id for m in c.metadata]) for r, c in got.items()} == {"r1": ("q1", ["m0", "m1"]), "r2": ("q2", ["m2", "m3"]), "r4": ("q4", ["m4"]), "r5": (None, [])}
+
+
+def test_repeated_headers(spark, tmp_path):
+    head = "WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <m>\r\nWARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    (tmp_path / "x.warc").write_bytes(head.encode())
+    assert [r.concurrent_to for r in W.read_warc(spark, str(tmp_path)).collect()] == [["<a>", "<b>"]]
+
+
+def test_archives_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "FILE_BYTES", 64 << 10)
+    pages = spark.createDataFrame([(k, "http://a.b/", str(k) * (2000 if k % 5 else 30_000)) for k in range(60)], "page_id long, url string, html string").coalesce(1)
+    assert W.roundtrip(pages, f"{tmp_path}/w").count() == 60
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in (tmp_path / "w").rglob("*.gz")]
+    assert len(sizes) > 12 and max(sizes) < 5 * (64 << 10)
 
 
 def test_empty_table(spark, tmp_path):
