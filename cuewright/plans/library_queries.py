@@ -258,10 +258,24 @@ TEXT_SQL = f"""WITH {_RUN_PARTS_SQL}, lns AS (SELECT mix_id, start_sec, ord, sou
   CASE WHEN source = 'unknown' THEN '[unidentified]' ELSE artist || ' - ' || title || printf(' (%.2f)', round(score, 2)) END AS body FROM fin)
 SELECT mix_id, string_agg(CASE WHEN t >= 3600 THEN printf('%02d:%02d:%02d', t // 3600, t % 3600 // 60, t % 60) ELSE printf('%02d:%02d', t // 60, t % 60) END || '  ' || body, chr(10) ORDER BY start_sec, kind, ord) AS text FROM lns GROUP BY mix_id"""
 
+def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of recordings written in all forms and read back: tracks and unknown stretches."""
+    path = Tables(spark, "results").folder
+    rows = entries(spark, sf_dir).withColumns({"end_sec": F.col("start_sec") + 200, "source": F.lit("library"), "n_merged": F.lit(1).cast("long"), "filepath": F.lit("/m")})
+    render.write_results(rows.where("ord % 4 <> 0"), rows.where("ord % 4 = 0").select("mix_id", "ord", "start_sec", "end_sec"), "mix_id", path)
+    tracks, unknown = render.read_results(spark, f"{path}/json")
+    no = F.lit(None).cast("string")
+    return tracks.select("source_input", "ord", "start_sec", "end_sec", "artist", "title", "score").unionByName(unknown.select("source_input", "ord", "start_sec", "end_sec", no.alias("artist"), no.alias("title"), no.cast("double").alias("score")))
+
+
+FILES_SQL = f"""WITH {_LI_SQL} SELECT mix_id::VARCHAR AS source_input, (row_number() OVER (PARTITION BY mix_id, ord % 4 = 0 ORDER BY ord) - 1)::INTEGER AS ord, start_sec, start_sec + 200 AS end_sec,
+  CASE WHEN ord % 4 <> 0 THEN artist END AS artist, CASE WHEN ord % 4 <> 0 THEN title END AS title, CASE WHEN ord % 4 <> 0 THEN round(score, 3) END AS score FROM n"""
+
+
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
         (chart_tracks, CHART_SQL), (artist_union, UNION_SQL), (typed_library, TYPED_SQL), (library_build, BUILD_SQL), (library_size, SIZE_SQL), (run_log, LOG_SQL), (accepted, ACCEPT_SQL), (best_of_lists, LISTS_SQL), (reactive, REACTIVE_SQL), (by_lyrics, LYRICS_SQL),
-        (mirrors_of, MIRRORS_SQL), (playlist_matches, PLAYLIST_SQL), (unit_functions, UNIT_SQL), (long_segments, LONG_SQL), (loudest_window, LOUD_SQL), (resolve_whole, RESOLVE_SQL), (resolve_text, TEXT_SQL),
+        (mirrors_of, MIRRORS_SQL), (playlist_matches, PLAYLIST_SQL), (unit_functions, UNIT_SQL), (long_segments, LONG_SQL), (loudest_window, LOUD_SQL), (resolve_whole, RESOLVE_SQL), (resolve_text, TEXT_SQL), (result_files, FILES_SQL),
     )
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,15 +46,31 @@ RESULT = "source_input string, tracks array<struct<start_sec:double,end_sec:doub
 
 def write_results(tracks: DataFrame, unknowns: DataFrame, key: str, path: str) -> None:
     """The three forms (B5) as text files below ``path``: a line a recording of JSON, else blocks between blank lines. ``tracks`` have
-    a ``filepath``."""
-    json_result(tracks, unknowns, key).select("json").write.text(f"{path}/json")
-    for name, rows in (("m3u", playlist(tracks, key)), ("txt", text_list(tracks, unknowns, key))):
-        rows.select("text").write.option("lineSep", "\n\n").text(f"{path}/{name}")
-
-
-def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(tracks, unknowns) in result files (A26): source_input, ord and the fields. Files may hold one object over several lines."""
-    rows = spark.read.schema(RESULT).option("multiLine", True).json(path)
+    a ``filepath``.
+
+    All are written beside ``path`` and published together by one rename, so a run that fails leaves nothing there. An older result is
+    replaced; until the rename it stays whole.
+    """
+    spark = tracks.sparkSession
+    draft = f"{path.rstrip('/')}.draft-{uuid.uuid4().hex}"
+    place = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        json_result(tracks, unknowns, key).select("json").write.text(f"{draft}/json")
+        for name, rows in (("m3u", playlist(tracks, key)), ("txt", text_list(tracks, unknowns, key))):
+            rows.select("text").write.option("lineSep", "\n\n").text(f"{draft}/{name}")
+        if files.exists(place(path)):
+            files.delete(place(path), True)
+        if not files.rename(place(draft), place(path)):
+            raise OSError(f"{draft} can't be renamed to {path}")
+    finally:
+        files.delete(place(draft), True)
+
+
+def read_results(spark: SparkSession, path: str, lines: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(tracks, unknowns) in result files (A26): source_input, ord and the fields. An object a line, or without ``lines`` one over the lines of
+    each file. A damaged object is an error, not a null result."""
+    rows = spark.read.schema(RESULT).option("mode", "FAILFAST").option("multiLine", not lines).json(path)
     t = rows.select("source_input", F.posexplode("tracks").alias("ord", "t")).select("source_input", "ord", "t.*").withColumnRenamed("n_segments_merged", "n_merged")
     u = rows.select("source_input", F.posexplode("unknown_segments").alias("ord", "u")).select("source_input", "ord", "u.*")
     return t, u

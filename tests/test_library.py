@@ -72,6 +72,29 @@ def test_result_files(spark, tmp_path):
     assert render.read_results(spark, f"{tmp_path}/merged")[0].count() == 1
 
 
+def test_failed_run_leaves_no_result(spark, tmp_path):
+    kind = "mix string, ord int, start_sec double, end_sec double, artist string, title string, score double, source string, n_merged long, filepath string"
+    tracks = spark.createDataFrame([("m", 0, 0.0, 60.0, "A", "x", 0.9, "library", 2, "/m/a.mp3")], kind)
+    unknown = spark.createDataFrame([], "mix string, ord int, start_sec double, end_sec double")
+    bad = tracks.withColumn("filepath", F.when(F.col("mix") == "m", F.raise_error(F.lit("no"))).otherwise(F.col("filepath")))  # only the playlist reads it
+    with pytest.raises(Exception, match="no"):
+        render.write_results(bad, unknown, "mix", f"{tmp_path}/out")
+    assert not list(tmp_path.iterdir())
+    render.write_results(tracks, unknown, "mix", f"{tmp_path}/out")
+    with pytest.raises(Exception, match="no"):
+        render.write_results(bad, unknown, "mix", f"{tmp_path}/out")
+    assert [p.name for p in tmp_path.iterdir()] == ["out"] and render.read_results(spark, f"{tmp_path}/out/json")[0].count() == 1
+    render.write_results(tracks.unionByName(tracks.withColumn("mix", F.lit("n"))), unknown, "mix", f"{tmp_path}/out")
+    assert render.read_results(spark, f"{tmp_path}/out/json")[0].count() == 2
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.json").write_text('{"source_input": "m", "tracks": [')
+    (tmp_path / "good").mkdir()
+    (tmp_path / "good" / "x.json").write_text('{"source_input":\n "m", "tracks": [{"artist": "A",\n "start_sec": 1}]}')
+    assert [r.artist for r in render.read_results(spark, f"{tmp_path}/good", lines=False)[0].collect()] == ["A"]
+    with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST|parsing"):
+        render.read_results(spark, f"{tmp_path}/bad")[0].collect()
+
+
 def brute_overlay(tracks, listed):
     own = [dict(t, c=False) for t in tracks]
     for s in sorted(listed, key=lambda s: (s["start"], s["ord"])):
