@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import io
+import math
+import struct
 import wave
 from functools import lru_cache
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -141,25 +144,87 @@ def wav_bytes(samples: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
+#: Zero crossings of the resampling filter on each side, its cut-off as a share of the lower Nyquist rate, and places filtered at once.
+CROSSINGS, ROLL_OFF, PLACES = 48, 0.94, 1 << 14
+
+
+class Wav:
+    """A WAV file's format and frames: 8-, 16-, 24- or 32-bit whole numbers, 32- or 64-bit floats."""
+
+    def __init__(self, data: bytes):
+        if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+            raise ValueError("no WAV file")
+        at, kind, self.data = 12, None, b""
+        while at + 8 <= len(data):
+            name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+            if name == b"fmt ":
+                kind, self.channels, self.rate, _, self.width, bits = struct.unpack_from("<HHIIHH", data, at + 8)
+                kind = struct.unpack_from("<H", data, at + 32)[0] if kind == 0xFFFE else kind
+            elif name == b"data":
+                self.data = memoryview(data)[at + 8 : at + 8 + size]  # a stream's size may be more than there is
+                break
+            at += 8 + size + size % 2
+        if kind is None or (kind, bits) not in ((1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)):
+            raise ValueError("no WAV of whole or floating numbers")
+        self.kind, self.bits, self.frames = kind, bits, len(self.data) // self.width
+
+    def mono(self, lo: int, hi: int) -> np.ndarray:
+        """The channels' mean of frames lo to hi, in [-1, 1]; beyond the ends silence."""
+        a, b = min(max(lo, 0), self.frames), min(max(hi, 0), self.frames)
+        raw = np.frombuffer(self.data[a * self.width : b * self.width], np.uint8)
+        if self.kind == 3:
+            x = raw.view(f"<f{self.bits // 8}").astype(np.float64)
+        elif self.bits == 8:
+            x = (raw.astype(np.float64) - 128) / 128
+        elif self.bits == 24:
+            x = np.pad(raw.reshape(-1, 3), ((0, 0), (1, 0))).reshape(-1).view("<i4") / 2**31
+        else:
+            x = raw.view(f"<i{self.bits // 8}") / 2.0 ** (self.bits - 1)
+        return np.pad(x.reshape(-1, self.channels).mean(1) if len(x) else np.empty(0), (a - lo if b > a or lo < 0 else 0, 0))
+
+
+@lru_cache(16)
+def _phases(own: int, rate: int) -> tuple[np.ndarray, int, int, int]:
+    """([phase, tap], up, down, taps on the left) of a windowed-sinc filter between the rates, below the lower one's Nyquist rate."""
+    g = math.gcd(own, rate)
+    up, down = rate // g, own // g
+    cut = min(1.0, rate / own) * ROLL_OFF
+    half = math.ceil(CROSSINGS / cut)
+    u = np.arange(up)[:, None] / up - np.arange(-half, half + 2)[None, :]
+    window = np.where(np.abs(u) <= half, np.cos(np.pi * u / (2 * half)) ** 2, 0.0)
+    taps = cut * np.sinc(cut * u) * window
+    return taps / taps.sum(1, keepdims=True), up, down, half
+
+
+def resampled(wav: Wav, rate: int, begin: int, end: int) -> np.ndarray:
+    """Mono samples begin to end of the file at ``rate``, band-limited: each is a filtered sum of the file's samples around its place, so
+    pieces equal the whole."""
+    if wav.rate == rate:
+        return wav.mono(begin, min(end, wav.frames))
+    taps, up, down, half = _phases(wav.rate, rate)
+    out = np.empty(max(0, end - begin))
+    for at in range(begin, end, PLACES):
+        k = np.arange(at, min(end, at + PLACES))
+        base, phase = k * down // up, k * down % up
+        lo = int(base[0]) - half
+        x = wav.mono(lo, int(base[-1]) + half + 2)
+        x = np.pad(x, (0, int(base[-1]) + half + 2 - lo - len(x)))
+        windows = np.lib.stride_tricks.sliding_window_view(x, taps.shape[1])
+        out[k - begin] = np.einsum("kt,kt->k", windows[base - half - lo], taps[phase])
+    return out
+
+
 def wav_pieces(data: bytes, rate: int, step: int, lead: int = 0):
-    """(first sample, samples before it, samples) of pieces of ``step`` mono samples of a 16-bit WAV at ``rate``, linearly resampled (A1).
-
-    Only a piece's own frames are read and decoded; ``lead`` samples of the piece before go in front, so that filters have no seams."""
-    with wave.open(io.BytesIO(data)) as f:
-        if f.getsampwidth() != 2:
-            raise ValueError("only 16-bit WAV can be read")
-        own, frames, channels = f.getframerate(), f.getnframes(), f.getnchannels()
-        total = frames if own == rate else int(round(frames * rate / own))
-        for start in range(0, max(1, total), step):
-            begin = max(0, start - lead)
-            places = np.arange(begin, min(total, start + step)) * own / rate
-            lo = int(places[0]) if len(places) else 0
-            hi = min(frames, int(places[-1]) + 2) if len(places) else 0
-            f.setpos(lo)
-            x = np.frombuffer(f.readframes(hi - lo), "<i2").reshape(-1, channels).mean(1) / 32768 if hi > lo else np.empty(0)
-            yield start, start - begin, x[: len(places)] if own == rate else np.interp(places - lo, np.arange(len(x)), x) if len(x) else x
+    """(first sample, samples before it, samples) of pieces of ``step`` mono samples of a WAV at ``rate`` (A1).
+
+    Only a piece's own frames are decoded; ``lead`` samples of the piece before go in front, so that filters have no seams."""
+    wav = Wav(data)
+    total = -(-wav.frames * rate // wav.rate)
+    for start in range(0, max(1, total), step):
+        begin = max(0, start - lead)
+        yield start, start - begin, resampled(wav, rate, begin, min(total, start + step))
 
 
 def read_wav(data: bytes, rate: int) -> np.ndarray:
-    """All mono samples of a 16-bit WAV at ``rate``."""
+    """All mono samples of a WAV at ``rate``."""
     return np.concatenate([x for _, _, x in wav_pieces(data, rate, 1 << 22)])

@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.functions.text import clean_phrase
+from cuewright.functions.text import clean_phrase, phrase_passes
 from cuewright.operators.catalogue import ranked_mirrors
 from cuewright.operators.matching import upper_median_gate
+from cuewright.operators.similarity import variant_scores
 from cuewright.sources.audio import audio_files
 
 # Scores from which a match of each kind counts.
@@ -79,6 +80,22 @@ def reactive(candidates: DataFrame, key: str) -> DataFrame:
     return best_of_lists(candidates.join(gate, one).withColumn("score", F.col("best")), [key])
 
 
+def identify_reactive(transcripts: DataFrame, hits: DataFrame, variants: DataFrame, previews: DataFrame, key: str, text: str, most: int = 4) -> DataFrame:
+    """Reactive identification from phrase to verified preview (M6): (key, phrase, artist, title, score, source, preview).
+
+    A transcript's phrase (C10) that passes its gate (C9) takes the first ``most`` hits of each search (key, list_rank, pos, artist, title, source,
+    preview); the key's pitch ``variants`` (key, pitch_ord, hashes) are aligned with each preview's hashes (H4), and of those whose scores
+    pass the gates (G4) the best stays (G5). Previews without hashes and keys without variants have no result.
+    """
+    phrases = transcripts.select(key, clean_phrase(text).alias("phrase")).where(phrase_passes("phrase"))
+    asked = hits.where((F.col("pos") < most) & F.col("preview").isNotNull()).join(phrases, key)
+    known = previews.select("preview", F.col("hashes").alias("own")).where(F.size("own") > 0)
+    wanted = variants.where(F.col("hashes").isNotNull()).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pitch_ord", "hashes"))), lambda v: v["hashes"]).alias("variants"))
+    scored = variant_scores(asked.join(known, "preview").join(wanted, key), "variants", "own", "scores").drop("variants", "own")
+    best = reactive(scored.select(key, "list_rank", "pos", "artist", "title", "scores"), key)
+    return best.join(scored.select(key, "list_rank", "pos", "phrase", "source", "preview"), [key, "list_rank", "pos"]).select(key, "phrase", "artist", "title", "score", "source", "preview")
+
+
 def by_lyrics(transcripts: DataFrame, hits: DataFrame, key: str, text: str) -> DataFrame:
     """Lyrics identification over given hits (M7): a transcript's phrase of ten characters or more (C10) takes its first hit, at a fixed
     score. A first hit without artist and title is none (E9)."""

@@ -4,6 +4,7 @@ words (J12). Queries go to all tasks in blocks of bounded size."""
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
@@ -63,6 +64,17 @@ def alignments(query: np.ndarray, tracks: np.ndarray, lengths: np.ndarray, early
     return np.where(fits, scores[np.arange(len(tracks)), at], 0.0), np.where(fits, at, 0)
 
 
+def variant_scores(rows: DataFrame, variants: str, track: str, out: str) -> DataFrame:
+    """``rows`` with each of ``variants`` (an array of hash arrays) scored against ``track`` (a hash array), as an array (H4)."""
+
+    @F.pandas_udf("array<double>")
+    def score(asked: pd.Series, own: pd.Series) -> pd.Series:
+        hashes = lambda x: np.asarray(x, np.int64).astype(np.uint32)
+        return pd.Series([[best_alignment(hashes(q), hashes(t))[0] for q in qs] for qs, t in zip(asked, own, strict=True)])
+
+    return rows.withColumn(out, score(F.col(variants), F.col(track)))
+
+
 def top_matches(queries: DataFrame, library: DataFrame, k: int, floor: float) -> DataFrame:
     """(query_id, rank, track_id, score, offset): each query's ``k`` most similar tracks at ``floor`` or more.
 

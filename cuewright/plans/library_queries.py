@@ -108,6 +108,34 @@ b AS (SELECT mix_id, arg_max(struct_pack(list_rank := list_rank, pos := pos, art
 SELECT mix_id, unnest(b) FROM b"""
 
 
+def reactive_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations' turns as transcripts, with two searches of two hits; previews are vectors' hashes, and a turn's variants stretches of
+    one of them, the second with a bit changed in each hash, the third of another place."""
+    c = _t(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("k"), "text", F.pmod(F.col("conv_id") * 31 + F.col("turn"), F.lit(50)).alias("v"))
+    mixed = lambda x: F.pmod(F.floor(x.cast("double") * 65536) * 2654435761, F.lit(4294967296)).cast("long")
+    vectors = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), F.transform("embedding", mixed).alias("h"))
+    hit = lambda rank, pos, more: F.struct(F.lit(rank).alias("list_rank"), F.lit(pos).alias("pos"), F.pmod(F.col("v") + more, F.lit(50)).alias("p"))
+    hits = c.select("k", F.explode(F.array(hit(0, 0, 1), hit(0, 1, 0), hit(0, 4, 0), hit(1, 0, 0), hit(1, 1, 2))).alias("h")).select("k", "h.list_rank", "h.pos", F.concat(F.lit("a"), "h.p").alias("artist"), F.concat(F.lit("t"), "h.p").alias("title"), F.concat(F.lit("search:"), "h.list_rank").alias("source"), F.concat(F.lit("u:"), "h.p").alias("preview"))
+    stretch = F.array(F.slice("h", 9, 24), F.transform(F.slice("h", 9, 24), lambda x: x.bitwiseXOR(F.lit(1))), F.slice("h", 20, 24))
+    variants = c.join(vectors, "v").select("k", F.posexplode(stretch).alias("pitch_ord", "hashes"))
+    return library.identify_reactive(c, hits, variants, vectors.select(F.concat(F.lit("u:"), "v").alias("preview"), F.col("h").alias("hashes")), "k", "text").select("k", "artist", "title", F.round("score", 9).alias("score"), "source", "preview")
+
+
+PREVIEWS_SQL = r"""WITH c AS (SELECT conv_id || '-' || turn AS k, (conv_id * 31 + turn) % 50 AS v, trim(regexp_replace(regexp_replace(text, '[\[\]()]', ' ', 'g'), '\s+', ' ', 'g')) AS flat FROM conversations),
+p AS (SELECT *, list_filter(list_transform(string_split_regex(flat, '[.,!?;]'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM c),
+b AS (SELECT k, v, string_split_regex(coalesce(left(list_sort(list_transform(parts, lambda x, i: struct_pack(n := -length(x), i := i, p := x)))[1].p, 120), flat), '\s+') AS words FROM p),
+g AS (SELECT k, v FROM b WHERE len(list_filter(words, lambda w: w <> '')) >= 5 AND len(list_distinct(list_transform(words, lambda w: lower(w)))) >= 4),
+e AS (SELECT vec_id AS v, list_transform(embedding, lambda x: ((floor(x::DOUBLE * 65536)::BIGINT * 2654435761 % 4294967296) + 4294967296) % 4294967296) AS h FROM embeddings),
+q AS (SELECT k, e.v, unnest([h[9:32], list_transform(h[9:32], lambda x: xor(x, 1)), h[20:43]]) AS q, unnest([0, 1, 2]) AS o FROM g JOIN e USING (v)),
+s AS (SELECT k, x.r, x.pos, (q.v + x.m) % 50 AS pv, o, q FROM q, (SELECT unnest([struct_pack(r := 0, pos := 0, m := 1), struct_pack(r := 0, pos := 1, m := 0), struct_pack(r := 1, pos := 0, m := 0), struct_pack(r := 1, pos := 1, m := 2)]) AS x)),
+al AS (SELECT k, r, pos, pv, o, off, 1 - list_sum(list_transform(generate_series(1, 24), lambda i: bit_count(xor(q[i], h[off + i])))) / (24 * 32) AS score FROM (SELECT s.*, e.h, unnest(generate_series(0, len(e.h) - 24)) AS off FROM s JOIN e ON e.v = s.pv)),
+m AS (SELECT k, r, pos, pv, o, coalesce(arg_min(score, off) FILTER (score > 0.97), max(score)) AS score FROM al GROUP BY ALL),
+w AS (SELECT k, r, pos, pv, list_sort(list(score)) AS ss FROM m GROUP BY 1, 2, 3, 4),
+ok AS (SELECT *, ss[3] AS score FROM w WHERE ss[3] >= 0.8 AND ss[2] >= 0.65),
+f AS (SELECT k, arg_max(struct_pack(r := r, pv := pv, score := score), (score, -r, -pos)) AS b FROM ok GROUP BY k)
+SELECT k, 'a' || b.pv AS artist, 't' || b.pv AS title, round(b.score, 9) AS score, 'search:' || b.r AS source, 'u:' || b.pv AS preview FROM f"""
+
+
 def by_lyrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations' turns as transcripts; each has two hits, the first without names where the turn is even and the user's."""
     c = _t(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("k"), "text", "role", "turn")
@@ -275,7 +303,7 @@ FILES_SQL = f"""WITH {_LI_SQL} SELECT mix_id::VARCHAR AS source_input, (row_numb
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
-        (chart_tracks, CHART_SQL), (artist_union, UNION_SQL), (typed_library, TYPED_SQL), (library_build, BUILD_SQL), (library_size, SIZE_SQL), (run_log, LOG_SQL), (accepted, ACCEPT_SQL), (best_of_lists, LISTS_SQL), (reactive, REACTIVE_SQL), (by_lyrics, LYRICS_SQL),
+        (chart_tracks, CHART_SQL), (artist_union, UNION_SQL), (typed_library, TYPED_SQL), (library_build, BUILD_SQL), (library_size, SIZE_SQL), (run_log, LOG_SQL), (accepted, ACCEPT_SQL), (best_of_lists, LISTS_SQL), (reactive, REACTIVE_SQL), (by_lyrics, LYRICS_SQL), (reactive_previews, PREVIEWS_SQL),
         (mirrors_of, MIRRORS_SQL), (playlist_matches, PLAYLIST_SQL), (unit_functions, UNIT_SQL), (long_segments, LONG_SQL), (loudest_window, LOUD_SQL), (resolve_whole, RESOLVE_SQL), (resolve_text, TEXT_SQL), (result_files, FILES_SQL),
     )
 }

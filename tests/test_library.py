@@ -38,6 +38,58 @@ def test_wav_pieces_are_the_whole():
     assert len(signal.read_wav(signal.wav_bytes(np.empty(0), 8_000), 8_000)) == 0
 
 
+def tone(hz, rate, seconds=1.0):
+    return 0.5 * np.sin(2 * np.pi * hz * np.arange(int(rate * seconds)) / rate)
+
+
+def test_resampling_is_band_limited():
+    low, high = (signal.read_wav(signal.wav_bytes(tone(hz, 44_100), 44_100), 22_050) for hz in (2_000, 15_000))
+    assert len(low) == len(high) == 22_050
+    mid = slice(1_000, -1_000)
+    assert np.abs(low[mid] - tone(2_000, 22_050)[mid]).max() < 2e-3 and np.abs(high[mid]).max() < 2e-4
+    up = signal.read_wav(signal.wav_bytes(tone(1_000, 8_000), 8_000), 22_050)
+    assert np.abs(up[mid] - tone(1_000, 22_050)[mid]).max() < 2e-3
+    for own in (48_000, 44_100, 11_025):
+        data = signal.wav_bytes(np.random.default_rng(own).uniform(-0.9, 0.9, own // 4), own)
+        whole = signal.read_wav(data, 22_050)
+        for step, lead in ((1_000, 0), (777, 200)):
+            assert np.allclose(np.concatenate([p[n:] for _, n, p in signal.wav_pieces(data, 22_050, step, lead)]), whole, atol=1e-12)
+
+
+def riff(x, kind, bits, extra=b""):
+    width = bits // 8
+    if kind == 3:
+        body = x.astype(f"<f{width}").tobytes()
+    elif bits == 8:
+        body = np.round(x * 127 + 128).astype(np.uint8).tobytes()
+    else:
+        body = b"".join(int(v * (2 ** (bits - 1) - 1)).to_bytes(width, "little", signed=True) for v in x.ravel())
+    head = b"fmt " + (16).to_bytes(4, "little") + np.array([kind, x.shape[1]], "<u2").tobytes() + np.array([8_000, 8_000 * width * x.shape[1]], "<u4").tobytes() + np.array([width * x.shape[1], bits], "<u2").tobytes()
+    rest = head + extra + b"data" + len(body).to_bytes(4, "little") + body
+    return b"RIFF" + (len(rest) + 4).to_bytes(4, "little") + b"WAVE" + rest
+
+
+def test_wav_formats():
+    x = np.stack([tone(440, 8_000, 0.1), np.zeros(800)], 1)
+    for kind, bits in ((1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)):
+        got = signal.read_wav(riff(x, kind, bits, b"LIST" + (3).to_bytes(4, "little") + b"abc\0"), 8_000)
+        assert np.abs(got - x.mean(1)).max() < (0.01 if bits == 8 else 1e-4)
+    for bad in (b"", b"RIFFxxxxWAVE", riff(x, 7, 8), b"ID3" + bytes(40)):
+        with pytest.raises(ValueError):
+            signal.read_wav(bad, 8_000)
+
+
+def test_reactive_chain(spark):
+    rng = np.random.default_rng(2)
+    own, other = (rng.integers(0, 1 << 32, 60).tolist() for _ in range(2))
+    text = spark.createDataFrame([("a", "and the river (oh) runs under the old bridge, yes"), ("b", "thank you"), ("c", "go go go go go go"), ("d", "and the river runs under the old bridge")], "k string, text string")
+    hits = spark.createDataFrame([(k, r, p, x, x, f"s{r}", u) for k in "abcd" for r, p, x, u in ((0, 0, "X", "u1"), (0, 1, "Y", "u2"), (0, 4, "Z", "u2"), (1, 0, "W", "u2"), (1, 1, "V", None), (1, 2, "U", "u3"))], "k string, list_rank int, pos int, artist string, title string, source string, preview string")
+    variants = spark.createDataFrame([(k, o, own[10 + o : 40 + o]) for k in "abc" for o in range(3)] + [("d", 0, own[:20]), ("d", 1, rng.integers(0, 1 << 32, 20).tolist()), ("d", 2, rng.integers(0, 1 << 32, 20).tolist())], "k string, pitch_ord int, hashes array<long>")
+    previews = spark.createDataFrame([("u1", other), ("u2", own), ("u3", None)], "preview string, hashes array<long>")
+    got = [tuple(r) for r in library.identify_reactive(text, hits, variants, previews, "k", "text").collect()]
+    assert got == [("a", "and the river oh runs under the old bridge", "Y", "Y", 1.0, "s0", "u2")]  # d: one variant is luck, its median is noise
+
+
 def test_prepare_and_centroid(spark):
     t = np.arange(44_100) / 22_050
     tones = [np.sin(2 * np.pi * 1000 * t) * 0.05, np.sin(2 * np.pi * np.where(t < 1, 300, 3000) * t), np.zeros(100)]
