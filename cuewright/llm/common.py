@@ -72,10 +72,10 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
-def bytes_of(spark: SparkSession, path: str) -> int:
-    """Bytes of the files in the folder ``path``."""
+def files_of(spark: SparkSession, path: str) -> int:
+    """Number of Parquet files in the folder ``path``."""
     files, place = _place(spark, path)
-    return files.getContentSummary(place).getLength()
+    return sum(f.getPath().getName().endswith(".parquet") for f in files.listStatus(place))
 
 
 def tidy(spark: SparkSession) -> None:

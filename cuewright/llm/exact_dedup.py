@@ -3,7 +3,8 @@
 A stream of landed rows, in several micro-batches, feeds an aggregation keyed by content digest. Its state lives in RocksDB, on disk,
 has no watermark and so never expires; for each digest it holds the row that stays (stable identifier and content locator) and the
 number of rows seen. Rows that hit a digest seen before are compared with the kept row's full bytes, so that a digest collision
-never merges different texts.
+never merges different texts. That is done once, after the stream: a row that stays may still change with every batch, and comparing in
+each batch would read the kept texts as many times.
 """
 
 from __future__ import annotations
@@ -11,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import bytes_of, join_hot, materialise, new_path, note, scratch, text_or_empty
+from cuewright.llm.common import files_of, join_hot, materialise, new_path, note, scratch, text_or_empty
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Runs of white space other than one blank: replacing these alone gives the same text as replacing all runs.
 RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
-#: Micro-batches that the landed rows make up, about.
+#: Micro-batches that the landed rows make up at least, if there are as many rows.
 BATCHES = 4
 #: Row locators of hits are sent to all tasks up to this many (two longs each); beyond it the texts are shuffled.
 BROADCAST_HITS = 1_000_000
@@ -45,6 +46,11 @@ def keyed_state(records: DataFrame) -> DataFrame:
     )
 
 
+def land(rows: DataFrame, path: str, batches: int = BATCHES) -> None:
+    """Write the table that the stream reads, in at least as many files as there are to be batches, without a shuffle."""
+    rows.write.option("compression", "zstd").option("maxRecordsPerFile", max(1, rows.count() // batches)).parquet(path)
+
+
 def run_stream(spark: SparkSession, landed: str, schema, records, batches: int = BATCHES, name: str = "dedup") -> DataFrame:
     """Run the stream over the table at ``landed``, made into records by ``records``, and return the last state of each digest."""
     out, log = new_path(spark, f"{name}-state"), new_path(spark, f"{name}-log")
@@ -58,8 +64,8 @@ def run_stream(spark: SparkSession, landed: str, schema, records, batches: int =
         own.conf.set(key, spark.conf.get(key))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     own.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
-    share = max(1, -(-bytes_of(spark, landed) // batches))
-    state = keyed_state(records(own.readStream.schema(schema).option("maxBytesPerTrigger", share).parquet(landed)))
+    share = max(1, files_of(spark, landed) // batches)
+    state = keyed_state(records(own.readStream.schema(schema).option("maxFilesPerTrigger", share).parquet(landed)))
     query = state.writeStream.outputMode("update").option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema.fields)
@@ -87,7 +93,7 @@ def _assign(docs: DataFrame, id_col: str, text_col: str, digest, carry: bool, ba
     path = new_path(spark, "dedup-landed")
     note(path, keep=True)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), digest(normalised(text_col)).alias("digest"), F.monotonically_increasing_id().alias("rid"))
-    rows.write.option("compression", "zstd").parquet(path)
+    land(rows, path, batches)
     landed = spark.read.schema(rows.schema).parquet(path)
     own_id, own_text = F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")
     state = run_stream(spark, path, rows.schema, lambda r: r.select("digest", own_id.alias("id"), "rid", F.struct(F.octet_length(text_or_empty(own_text)).alias("n_bytes"), "rid").alias("locator")), batches)

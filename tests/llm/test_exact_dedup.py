@@ -59,3 +59,22 @@ def test_hot_groups_and_several_batches(spark, monkeypatch):
     assert got == {i: (first[t][0], len(first[t])) for i, t in rows}
     few = docs.where("doc_id < 20")
     assert X.assign(few, batches=20, digest=lambda t: F.lit("one")).where("kept").count() == len({t for _, t in rows[:20]})
+
+
+def test_hits_come_from_earlier_batches(spark, tmp_path, monkeypatch):
+    paths = []
+    monkeypatch.setattr(X, "new_path", lambda own, name: paths.append(f"{tmp_path}/{name}") or paths[-1])
+    rows = spark.createDataFrame([(k, f"t{k % 6}", k) for k in range(40)], "id long, digest string, rid long").coalesce(1).withColumn("locator", F.struct(F.lit(1).alias("n_bytes"), "rid"))
+    X.land(rows, f"{tmp_path}/landed")
+    state = X.run_stream(spark, f"{tmp_path}/landed", rows.schema, lambda r: r.select("digest", "id", "rid", "locator")).collect()
+    assert sorted((r["digest"], r["first"]["id"], r["group_size"]) for r in state) == [(f"t{k}", k, 7 if k < 4 else 6) for k in range(6)]
+    batches = spark.read.parquet(paths[0])
+    assert batches.select("batch").distinct().count() >= X.BATCHES
+    # every later batch finds the groups that the first began
+    assert batches.where("batch > 0 and first.id < 6").count() >= 6 * (X.BATCHES - 1) - 3
+
+
+def test_few_rows_make_as_many_batches(spark, tmp_path):
+    for n in (0, 1, 3):
+        docs = spark.createDataFrame([(k, "a") for k in range(n)], "doc_id long, text string")
+        assert X.exact_duplicates(docs).where("kept").count() == min(n, 1)
