@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: A key is hot if it has over one in so many rows: there can't be more hot keys than that, so they may go to every task.
 HOT_SHARE = 1_000
+#: Shares of the tasks that sums of fixed size are made over first.
+FAN = 256
 
 
 class _Open(threading.local):
@@ -118,6 +120,13 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def sum_in_levels(parts: DataFrame, add) -> DataFrame:
+    """``parts`` (block, ...), some rows a task, summed by ``add`` (a pandas frame of one block to one of a row, like ``parts``): first over ``FAN``
+    shares of the tasks, then over these, so no group holds a row of every task."""
+    shares = parts.withColumn("share", F.spark_partition_id() % FAN)
+    return shares.groupBy("block", "share").applyInPandas(lambda pdf: add(pdf.drop(columns="share")), parts.schema).groupBy("block").applyInPandas(add, parts.schema)
+
+
 def join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """``rows`` joined to the one row of ``keyed`` with their ``key``, where ``count`` says how many of ``total`` rows have it.
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuewright.llm import tokens
-from cuewright.llm.common import crc_mod, materialise
+from cuewright.llm.common import crc_mod, materialise, sum_in_levels
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Groups of classes, classes in a group, and classes that hold many rare subwords instead of one.
@@ -470,19 +470,20 @@ def _train(flat, before, turn: int):
 
 def _average(pdf: pd.DataFrame) -> pd.DataFrame:
     total = sum(w * np.frombuffer(p, np.float32).astype(np.float64) for w, p in zip(pdf["weight"], pdf["part"], strict=True))
-    return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": [(total / pdf["weight"].sum()).astype(np.float32).tobytes()]})
+    weight = pdf["weight"].sum()
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "weight": [weight], "part": [(total / weight).astype(np.float32).tobytes()]})
 
 
 def fit(coded: DataFrame, classes: Classes) -> Attention:
     """Count neighbours in, and train on, every row (classes): rounds of local steps and averages."""
     spark = coded.sparkSession
-    pairs = _joined(coded.mapInArrow(_pairs, "block int, part binary").groupBy("block").applyInPandas(_add, "block int, part binary"), np.int64)
+    pairs = _joined(sum_in_levels(coded.mapInArrow(_pairs, "block int, part binary"), _add), np.int64)
     before = Before(np.zeros(CLASSES * CLASSES, np.int64) if pairs is None else pairs, classes.bias)
     shared, model = spark.sparkContext.broadcast(before), Attention.fresh(before)
     for turn in range(ROUNDS):
         flat = spark.sparkContext.broadcast(model.flat())
         parts = coded.mapInArrow(_train(flat, shared, turn), "block int, weight double, part binary")
-        new = _joined(parts.groupBy("block").applyInPandas(_average, "block int, part binary"), np.float32)  # the parameters, whatever the input
+        new = _joined(sum_in_levels(parts, _average), np.float32)  # the parameters, whatever the input
         if new is not None:
             model = Attention.of(new, before)
     return model

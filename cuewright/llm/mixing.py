@@ -18,6 +18,8 @@ from cuewright.llm.common import SPACE, materialise, scratch, text_or_empty
 #: Seeded order: documents go by hash, then text and row, cut into levels of so many bits. A level finds the bucket in which a
 #: pattern's border lies; the next only looks into that bucket, until it holds so few rows that one task may sort them.
 BITS, SORTED = 14, 10_000
+#: Membership patterns at most: the flow is found on the driver. Rows at patterns' borders that are sent to every task at most.
+MOST_PATTERNS, BROADCAST_EDGE = 4_096, 1_000_000
 
 
 def word_count(text: str | Column) -> Column:
@@ -98,7 +100,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``sources`` is a column of strings or of string arrays; a null source is a source of its own (the last). Empty
     texts have size 0 and are never taken; ties go by hash, then by text. The input's other columns aren't
     read, so their names can't clash. An empty table gives no rows. The same input and seed give the same mix (rows that
-    share identifier and text may change places).
+    share identifier and text may change places). Over ``MOST_PATTERNS`` different sets of sources are an error.
     """
     with scratch(docs.sparkSession):
         return _mix(docs, id_col, text_col, sources, weights, share, most, seed)
@@ -117,7 +119,10 @@ def _mix(docs: DataFrame, id_col: str, text_col: str, sources: str | Column, wei
         ),
         "mix-sizes", keep=True,
     )
-    patterns = {tuple(r["members"]): r["n"] for r in base.groupBy("members").agg(F.sum("size").alias("n")).collect()}
+    found = base.groupBy("members").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()
+    if len(found) > MOST_PATTERNS:
+        raise ValueError(f"documents have over {MOST_PATTERNS} different sets of sources; mix by fewer or coarser sources")
+    patterns = {tuple(r["members"]): r["n"] for r in found}
     sizes: dict = {}
     for p, n in patterns.items():
         for s in p:
@@ -167,7 +172,8 @@ def _select(planned: DataFrame) -> DataFrame:
     edge = edge.withColumn("upto", F.col("start") + F.sum("size").over(Window.partitionBy("pattern").orderBy("u", "t", "rid").rowsBetween(Window.unboundedPreceding, 0)))
     edge = materialise(edge.where("upto <= rest").select("pattern", "rid", "upto"), "mix-edge", keep=True)
     full = border.join(edge.groupBy("pattern").agg(F.max("upto").alias("upto")), "pattern", "left").select("pattern", "upto_here", F.coalesce("upto", "start").alias("filled"))
-    at_edge = F.broadcast(edge.select("rid", F.lit(1).alias("at_edge")))  # SORTED rows a pattern at most
+    at_edge = edge.select("rid", F.lit(1).alias("at_edge"))  # SORTED rows a pattern at most
+    at_edge = F.broadcast(at_edge) if edge.count() <= BROADCAST_EDGE else at_edge
     inside = rows.join(F.broadcast(full), "pattern", "left").join(at_edge, "rid", "left")
     # every row that isn't past the border's bucket: arrays go by their first numbers
     inside = inside.withColumn("in_prefix", (F.col("rest") > 0) & (F.col("upto_here").isNull() | (F.slice("place", 1, depth) < F.col("upto_here")) | F.col("at_edge").isNotNull()))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.llm import tokens
-from cuewright.llm.common import crc_mod, materialise, scratch
+from cuewright.llm.common import crc_mod, materialise, scratch, sum_in_levels
 
 #: Token buckets, vector length, non-zero entries of an index vector, neighbours on each side.
 BUCKETS, SIZE, NONZERO, REACH = 8_192, 32, 2, 2
@@ -74,7 +74,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             total += np.frombuffer(sums, np.float32)
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "sums": [total.astype(np.float32).tobytes()]})
 
-    blocks = docs.select(text_col).mapInArrow(partial, "block int, sums binary").groupBy("block").applyInPandas(add, "block int, sums binary")
+    blocks = sum_in_levels(docs.select(text_col).mapInArrow(partial, "block int, sums binary"), add)
     found = {r["block"]: np.frombuffer(r["sums"], np.float32) for r in blocks.collect()}  # BUCKETS x SIZE floats, whatever the input
     empty = np.zeros(BLOCK * SIZE, np.float32)
     sums = np.concatenate([found.get(k, empty) for k in range(BUCKETS // BLOCK)]).reshape(BUCKETS, SIZE)

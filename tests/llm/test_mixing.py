@@ -2,6 +2,7 @@ import itertools
 import random
 from fractions import Fraction
 
+import pytest
 from cuewright.llm import mixing as M
 from pyspark.sql import functions as F
 
@@ -67,3 +68,12 @@ def test_overlapping_sources(spark):
     got = M.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source array<string>"), share=Fraction(1)).collect()
     # a document of two sources counts in both sizes: the targets add up to 1600
     assert len(got) == 300 and abs(sum(x.taken for x in got) - 1600) <= 8 and all(x.taken <= 8 for x in got)
+
+
+def test_many_sets_of_sources(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "a b", [f"s{k % 7}", f"s{k % 5}"]) for k in range(200)], "doc_id long, text string, tags array<string>")
+    monkeypatch.setattr(M, "BROADCAST_EDGE", 0)
+    assert M.mix_sources(docs, sources="tags").count() == 200
+    monkeypatch.setattr(M, "MOST_PATTERNS", 10)
+    with pytest.raises(ValueError, match="different sets"):
+        M.mix_sources(docs, sources="tags")
