@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import extract, text
 from cuewright.operators import catalogue, library, matching, resolution, timeline
 from cuewright.plans.text_queries import _LI_SQL, _t, entries
 from cuewright.plans.timeline_queries import _DAY_SQL, _OVERLAY_SQL, _RUNS_SQL, _SMOOTH_CTE, day_entries, day_results, durations
-from cuewright.sources import library_table, render
+from cuewright.sources import answers, audio, library_table, render
 from cuewright.sources.tables import Tables
 
 
@@ -300,10 +300,43 @@ FILES_SQL = f"""WITH {_LI_SQL} SELECT mix_id::VARCHAR AS source_input, (row_numb
   CASE WHEN ord % 4 <> 0 THEN artist END AS artist, CASE WHEN ord % 4 <> 0 THEN title END AS title, CASE WHEN ord % 4 <> 0 THEN round(score, 3) END AS score FROM n"""
 
 
+def recorded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as recorded search answers by brand, 25 places a page, some of them left out; brands of a one have an empty second page. The first
+    60 of each brand are read by the data source."""
+    folder = Tables(spark, "answers").folder
+    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    part = _t(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name", "p_size", rank.alias("r"))
+    there = (F.col("p_size") % 5 > 0) & ~(F.col("p_brand").endswith("1") & (F.floor(F.col("r") / 25) == 1))
+    item = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.struct(F.concat(F.lit("artist "), "p_size").alias("name")).alias("artist"))
+    pages = part.groupBy(F.col("p_brand").alias("query"), (F.floor(F.col("r") / 25) * 25).cast("int").alias("index")).agg(F.array_sort(F.collect_list(F.when(there, F.struct("r", item.alias("i"))))).alias("x"))
+    pages.select(F.to_json(F.struct(F.transform("x", lambda x: x["i"]).alias("data"))).alias("value"), "query", "index").write.partitionBy("query", "index").text(folder)
+    answers.register(spark)
+    return spark.read.format(answers.FORMAT).option("path", folder.removeprefix("file:")).option("limit", 60).load().select("query", "index", "pos", "id", "title", "artist")
+
+
+PAGES_SQL = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS r FROM part),
+i AS (SELECT *, (r // 25 * 25)::INTEGER AS "index", (row_number() OVER (PARTITION BY p_brand, r // 25 ORDER BY r) - 1)::INTEGER AS pos FROM r WHERE p_size % 5 > 0 AND NOT (p_brand LIKE '%1' AND r // 25 = 1)),
+g AS (SELECT p_brand, r // 25 AS k, count(*) FILTER (p_size % 5 > 0 AND NOT (p_brand LIKE '%1' AND r // 25 = 1)) AS n FROM r GROUP BY 1, 2),
+e AS (SELECT p_brand, coalesce(min(k) FILTER (n = 0), 1000000000) AS stop FROM g GROUP BY 1),
+f AS (SELECT i.*, row_number() OVER (PARTITION BY p_brand ORDER BY r) AS nth FROM i JOIN e USING (p_brand) WHERE r // 25 < stop)
+SELECT p_brand AS query, "index", pos, p_partkey AS id, p_name AS title, 'artist ' || p_size AS artist FROM f WHERE nth <= 60"""
+
+
+def music_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a catalogue whose paths end in many ways, some blank; null names are empty (A2)."""
+    ends = F.get(F.array(*map(F.lit, (".mp3", ".FLAC", ".vdjsample", "", ".m4a", ".txt"))), (F.col("p_partkey") % 6).cast("int"))
+    rows = _t(spark, sf_dir, "part").select(F.when(F.col("p_size") % 9 == 0, " ").otherwise(F.concat(F.lit("/m/a.b/"), "p_partkey", ends)).alias("filepath"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).alias("title"), F.col("p_brand").alias("artist"))
+    return audio.catalogue(rows)
+
+
+MUSIC_SQL = """SELECT '/m/a.b/' || p_partkey || ['.mp3', '.FLAC', '', '', '.m4a', ''][p_partkey % 6 + 1] AS filepath, CASE WHEN p_size % 2 = 0 THEN p_name ELSE '' END AS title, p_brand AS artist
+FROM part WHERE p_size % 9 <> 0 AND p_partkey % 6 IN (0, 1, 4)"""
+
+
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
         (chart_tracks, CHART_SQL), (artist_union, UNION_SQL), (typed_library, TYPED_SQL), (library_build, BUILD_SQL), (library_size, SIZE_SQL), (run_log, LOG_SQL), (accepted, ACCEPT_SQL), (best_of_lists, LISTS_SQL), (reactive, REACTIVE_SQL), (by_lyrics, LYRICS_SQL), (reactive_previews, PREVIEWS_SQL),
-        (mirrors_of, MIRRORS_SQL), (playlist_matches, PLAYLIST_SQL), (unit_functions, UNIT_SQL), (long_segments, LONG_SQL), (loudest_window, LOUD_SQL), (resolve_whole, RESOLVE_SQL), (resolve_text, TEXT_SQL), (result_files, FILES_SQL),
+        (mirrors_of, MIRRORS_SQL), (playlist_matches, PLAYLIST_SQL), (unit_functions, UNIT_SQL), (long_segments, LONG_SQL), (loudest_window, LOUD_SQL), (resolve_whole, RESOLVE_SQL), (resolve_text, TEXT_SQL), (result_files, FILES_SQL), (recorded_pages, PAGES_SQL), (music_catalogue, MUSIC_SQL),
     )
 }
