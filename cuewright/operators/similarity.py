@@ -7,11 +7,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from cuewright.functions.text import word_set
+from cuewright.sources.tables import Tables
 
 #: Hashes of queries in one broadcast (4 bytes each); more go in further passes over the library.
 BLOCK = 4 << 20
@@ -75,6 +77,15 @@ def variant_scores(rows: DataFrame, variants: str, track: str, out: str) -> Data
     return rows.withColumn(out, score(F.col(variants), F.col(track)))
 
 
+def _one_pass(found: DataFrame, shared: Broadcast, tables: Tables, block: int, blocks: int) -> DataFrame:
+    """What a block of queries finds. Where there are several, each is found at once and its queries are let go, so only one is held."""
+    if blocks == 1:
+        return found
+    rows = tables.write(found, f"block-{block}")
+    shared.destroy()
+    return rows
+
+
 def top_matches(queries: DataFrame, library: DataFrame, k: int, floor: float) -> DataFrame:
     """(query_id, rank, track_id, score, offset): each query's ``k`` most similar tracks at ``floor`` or more.
 
@@ -87,7 +98,7 @@ def top_matches(queries: DataFrame, library: DataFrame, k: int, floor: float) ->
     empty = F.array().cast("array<long>")
     asks = queries.select("query_id", "pitch_ord", F.coalesce("hashes", empty).alias("hashes"))
     total = asks.agg(F.coalesce(F.sum(F.size("hashes") + 8), F.lit(0)).alias("n")).head()["n"]
-    blocks = max(1, -(-total // BLOCK))
+    blocks, tables = max(1, -(-total // BLOCK)), Tables(spark, "matches")
     found = spark.createDataFrame([], schema)
     rows = library.select("track_id", F.coalesce("hashes", empty).alias("hashes"))
     for b in range(blocks):
@@ -117,7 +128,7 @@ def top_matches(queries: DataFrame, library: DataFrame, k: int, floor: float) ->
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)], names=["query_id", "track_id", "score", "offset"])
 
-        found = found.unionByName(rows.mapInArrow(search, schema))
+        found = found.unionByName(_one_pass(rows.mapInArrow(search, schema), shared, tables, b, blocks))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "track_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "track_id", "score", "offset")
 
@@ -130,7 +141,7 @@ def token_overlap(queries: DataFrame, items: DataFrame, query_id: str, query_tex
     schema = f"`{query_id}` {id_type}, `{item_id}` {item_type}, score double"
     asks = queries.select(F.col(query_id).alias("id"), word_set(query_text).alias("w")).where(F.size("w") > 0)
     total = asks.agg(F.coalesce(F.sum(F.size("w") + 1), F.lit(0)).alias("n")).head()["n"]
-    blocks = max(1, -(-total // (BLOCK // 8)))
+    blocks, tables = max(1, -(-total // (BLOCK // 8))), Tables(spark, "overlap")
     rows = items.select(F.col(item_id).alias("id"), word_set(item_text).alias("w"))
     found = spark.createDataFrame([], schema)
     for b in range(blocks):
@@ -166,6 +177,6 @@ def token_overlap(queries: DataFrame, items: DataFrame, query_id: str, query_tex
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[query_id, item_id, "score"])
 
         types = [to_arrow_type(f.dataType) for f in found.schema.fields]
-        found = found.unionByName(rows.mapInArrow(search, schema))
+        found = found.unionByName(_one_pass(rows.mapInArrow(search, schema), shared, tables, b, blocks))
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), item_id)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, "rank", item_id, "score")
