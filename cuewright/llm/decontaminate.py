@@ -29,6 +29,8 @@ BLOCKS, NEAR = 5, 3
 RADIUS = BLOCKS * (NEAR + 1) - 1
 #: Bytes of benchmark text in one part, that is in one broadcast.
 PART_BYTES = 1 << 20
+#: Numbers of rows with leaks that go to every task at most; more are shuffled.
+BROADCAST_ROWS = 1_000_000
 #: Windows looked up at a time.
 _PIECE = 4_096
 _WORD = re.compile(r"\w+")
@@ -226,13 +228,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The documents that hold no benchmark item, with the input's own columns."""
     items, parts = _items(benchmark, item_col, item_text_col)
+    if parts == 1:
+        return docs.where(_clean(_index(items, 0, 1, least))(F.col(text_col)))
+    # the documents are written once, to have row numbers; each part of the items then gives the numbers of rows that hold one of its items
+    landed = materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid")), "leaks-landed")
+    hits = None
     for part in range(parts):
         index = _index(items, part, parts, least)
-        docs = docs.where(_clean(index)(F.col(text_col)))
-        if parts > 1:
-            docs = materialise(docs, "leaks-clean")
-            index.destroy()
-    return docs
+        own = landed.where(~_clean(index)(F.col(f"row.`{text_col}`"))).select("rid")
+        own = materialise(own if hits is None else own.unionByName(hits), "leaks-rows")
+        index.destroy()
+        hits = own
+    gone = hits.distinct()
+    gone = F.broadcast(gone) if hits.count() <= BROADCAST_ROWS else gone
+    return landed.join(gone, "rid", "left_anti").select("row.*")
 
 
 def _clean(index):
