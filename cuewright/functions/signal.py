@@ -144,6 +144,16 @@ def wav_bytes(samples: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
+def encode_wav(samples: Column | str, rate: int) -> Column:
+    """Each row's samples as a 16-bit mono WAV (B6, B11); null stays null."""
+
+    @F.pandas_udf("binary")
+    def run(xs: pd.Series) -> pd.Series:
+        return xs.map(lambda x: None if x is None else wav_bytes(np.asarray(x, np.float64), rate))
+
+    return run(samples)
+
+
 #: Zero crossings of the resampling filter on each side, its cut-off as a share of the lower Nyquist rate, and places filtered at once.
 CROSSINGS, ROLL_OFF, PLACES = 48, 0.94, 1 << 14
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuewright.functions import extract, text
+from cuewright.functions import extract, signal, text
 from cuewright.operators import catalogue, library, matching, resolution, timeline
 from cuewright.plans.text_queries import _LI_SQL, _t, entries
 from cuewright.plans.timeline_queries import _DAY_SQL, _OVERLAY_SQL, _RUNS_SQL, _SMOOTH_CTE, day_entries, day_results, durations
@@ -322,6 +322,17 @@ f AS (SELECT i.*, row_number() OVER (PARTITION BY p_brand ORDER BY r) AS nth FRO
 SELECT p_brand AS query, "index", pos, p_partkey AS id, p_name AS title, 'artist ' || p_size AS artist FROM f WHERE nth <= 60"""
 
 
+def wav_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors, four times as loud and so clipped here and there, as WAV files of 16 bits, decoded in chunks of three hundredths of a second."""
+    rows = _t(spark, sf_dir, "embeddings").select(F.concat(F.lit("/v/"), "vec_id").alias("path"), F.transform("embedding", lambda x: x.cast("double") * 4).alias("x"))
+    files = rows.select("path", signal.encode_wav("x", 1_000).alias("content"))
+    return audio.wav_chunks(files, 1_000, 0.03).select("path", "chunk_no", F.posexplode("samples").alias("pos", "x"))
+
+
+WAV_SQL = """WITH s AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings)
+SELECT '/v/' || vec_id AS path, (i // 30)::INTEGER AS chunk_no, (i % 30)::INTEGER AS pos, trunc(greatest(least(x::DOUBLE * 4, 1), -1) * 32767) / 32768 AS x FROM s"""
+
+
 def music_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as a catalogue whose paths end in many ways, some blank; null names are empty (A2)."""
     ends = F.get(F.array(*map(F.lit, (".mp3", ".FLAC", ".vdjsample", "", ".m4a", ".txt"))), (F.col("p_partkey") % 6).cast("int"))
@@ -337,6 +348,6 @@ QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
         (chart_tracks, CHART_SQL), (artist_union, UNION_SQL), (typed_library, TYPED_SQL), (library_build, BUILD_SQL), (library_size, SIZE_SQL), (run_log, LOG_SQL), (accepted, ACCEPT_SQL), (best_of_lists, LISTS_SQL), (reactive, REACTIVE_SQL), (by_lyrics, LYRICS_SQL), (reactive_previews, PREVIEWS_SQL),
-        (mirrors_of, MIRRORS_SQL), (playlist_matches, PLAYLIST_SQL), (unit_functions, UNIT_SQL), (long_segments, LONG_SQL), (loudest_window, LOUD_SQL), (resolve_whole, RESOLVE_SQL), (resolve_text, TEXT_SQL), (result_files, FILES_SQL), (recorded_pages, PAGES_SQL), (music_catalogue, MUSIC_SQL),
+        (mirrors_of, MIRRORS_SQL), (playlist_matches, PLAYLIST_SQL), (unit_functions, UNIT_SQL), (long_segments, LONG_SQL), (loudest_window, LOUD_SQL), (resolve_whole, RESOLVE_SQL), (resolve_text, TEXT_SQL), (result_files, FILES_SQL), (recorded_pages, PAGES_SQL), (music_catalogue, MUSIC_SQL), (wav_samples, WAV_SQL),
     )
 }

@@ -18,12 +18,12 @@ def audio_files(spark: SparkSession, root: str) -> DataFrame:
     return files.where(F.lower(F.regexp_extract("path", r"(\.[^./\\]+)$", 1)).isin(*SUFFIXES))
 
 
-def wav_chunks(files: DataFrame, rate: int = 22_050, seconds: int = 60, overlap: float = 0.0) -> DataFrame:
+def wav_chunks(files: DataFrame, rate: int = 22_050, seconds: float = 60, overlap: float = 0.0) -> DataFrame:
     """(path, chunk_no, samples, lead): mono WAV samples in chunks of ``seconds`` (A1), never one row a file. The first ``lead`` samples
     are the last ``overlap`` seconds of the chunk before: drop them after filtering."""
 
     def read(batches):
-        step = rate * seconds
+        step = int(rate * seconds)
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 for start, lead, x in signal.wav_pieces(content, rate, step, int(overlap * rate)):
