@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuewright.functions import extract, text
+from cuewright.functions import extract, lateral, text
 from cuewright.operators import hash_index, matching, similarity
 from cuewright.sources import render
 from cuewright.sources.tables import Tables
@@ -42,14 +42,26 @@ def _lists(rows: DataFrame, line: Column, head: str = "", tail: str = "") -> Dat
     return grouped.select("mix_id", F.concat(F.lit(head), F.array_join(F.transform("x", lambda e: e["line"]), "\n"), F.lit(tail)).alias("text"))
 
 
-def parse_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _timed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = entries(spark, sf_dir)
     line = F.concat(F.when(F.col("ord") % 3 == 0, F.concat("ord", F.lit(". "))).otherwise(F.lit("")), text.clock("start_sec"), F.when(F.col("ord") % 2 == 0, F.lit(" - ")).otherwise(F.lit(" ")), "artist", F.lit(" – "), "title")
-    return extract.timed_lines(_lists(rows, line, "Recorded live\n", "\nthanks"), "text", "mix_id", "youtube_description").select("mix_id", "ord", "start_sec", "artist", "title", "source")
+    return _lists(rows, line, "Recorded live\n", "\nthanks")
+
+
+def parse_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.timed_lines(_timed_texts(spark, sf_dir), "text", "mix_id", "youtube_description").select("mix_id", "ord", "start_sec", "artist", "title", "source")
+
+
+def list_entries_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lists by the table function, in SQL."""
+    lateral.register(spark)
+    return spark.sql("SELECT d.mix_id, e.* FROM {docs} d, LATERAL list_entries(d.text, 'timed') e", docs=_timed_texts(spark, sf_dir))
 
 
 TIMED_SQL = f"WITH {_LI_SQL} SELECT mix_id, ord, start_sec, artist, title, 'youtube_description' AS source FROM n"
 
+LATERAL_SQL = f"WITH {_LI_SQL} SELECT mix_id, ord::INTEGER AS pos, start_sec, artist, title FROM n"
+
 
 def parse_untimed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = entries(spark, sf_dir)
@@ -395,7 +407,7 @@ SELECT mix_id, '{{"source_input":"' || mix_id || '","tracks":[' || coalesce(t, '
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
-        (parse_timed, TIMED_SQL), (parse_untimed, UNTIMED_SQL), (parse_chapters, CHAPTERS_SQL), (parse_wikitext, WIKI_SQL), (tracklist_html, HTML_SQL), (page_links, LINKS_SQL), (og_tags, OG_SQL), (url_functions, URL_SQL),
+        (parse_timed, TIMED_SQL), (list_entries_sql, LATERAL_SQL), (parse_untimed, UNTIMED_SQL), (parse_chapters, CHAPTERS_SQL), (parse_wikitext, WIKI_SQL), (tracklist_html, HTML_SQL), (page_links, LINKS_SQL), (og_tags, OG_SQL), (url_functions, URL_SQL),
         (clean_phrases, PHRASE_SQL), (token_overlap, OVERLAP_SQL), (library_topk, TOPK_SQL), (library_index, INDEX_SQL), (cascade, CASCADE_SQL), (greedy_pick, GREEDY_SQL), (apply_picks, PICKS_SQL), (expanding_pitch, PITCH_SQL), (upper_median_gate, MEDIAN_SQL),
         (tier2_merge, TIER2_SQL), (dedup_untimed, UNTIMED_DEDUP_SQL), (library_upsert, UPSERT_SQL), (library_lookup, LOOKUP_SQL), (ttl_cache, TTL_SQL), (artist_topn, TOPN_SQL), (paged_scan, PAGED_SQL), (usage_stats, USAGE_SQL),
         (queue_state, QUEUE_SQL), (parse_matcher_json, MATCHER_SQL), (hmac_sign, HMAC_SQL), (render_txt, TXT_SQL), (render_m3u, M3U_SQL), (render_json, JSON_SQL),
