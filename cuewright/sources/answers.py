@@ -1,8 +1,11 @@
-"""Recorded search answers as a data source (inventory A5-A8): ``spark.read.format("recorded_answers")``.
+"""Recorded search answers as a data source (inventory A5-A8, A13b, A15, Q10): ``spark.read`` or ``spark.readStream`` of ``recorded_answers``.
 
 A folder holds an answer a page, ``query=<text>/index=<first place>/<any files>``, as Spark writes it partitioned by these two; each is a JSON object
 with a list ``data``. A partition is a query: what a page is asked for depends on what the ones before it gave, so a query's pages are read one
 after the other, and only as far as its limit or its first empty page. Filters on ``query`` leave other queries' partitions out.
+
+As a stream, queries are taken by name, at most ``requests`` a trigger, so the trigger's interval sets the pace that the answering side is promised. The
+offset is the last name taken: a stopped stream goes on behind it, and each answer comes once. New queries' names must sort behind those before.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from urllib.parse import quote, unquote
 
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 FORMAT = "recorded_answers"
 SCHEMA = "query string, index int, pos int, id long, title string, artist string, album string, preview string"
@@ -83,8 +86,39 @@ class AnswerReader(DataSourceReader):
         return out
 
 
+class PacedReader(DataSourceStreamReader):
+    """The plan of a trigger is kept at ``progress``: Spark doesn't say where a restarted stream stands when it asks how far to go."""
+
+    def __init__(self, options: dict):
+        self.answers = AnswerReader(options)
+        self.requests, self.progress = int(options.get("requests", 1)), options["progress"].rstrip("/")
+
+    def initialOffset(self) -> dict:
+        return {"after": ""}
+
+    def latestOffset(self) -> dict:
+        files, root = fs.FileSystem.from_uri(self.progress)
+        after = ""
+        if files.get_file_info(f"{root}/planned.json").type == fs.FileType.File:
+            with files.open_input_stream(f"{root}/planned.json") as f:
+                after = json.loads(f.read())["after"]
+        waiting = [p.query for p in self.answers.partitions() if p.query > after][: self.requests]
+        return {"after": waiting[-1] if waiting else after}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        files, root = fs.FileSystem.from_uri(self.progress)
+        files.create_dir(root)
+        with files.open_output_stream(f"{root}/planned.json") as f:
+            f.write(json.dumps(end).encode())
+        return [p for p in self.answers.partitions() if start["after"] < p.query <= end["after"]]
+
+    def read(self, partition: QueryPages) -> Iterator[tuple]:
+        return self.answers.read(partition)
+
+
 class AnswerSource(DataSource):
-    """Options: ``path`` (a URI or an absolute path), ``limit`` items a query, ``page`` items a page."""
+    """Options: ``path`` (a URI or an absolute path), ``limit`` items a query, ``page`` items a page; of a stream ``requests`` a trigger and
+    ``progress``, a folder of its own."""
 
     @classmethod
     def name(cls) -> str:
@@ -96,6 +130,9 @@ class AnswerSource(DataSource):
     def reader(self, schema) -> AnswerReader:
         return AnswerReader(self.options)
 
+    def streamReader(self, schema) -> PacedReader:
+        return PacedReader(self.options)
+
 
 def register(spark: SparkSession) -> None:
     """Let ``spark`` read the format, filters included."""

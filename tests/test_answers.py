@@ -53,3 +53,28 @@ def test_damaged_answers_are_errors(spark, tmp_path):
     (tmp_path / "query=a" / "index=0" / "part-1.txt").write_text('{"data": [')
     with pytest.raises(Exception, match="JSON|Expecting"):
         read(spark, tmp_path).collect()
+
+
+def test_paced_stream_takes_each_answer_once(spark, tmp_path):
+    answers.register(spark)
+    root = tmp_path / "answers"
+    for k in range(7):
+        record(root, f"q{k}", 0, 2, 10 * k)
+    stream = spark.readStream.format(answers.FORMAT).options(path=str(root), requests=3, progress=str(tmp_path / "plan")).load()
+
+    def run():
+        query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(processingTime="0 seconds").start()
+        try:
+            query.processAllAvailable()
+            return [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+        finally:
+            query.stop()
+
+    assert run() == [6, 6, 2]
+    assert run() == []
+    for k in (7, 8, 9):
+        record(root, f"q{k}", 0, 2, 10 * k)
+    record(root, "qa", 0, 2, 100)
+    assert run() == [6, 2]
+    got = sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == sorted(10 * k + i for k in range(11) for i in range(2))
