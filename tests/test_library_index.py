@@ -92,3 +92,15 @@ def test_index_reads_what_may_match(spark, tmp_path, monkeypatch):
     assert len(touched) <= 32 and "PartitionFilters: [bucket" in read._jdf.queryExecution().toString() and read.count() < bands.count() / 50
     asks = spark.createDataFrame([(1, 0, tracks[3][:24].astype(np.int64).tolist())], "query_id long, pitch_ord int, hashes array<long>")
     assert [tuple(r) for r in hash_index.indexed_matches(asks, spark, path, 3, 0.97).collect()] == [(1, 1, 3, 1.0, 0)]
+
+
+def test_blocks_of_queries_equal_one_block(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    tracks = [(i, rng.integers(0, 1 << 32, 40).tolist()) for i in range(30)]
+    library = spark.createDataFrame(tracks, "track_id long, hashes array<long>")
+    queries = spark.createDataFrame([(q, 0, tracks[q][1][5:20]) for q in range(8)], "query_id long, pitch_ord int, hashes array<long>")
+    words = spark.createDataFrame([(i, f"w{i % 5} w{i % 3} x") for i in range(20)], "id long, text string")
+    run = lambda: (sorted(map(tuple, similarity.top_matches(queries, library, 2, 0.4).collect())), sorted(map(tuple, similarity.token_overlap(words, words.withColumnRenamed("id", "item").withColumnRenamed("text", "t"), "id", "text", "item", "t", 3).collect())))
+    whole = run()
+    monkeypatch.setattr(similarity, "BLOCK", 64)
+    assert run() == whole and len(whole[0]) == 16 and len(whole[1]) == 60
