@@ -81,15 +81,16 @@ def gap_cap(bounds: DataFrame, durations: DataFrame, key: str, most: float = 90.
     return points.where("not is_end").select(key, "t", F.lit("orig").alias("kind")).unionByName(inner)
 
 
-def segments(bounds: DataFrame, durations: DataFrame, key: str, least: float = 5.0, longer: bool = False) -> DataFrame:
+def segments(bounds: DataFrame, durations: DataFrame, key: str, least: float = 5.0, longer: bool = False, bare: bool = True) -> DataFrame:
     """Segments between consecutive boundaries (key, t, kind), 0 and the duration being boundaries too (H8); those under
-    ``least`` seconds go, with ``longer`` (H13) those of just as many too; a tail follows if the last segment ends over a second early."""
+    ``least`` seconds go, with ``longer`` (H13) those of just as many too; a tail follows if the last segment ends over a second early.
+    A recording of which no segment is left is one tail, without ``bare`` it has no row."""
     marks = durations.select(key, F.lit(0.0).alias("t"), F.lit("start").alias("kind")).unionByName(bounds.select(key, "t", "kind"))
     w = Window.partitionBy(key).orderBy("t", "kind")
     rows = marks.join(durations, key).withColumn("end_sec", F.coalesce(F.lead("t").over(w), F.col("duration")))
     length = F.col("end_sec") - F.col("t")
     kept = rows.where(length > least if longer else length >= least).select(key, F.col("t").alias("start_sec"), "end_sec", F.col("kind").alias("boundary"))
-    last = durations.join(kept.groupBy(key).agg(F.max("end_sec").alias("last")), key, "left").withColumn("last", F.coalesce("last", F.lit(0.0)))
+    last = durations.join(kept.groupBy(key).agg(F.max("end_sec").alias("last")), key, "left" if bare else "inner").withColumn("last", F.coalesce("last", F.lit(0.0)))
     tail = last.where(F.col("last") < F.col("duration") - 1).select(key, F.col("last").alias("start_sec"), F.col("duration").alias("end_sec"), F.lit("end").alias("boundary"))
     return kept.unionByName(tail)
 

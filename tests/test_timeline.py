@@ -111,3 +111,26 @@ def test_deep_scan(spark):
     for known, unknown, want in ((30, 10, True), (2, 3, True), (38, 2, False)):
         a = spark.createDataFrame([("m",)] * known, "mix_id string")
         assert timeline.deep_scan_gate(a, spark.createDataFrame([("m",)] * unknown, "mix_id string"), "mix_id").head().deep_scan is want
+
+
+def test_dense_day_has_no_segment(spark, tmp_path):
+    """A day with an event every four seconds keeps no segment; the SQL gives it no row, the operator by itself a tail."""
+    import __spark_entry__ as entry
+    import duckdb
+    from pyspark.sql import functions as F
+
+    dense = spark.range(21_600).select(F.col("id").alias("event_id"), F.timestamp_seconds(1_704_067_200 + F.col("id") * 4).cast("timestamp_ntz").alias("ts"))
+    thin = spark.range(3).select((F.col("id") + 30_000).alias("event_id"), F.timestamp_seconds(1_704_153_600 + 100 + F.col("id") * 100).cast("timestamp_ntz").alias("ts"))
+    dense.union(thin).selectExpr("*", "1L user_id", "'view' event_type", "1D value", "'' props").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in DENSE:
+        want = con.sql(entry.oracle_sql()[name]).fetchall()
+        got = [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()]
+        assert sorted(got) == sorted(want) and {r[0] for r in got} == {"2024-01-02"}
+    ends = spark.createDataFrame([("e", 50.0)], "mix_id string, duration double")
+    bounds = spark.createDataFrame([("e", float(t), "orig") for t in range(0, 50, 4)], "mix_id string, t double, kind string")
+    assert [tuple(r) for r in timeline.segments(bounds, ends, "mix_id").collect()] == [("e", 0, 50, "end")]
+
+
+DENSE = ("segments_from_boundaries",)
