@@ -192,7 +192,7 @@ def long_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notebook variant: gaps capped, segments of over five seconds."""
     rows = day_entries(spark, sf_dir)
     d = durations(rows)
-    return timeline.segments(timeline.gap_cap(rows.select("mix_id", F.floor("start_sec").cast("double").alias("t")), d, "mix_id"), d, "mix_id", longer=True)
+    return timeline.segments(timeline.gap_cap(rows.select("mix_id", F.floor("start_sec").cast("double").alias("t")), d, "mix_id"), d, "mix_id", longer=True, bare=False)
 
 
 LONG_SQL = f"""WITH {_DAY_SQL}, pts AS (SELECT DISTINCT mix_id, floor(start_sec) AS t, false AS is_end FROM e UNION ALL SELECT DISTINCT mix_id, 86400.0, true FROM e),

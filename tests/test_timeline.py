@@ -133,4 +133,4 @@ def test_dense_day_has_no_segment(spark, tmp_path):
     assert [tuple(r) for r in timeline.segments(bounds, ends, "mix_id").collect()] == [("e", 0, 50, "end")]
 
 
-DENSE = ("segments_from_boundaries",)
+DENSE = ("segments_from_boundaries", "long_segments")
