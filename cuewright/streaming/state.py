@@ -43,7 +43,7 @@ class JobMachine(StatefulProcessor):
             self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
         self.state.update((name, at))
         if name in OPEN_STATES:
-            self.handle.registerTimer(at + self.stuck_ms)
+            self.handle.registerTimer(at + self.stuck_ms + 1)  # timers fire at their time already, a job times out over it
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ms", "seq"], kind="stable")
@@ -65,7 +65,7 @@ class JobMachine(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         name, since = self.state.get() if self.state.exists() else ("", 0)
-        if name in OPEN_STATES and expiredTimerInfo.getExpiryTimeInMs() == since + self.stuck_ms:
+        if name in OPEN_STATES and expiredTimerInfo.getExpiryTimeInMs() >= since + self.stuck_ms:
             self.state.update(("error", since + self.stuck_ms))
             yield pd.DataFrame([(key[0], since + self.stuck_ms, "timeout", name, "error", True)], columns=["job", "ms", "event", "before", "after", "accepted"])
 

@@ -47,6 +47,14 @@ def test_job_states(spark, tmp_path, seed):
     assert got == want and any(r[2] == "timeout" for r in got) and any(not r[5] for r in got)
 
 
+def test_job_times_out_over_the_limit(spark, tmp_path):
+    """A job that is open for exactly the limit when the stream's time ends isn't late yet, one a millisecond older is."""
+    schema, own = "job string, ts timestamp, seq long, event string", state.stateful_session(spark)
+    land(own, [("at", START, 1, "create"), ("over", START - timedelta(milliseconds=1), 2, "create"), ("end", START + timedelta(seconds=300), 3, "create")], schema, f"{tmp_path}/in")
+    state.run_stream(state.job_states(own.readStream.schema(schema).parquet(f"{tmp_path}/in"), 300), f"{tmp_path}/out")
+    assert [r.job for r in own.read.parquet(f"{tmp_path}/out").where("event = 'timeout'").collect()] == ["over"]
+
+
 def test_cache_equals_batch_rule(spark, tmp_path):
     rng, schema = random.Random(3), "g string, k string, ts long, v string"
     rows = [(rng.choice("ab"), f"k{rng.randrange(25)}", rng.randrange(0, 100_000), f"v{i}") for i in range(200)] + [("a", None, 5, "x")]
