@@ -48,7 +48,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a five-word shingle similarity of 0.8 or more, the smallest doc_id stays."""
+    """Of texts linked by SimHash fingerprints within three bits or by a five-word shingle similarity of 0.8 or more, the smallest doc_id
+    stays."""
     return near_copies.drop_near_copies(docs)
 
 

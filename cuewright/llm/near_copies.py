@@ -1,6 +1,7 @@
-"""Near copies by exact similarity of word shingles.
+"""Near copies by SimHash and vantage-point trees, then by exact similarity of word shingles.
 
-Two texts are linked if the Jaccard similarity of their sets of five-word shingles is at least 0.8. Of such two, the first
+Fingerprints within three bits are linked by vantage-point trees first, as in ``simhash_vp``. Texts that these links leave apart are
+linked as well if the Jaccard similarity of their sets of five-word shingles is at least 0.8. Of such two, the first
 n - ceil(0.8 n) + 1 shingles of each, in any one order of all shingles, share one (prefix filter), so texts that share none of these
 are never compared and none is missed. Shingles that are common in a sample come last in the order, which only saves
 comparisons. Two bounds, from the sizes and from counts of shingles by bin, then rule most candidates out; whole sets decide about the
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cuewright.llm import tokens
 from cuewright.llm.common import join_hot, materialise, scratch, tidy
-from cuewright.llm.simhash_vp import components
+from cuewright.llm.simhash_vp import components, fold, near_links, shingle_hashes
 
 WORDS = 5
 #: Similarity NUM / DEN or more links.
@@ -110,9 +111,10 @@ def _prefixes(common):
             for at, part in tokens.batches_of(batch.column("text"), _CHUNK):
                 found = list(shingle_sets(part))
                 digests = [np.array([np.bitwise_xor.reduce(s), np.sum(_step(s, s >> np.uint64(7)))], np.uint64).tobytes() for s in found]
+                prints = np.array([fold(shingle_hashes(t or b"")) for t in part.cast(pa.binary()).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(at, len(part)), batch.column("rid").slice(at, len(part)), pa.array([len(s) for s in found], pa.int32()), pa.array(digests, pa.binary()),
-                     pa.array([bins_of(s) for s in found], pa.binary()), _lists([prefix(s, common.value) for s in found])], names=["id", "rid", "n", "digest", "bins", "prefix"],
+                    [batch.column("id").slice(at, len(part)), batch.column("rid").slice(at, len(part)), pa.array(prints.view(np.int64)), pa.array([len(s) for s in found], pa.int32()), pa.array(digests, pa.binary()),
+                     pa.array([bins_of(s) for s in found], pa.binary()), _lists([prefix(s, common.value) for s in found])], names=["id", "rid", "fp", "n", "digest", "bins", "prefix"],
                 )
 
     return run
@@ -169,23 +171,35 @@ def _pairs(left: DataFrame, right: DataFrame, apart: str) -> DataFrame:
     return both.select(F.least("l.rid", "r.rid").alias("a"), F.greatest("l.rid", "r.rid").alias("b"))
 
 
+def print_links(rows: DataFrame, same: DataFrame) -> DataFrame:
+    """(a, b): the first text of each set in ``same`` (n, digest, first) with the first of all that its fingerprints reach in ``rows``
+    (n, digest, fp) over links of three bits."""
+    sets = materialise(rows.select("n", "digest", "fp").distinct().join(same.select("n", "digest", F.col("first.rid").alias("b")), ["n", "digest"]).select("fp", "b"), "near-prints")
+    reach = components(near_links(sets.select("fp").distinct())).withColumnRenamed("node", "fp")
+    grouped = sets.join(reach, "fp", "left").select("b", F.coalesce("label", "fp").alias("label"))
+    hubs = grouped.groupBy("label").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    return materialise(join_hot(grouped, hubs, "label", "size", sets.count()).where("a <> b").select("a", "b").distinct(), "near-print-links")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """(rid, best) per row of ``docs`` (id, rid, text): the first row, as a struct (no_id, id, rid), that links reach."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
-    rows = materialise(docs.mapInArrow(_prefixes(common), "id long, rid long, n int, digest binary, bins binary, prefix array<long>"), "near-prefixes")
+    rows = materialise(docs.mapInArrow(_prefixes(common), "id long, rid long, fp long, n int, digest binary, bins binary, prefix array<long>"), "near-prefixes")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid"))
     same = materialise(rows.groupBy("n", "digest").agg(first.alias("first"), F.count(F.lit(1)).alias("size")), "near-same")  # equal sets, by count and 128 bits
     firsts = materialise(rows.join(same.select(F.col("first.rid").alias("rid")), "rid", "left_semi"), "near-firsts")
+    printed = print_links(rows, same)
+    named = firsts.join(components(printed), F.col("rid") == F.col("node"), "left").select("rid", "n", F.coalesce("label", "rid").alias("part"), "prefix")
     # texts by prefix shingle; of shingles that the same texts have, one
     of_one = Window.partitionBy("s")
-    shared = firsts.select("rid", "n", F.explode("prefix").alias("s")).withColumns({"size": F.count(F.lit(1)).over(of_one), "hub": F.min("rid").over(of_one)}).where("size > 1")
+    shared = named.select("rid", "n", "part", F.explode("prefix").alias("s")).withColumns({"size": F.count(F.lit(1)).over(of_one), "hub": F.min("rid").over(of_one), "hub_part": F.min_by("part", "rid").over(of_one)}).where("size > 1")
     shared = materialise(shared, "near-shared")
     tidy(docs.sparkSession)
     groups = shared.groupBy("s").agg(F.first("size").alias("size"), F.first("hub").alias("hub"), F.bit_xor(F.xxhash64("rid")).alias("texts")).groupBy("size", "hub", "texts").agg(F.min("s").alias("s"))
     members = materialise(shared.join(groups.select("s"), "s", "left_semi"), "near-members")
     small, large = members.where(F.col("size") <= SMALL), members.where(F.col("size") > SMALL)
-    started = _pairs(small, small, "l.rid < r.rid").union(large.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")))
-    links = similar(started, firsts, docs)
+    started = _pairs(small, small, "l.rid < r.rid and l.part <> r.part").union(large.where("part <> hub_part").select(F.col("hub").alias("a"), F.col("rid").alias("b")))
+    links = printed.union(similar(started, firsts, docs))
     if not large.isEmpty():
         # pairs in one component need no link; every other pair of a group has one text outside its largest component
         label = components(links)

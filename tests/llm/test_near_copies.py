@@ -5,6 +5,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from cuewright.llm import near_copies as N
+from cuewright.llm.simhash_vp import fold, shingle_hashes
 
 
 def shingles(text):
@@ -69,6 +70,18 @@ def test_stage_drops_copies_beyond_three_bits(spark):
     assert N.drop_near_copies(docs.limit(0)).count() == 0
 
 
+def test_stage_links_fingerprints_within_three_bits(spark):
+    """Refrains outweigh the rest in the fingerprint: two bits apart at most, though few distinct shingles are shared."""
+    r = random.Random(4)
+    refrain = " ".join(f"r{k}" for k in range(13))
+    texts = [" ".join([refrain] * 400 + [f"{name}{k}" for k in range(40)]) for name in "xy"]
+    a, b = map(shingles, texts)
+    assert len(a & b) / len(a | b) < 0.3 and bin(fold(shingle_hashes(texts[0].encode())) ^ fold(shingle_hashes(texts[1].encode()))).count("1") <= 3
+    other = " ".join(f"w{r.randrange(900)}" for _ in range(80))
+    docs = spark.createDataFrame([(4, texts[0]), (2, texts[1]), (7, other)], "doc_id long, text string")
+    assert sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [2, 7]
+
+
 def test_bins_bound_what_sets_share():
     r = np.random.default_rng(2)
     for n in (1, 30, 3000):
