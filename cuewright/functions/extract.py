@@ -154,27 +154,31 @@ def page_links(pages: DataFrame, page: str, key: str, most: int, pattern: str =
     return rows.where(F.col("rank") <= most).select(key, "rank", "href", F.col("f.anchor").alias("anchor"))
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is named: by itself each field of parsed JSON parses the text again."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def acoustid_match(response: Column) -> Column:
     """struct(score, recording_id, title, artist) of the first usable result, else null."""
     kind = "struct<status:string,results:array<struct<score:double,recordings:array<struct<id:string,title:string,artists:array<struct<name:string>>>>>>>"
-    r = F.from_json(response, kind)
-    one = F.transform(
+    one = lambda r: F.transform(
         r["results"],
         lambda x: F.struct(
             F.coalesce(x["score"], F.lit(0.0)).alias("score"), F.get(x["recordings"], F.lit(0))["id"].alias("recording_id"), F.coalesce(F.get(x["recordings"], F.lit(0))["title"], F.lit("")).alias("title"),
             F.coalesce(F.array_join(F.transform(F.get(x["recordings"], F.lit(0))["artists"], lambda a: F.coalesce(a["name"], F.lit(""))), ", "), F.lit("")).alias("artist"),
         ),
     )
-    return F.when(r["status"] == "ok", F.get(F.filter(one, lambda x: (x["title"] != "") | (x["artist"] != "")), F.lit(0)))
+    return _once(F.from_json(response, kind), lambda r: F.when(r["status"] == "ok", F.get(F.filter(one(r), lambda x: (x["title"] != "") | (x["artist"] != "")), F.lit(0))))
 
 
 def acrcloud_match(response: Column) -> Column:
     """struct(score, title, artist) of the first music entry, score out of 100, else null."""
     kind = "struct<status:struct<code:int>,metadata:struct<music:array<struct<title:string,artists:array<struct<name:string>>,score:double>>>>"
-    r = F.from_json(response, kind)
-    m = F.get(r["metadata"]["music"], F.lit(0))
-    names = F.filter(F.transform(m["artists"], lambda a: a["name"]), lambda n: n != "")
-    return F.when((r["status"]["code"] == 0) & m.isNotNull(), F.struct((m["score"] / 100).alias("score"), m["title"].alias("title"), F.coalesce(F.array_join(names, ", "), F.lit("")).alias("artist")))
+    names = lambda m: F.filter(F.transform(m["artists"], lambda a: a["name"]), lambda n: n != "")
+    first = lambda code, m: F.when((code == 0) & m.isNotNull(), F.struct((m["score"] / 100).alias("score"), m["title"].alias("title"), F.coalesce(F.array_join(names(m), ", "), F.lit("")).alias("artist")))
+    found = lambda r: F.struct(r["status"]["code"].alias("code"), F.get(r["metadata"]["music"], F.lit(0)).alias("m"))
+    return _once(_once(F.from_json(response, kind), found), lambda x: first(x["code"], x["m"]))
 
 
 def shazam_isrc(response: Column) -> Column:
@@ -188,8 +192,8 @@ def shazam_isrc(response: Column) -> Column:
 def genius_hit(response: Column) -> Column:
     """struct(id, title, artist) of the first hit if it has a title or an artist."""
     kind = "struct<response:struct<hits:array<struct<result:struct<id:bigint,title:string,primary_artist:struct<name:string>>>>>>"
-    r = F.get(F.from_json(response, kind)["response"]["hits"], F.lit(0))["result"]
-    return F.when((F.coalesce(r["title"], F.lit("")) != "") | (F.coalesce(r["primary_artist"]["name"], F.lit("")) != ""), F.struct(r["id"].alias("id"), r["title"].alias("title"), r["primary_artist"]["name"].alias("artist")))
+    hit = lambda r: F.when((F.coalesce(r["title"], F.lit("")) != "") | (F.coalesce(r["primary_artist"]["name"], F.lit("")) != ""), F.struct(r["id"].alias("id"), r["title"].alias("title"), r["primary_artist"]["name"].alias("artist")))
+    return _once(F.get(F.from_json(response, kind)["response"]["hits"], F.lit(0))["result"], hit)
 
 
 def model_picks(answers: DataFrame, text: str, key: str) -> DataFrame:

@@ -109,3 +109,10 @@ def test_signal(spark, tmp_path):
     chunks = audio.wav_chunks(audio.audio_files(spark, str(tmp_path)), seconds=1).collect()
     assert len(chunks) == 1 and abs(rms(np.array(chunks[0].samples)) - rms(0.5 * high)) < 1e-3
     assert spark.createDataFrame([(low[:2000].tolist(),), (None,)], "x array<double>").select(signal.highpass("x", 22_050).alias("y")).collect()[1].y is None
+
+
+def test_answers_are_parsed_once(spark):
+    rows = spark.range(1).select(F.col("id").cast("string").alias("a"))
+    for match in (extract.acoustid_match, extract.acrcloud_match, extract.genius_hit):
+        found = rows.select(match(F.col("a")).alias("m")).select("m.title", "m.artist", "m")
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
