@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewright.functions.text import clock_seconds, same_key, split_name, strip
+from cuewright.functions.text import clock_seconds, once, same_key, split_name, strip
 
 # The line patterns that results depend on, with numbered groups.
 TIMED_LINE = r"^\s*(?:\d+\s*[.\)]\s*)?\[?((?:\d{1,2}:)?\d{1,2}:\d{2})\]?\s*[-–—]?\s*(.+?)\s*$"
@@ -27,49 +27,51 @@ CUE = r"^\d{1,2}:\d{1,2}(?::\d{2})?$"
 LEAST_UNTIMED = 5
 
 
-def lines(docs: DataFrame, text: str, *keys: str) -> DataFrame:
-    """(keys, pos, line): every line of the text; a last empty line doesn't count."""
+def lines(text: str) -> Column:
+    """Array of the text's lines; a last empty line doesn't count."""
     parts = F.split(F.col(text), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
-    return docs.select(*keys, F.posexplode(parts).alias("pos", "line"))
+    return once(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0)))).otherwise(p))
 
 
 def timed_lines(docs: DataFrame, text: str, key: str, source: str) -> DataFrame:
     """Lines that open with a time stamp (E1); lines without a title give nothing. Order: start, then position."""
-    rows = lines(docs, text, key).where(F.col("line").rlike(TIMED_LINE))
-    rows = rows.withColumn("n", split_name(F.regexp_extract("line", TIMED_LINE, 2)))
-    return rows.where("n.title <> ''").select(
-        key, F.col("pos").alias("ord"), clock_seconds(F.regexp_extract("line", TIMED_LINE, 1)).alias("start_sec"), "n.artist", "n.title", F.lit(source).alias("source")
-    )
+    part = lambda line, group: F.regexp_extract(line, TIMED_LINE, group)
+    # other lines have an empty title
+    one = lambda line: F.struct(clock_seconds(part(line, 1)).alias("start_sec"), split_name(part(line, 2)).alias("n"))
+    rows = docs.select(key, F.posexplode(F.transform(lines(text), one)).alias("ord", "r"))
+    return rows.where("r.n.title <> ''").select(key, "ord", "r.start_sec", "r.n.artist", "r.n.title", F.lit(source).alias("source"))
 
 
 def untimed_lines(docs: DataFrame, text: str, key: str, source: str, least: int = LEAST_UNTIMED) -> DataFrame:
     """Numbered or bulleted names without times (E2), if the text has the keyword and ``least`` such lines."""
-    rows = lines(docs.where(F.col(text).rlike(LIST_KEYWORD)), text, key)
-    rows = rows.where(~F.col("line").rlike(TIMED_LINE) & F.col("line").rlike(UNTIMED_LINE)).withColumn("n", split_name(F.regexp_extract("line", UNTIMED_LINE, 1)))
-    rows = rows.where("n.title <> ''").withColumn("many", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    return rows.where(F.col("many") >= least).select(key, F.col("pos").alias("ord"), F.lit(None).cast("double").alias("start_sec"), "n.artist", "n.title", F.lit(source).alias("source"))
+    name = lambda line: F.when(~line.rlike(TIMED_LINE), split_name(F.regexp_extract(line, UNTIMED_LINE, 1)))
+    named = F.filter(F.transform(lines(text), lambda line, i: F.struct(i.alias("ord"), name(line).alias("n"))), lambda r: r["n"]["title"] != "")
+    enough = once(named, lambda x: F.when(F.size(x) >= least, x))
+    rows = docs.where(F.col(text).rlike(LIST_KEYWORD)).select(key, F.explode(enough).alias("r"))
+    return rows.select(key, "r.ord", F.lit(None).cast("double").alias("start_sec"), "r.n.artist", "r.n.title", F.lit(source).alias("source"))
 
 
 def chapters(docs: DataFrame, meta: str, key: str, source: str) -> DataFrame:
     """Chapter marks of a metadata JSON (E3), generic ones left out, in their own order. Bad JSON gives nothing."""
     kind = "struct<chapters:array<struct<start_time:double,end_time:double,title:string>>>"
-    rows = docs.select(key, F.posexplode(F.from_json(F.col(meta), kind)["chapters"]).alias("ord", "c")).withColumn("t", strip("c.title"))
-    rows = rows.where("c.start_time is not null and t <> ''").where(~F.col("t").rlike(GENERIC_CHAPTER))
-    rows = rows.withColumn("n", split_name(F.regexp_replace("t", TRACK_NUMBER, "")))
-    return rows.where("n.title <> ''").select(key, "ord", F.col("c.start_time").alias("start_sec"), "n.artist", "n.title", F.lit(source).alias("source"))
+    name = lambda t: F.when((t != "") & ~t.rlike(GENERIC_CHAPTER), split_name(F.regexp_replace(t, TRACK_NUMBER, "")))
+    one = lambda c: F.when(c["start_time"].isNotNull(), F.struct(c["start_time"].alias("start_sec"), once(strip(c["title"]), name).alias("n")))
+    rows = docs.select(key, F.posexplode(F.transform(F.from_json(F.col(meta), kind)["chapters"], one)).alias("ord", "r"))
+    return rows.where("r.n.title <> ''").select(key, "ord", "r.start_sec", "r.n.artist", "r.n.title", F.lit(source).alias("source"))
 
 
 def wiki_tracks(docs: DataFrame, text: str, key: str, source: str = "mixesdb") -> DataFrame:
     """Names in the tracklist section of a wiki page (E4): from its heading to the first other heading."""
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines(docs, text, key).withColumn("line", strip("line"))
-    heading = F.col("line").rlike(WIKI_HEADING)
-    rows = rows.withColumn("inside", F.max(heading).over(w))
-    other = F.col("inside") & ~heading & F.col("line").startswith("==") & F.col("line").endswith("==")
-    rows = rows.withColumn("over", F.max(other).over(w)).where(F.col("inside") & ~F.col("over") & F.col("line").rlike(WIKI_TRACK))
-    name = lambda g: strip(F.regexp_extract("line", WIKI_TRACK, g))
-    return rows.select(key, F.col("pos").alias("ord"), F.lit(None).cast("double").alias("start_sec"), name(1).alias("artist"), name(2).alias("title"), F.lit(source).alias("source"))
+    heading = lambda line: line.rlike(WIKI_HEADING)
+    other = lambda r: r["line"].startswith("==") & r["line"].endswith("==") & ~heading(r["line"])
+    first = lambda rows, is_it: F.array_position(F.transform(rows, is_it), F.lit(True)).cast("int")
+    numbered = F.transform(lines(text), lambda line, i: F.struct(i.alias("ord"), strip(line).alias("line")))
+    inside = once(numbered, lambda a: once(first(a, lambda r: heading(r["line"])), lambda at: F.when(at > 0, F.slice(a, at, F.size(a)))))
+    section = once(inside, lambda a: once(first(a, other), lambda at: F.when(at > 0, F.slice(a, F.lit(1), at - 1)).otherwise(a)))
+    part = lambda line, group: F.regexp_extract(line, WIKI_TRACK, group)
+    name = lambda line: once(part(line, 1), lambda a: F.when(a != "", F.struct(strip(a).alias("artist"), strip(part(line, 2)).alias("title"))))
+    rows = docs.select(key, F.explode(F.transform(section, lambda r: F.struct(r["ord"].alias("ord"), name(r["line"]).alias("n")))).alias("r"))
+    return rows.where("r.n is not null").select(key, "r.ord", F.lit(None).cast("double").alias("start_sec"), "r.n.artist", "r.n.title", F.lit(source).alias("source"))
 
 
 class _Rows(HTMLParser):
@@ -154,11 +156,6 @@ def page_links(pages: DataFrame, page: str, key: str, most: int, pattern: str =
     return rows.where(F.col("rank") <= most).select(key, "rank", "href", F.col("f.anchor").alias("anchor"))
 
 
-def _once(value: Column, use) -> Column:
-    """``use`` of a value that is worked out once, however often it is named: by itself each field of parsed JSON parses the text again."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def acoustid_match(response: Column) -> Column:
     """struct(score, recording_id, title, artist) of the first usable result, else null."""
     kind = "struct<status:string,results:array<struct<score:double,recordings:array<struct<id:string,title:string,artists:array<struct<name:string>>>>>>>"
@@ -169,7 +166,7 @@ def acoustid_match(response: Column) -> Column:
             F.coalesce(F.array_join(F.transform(F.get(x["recordings"], F.lit(0))["artists"], lambda a: F.coalesce(a["name"], F.lit(""))), ", "), F.lit("")).alias("artist"),
         ),
     )
-    return _once(F.from_json(response, kind), lambda r: F.when(r["status"] == "ok", F.get(F.filter(one(r), lambda x: (x["title"] != "") | (x["artist"] != "")), F.lit(0))))
+    return once(F.from_json(response, kind), lambda r: F.when(r["status"] == "ok", F.get(F.filter(one(r), lambda x: (x["title"] != "") | (x["artist"] != "")), F.lit(0))))
 
 
 def acrcloud_match(response: Column) -> Column:
@@ -178,7 +175,7 @@ def acrcloud_match(response: Column) -> Column:
     names = lambda m: F.filter(F.transform(m["artists"], lambda a: a["name"]), lambda n: n != "")
     first = lambda code, m: F.when((code == 0) & m.isNotNull(), F.struct((m["score"] / 100).alias("score"), m["title"].alias("title"), F.coalesce(F.array_join(names(m), ", "), F.lit("")).alias("artist")))
     found = lambda r: F.struct(r["status"]["code"].alias("code"), F.get(r["metadata"]["music"], F.lit(0)).alias("m"))
-    return _once(_once(F.from_json(response, kind), found), lambda x: first(x["code"], x["m"]))
+    return once(once(F.from_json(response, kind), found), lambda x: first(x["code"], x["m"]))
 
 
 def shazam_isrc(response: Column) -> Column:
@@ -193,7 +190,7 @@ def genius_hit(response: Column) -> Column:
     """struct(id, title, artist) of the first hit if it has a title or an artist."""
     kind = "struct<response:struct<hits:array<struct<result:struct<id:bigint,title:string,primary_artist:struct<name:string>>>>>>"
     hit = lambda r: F.when((F.coalesce(r["title"], F.lit("")) != "") | (F.coalesce(r["primary_artist"]["name"], F.lit("")) != ""), F.struct(r["id"].alias("id"), r["title"].alias("title"), r["primary_artist"]["name"].alias("artist")))
-    return _once(F.get(F.from_json(response, kind)["response"]["hits"], F.lit(0))["result"], hit)
+    return once(F.get(F.from_json(response, kind)["response"]["hits"], F.lit(0))["result"], hit)
 
 
 def model_picks(answers: DataFrame, text: str, key: str) -> DataFrame:

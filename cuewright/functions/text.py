@@ -52,9 +52,13 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: White space of any kind: what ``\s`` means to a pattern with Unicode classes.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: str | Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_c(x), F.lit(WHITE))
 
 
 def same_key(x: str | Column) -> Column:
@@ -74,11 +78,19 @@ def source_priority(source: str | Column) -> Column:
     return F.coalesce(F.try_element_at(table, _c(source)), F.lit(0))
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is named: by itself each mention works it out again."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clock_seconds(stamp: str | Column) -> Column:
     """``m:s`` or ``h:m:s`` as seconds; anything else is 0 (D-1)."""
-    parts = F.split(_c(stamp), ":")
-    n = lambda i: F.coalesce(F.get(parts, F.lit(i)).try_cast("int"), F.lit(0))
-    return F.when(F.size(parts) == 3, n(0) * 3600 + n(1) * 60 + n(2)).when(F.size(parts) == 2, n(0) * 60 + n(1)).otherwise(0).cast("double")
+
+    def seconds(parts: Column) -> Column:
+        n = lambda i: F.coalesce(F.get(parts, F.lit(i)).try_cast("int"), F.lit(0))
+        return F.when(F.size(parts) == 3, n(0) * 3600 + n(1) * 60 + n(2)).when(F.size(parts) == 2, n(0) * 60 + n(1)).otherwise(0).cast("double")
+
+    return once(F.split(_c(stamp), ":"), seconds)
 
 
 def unwrap(x: str | Column) -> Column:
@@ -88,14 +100,16 @@ def unwrap(x: str | Column) -> Column:
 
 def split_name(rest: str | Column) -> Column:
     """struct(artist, title): the first separator, in fixed order, that occurs splits once; none: no artist (D-3)."""
-    rest = _c(rest)
-    sep = F.lit(None).cast("string")
-    for s in reversed(SEPARATORS):
-        sep = F.when(rest.contains(s), F.lit(s)).otherwise(sep)
-    pair = F.split(rest, F.concat(F.lit("\\Q"), sep, F.lit("\\E")), 2)
-    artist = F.when(sep.isNull(), F.lit("")).otherwise(F.get(pair, F.lit(0)))
-    title = F.when(sep.isNull(), rest).otherwise(F.get(pair, F.lit(1)))
-    return F.struct(unwrap(artist).alias("artist"), unwrap(title).alias("title"))
+
+    def split(rest: Column) -> Column:
+        out = F.struct(F.lit("").alias("artist"), rest.alias("title"))
+        for s in reversed(SEPARATORS):
+            pair = F.struct(F.substring_index(rest, s, 1).alias("artist"), F.substring(rest, F.instr(rest, s) + len(s), F.length(rest)).alias("title"))
+            out = F.when(rest.contains(s), pair).otherwise(out)
+        return out
+
+    names = lambda n: F.struct(unwrap(n["artist"]).alias("artist"), unwrap(n["title"]).alias("title"))
+    return once(once(_c(rest), split), names)
 
 
 def clean_phrase(text: str | Column, most: int = 120) -> Column:
