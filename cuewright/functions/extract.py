@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
+from itertools import accumulate, chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,40 +83,74 @@ class _Rows(HTMLParser):
         super().__init__()
         self.rows: list[tuple[list[str], list[tuple[set[str], list[str]]]]] = []
         self.open: list[tuple[str, int, int]] = []  # tag, rows and elements that it began
+        self.inside = 0  # open rows
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         row = tag == "div" and (a.get("id") or "").startswith("tlp_")
         if row:
             self.rows.append(([], []))
-        self.open.append((tag, len(self.rows) - 1 if row else -1, -1))
-        if self.rows and any(o[1] >= 0 for o in self.open) and not row:
+            self.inside += 1
+            self.open.append((tag, len(self.rows) - 1, -1))
+        elif self.inside:
             self.rows[-1][1].append((set((a.get("class") or "").split()), []))
-            self.open[-1] = (tag, -1, len(self.rows[-1][1]) - 1)
+            self.open.append((tag, -1, len(self.rows[-1][1]) - 1))
+        else:
+            self.open.append((tag, -1, -1))
 
     def handle_endtag(self, tag):
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
+                self.inside -= sum(o[1] >= 0 for o in self.open[k:])
                 del self.open[k:]
                 return
 
     def handle_data(self, data):
         text = data.strip()
-        if text and any(o[1] >= 0 for o in self.open):
+        if self.inside and text:
             self.rows[-1][0].append(text)
             for _, _, e in self.open:
                 if e >= 0:
                     self.rows[-1][1][e][1].append(text)
 
 
+#: A tag in its plainest form and the text behind it, without character references; what a parser reads otherwise is none.
+_PLAIN = re.compile(r"<(/?)([a-z][a-z0-9]*)((?: [a-z]+=\"[^\"<>&]*\")*)>([^<&]*)")
+_ATTRIBUTE = re.compile(r" ([a-z]+)=\"([^\"]*)\"")
+#: Elements whose content isn't markup.
+_RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"))
+
+
+def _read(page: str) -> _Rows:
+    """The page's rows. Pages of plain tags alone are read by one pattern, others by the parser, with the same calls."""
+    rows, end = _Rows(), 0
+    for m in _PLAIN.finditer(page):
+        closes, tag, attributes, data = m.groups()
+        if m.start() != end or tag in _RAW or (closes and attributes):
+            break
+        end = m.end()
+        if closes:
+            rows.handle_endtag(tag)
+        else:
+            rows.handle_starttag(tag, _ATTRIBUTE.findall(attributes))
+        if data:
+            rows.handle_data(data)
+    if end < len(page):
+        rows = _Rows()
+        rows.feed(page)
+    return rows
+
+
 def _page_rows(page: str) -> list[tuple[str | None, str]]:
     """(cue text or null, track text) of each row of a tracklist page."""
-    parser, out = _Rows(), []
-    parser.feed(page or "")
-    for texts, elements in parser.rows:
-        of = lambda name: next((" ".join(t) for classes, t in elements if name in classes), None)  # noqa: B023, E731
-        cue = next((c for c in map(of, CUE_CLASSES) if c is not None), "")
-        track = next((t for t in map(of, TRACK_CLASSES) if t), "")
+    out = []
+    for texts, elements in _read(page or "").rows:
+        named: dict[str, list[str]] = {}  # the first element of each class
+        for classes, own in elements:
+            for name in classes:
+                named.setdefault(name, own)
+        cue = next((" ".join(named[c]) for c in CUE_CLASSES if c in named), "")
+        track = next((" ".join(named[c]) for c in TRACK_CLASSES if named.get(c)), "")
         if not track:
             track = " ".join(texts)
             track = track[len(cue) :].strip() if cue and track.startswith(cue) else track
@@ -126,14 +162,16 @@ def _page_rows(page: str) -> list[tuple[str | None, str]]:
 def tracklist_pages(pages: DataFrame, page: str, key: str, source: str = "1001tracklists") -> DataFrame:
     """Rows of tracklist pages (E5), exact repeats once. Only the markup is read in Python, batch by batch."""
 
-    @F.pandas_udf("array<struct<cue:string,track:string>>")
-    def rows_of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"cue": c, "track": n} for c, n in _page_rows(t)])
+    @F.arrow_udf("array<struct<cue:string,track:string>>")
+    def rows_of(texts: pa.Array) -> pa.Array:
+        found = [_page_rows(t) for t in texts.to_pylist()]
+        ends = pa.array(list(accumulate(map(len, found), initial=0)), pa.int32())
+        columns = zip(*chain.from_iterable(found), strict=True) if any(found) else ([], [])
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], names=["cue", "track"]))
 
-    rows = pages.select(key, F.posexplode(rows_of(F.col(page))).alias("ord", "r")).withColumn("n", split_name("r.track"))
-    rows = rows.select(
-        key, "ord", F.when(F.col("r.cue").rlike(CUE), clock_seconds("r.cue")).alias("start_sec"), "n.artist", F.when(F.col("n.title") == "", F.col("r.track")).otherwise(F.col("n.title")).alias("title"), F.lit(source).alias("source")
-    )
+    titled = lambda r, n: F.struct(n["artist"].alias("artist"), F.when(n["title"] == "", r["track"]).otherwise(n["title"]).alias("title"))
+    one = lambda r: F.struct(F.when(r["cue"].rlike(CUE), clock_seconds(r["cue"])).alias("start_sec"), once(split_name(r["track"]), lambda n: titled(r, n)).alias("n"))
+    rows = pages.select(key, F.posexplode(F.transform(rows_of(F.col(page)), one)).alias("ord", "r")).select(key, "ord", "r.start_sec", "r.n.artist", "r.n.title", F.lit(source).alias("source"))
     first = Window.partitionBy(key, "start_sec", same_key("artist"), same_key("title")).orderBy("ord")
     return rows.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
 
