@@ -17,8 +17,8 @@ from cuewright.sources.tables import Tables
 
 #: Hashes of queries in one broadcast (4 bytes each); more go in further passes over the library.
 BLOCK = 4 << 20
-#: Hashes of tracks that are compared at once.
-_CELLS = 1 << 18
+#: Hashes of tracks that are compared at once, few enough for a processor's cache.
+_CELLS = 1 << 15
 
 
 def best_alignment(query: np.ndarray, library: np.ndarray, early: float = 0.97) -> tuple[float, int]:
@@ -49,21 +49,50 @@ def padded(column: pa.ListArray):
         at += len(own)
 
 
+def turned(tracks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """([place, row] hashes, and two neighbours in one number) of ``tracks`` [row, place]."""
+    flat = np.ascontiguousarray(tracks.T)
+    wide = flat.astype(np.uint64)
+    return flat, wide[:-1] | (wide[1:] << np.uint64(32))
+
+
+def differences(query: np.ndarray, flat: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """[offset, row]: bits in which the query differs from each stretch of the tracks, two hashes at a time."""
+    q, offsets = len(query), len(flat) - len(query) + 1
+    out = np.zeros((offsets, flat.shape[1]), np.uint16 if 32 * q < 1 << 16 else np.int32)
+    bits, count = np.empty(out.shape, np.uint64), np.empty(out.shape, np.uint8)
+    wide = query.astype(np.uint64)
+    for j, value in enumerate((wide[:-1] | (wide[1:] << np.uint64(32)))[::2]):
+        np.bitwise_xor(pairs[2 * j : 2 * j + offsets], value, out=bits)
+        np.bitwise_count(bits, out=count)
+        out += count
+    if q % 2:
+        out += np.bitwise_count(flat[q - 1 :] ^ query[-1])
+    return out
+
+
 def alignments(query: np.ndarray, tracks: np.ndarray, lengths: np.ndarray, early: float = 0.97) -> tuple[np.ndarray, np.ndarray]:
-    """``best_alignment`` of one query with each row of ``tracks``: all rows and offsets at once, a query hash at a time."""
-    q, offsets = len(query), tracks.shape[1] - len(query) + 1
-    score, at = np.zeros(len(tracks)), np.zeros(len(tracks), np.int64)
-    if not q or offsets < 1:
+    """``best_alignment`` of one query with each row of ``tracks``."""
+    return bounded_alignments(query, *turned(tracks), lengths, -1.0, early)
+
+
+def bounded_alignments(query: np.ndarray, flat: np.ndarray, pairs: np.ndarray, lengths: np.ndarray, bound: float, early: float = 0.97) -> tuple[np.ndarray, np.ndarray]:
+    """``alignments`` with ``turned`` tracks; tracks that can't score ``bound`` may score -1 instead."""
+    q = len(query)
+    score, at = np.zeros(len(lengths)), np.zeros(len(lengths), np.int64)
+    if not q or len(flat) < q:
         return score, at
-    differ = np.zeros((len(tracks), offsets), np.int32)
-    for j, value in enumerate(query):
-        differ += np.bitwise_count(tracks[:, j : j + offsets] ^ value)
-    scores = 1 - differ / (32 * q)
-    scores[np.arange(offsets) > (lengths - q)[:, None]] = -1
-    over = scores > early
-    at = np.where(over.any(1), over.argmax(1), scores.argmax(1))
+    differ = differences(query, flat, pairs)
+    if int(lengths.min()) < len(flat):
+        differ[np.arange(len(differ))[:, None] > lengths - q] = np.iinfo(differ.dtype).max
     fits = lengths >= q
-    return np.where(fits, scores[np.arange(len(tracks)), at], 0.0), np.where(fits, at, 0)
+    score[fits] = -1
+    rows = np.nonzero(fits & (1 - differ.min(0) / (32 * q) >= bound))[0]
+    scores = 1 - differ[:, rows] / (32 * q)
+    over = scores > early
+    at[rows] = np.where(over.any(0), over.argmax(0), scores.argmax(0))
+    score[rows] = scores[at[rows], np.arange(len(rows))]
+    return score, at
 
 
 def variant_scores(rows: DataFrame, variants: str, track: str, out: str) -> DataFrame:
@@ -113,16 +142,19 @@ def top_matches(queries: DataFrame, library: DataFrame, k: int, floor: float) ->
             for batch in batches:
                 ids = batch.column("track_id").to_numpy(zero_copy_only=False)
                 for which, tracks, lengths in padded(batch.column("hashes")):
+                    flat, pairs = turned(tracks)
                     for query, wanted in shared.value.items():
+                        held = top.get(query, [])
+                        bound = max(floor, -held[-1][0]) if len(held) == k else floor  # what the task's best leave room for
                         best, at = np.full(len(which), -1.0), np.zeros(len(which), np.int64)
                         for hashes in wanted:
-                            score, place = alignments(hashes, tracks, lengths)
+                            score, place = bounded_alignments(hashes, flat, pairs, lengths, bound)
                             better = score > best
                             best, at = np.where(better, score, best), np.where(better, place, at)
-                        hit = np.nonzero(best >= floor)[0]
+                        hit = np.nonzero(best >= bound)[0]
                         if len(hit):
                             hit = hit[np.lexsort((ids[which[hit]], -best[hit]))[:k]]
-                            both = top.get(query, []) + list(zip((-best[hit]).tolist(), ids[which[hit]].tolist(), at[hit].tolist(), strict=True))
+                            both = held + list(zip((-best[hit]).tolist(), ids[which[hit]].tolist(), at[hit].tolist(), strict=True))
                             top[query] = sorted(both)[:k]
             out = [(query, track, -score, at) for query, own in top.items() for score, track, at in own]
             columns = list(zip(*out, strict=True)) or [[]] * 4
