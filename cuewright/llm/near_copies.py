@@ -3,8 +3,9 @@
 Fingerprints within three bits are linked by vantage-point trees first, as in ``simhash_vp``. Texts that these links leave apart are
 linked as well if the Jaccard similarity of their sets of five-word shingles is at least 0.8. Of such two, the first
 n - ceil(0.8 n) + 1 shingles of each, in any one order of all shingles, share one (prefix filter), so texts that share none of these
-are never compared and none is missed. Shingles that are common in a sample come last in the order, which only saves
-comparisons. Two bounds, from the sizes and from counts of shingles by bin, then rule most candidates out; whole sets decide about the
+are never compared and none is missed. The first shingle in that order that two texts share also says how many they share at most: what
+is left of each from there on. Shingles that are common in a sample come last in the order, which only saves
+comparisons. Two more bounds, from the sizes and from counts of shingles by bin, then rule most candidates out; whole sets decide about the
 others. Large groups are first linked to a hub; then only texts that the links leave apart are compared with the rest of their group.
 """
 
@@ -22,9 +23,9 @@ from cuewright.llm.simhash_vp import components, fold, near_links, shingle_hashe
 WORDS = 5
 #: Similarity NUM / DEN or more links.
 NUM, DEN = 4, 5
-#: Documents that are sampled to find common shingles, the number of them in the sample from which a shingle is common, and shingles
-#: sent to every task. They decide the order alone.
-SAMPLE, COMMON, MOST_COMMON = 10_000, 4, 1 << 18
+#: Documents that are sampled to find common shingles (one in ``SHARE`` at least, so that how common a shingle must be doesn't grow with the
+#: table), the number of them in the sample from which a shingle is common, and shingles sent to every task. They decide the order alone.
+SAMPLE, SHARE, COMMON, MOST_COMMON = 10_000, 8, 4, 1 << 18
 #: Groups up to so many texts compare all pairs at once; larger ones start with a hub.
 SMALL = 16
 #: Shingles in a bin, about. The counts of bins, a byte each, bound what two sets share. A set with a fuller bin has no bound.
@@ -122,7 +123,7 @@ def _prefixes(common):
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, ranks from 1, the commoner the later) of shingles that are common in a sample of (rid, text)."""
-    share = max(1, docs.count() // SAMPLE)
+    share = max(1, min(SHARE, docs.count() // SAMPLE))
     sample = docs.where(F.pmod(F.xxhash64("rid"), F.lit(share)) == 0).select("text").mapInArrow(_whole, "shingles array<long>")
     counts = sample.select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON)
     top = counts.orderBy(F.desc("count"), "s").limit(MOST_COMMON).toPandas()
@@ -165,9 +166,10 @@ def similar(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _pairs(left: DataFrame, right: DataFrame, apart: str) -> DataFrame:
-    """Pairs a < b of a row of ``left`` and one of ``right`` (s, rid, n, ...) with the same shingle, whose sizes allow the similarity."""
-    sizes = f"least(l.n, r.n) * {DEN} >= greatest(l.n, r.n) * {NUM}"
-    both = left.alias("l").join(right.alias("r"), F.expr(f"l.s = r.s and {sizes} and {apart}"))
+    """Pairs a < b of a row of ``left`` and one of ``right`` (s, i, rid, n, ...) with the same shingle, from whose places on enough is left of
+    both to allow the similarity. The first shingle that two similar texts share passes."""
+    enough = f"least(l.n - l.i, r.n - r.i) * {NUM + DEN} >= (l.n + r.n) * {NUM}"
+    both = left.alias("l").join(right.alias("r"), F.expr(f"l.s = r.s and {enough} and {apart}"))
     return both.select(F.least("l.rid", "r.rid").alias("a"), F.greatest("l.rid", "r.rid").alias("b"))
 
 
@@ -190,12 +192,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     firsts = materialise(rows.join(same.select(F.col("first.rid").alias("rid")), "rid", "left_semi"), "near-firsts")
     printed = print_links(rows, same)
     named = firsts.join(components(printed), F.col("rid") == F.col("node"), "left").select("rid", "n", F.coalesce("label", "rid").alias("part"), "prefix")
-    # texts by prefix shingle; of shingles that the same texts have, one
+    # texts by prefix shingle with its place in each text; of shingles that the same texts have, the first, which is so in all of them
     of_one = Window.partitionBy("s")
-    shared = named.select("rid", "n", "part", F.explode("prefix").alias("s")).withColumns({"size": F.count(F.lit(1)).over(of_one), "hub": F.min("rid").over(of_one), "hub_part": F.min_by("part", "rid").over(of_one)}).where("size > 1")
+    shared = named.select("rid", "n", "part", F.posexplode("prefix").alias("i", "s")).withColumns({"size": F.count(F.lit(1)).over(of_one), "hub": F.min("rid").over(of_one), "hub_part": F.min_by("part", "rid").over(of_one)}).where("size > 1")
     shared = materialise(shared, "near-shared")
     tidy(docs.sparkSession)
-    groups = shared.groupBy("s").agg(F.first("size").alias("size"), F.first("hub").alias("hub"), F.bit_xor(F.xxhash64("rid")).alias("texts")).groupBy("size", "hub", "texts").agg(F.min("s").alias("s"))
+    groups = shared.groupBy("s").agg(F.first("size").alias("size"), F.first("hub").alias("hub"), F.min_by("i", "rid").alias("i"), F.bit_xor(F.xxhash64("rid")).alias("texts")).groupBy("size", "hub", "texts").agg(F.min_by("s", "i").alias("s"))
     members = materialise(shared.join(groups.select("s"), "s", "left_semi"), "near-members")
     small, large = members.where(F.col("size") <= SMALL), members.where(F.col("size") > SMALL)
     started = _pairs(small, small, "l.rid < r.rid and l.part <> r.part").union(large.where("part <> hub_part").select(F.col("hub").alias("a"), F.col("rid").alias("b")))
@@ -203,7 +205,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     if not large.isEmpty():
         # pairs in one component need no link; every other pair of a group has one text outside its largest component
         label = components(links)
-        labelled = large.select("s", "rid", "n").join(label, F.col("rid") == F.col("node"), "left").select("s", "rid", "n", F.coalesce("label", "rid").alias("label"))
+        labelled = large.select("s", "i", "rid", "n").join(label, F.col("rid") == F.col("node"), "left").select("s", "i", "rid", "n", F.coalesce("label", "rid").alias("label"))
         labelled = materialise(labelled, "near-labelled")
         top = labelled.groupBy("s", "label").count().groupBy("s").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
         outside = labelled.join(top, "s").where("label <> top").drop("top")

@@ -91,3 +91,10 @@ def test_bins_bound_what_sets_share():
         shared = N.most_shared(bins, bins[::-1])
         assert (shared >= len(np.intersect1d(a, b))).all() and sum(bins[0]) == len(a) and (n < 30 or shared[0] < len(a))
     assert N.bins_of(np.arange(300, dtype=np.uint64)) is None
+
+
+def test_places_leave_enough(spark):
+    """Of texts that share a shingle, only those with enough left behind it in both are compared: 8 of 9 for equal sizes."""
+    rows = spark.createDataFrame([(7, i, k, 90) for k, i in enumerate((0, 5, 10, 11, 17))] + [(8, 0, 9, 90), (8, 0, 10, 110), (8, 0, 11, 120)], "s long, i int, rid long, n int")
+    got = {(r.a, r.b) for r in N._pairs(rows, rows, "l.rid < r.rid").collect()}
+    assert got == {(0, 1), (0, 2), (1, 2), (9, 10), (10, 11)}
