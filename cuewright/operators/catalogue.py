@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewright.functions.text import strip, word_set
+from cuewright.functions.text import once, strip, word_set
 from cuewright.operators.matching import duration_factor
 
 
@@ -30,27 +30,29 @@ def title_artist(tags: Column) -> Column:
 
 def opensearch_hits(answers: DataFrame, answer: str, key: str) -> DataFrame:
     """(key, pos, title, url) of opensearch answers ``[query, [titles], [.], [urls]]``."""
-    lists = F.from_json(F.col(answer), "array<string>")
-    part = lambda i: F.from_json(F.get(lists, F.lit(i)), "array<string>")
-    return answers.select(key, F.posexplode(F.arrays_zip(part(1).alias("title"), part(3).alias("url"))).alias("pos", "h")).select(key, "pos", F.col("h.title").alias("title"), F.col("h.url").alias("url")).where("title is not null and url is not null")
+    part = lambda lists, i: F.from_json(F.get(lists, F.lit(i)), "array<string>")
+    both = once(F.from_json(F.col(answer), "array<string>"), lambda lists: F.struct(part(lists, 1).alias("title"), part(lists, 3).alias("url")))
+    hits = once(both, lambda b: F.arrays_zip(b["title"].alias("title"), b["url"].alias("url")))
+    return answers.select(key, F.posexplode(hits).alias("pos", "h")).select(key, "pos", F.col("h.title").alias("title"), F.col("h.url").alias("url")).where("title is not null and url is not null")
 
 
 def preview_hits(answers: DataFrame, answer: str, key: str, source: str) -> DataFrame:
     """(key, pos, artist, title, preview, source) of song search answers, those without preview left out."""
     kind = "struct<results:array<struct<artistName:string,trackName:string,previewUrl:string>>,data:array<struct<title:string,preview:string,artist:struct<name:string>>>>"
-    r = F.from_json(F.col(answer), kind)
-    first = F.transform(r["results"], lambda x: F.struct(x["artistName"].alias("artist"), x["trackName"].alias("title"), x["previewUrl"].alias("preview")))
-    second = F.transform(r["data"], lambda x: F.struct(x["artist"]["name"].alias("artist"), x["title"].alias("title"), x["preview"].alias("preview")))
-    rows = answers.select(key, F.posexplode(F.coalesce(first, second)).alias("pos", "h")).where("h.preview is not null and h.preview <> ''")
+    first = lambda r: F.transform(r["results"], lambda x: F.struct(x["artistName"].alias("artist"), x["trackName"].alias("title"), x["previewUrl"].alias("preview")))
+    second = lambda r: F.transform(r["data"], lambda x: F.struct(x["artist"]["name"].alias("artist"), x["title"].alias("title"), x["preview"].alias("preview")))
+    hits = once(F.from_json(F.col(answer), kind), lambda r: F.coalesce(first(r), second(r)))
+    rows = answers.select(key, F.posexplode(hits).alias("pos", "h")).where("h.preview is not null and h.preview <> ''")
     return rows.select(key, "pos", F.coalesce("h.artist", F.lit("")).alias("artist"), F.coalesce("h.title", F.lit("")).alias("title"), F.col("h.preview").alias("preview"), F.lit(source).alias("source"))
 
 
 def json_lines(answers: DataFrame, answer: str, key: str, platform: str) -> DataFrame:
     """Candidates in JSON-lines answers (A22, E12): bad lines and rows without address are skipped; a bare video id becomes a full
     address on YouTube."""
-    rows = answers.select(key, F.posexplode(F.split(F.col(answer), r"\r?\n")).alias("pos", "line")).where("trim(line) <> ''")
-    r = F.from_json("line", "struct<id:string,url:string,webpage_url:string,title:string,duration:double>")
-    rows = rows.withColumn("r", r).withColumn("url", F.coalesce(F.nullif("r.webpage_url", F.lit("")), F.col("r.url"), F.lit("")))
+    kind = "struct<id:string,url:string,webpage_url:string,title:string,duration:double>"
+    one = lambda line: F.when(F.trim(line) != "", F.from_json(line, kind))
+    rows = answers.select(key, F.posexplode(F.transform(F.split(F.col(answer), r"\r?\n"), one)).alias("pos", "r"))
+    rows = rows.withColumn("url", F.coalesce(F.nullif("r.webpage_url", F.lit("")), F.col("r.url"), F.lit("")))
     if platform == "youtube":
         bare = F.when(F.col("url") == "", F.coalesce("r.id", F.lit(""))).otherwise(F.col("url"))
         rows = rows.withColumn("url", F.when((bare != "") & ~bare.startswith("http"), F.concat(F.lit("https://www.youtube.com/watch?v="), bare)).otherwise(bare))
