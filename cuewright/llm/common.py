@@ -19,6 +19,8 @@ SPACE = r"\x20\x09-\x0D"
 HOT_SHARE = 1_000
 #: Shares of the tasks that sums of fixed size are made over first.
 FAN = 256
+#: Whether the shuffle files of a job go when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class _Open(threading.local):
@@ -48,13 +50,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: later stages survive lost executors.
+    """Write ``df`` once as Parquet in the shared folder and read it back: later stages survive lost executors. The shuffle files of
+    the write go with its end, since only the table is read from then on.
 
     Inside a ``scratch`` block the table goes when the block ends; with ``keep`` it lasts as long as the block around that one."""
     spark = df.sparkSession
     path = new_path(spark, name)
     note(path, keep)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -21,8 +21,13 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
+#: Whether the shuffle files of a job go when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Tables:
-    """The tables of one run, below one folder. ``write`` evaluates a frame once; ``drop`` removes tables by name, all with no name."""
+    """The tables of one run, below one folder. ``write`` evaluates a frame once, and its shuffle files go with the write's end; ``drop`` removes
+    tables by name, all with no name."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -30,7 +35,12 @@ class Tables:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
