@@ -28,6 +28,10 @@ NUM, DEN = 4, 5
 SAMPLE, SHARE, COMMON, MOST_COMMON = 10_000, 8, 4, 1 << 18
 #: Groups up to so many texts compare all pairs at once; larger ones start with a hub.
 SMALL = 16
+#: Shingles of a text that tell at its later ones whether a pair has met before, and what says that it hasn't. So a pair is made once, at the
+#: first shingle that both have; only one that first meets behind these is made again at each further one.
+MET = 64
+_UNMET = "not arrays_overlap(l.before, r.before)"
 #: Shingles in a bin, about. The counts of bins, a byte each, bound what two sets share. A set with a fuller bin has no bound.
 IN_BIN = 8
 _CHUNK = 4 << 20
@@ -173,6 +177,14 @@ def _pairs(left: DataFrame, right: DataFrame, apart: str) -> DataFrame:
     return both.select(F.least("l.rid", "r.rid").alias("a"), F.greatest("l.rid", "r.rid").alias("b"))
 
 
+def with_met(members: DataFrame) -> DataFrame:
+    """``members`` (s, i, rid, ...) with ``before``: the first shingles, up to ``MET``, that the text has among them at smaller places."""
+    of_one = Window.partitionBy("rid").orderBy("i")
+    placed = members.withColumn("nth", F.row_number().over(of_one))
+    early = F.collect_list(F.when(F.col("nth") <= MET, F.col("s")))
+    return placed.withColumn("before", early.over(of_one.rowsBetween(Window.unboundedPreceding, -1))).drop("nth")
+
+
 def print_links(rows: DataFrame, same: DataFrame) -> DataFrame:
     """(a, b): the first text of each set in ``same`` (n, digest, first) with the first of all that its fingerprints reach in ``rows``
     (n, digest, fp) over links of three bits."""
@@ -198,18 +210,18 @@ def near_groups(docs: DataFrame) -> DataFrame:
     shared = materialise(shared, "near-shared")
     tidy(docs.sparkSession)
     groups = shared.groupBy("s").agg(F.first("size").alias("size"), F.first("hub").alias("hub"), F.min_by("i", "rid").alias("i"), F.bit_xor(F.xxhash64("rid")).alias("texts")).groupBy("size", "hub", "texts").agg(F.min_by("s", "i").alias("s"))
-    members = materialise(shared.join(groups.select("s"), "s", "left_semi"), "near-members")
+    members = materialise(with_met(shared.join(groups.select("s"), "s", "left_semi")), "near-members")
     small, large = members.where(F.col("size") <= SMALL), members.where(F.col("size") > SMALL)
-    started = _pairs(small, small, "l.rid < r.rid and l.part <> r.part").union(large.where("part <> hub_part").select(F.col("hub").alias("a"), F.col("rid").alias("b")))
+    started = _pairs(small, small, f"l.rid < r.rid and l.part <> r.part and {_UNMET}").union(large.where("part <> hub_part").select(F.col("hub").alias("a"), F.col("rid").alias("b")))
     links = printed.union(similar(started, firsts, docs))
     if not large.isEmpty():
         # pairs in one component need no link; every other pair of a group has one text outside its largest component
         label = components(links)
-        labelled = large.select("s", "i", "rid", "n").join(label, F.col("rid") == F.col("node"), "left").select("s", "i", "rid", "n", F.coalesce("label", "rid").alias("label"))
+        labelled = large.select("s", "i", "rid", "n", "before").join(label, F.col("rid") == F.col("node"), "left").select("s", "i", "rid", "n", "before", F.coalesce("label", "rid").alias("label"))
         labelled = materialise(labelled, "near-labelled")
         top = labelled.groupBy("s", "label").count().groupBy("s").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
         outside = labelled.join(top, "s").where("label <> top").drop("top")
-        links = links.union(similar(_pairs(labelled, outside, "l.label <> r.label"), firsts, docs))
+        links = links.union(similar(_pairs(labelled, outside, f"l.label <> r.label and {_UNMET}"), firsts, docs))
     label = components(links)
     roots = same.join(label, F.col("first.rid") == F.col("node"), "left").select("n", "digest", "size", "first", F.coalesce("label", "first.rid").alias("label"))
     best = roots.groupBy("label").agg(F.min("first").alias("best"))

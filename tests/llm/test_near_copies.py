@@ -98,3 +98,14 @@ def test_places_leave_enough(spark):
     rows = spark.createDataFrame([(7, i, k, 90) for k, i in enumerate((0, 5, 10, 11, 17))] + [(8, 0, 9, 90), (8, 0, 10, 110), (8, 0, 11, 120)], "s long, i int, rid long, n int")
     got = {(r.a, r.b) for r in N._pairs(rows, rows, "l.rid < r.rid").collect()}
     assert got == {(0, 1), (0, 2), (1, 2), (9, 10), (10, 11)}
+
+
+@pytest.mark.parametrize("met", [64, 1])
+def test_pairs_meet_once(spark, monkeypatch, met):
+    """Texts that share many shingles are a pair at the first of them; behind the first ``MET``, pairs only come again."""
+    monkeypatch.setattr(N, "MET", met)
+    own = {1: (5, 6, 7, 8), 2: (5, 6, 8, 9), 3: (6, 7, 8), 4: (9,)}
+    rows = spark.createDataFrame([(s, i, rid, 90) for rid, all_of in own.items() for i, s in enumerate(all_of)], "s long, i int, rid long, n int")
+    members = N.with_met(rows)
+    made = [(r.a, r.b) for r in N._pairs(members, members, f"l.rid < r.rid and {N._UNMET}").collect()]
+    assert set(made) == {(1, 2), (1, 3), (2, 3), (2, 4)} and (len(made) == 4 if met == 64 else len(made) < 9)
