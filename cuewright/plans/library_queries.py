@@ -309,7 +309,8 @@ def recorded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = (F.col("p_size") % 5 > 0) & ~(F.col("p_brand").endswith("1") & (F.floor(F.col("r") / 25) == 1))
     item = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.struct(F.concat(F.lit("artist "), "p_size").alias("name")).alias("artist"))
     pages = part.groupBy(F.col("p_brand").alias("query"), (F.floor(F.col("r") / 25) * 25).cast("int").alias("index")).agg(F.array_sort(F.collect_list(F.when(there, F.struct("r", item.alias("i"))))).alias("x"))
-    pages.select(F.to_json(F.struct(F.transform("x", lambda x: x["i"]).alias("data"))).alias("value"), "query", "index").write.partitionBy("query", "index").text(folder)
+    blocks = pages.withColumn("block", F.floor(F.col("index") / (answers.PAGE * answers.BLOCK)).cast("int")).repartition("query", "block").sortWithinPartitions("query", "block", "index")
+    blocks.select(F.to_json(F.struct("index", F.transform("x", lambda x: x["i"]).alias("data"))).alias("value"), "query", "block").write.partitionBy("query", "block").text(folder)
     answers.register(spark)
     return spark.read.format(answers.FORMAT).option("path", folder.removeprefix("file:")).option("limit", 60).load().select("query", "index", "pos", "id", "title", "artist")
 

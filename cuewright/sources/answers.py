@@ -1,7 +1,8 @@
 """Recorded search answers as a data source (inventory A5-A8, A13b, A15, Q10): ``spark.read`` or ``spark.readStream`` of ``recorded_answers``.
 
 A folder holds an answer a page, ``query=<text>/index=<first place>/<any files>``, as Spark writes it partitioned by these two; each is a JSON object
-with a list ``data``. A partition is a query: what a page is asked for depends on what the ones before it gave, so a query's pages are read one
+with a list ``data``. So that pages needn't be a file each, a folder ``block=<n>`` beside them may hold the pages of ``BLOCK`` places in a row, an object a
+line that says its ``index``. A partition is a query: what a page is asked for depends on what the ones before it gave, so a query's pages are read one
 after the other, and only as far as its limit or its first empty page. Filters on ``query`` leave other queries' partitions out.
 
 As a stream, queries are taken by name, at most ``requests`` a trigger, so the trigger's interval sets the pace that the answering side is promised. The
@@ -23,6 +24,8 @@ FORMAT = "recorded_answers"
 SCHEMA = "query string, index int, pos int, id long, title string, artist string, album string, preview string"
 #: Items that a page holds at most, and that a query gives at most unless option ``limit`` says otherwise.
 PAGE, LIMIT = 25, 25
+#: Pages of a block; the place of its first is its number times these times the page's size.
+BLOCK = 64
 
 
 @dataclass
@@ -64,9 +67,14 @@ class AnswerReader(DataSourceReader):
             return
         files, _ = fs.FileSystem.from_uri(self.path)
         fetched = index = 0
+        block: tuple[int, dict[int, list]] = (-1, {})
         while fetched < self.limit:
             size = min(self.page, self.limit - fetched)
             items = self._items(files, f"{partition.folder}/index={index}")
+            if not items:
+                if (number := index // (self.page * BLOCK)) != block[0]:
+                    block = number, self._block(files, f"{partition.folder}/block={number}")
+                items = block[1].get(index)
             if not items:
                 return
             for pos, item in enumerate(items[:size]):
@@ -76,13 +84,24 @@ class AnswerReader(DataSourceReader):
             index += self.page
 
     @staticmethod
-    def _items(files: fs.FileSystem, folder: str) -> list[dict]:
-        """A page's items; none if it wasn't recorded. A damaged answer is an error."""
-        out: list[dict] = []
+    def _contents(files: fs.FileSystem, folder: str) -> Iterator[bytes]:
         for info in sorted(files.get_file_info(fs.FileSelector(folder, allow_not_found=True)), key=lambda i: i.path):
             if info.type == fs.FileType.File and not info.base_name.startswith(("_", ".")):
                 with files.open_input_stream(info.path) as f:
-                    out += json.loads(f.read()).get("data") or []
+                    yield f.read()
+
+    @classmethod
+    def _items(cls, files: fs.FileSystem, folder: str) -> list[dict]:
+        """A page's items; none if it wasn't recorded. A damaged answer is an error."""
+        return [item for text in cls._contents(files, folder) for item in json.loads(text).get("data") or []]
+
+    @classmethod
+    def _block(cls, files: fs.FileSystem, folder: str) -> dict[int, list[dict]]:
+        """The items of a block's pages by index."""
+        pages = [json.loads(line) for text in cls._contents(files, folder) for line in text.splitlines() if line.strip()]
+        out: dict[int, list[dict]] = {}
+        for page in pages:
+            out.setdefault(page["index"], []).extend(page.get("data") or [])
         return out
 
 
