@@ -18,16 +18,28 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Entries that a task holds at most, about.
+TASK_ROWS = 250_000
+
+
+def _small_tasks(rows: DataFrame, key: str, count: int) -> DataFrame:
+    """``rows`` dealt by ``key`` to so many tasks that none holds much over ``TASK_ROWS``, if the session's number is too small for ``count`` rows.
+    What groups by ``key`` and more takes them as they lie."""
+    tasks = -(-count // TASK_ROWS)
+    return rows.repartition(tasks, key) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mix_id, ord, start_sec, artist, title, score, price: an entry per line item (repeated line numbers are told apart by ``ord``)."""
     li, pa, su = (_t(spark, sf_dir, n) for n in ("lineitem", "part", "supplier"))
     li = li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    rows = li.withColumn("ord", F.row_number().over(w)).join(pa.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).join(su.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return rows.select(
+    w, count = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), li.count()
+    rows = _small_tasks(li, "l_orderkey", count).withColumn("ord", F.row_number().over(w)).join(pa.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).join(su.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
+    named = rows.select(
         F.col("l_orderkey").alias("mix_id"), "ord", (F.col("ord") * 217).cast("double").alias("start_sec"), F.col("s_name").alias("artist"), F.col("p_name").alias("title"),
         (1 - F.col("l_discount") * 4).alias("score"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").cast("int").alias("quantity"),
     )
+    return _small_tasks(named, "mix_id", count)
 
 
 _LI_SQL = """
