@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.functions.text import clock
+from cuewright.sources.tables import Tables
 
 
 def _joined(rows: DataFrame, key: str, line: Column, *order: Column) -> DataFrame:
@@ -45,18 +46,20 @@ RESULT = "source_input string, tracks array<struct<start_sec:double,end_sec:doub
 
 
 def write_results(tracks: DataFrame, unknowns: DataFrame, key: str, path: str) -> None:
-    """The three forms (B5) as text files below ``path``: a line a recording of JSON, else blocks between blank lines. ``tracks`` have
+    """The three forms (B5) as text files below ``path``: a line a recording of JSON, compressed by gzip, else blocks between blank lines. ``tracks`` have
     a ``filepath``.
 
     All are written beside ``path`` and published together by one rename, so a run that fails leaves nothing there. An older result is
-    replaced; until the rename it stays whole.
+    replaced; until the rename it stays whole. Both frames are evaluated once, whatever the number of forms.
     """
     spark = tracks.sparkSession
+    tables = Tables(spark, "result-rows")
     draft = f"{path.rstrip('/')}.draft-{uuid.uuid4().hex}"
     place = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
     files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
     try:
-        json_result(tracks, unknowns, key).select("json").write.text(f"{draft}/json")
+        tracks, unknowns = tables.write(tracks, "tracks"), tables.write(unknowns, "unknowns")
+        json_result(tracks, unknowns, key).select("json").write.option("compression", "gzip").text(f"{draft}/json")
         for name, rows in (("m3u", playlist(tracks, key)), ("txt", text_list(tracks, unknowns, key))):
             rows.select("text").write.option("lineSep", "\n\n").text(f"{draft}/{name}")
         if files.exists(place(path)):
@@ -65,6 +68,7 @@ def write_results(tracks: DataFrame, unknowns: DataFrame, key: str, path: str) -
             raise OSError(f"{draft} can't be renamed to {path}")
     finally:
         files.delete(place(draft), True)
+        tables.drop()
 
 
 def read_results(spark: SparkSession, path: str, lines: bool = True) -> tuple[DataFrame, DataFrame]:
