@@ -57,13 +57,33 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     note(path, keep)
+    with _cleaned(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise_dealt(df: DataFrame, name: str, key: str, parts: int, keep: bool = False) -> DataFrame:
+    """As ``materialise``, in ``parts`` buckets by the hash of ``key``: joined by ``key`` to rows that ``repartition`` deals to as many
+    partitions, the table stays where it is. Its name in the catalogue goes at once, the files as those of ``materialise``."""
+    spark = df.sparkSession
+    path, table = new_path(spark, name), f"dealt_{uuid.uuid4().hex}"
+    note(path, keep)
+    with _cleaned(spark):
+        df.repartition(parts, key).write.bucketBy(parts, key).option("compression", "zstd").option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
+@contextmanager
+def _cleaned(spark: SparkSession):
+    """Shuffle files of the jobs in this block go with their end."""
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def note(path: str, keep: bool = False) -> None:

@@ -17,11 +17,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.llm import tokens
-from cuewright.llm.common import materialise, scratch, tidy
+from cuewright.llm.common import materialise, materialise_dealt, scratch, tidy
 
 LENGTH, GRAM = 100, 32
 #: Every window holds either the bytes from ``_LEFT`` before its anchor up to its end, or the anchor and ``_RIGHT`` bytes in all.
@@ -31,7 +31,7 @@ _SPAN = LENGTH - GRAM + 1
 CHUNK, JOINED = 2 << 20, 1 << 15
 #: An anchor with more different contexts than one task should hold is settled window by window, by the windows' bytes.
 MOST_CONTEXTS = 4_096
-#: Rows that say where passages are, sent to all tasks up to this many bytes; beyond it, texts are shuffled to them.
+#: Rows that say where passages are, sent to all tasks up to this many bytes; beyond it, they are dealt to the texts' buckets.
 BROADCAST_BYTES, _ROW_BYTES = 16 << 20, 32
 _LAST = np.iinfo(np.int64).max
 
@@ -355,30 +355,33 @@ def _windows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["bytes", "doc", "rid", "lo"])
 
 
-def _beside(rows: DataFrame, count: int, texts: DataFrame, how: str = "inner") -> DataFrame:
-    """``texts`` joined by rid to ``rows`` that hold ``count`` places."""
-    return texts.join(F.broadcast(rows) if count * _ROW_BYTES <= BROADCAST_BYTES else rows, "rid", how)
+def _beside(rows: DataFrame, gathered: Column, count: int, parts: int, texts: DataFrame, how: str = "inner") -> DataFrame:
+    """``texts``, dealt by rid to ``parts`` buckets, joined to the ``count`` places of ``rows``, gathered per rid. Texts aren't shuffled."""
+    if count * _ROW_BYTES <= BROADCAST_BYTES:
+        return texts.join(F.broadcast(rows.groupBy("rid").agg(gathered)), "rid", how)
+    return texts.join(rows.repartition(parts, "rid").groupBy("rid").agg(gathered).hint("shuffle_hash"), "rid", how)
 
 
-def _with_text(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def _with_text(rows: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     """``rows`` (anchor, doc, rid, first, last) gathered per text, with the text's bytes."""
-    spots = rows.groupBy("rid").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("spots"))
-    return _beside(spots, rows.count(), texts).select("doc", "rid", "spots", "text")
+    spots = F.collect_list(F.struct("anchor", "first", "last")).alias("spots")
+    return _beside(rows, spots, rows.count(), parts, texts).select("doc", "rid", "spots", "text")
 
 
-def repeated_bytes(texts: DataFrame) -> DataFrame:
-    """(rid, lo, hi) byte intervals to remove from ``texts`` (doc long never null, rid long unique, text binary)."""
+def repeated_bytes(texts: DataFrame, parts: int) -> DataFrame:
+    """(rid, lo, hi) byte intervals to remove from ``texts`` (doc long never null, rid long unique, text binary), dealt by rid to ``parts``
+    buckets."""
     found = texts.mapInArrow(_find, _OCC).repartition(F.coalesce("anchor", "rid"))
     settled = materialise(found.mapInArrow(_settle, _OCC), "suffix-settled")
     del found
     tidy(texts.sparkSession)
     done = settled.where("anchor is null").select("rid", F.col("first").cast("long").alias("lo"), F.col("last").cast("long").alias("hi"))
-    bytes_ = _with_text(settled.where("anchor is not null and body is null"), texts).mapInArrow(_contexts, "anchor long, doc long, rid long, first int, bytes binary")
+    bytes_ = _with_text(settled.where("anchor is not null and body is null"), texts, parts).mapInArrow(_contexts, "anchor long, doc long, rid long, first int, bytes binary")
     compared = bytes_.repartition("anchor").sortWithinPartitions("anchor", "doc", "rid", "first").mapInArrow(_compare, "rid long, lo long, hi long")
     out = done.unionByName(compared)
     crowded = settled.where("anchor is not null and body is not null")
     if not crowded.isEmpty():
-        windows = materialise(_with_text(crowded, texts).mapInArrow(_windows, "bytes binary, doc long, rid long, lo long"), "suffix-windows")
+        windows = materialise(_with_text(crowded, texts, parts).mapInArrow(_windows, "bytes binary, doc long, rid long, lo long"), "suffix-windows")
         later = windows.where("bytes is not null").withColumn("nth", F.row_number().over(Window.partitionBy("bytes").orderBy("doc", "rid", "lo"))).where("nth > 1")
         out = out.unionByName(later.select("rid", "lo", (F.col("lo") + LENGTH).alias("hi"))).unionByName(windows.where("bytes is null").select("rid", "lo", (F.col("lo") + LENGTH).alias("hi")))
     return out
@@ -406,14 +409,15 @@ def _report(batches):
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
-    """(landed id, doc, rid, text; spans per rid; how many spans)."""
+    """(landed id, doc, rid, text in buckets by rid; intervals to remove; number of buckets)."""
+    parts = max(1, docs.rdd.getNumPartitions())
     with scratch(docs.sparkSession):
-        landed = materialise(
+        landed = materialise_dealt(
             docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST))).alias("doc"), F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")),
-            "suffix-texts", keep=True,
+            "suffix-texts", "rid", parts, keep=True,
         )
-        intervals = materialise(repeated_bytes(landed.select("doc", "rid", "text")), "suffix-intervals", keep=True)
-    return landed, intervals.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), intervals.count()
+        intervals = materialise(repeated_bytes(landed.select("doc", "rid", "text"), parts), "suffix-intervals", keep=True)
+    return landed, intervals, parts
 
 
 def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -423,6 +427,7 @@ def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     identifiers last; rows that repeat one in the order of the table) or further left in the same text. Null texts are empty;
     shorter texts keep everything. Other columns aren't read. An empty table gives no rows.
     """
-    landed, spans, count = _prepared(docs, id_col, text_col)
-    rows = _beside(spans, count, landed, "left").select("id", "text", "spans")
+    landed, intervals, parts = _prepared(docs, id_col, text_col)
+    spans = F.collect_list(F.struct("lo", "hi")).alias("spans")
+    rows = _beside(intervals, spans, intervals.count(), parts, landed, "left").select("id", "text", "spans")
     return rows.mapInArrow(_report, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)

@@ -57,3 +57,13 @@ def test_report_equals_brute_force(spark, monkeypatch, seed, most, spread):
 
 def test_empty_table(spark):
     assert S.repeat_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_are_not_shuffled_to_their_places(spark, monkeypatch):
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
+    docs = spark.createDataFrame(_rows(random.Random(4)), "doc_id long, text string")
+    plan = S.repeat_report(docs)._jdf.queryExecution().executedPlan().toString()
+    joined = plan.split("ShuffledHashJoin")[1]
+    assert joined.count("Exchange hashpartitioning(rid") == 1
+    assert "Exchange" not in joined.split("Scan parquet")[0]  # above the texts
+    assert "Bucketed: true" in joined
