@@ -6,7 +6,8 @@ n - ceil(0.8 n) + 1 shingles of each, in any one order of all shingles, share on
 are never compared and none is missed. The first shingle in that order that two texts share also says how many they share at most: what
 is left of each from there on. Shingles that are common in a sample come last in the order, which only saves
 comparisons. Two more bounds, from the sizes and from counts of shingles by bin, then rule most candidates out; whole sets decide about the
-others. Large groups are first linked to a hub; then only texts that the links leave apart are compared with the rest of their group.
+others. Large groups are first linked to a hub; then only texts that the links leave apart are paired with the rest of their group, if the
+parities of their sets, compared in the join, allow it.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ MET = 64
 _UNMET = "not arrays_overlap(l.before, r.before)"
 #: Shingles in a bin, about. The counts of bins, a byte each, bound what two sets share. A set with a fuller bin has no bound.
 IN_BIN = 8
+#: Longs of a set's parities, by which pairs of large groups are ruled out before they are made.
+PARITIES = 8
 _CHUNK = 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,6 +86,13 @@ def bins_of(shingles: np.ndarray) -> bytes | None:
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
 
 
+def parities_of(shingles: np.ndarray) -> np.ndarray:
+    """Whether each of ``PARITIES`` longs' bits is hit by an odd number of shingles. Sets differ in at least as many shingles as their
+    parities do in bits."""
+    hit = np.bincount((shingles & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(hit.astype(np.uint8)).view(np.uint64)
+
+
 def most_shared(a: list[bytes], b: list[bytes]) -> np.ndarray:
     """What each pair of sets shares at most: of each bin the smaller count. The finer bins of one are added up to those of the other."""
     out = np.empty(len(a), np.int64)
@@ -119,7 +129,7 @@ def _prefixes(common):
                 prints = np.array([fold(shingle_hashes(t or b"")) for t in part.cast(pa.binary()).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(at, len(part)), batch.column("rid").slice(at, len(part)), pa.array(prints.view(np.int64)), pa.array([len(s) for s in found], pa.int32()), pa.array(digests, pa.binary()),
-                     pa.array([bins_of(s) for s in found], pa.binary()), _lists([prefix(s, common.value) for s in found])], names=["id", "rid", "fp", "n", "digest", "bins", "prefix"],
+                     pa.array([bins_of(s) for s in found], pa.binary()), _lists([parities_of(s) for s in found]), _lists([prefix(s, common.value) for s in found])], names=["id", "rid", "fp", "n", "digest", "bins", "parities", "prefix"],
                 )
 
     return run
@@ -177,6 +187,16 @@ def _pairs(left: DataFrame, right: DataFrame, apart: str) -> DataFrame:
     return both.select(F.least("l.rid", "r.rid").alias("a"), F.greatest("l.rid", "r.rid").alias("b"))
 
 
+def outside_pairs(labelled: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``_pairs`` of rows of ``labelled`` (s, i, rid, n, before, label) with different labels, of groups (s) that hold some. One row of each pair
+    lies outside its group's largest label, and parities (of ``firsts``) allow the similarity: no more than a ninth of both sets differs."""
+    top = labelled.groupBy("s", "label").count().groupBy("s").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    placed = labelled.join(top, "s").join(firsts.select("rid", "parities"), "rid").withColumn("outside", F.expr("label <> top")).drop("top", "labels")
+    differ = " + ".join(f"bit_count(l.parities[{k}] ^ r.parities[{k}])" for k in range(PARITIES))
+    apart = f"l.label <> r.label and (not l.outside or l.rid < r.rid) and ({differ}) * {NUM + DEN} <= (l.n + r.n) * {DEN - NUM} and {_UNMET}"
+    return _pairs(placed, placed.where("outside"), apart)
+
+
 def with_met(members: DataFrame) -> DataFrame:
     """``members`` (s, i, rid, ...) with ``before``: the first shingles, up to ``MET``, that the text has among them at smaller places."""
     of_one = Window.partitionBy("rid").orderBy("i")
@@ -198,7 +218,7 @@ def print_links(rows: DataFrame, same: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame) -> DataFrame:
     """(rid, best) per row of ``docs`` (id, rid, text): the first row, as a struct (no_id, id, rid), that links reach."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
-    rows = materialise(docs.mapInArrow(_prefixes(common), "id long, rid long, fp long, n int, digest binary, bins binary, prefix array<long>"), "near-prefixes")
+    rows = materialise(docs.mapInArrow(_prefixes(common), "id long, rid long, fp long, n int, digest binary, bins binary, parities array<long>, prefix array<long>"), "near-prefixes")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid"))
     same = materialise(rows.groupBy("n", "digest").agg(first.alias("first"), F.count(F.lit(1)).alias("size")), "near-same")  # equal sets, by count and 128 bits
     firsts = materialise(rows.join(same.select(F.col("first.rid").alias("rid")), "rid", "left_semi"), "near-firsts")
@@ -219,9 +239,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         label = components(links)
         labelled = large.select("s", "i", "rid", "n", "before").join(label, F.col("rid") == F.col("node"), "left").select("s", "i", "rid", "n", "before", F.coalesce("label", "rid").alias("label"))
         labelled = materialise(labelled, "near-labelled")
-        top = labelled.groupBy("s", "label").count().groupBy("s").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
-        outside = labelled.join(top, "s").where("label <> top").drop("top")
-        links = links.union(similar(_pairs(labelled, outside, f"l.label <> r.label and {_UNMET}"), firsts, docs))
+        links = links.union(similar(outside_pairs(labelled, firsts), firsts, docs))
     label = components(links)
     roots = same.join(label, F.col("first.rid") == F.col("node"), "left").select("n", "digest", "size", "first", F.coalesce("label", "first.rid").alias("label"))
     best = roots.groupBy("label").agg(F.min("first").alias("best"))

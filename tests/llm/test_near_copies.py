@@ -109,3 +109,21 @@ def test_pairs_meet_once(spark, monkeypatch, met):
     members = N.with_met(rows)
     made = [(r.a, r.b) for r in N._pairs(members, members, f"l.rid < r.rid and {N._UNMET}").collect()]
     assert set(made) == {(1, 2), (1, 3), (2, 3), (2, 4)} and (len(made) == 4 if met == 64 else len(made) < 9)
+
+
+def test_parities_rule_out_unlike_pairs_of_a_large_group(spark):
+    r = np.random.default_rng(8)
+    draw = lambda n: np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+    shared = draw(60)
+    sets = []
+    for _ in range(40):  # a passage that all share, and a rest that a near copy changes a little
+        rest = draw(140)
+        sets += [np.union1d(shared, rest), np.union1d(shared, np.concatenate((rest[:128], draw(12))))]
+    alike = {(a, b) for a in range(80) for b in range(a + 1, 80) if N.similar_sets(sets[a], sets[b])}
+    labelled = spark.createDataFrame([(1, 0, k, len(s), [], k) for k, s in enumerate(sets)], "s long, i int, rid long, n int, before array<long>, label long")
+    firsts = spark.createDataFrame([(k, N.parities_of(s).view(np.int64).tolist()) for k, s in enumerate(sets)], "rid long, parities array<long>")
+    made = [tuple(x) for x in N.outside_pairs(labelled, firsts).collect()]
+    assert len(alike) == 40 and alike <= set(made)
+    assert len(made) == len(set(made)) < 400  # of 3 160
+    one = labelled.withColumn("label", labelled["rid"] * 0)
+    assert N.outside_pairs(one, firsts).isEmpty()
