@@ -1,6 +1,6 @@
 """Keyed state with timers and expiry on streams: the states of jobs (inventory R, C12, C13) and result caches.
 
-State lives in RocksDB, partitioned by key; each key's state is small and bounded. Rows of a batch are taken in order of time.
+State lives in RocksDB, partitioned by key; a cache's state is small and bounded, a bucket of jobs holds an entry a job. Rows of a batch are taken in order of time.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 MOVES = {("", "create"): "pending", ("pending", "start"): "running", ("pending", "fail"): "error", ("running", "finish"): "done", ("running", "fail"): "error"}
 OPEN_STATES = ("pending", "running")
 JOB = "job string, ms long, event string, before string, after string, accepted boolean"
+_JOB_COLUMNS = ["job", "ms", "event", "before", "after", "accepted"]
+#: Groups that jobs are dealt to by hash. A batch reads and writes the state of the groups that it has rows of; a stream keeps the number that it began with.
+BUCKETS = 4096
 
 
 def stateful_session(spark: SparkSession) -> SparkSession:
@@ -29,57 +32,77 @@ def stateful_session(spark: SparkSession) -> SparkSession:
 
 
 class JobMachine(StatefulProcessor):
-    """A job's state, since when it has it, and a timer while it is open."""
+    """The jobs of a bucket: each one's state, since when it has it, and a timer for the open job that times out first.
+
+    A group is a bucket of jobs, not one job: each group costs calls between Python and the JVM, a job only its place in a list."""
 
     def __init__(self, stuck_ms: int):
         self.stuck_ms = stuck_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "name string, since long")
-
-    def _put(self, name: str, at: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        self.state.update((name, at))
-        if name in OPEN_STATES:
-            self.handle.registerTimer(at + self.stuck_ms + 1)  # timers fire at their time already, a job times out over it
+        self.state = handle.getValueState("jobs", "jobs array<string>, names array<string>, sinces array<long>, due long")
+
+    def _held(self) -> tuple[dict[str, tuple[str, int]], int | None]:
+        """(name and since of each job, when the timer fires)."""
+        if not self.state.exists():
+            return {}, None
+        jobs, names, sinces, due = self.state.get()
+        return dict(zip(jobs, zip(names, sinces, strict=True), strict=True)), due
+
+    def _put(self, held: dict[str, tuple[str, int]], before: int | None) -> None:
+        # timers fire at their time already, a job times out over it
+        due = min((since + self.stuck_ms + 1 for name, since in held.values() if name in OPEN_STATES), default=None)
+        if due != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if due is not None:
+                self.handle.registerTimer(due)
+        self.state.update((list(held), [name for name, _ in held.values()], [since for _, since in held.values()], due))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ms", "seq"], kind="stable")
-        name, since = self.state.get() if self.state.exists() else ("", 0)
-        out, first = [], (name, since)
-        for now, event in zip(batch["ms"].tolist(), batch["event"], strict=True):
+        held, due = self._held()
+        out, changed = [], False
+        for job, now, event in zip(batch["job"], batch["ms"].tolist(), batch["event"], strict=True):
+            name, since = held.get(job, ("", 0))
             if name in OPEN_STATES and now > since + self.stuck_ms:
                 # its timer would have fired before this row's time
                 since += self.stuck_ms
-                out.append((key[0], since, "timeout", name, "error", True))
-                name = "error"
+                out.append((job, since, "timeout", name, "error", True))
+                name, changed = "error", True
+                held[job] = (name, since)
             after = MOVES.get((name, event))
-            out.append((key[0], now, event, name, after or name, after is not None))
+            out.append((job, now, event, name, after or name, after is not None))
             if after:
-                name, since = after, now
-        if (name, since) != first:
-            self._put(name, since)
-        yield pd.DataFrame(out, columns=["job", "ms", "event", "before", "after", "accepted"])
+                held[job], changed = (after, int(now)), True  # a null time in the bucket makes all of its times floats
+        if changed:
+            self._put(held, due)
+        yield pd.DataFrame(out, columns=_JOB_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        name, since = self.state.get() if self.state.exists() else ("", 0)
-        if name in OPEN_STATES and expiredTimerInfo.getExpiryTimeInMs() >= since + self.stuck_ms:
-            self.state.update(("error", since + self.stuck_ms))
-            yield pd.DataFrame([(key[0], since + self.stuck_ms, "timeout", name, "error", True)], columns=["job", "ms", "event", "before", "after", "accepted"])
+        held, due = self._held()
+        if due is None or expiredTimerInfo.getExpiryTimeInMs() != due:
+            return
+        end, out = timerValues.getCurrentWatermarkInMs(), []
+        for job, (name, since) in held.items():
+            if name in OPEN_STATES and since + self.stuck_ms < end:
+                held[job] = ("error", since + self.stuck_ms)
+                out.append((job, since + self.stuck_ms, "timeout", name, "error", True))
+        self._put(held, None)  # a timer that fired goes by itself
+        yield pd.DataFrame(out, columns=_JOB_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
-def job_states(events: DataFrame, stuck_seconds: int, late: str = "0 seconds") -> DataFrame:
+def job_states(events: DataFrame, stuck_seconds: int, late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """Every event of a stream (job, ts, seq, event: create, start, finish, fail) with the job's state before and after it, and whether
     it was a legal move; jobs that stay open over ``stuck_seconds`` time out to ``error`` by a row of their own, at the moment they do.
 
     Events of one job come in order of time from batch to batch; within one they are sorted by time, then ``seq``."""
-    watched = events.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts"))
-    moved = watched.groupBy("job").transformWithStateInPandas(JobMachine(stuck_seconds * 1000), JOB, "append", "eventTime")
+    watched = events.withWatermark("ts", late).withColumns({"ms": F.unix_millis("ts"), "bucket": F.pmod(F.xxhash64("job"), F.lit(buckets))})
+    moved = watched.groupBy("bucket").transformWithStateInPandas(JobMachine(stuck_seconds * 1000), JOB, "append", "eventTime")
     return moved.select("job", F.timestamp_millis("ms").alias("ts"), "event", "before", "after", "accepted")
 
 

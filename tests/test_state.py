@@ -55,6 +55,21 @@ def test_job_times_out_over_the_limit(spark, tmp_path):
     assert [r.job for r in own.read.parquet(f"{tmp_path}/out").where("event = 'timeout'").collect()] == ["over"]
 
 
+def test_jobs_share_groups(spark, tmp_path):
+    """State is kept, and Python called, for a bucket of jobs and not for each job; each job times out at its own moment all the same."""
+    rng, schema = random.Random(5), "job string, ts timestamp, seq long, event string"
+    events = [(f"j{rng.randrange(300)}", START + timedelta(seconds=i), i, rng.choice(["create", "create", "start", "finish", "fail", "other"])) for i in range(1200)]
+    own = state.stateful_session(spark)
+    (tmp_path / "in").mkdir()
+    stream = own.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    for part in (events[:500], events[500:900], events[900:]):
+        land(own, part, schema, f"{tmp_path}/in")
+        state.run_stream(state.job_states(stream, 120, buckets=8), f"{tmp_path}/out")
+    assert own.read.format("statestore").option("stateVarName", "jobs").load(f"{tmp_path}/out-progress").count() == 8
+    got = sorted(tuple(r) for r in own.read.parquet(f"{tmp_path}/out").collect())
+    assert got == brute_jobs(events, 120) and sum(r[2] == "timeout" for r in got) > 100
+
+
 def test_cache_equals_batch_rule(spark, tmp_path):
     rng, schema = random.Random(3), "g string, k string, ts long, v string"
     rows = [(rng.choice("ab"), f"k{rng.randrange(25)}", rng.randrange(0, 100_000), f"v{i}") for i in range(200)] + [("a", None, 5, "x")]
