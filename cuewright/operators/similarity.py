@@ -19,6 +19,12 @@ from cuewright.sources.tables import Tables
 BLOCK = 4 << 20
 #: Hashes of tracks that are compared at once, few enough for a processor's cache.
 _CELLS = 1 << 15
+#: Alignments of queries with tracks that a sieve takes at once.
+_ALIGNED = 1 << 17
+#: Alignments are compared one by one when one in two to the power of this is left at most.
+_SPARSE = 3
+#: Neighbouring bits that must be equal in all hashes for a sieve to pay off.
+_RUN = 4
 
 
 def best_alignment(query: np.ndarray, library: np.ndarray, early: float = 0.97) -> tuple[float, int]:
@@ -95,6 +101,108 @@ def bounded_alignments(query: np.ndarray, flat: np.ndarray, pairs: np.ndarray, l
     return score, at
 
 
+def turning_bits(hashes: np.ndarray) -> int:
+    """The bits that differ from the next higher one in any of ``hashes``."""
+    return int(np.bitwise_or.reduce(hashes ^ (hashes >> np.uint32(1)), axis=None, initial=0)) & 0x7FFFFFFF
+
+
+def widest_run(turning: int) -> tuple[int, int]:
+    """(lowest bit, width) of the widest run of bits that are equal in every hash, given ``turning_bits``."""
+    best, start = (0, 1), 0
+    for bit in range(32):
+        if bit - start + 1 > best[1]:
+            best = (start, bit - start + 1)
+        if turning >> bit & 1:
+            start = bit + 1
+    return best
+
+
+def sieve_words(hashes: np.ndarray, low: int, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(signs, rests, hashes in a rest) at each place of ``hashes`` [place, ...]: the run's bit of this and the next 31 hashes, and the other
+    bits of this and as many of the next as fit into 64 bits."""
+    n, other = len(hashes), 32 - width
+    per = 64 // other if other else n
+    sign = hashes >> np.uint32(low) & np.uint32(1)
+    rest = (hashes & np.uint32((1 << low) - 1) | (hashes >> np.uint32(low + width - 1) >> np.uint32(1)) << np.uint32(low)).astype(np.uint64)
+    signs, rests = sign.copy(), rest.copy()
+    for j in range(1, min(32, n)):
+        signs[: n - j] |= sign[j:] << np.uint32(j)
+    for j in range(1, min(per, n) if other else 1):
+        rests[: n - j] |= rest[j:] << np.uint64(j * other)
+    return signs, rests, per
+
+
+def query_words(queries: np.ndarray, low: int, width: int) -> list[tuple[int, np.ndarray, np.generic, int]]:
+    """(place, word of each query, mask, weight of a bit) by which ``sieved`` compares ``queries`` [query, place], the run's bits first."""
+    q, ones = queries.shape[1], lambda n, kind: kind((1 << n) - 1)
+    signs, rests, per = sieve_words(queries.T, low, width)
+    words = [(p, signs[p], ones(min(32, q - p), np.uint32), width) for p in range(0, q, 32)]
+    return words + [(p, rests[p], ones(min(per, q - p) * (32 - width), np.uint64), 1) for p in range(0, q, per) if width < 32]
+
+
+def _counted(words, signs: np.ndarray, rests: np.ndarray, rows: int, who: np.ndarray, at: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which alignments ``at`` of the queries ``who`` differ by ``words`` in as many bits as there is ``room`` for at most, and the room left."""
+    for place, word, mask, weight in words:
+        bits = (signs if word.dtype == np.uint32 else rests)[place * rows :][at] ^ word[who]
+        count = np.bitwise_count(bits & mask if ~mask else bits)
+        room = room - (count if weight == 1 else count * np.int32(weight))
+        near = np.flatnonzero(room >= 0)
+        who, at, room = who[near], at[near], room[near]
+    return who, at, room
+
+
+def sieved(q: int, words, signs: np.ndarray, rests: np.ndarray, lengths: np.ndarray, bounds: np.ndarray, k: int, early: float = 0.97) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score, offset) of the tracks that score the query's own of ``bounds`` (over 0) or more, as ``best_alignment`` scores them, and
+    of some that don't.
+
+    ``words`` are those of queries of ``q`` hashes, ``signs`` and ``rests`` the tracks'. A bit that a run repeats counts by the run's width, so the first
+    word leaves few alignments, and each further one fewer. With ``k``, tracks that can't be among a query's ``k`` best of these may be missing, too.
+    """
+    (places, rows), asked = signs.shape, len(bounds)
+    if places < q:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, float, np.int64))
+    bits, size = 32 * q, (places - q + 1) * rows
+    kind = np.uint16 if bits < (1 << 16) - 1 else np.int32
+    limits = ((1 - np.minimum(bounds, early)) * bits).astype(np.int32) + 1
+    differ, count = np.zeros((asked, size), kind), np.empty((asked, size), np.uint8)
+    outs = np.empty((asked, size), np.uint32), np.empty((asked, size), np.uint64)
+    signs, rests = signs.ravel(), rests.ravel()
+    inside = lambda at: at // rows <= lengths[at % rows] - q
+    for n, (place, word, mask, weight) in enumerate(words, 1):
+        # while many alignments are left all are compared, then only those left
+        own, out = (signs, outs[0]) if word.dtype == np.uint32 else (rests, outs[1])
+        np.bitwise_xor(own[place * rows : place * rows + size], word[:, None], out=out)
+        if ~mask:
+            np.bitwise_and(out, mask, out=out)
+        np.bitwise_count(out, out=count)
+        differ += np.multiply(count, weight, dtype=kind) if weight > 1 else count
+        if n == 1 and 0 < k <= rows:
+            # the nearest by the first word alone show how near the k best are at least
+            for i in range(asked):
+                share = count[i, :: max(1, size >> 12)]
+                few = min(len(share) - 1, 8)
+                seeds = np.flatnonzero(count[i] <= np.partition(share, few)[few])
+                seeds = seeds[inside(seeds)]
+                _, seeds, room = _counted(words[1:], signs, rests, rows, np.full(len(seeds), i), seeds, bits - differ[i, seeds].astype(np.int32))
+                nearest = np.full(rows, bits + 1, np.int32)
+                np.minimum.at(nearest, seeds % rows, bits - room)
+                limits[i] = min(limits[i], max(int(np.partition(nearest, k - 1)[k - 1]), int((1 - early) * bits) + 1))
+        near = differ <= limits.astype(kind)[:, None]
+        if np.count_nonzero(near) << _SPARSE <= near.size:
+            break
+    at = np.flatnonzero(near)
+    who = at // size
+    who, at, room = _counted(words[n:], signs, rests, rows, who, at - who * size, limits[who] - differ.ravel()[at])
+    if int(lengths.min()) < places:
+        fits = inside(at)
+        who, at, room = who[fits], at[fits], room[fits]
+    differ = limits[who] - room
+    scores = 1 - differ / bits
+    order = np.lexsort((at, np.where(scores > early, -1, differ), at % rows, who))
+    own = order[np.unique((who * rows + at % rows)[order], return_index=True)[1]]
+    return who[own], at[own] % rows, scores[own], at[own] // rows
+
+
 def variant_scores(rows: DataFrame, variants: str, track: str, out: str) -> DataFrame:
     """``rows`` with each of ``variants`` (an array of hash arrays) scored against ``track`` (a hash array), as an array (H4)."""
 
@@ -138,25 +246,59 @@ def top_matches(queries: DataFrame, library: DataFrame, k: int, floor: float) ->
         shared = spark.sparkContext.broadcast(variants)
 
         def search(batches, shared=shared):
-            top: dict[int, list[tuple[float, int, int]]] = {}
+            names, variants, seen = list(shared.value), list(shared.value.values()), 0
+            top: list[list[tuple]] = [[] for _ in names]  # (score turned round, track, row of the task, variant, offset)
+            bounds = np.full(len(names), floor, float)  # what the task's best leave room for
+            groups: dict[int, list[tuple[int, int]]] = {}  # queries' variants of a length
+            for i, own in enumerate(variants):
+                for v, h in enumerate(own):
+                    groups.setdefault(len(h), []).append((i, v))
+            asked = {q: (np.array([i for i, _ in own]), np.array([v for _, v in own]), np.stack([variants[i][v] for i, v in own])) for q, own in groups.items() if q}
+            turning, run, words = int(np.bitwise_or.reduce([turning_bits(h) for _, _, h in asked.values()] or [0])), None, {}
+
+            def keep(i: int, new: list[tuple]) -> None:
+                held = {}
+                for entry in sorted(top[i] + new):
+                    held.setdefault(entry[2], entry)  # of a row the best variant, of equals the first
+                top[i] = list(held.values())[:k]
+                if len(top[i]) == k:
+                    bounds[i] = max(floor, -top[i][-1][0])
+
             for batch in batches:
                 ids = batch.column("track_id").to_numpy(zero_copy_only=False)
+                widest = widest_run(turning | turning_bits(batch.column("hashes").flatten().to_numpy(zero_copy_only=False).astype(np.uint32)))
+                through_sieve = floor > 0 and widest[1] >= _RUN
+                if through_sieve and run != widest:
+                    run, words = widest, {q: query_words(h, *widest) for q, (_, _, h) in asked.items()}
                 for which, tracks, lengths in padded(batch.column("hashes")):
-                    flat, pairs = turned(tracks)
-                    for query, wanted in shared.value.items():
-                        held = top.get(query, [])
-                        bound = max(floor, -held[-1][0]) if len(held) == k else floor  # what the task's best leave room for
-                        best, at = np.full(len(which), -1.0), np.zeros(len(which), np.int64)
-                        for hashes in wanted:
-                            score, place = bounded_alignments(hashes, flat, pairs, lengths, bound)
-                            better = score > best
-                            best, at = np.where(better, score, best), np.where(better, place, at)
-                        hit = np.nonzero(best >= bound)[0]
-                        if len(hit):
-                            hit = hit[np.lexsort((ids[which[hit]], -best[hit]))[:k]]
-                            both = held + list(zip((-best[hit]).tolist(), ids[which[hit]].tolist(), at[hit].tolist(), strict=True))
-                            top[query] = sorted(both)[:k]
-            out = [(query, track, -score, at) for query, own in top.items() for score, track, at in own]
+                    if through_sieve:
+                        signs, rests, _ = sieve_words(np.ascontiguousarray(tracks.T), *run)
+                        for q, (owner, variant, _) in asked.items():
+                            step = max(1, _ALIGNED // max(1, (signs.shape[0] - q + 1) * len(which)))
+                            for lo in range(0, len(owner), step):
+                                own = owner[lo : lo + step]
+                                fresh = min(len(top[i]) for i in own.tolist()) < k
+                                who, row, score, at = sieved(q, [(p, w[lo : lo + step], *more) for p, w, *more in words[q]], signs, rests, lengths, bounds[own], k if fresh else 0)
+                                hit = np.flatnonzero(score >= bounds[own][who])
+                                new: dict[int, list[tuple]] = {}
+                                for x, r, y, z in zip(who[hit].tolist(), row[hit].tolist(), score[hit].tolist(), at[hit].tolist(), strict=True):
+                                    new.setdefault(int(own[x]), []).append((-y, int(ids[which[r]]), seen + int(which[r]), int(variant[lo + x]), z))
+                                for i, entries in new.items():
+                                    keep(i, entries)
+                    else:
+                        flat, pairs = turned(tracks)
+                        for i, wanted in enumerate(variants):
+                            best, at = np.full(len(which), -1.0), np.zeros(len(which), np.int64)
+                            for hashes in wanted:
+                                score, place = bounded_alignments(hashes, flat, pairs, lengths, bounds[i])
+                                better = score > best
+                                best, at = np.where(better, score, best), np.where(better, place, at)
+                            hit = np.nonzero(best >= bounds[i])[0]
+                            if len(hit):
+                                hit = hit[np.lexsort((ids[which[hit]], -best[hit]))[:k]]
+                                keep(i, list(zip((-best[hit]).tolist(), ids[which[hit]].tolist(), (seen + which[hit]).tolist(), [0] * len(hit), at[hit].tolist(), strict=True)))
+                seen += batch.num_rows
+            out = [(query, track, -score, at) for query, own in zip(names, top, strict=True) for score, track, _, _, at in own]
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)], names=["query_id", "track_id", "score", "offset"])
 
